@@ -84,7 +84,7 @@ PREDICTIONS_CTE = """logit_rows as (
   from embeddings, (select 'm1' as model union all select 'm2' as model) m),
 predictions as (
   select model, split, pair_id, label,
-    list_transform(logits, x -> exp(x - list_max(logits)) / list_sum(list_transform(logits, z -> exp(z - list_max(logits))))) as probs
+    list_transform(logits, lambda x: exp(x - list_max(logits)) / list_sum(list_transform(logits, lambda z: exp(z - list_max(logits))))) as probs
   from logit_rows)"""
 
 

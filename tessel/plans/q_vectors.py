@@ -1 +1,157 @@
-"""Placeholder, filled below."""
+"""Vector queries (P14/P15, P16/P22, V1-V11, J1, J3, S13) over ``embeddings``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vector as V
+from ..operators import sampling as R
+from ..operators import vectors as ops
+from ..operators import text as text_ops
+from ..session import load
+from . import fixtures as fx
+from .registry import register, with_ctes
+
+SEED = 123
+_KEY = f"md5('{SEED}:' || cast(uid as varchar))"
+_L2SQ = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
+_COS = ("case when list_dot_product({a}, {a}) = 0 or list_dot_product({b}, {b}) = 0 then 0.0 else "
+        "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) end")
+
+
+def l2sq_sql(a, b):
+    return _L2SQ.format(a=a, b=b)
+
+
+def cos_sql(a, b):
+    return _COS.format(a=a, b=b)
+
+
+def _texts(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text")
+
+
+@register("vector_shape", "select count(*) as rows, max(len(embedding)) as width from embeddings")
+def vector_shape(spark, sf_dir):
+    return ops.shape(fx.vectors(spark, sf_dir))
+
+
+@register("attach_vectors", with_ctes(fx.VECTORS_CTE) + """
+select v.uid, d.lang, len(v.vec) as width from vectors v join documents d on d.doc_id = v.uid""")
+def attach_vectors(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "lang")
+    return ops.attach_vectors(docs, fx.vectors(spark, sf_dir)).select("uid", "lang", F.size("vec").alias("width"))
+
+
+@register("cosine_to_one", with_ctes(fx.VECTORS_CTE, f"q as (select vec from vectors order by {_KEY}, uid limit 1)") + f"""
+select v.uid, round({cos_sql('v.vec', 'q.vec')}, 6) as cos from vectors v, q""")
+def cosine_to_one(spark, sf_dir):
+    vecs = fx.vectors(spark, sf_dir)
+    qid = R.sample_seeded(vecs, 1, SEED).first()["uid"]
+    out = ops.cosine_to(vecs, ops.vector_of(vecs, "uid", qid))
+    return out.select("uid", F.round("cos", 6).alias("cos"))
+
+
+@register("cosine_matrix", with_ctes(fx.VECTORS_CTE) + f"""
+select * from (select a.uid as i, b.uid as j, round({cos_sql('a.vec', 'b.vec')}, 6) as sim
+  from vectors a join vectors b on a.uid <= b.uid) t where sim >= 0.5""")
+def cosine_matrix(spark, sf_dir):
+    return ops.cosine_matrix(fx.vectors(spark, sf_dir), threshold=0.5, block_rows=128)
+
+
+_KNN_SELF = with_ctes(fx.VECTORS_CTE, f"""q as (select uid as q_uid, vec as qv from vectors order by {_KEY}, uid limit 10)""",
+                      f"""d as (select q.q_uid, v.uid, {l2sq_sql('q.qv', 'v.vec')} as dist from q, vectors v)""",
+                      """nn as (select q_uid, uid, dist, row_number() over (partition by q_uid order by dist, uid) - 1 as rank from d)""")
+
+
+@register("knn_self", _KNN_SELF + "select q_uid, rank, uid, round(dist, 6) as dist from nn where rank < 4")
+def knn_self(spark, sf_dir):
+    vecs = fx.vectors(spark, sf_dir)
+    q = R.sample_seeded(vecs, 10, SEED)
+    return ops.knn(q, vecs, 4, include_self=True).withColumn("dist", F.round("dist", 6))
+
+
+@register("knn_graph", with_ctes(fx.VECTORS_CTE, f"""d as (select a.uid as q_uid, b.uid, {l2sq_sql('a.vec', 'b.vec')} as dist
+  from vectors a join vectors b on a.uid <> b.uid)""",
+                                 """nn as (select q_uid, uid, dist, row_number() over (partition by q_uid order by dist, uid) - 1 as rank from d)""")
+          + "select q_uid, rank, uid, round(dist, 6) as dist from nn where rank < 20")
+def knn_graph(spark, sf_dir):
+    g = ops.knn_graph(fx.vectors(spark, sf_dir), ks=(5, 10, 15, 20), block_rows=128)
+    return g.withColumn("dist", F.round("dist", 6))
+
+
+@register("neighbour_report", _KNN_SELF + """, t as (select q_uid, rank, text from nn join documents on documents.doc_id = nn.uid where rank < 4)
+select q_uid, string_agg(text, chr(10) order by rank) as report from t group by q_uid""")
+def neighbour_report(spark, sf_dir):
+    vecs = fx.vectors(spark, sf_dir)
+    nn = ops.knn(R.sample_seeded(vecs, 10, SEED), vecs, 4, include_self=True)
+    return ops.neighbour_report(nn, _texts(spark, sf_dir))
+
+
+_MINMAX = """mm as (select min(x) as mnx, max(x) as mxx, min(y) as mny, max(y) as mxy from {src})"""
+
+
+def _minmax_sel(src):
+    return (f"select uid, (x - mnx + 1e-6) / (mxx - mnx + 1e-6) as x, (y - mny + 1e-6) / (mxy - mny + 1e-6) as y "
+            f"from {src}, mm")
+
+
+@register("minmax_axes", with_ctes(fx.MAP2D_CTE, _MINMAX.format(src="map2d")) + _minmax_sel("map2d"))
+def minmax_axes(spark, sf_dir):
+    return ops.minmax(fx.map2d(spark, sf_dir), ["x", "y"])
+
+
+_TRIM = with_ctes(fx.MAP2D_CTE,
+                  """st as (select avg(x) as mux, stddev_pop(x) as sdx, avg(y) as muy, stddev_pop(y) as sdy from map2d)""",
+                  """kept as (select uid, x, y from map2d, st where x < mux + 3 * sdx and x > mux - 3 * sdx
+                     and y < muy + 3 * sdy and y > muy - 3 * sdy)""",
+                  _MINMAX.format(src="kept"), f"norm as ({_minmax_sel('kept')})")
+
+
+def _trimmed(spark, sf_dir):
+    return ops.minmax(ops.trim_outliers(fx.map2d(spark, sf_dir), ["x", "y"]), ["x", "y"])
+
+
+@register("trim_outliers", _TRIM + "select uid, round(x, 6) as x, round(y, 6) as y from norm")
+def trim_outliers(spark, sf_dir):
+    t = _trimmed(spark, sf_dir)
+    return t.select("uid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register("density_grid", _TRIM + """
+select cast(least(floor(x * 10), 9) as integer) as bx, cast(least(floor(y * 10), 9) as integer) as by,
+  count(*) as n from norm group by all""")
+def density_grid(spark, sf_dir):
+    return ops.density_grid(_trimmed(spark, sf_dir), bins=10)
+
+
+@register("project_2d")
+def project_2d(spark, sf_dir):
+    return ops.project_2d(fx.vectors(spark, sf_dir))
+
+
+_PRINTED = ("'[' || cast(cast(round(x, 6) as decimal(38, 6)) as varchar) || '  ' || "
+            "cast(cast(round(y, 6) as decimal(38, 6)) as varchar) || ']'")
+
+
+@register("parse_vector_text", with_ctes(fx.MAP2D_CTE, f"printed as (select uid, {_PRINTED} as s from map2d)") + r"""
+select uid, vec from (select uid, list_transform(list_filter(string_split_regex(trim(translate(s, '[]', '')), '\s+'),
+  lambda p: p <> ''), lambda p: cast(p as double)) as vec from printed) t where len(vec) = 2""")
+def parse_vector_text(spark, sf_dir):
+    m = fx.map2d(spark, sf_dir)
+    printed = m.select("uid", V.format_vector(F.array("x", "y")).alias("s"))
+    parsed = printed.select("uid", V.parse_vector("s").alias("vec"))
+    return parsed.filter(F.size("vec") == 2)
+
+
+@register("joint_vectors", with_ctes(fx.POSTS_CTE, fx.VECTORS_CTE) + """
+select p.id as uid, p.original_img_dir || split_part(p.original_img_filename, '.', 1) as img_fpath,
+  v.vec || v.vec as joint from posts p join vectors v on p.id = 'p' || cast(v.uid as varchar)""")
+def joint_vectors(spark, sf_dir):
+    from ..functions import text as T
+    p = fx.posts(spark, sf_dir)
+    v = fx.vectors(spark, sf_dir).select(F.concat(F.lit("p"), F.col("uid").cast("string")).alias("id"), "vec")
+    j = p.join(v, "id")
+    return j.select(F.col("id").alias("uid"),
+                    T.image_path(F.col("original_img_dir"), T.file_stem("original_img_filename")).alias("img_fpath"),
+                    V.joint_vector("vec", "vec").alias("joint"))
