@@ -1 +1,129 @@
-"""Placeholder, filled below."""
+"""Evaluation queries (P17-P20, M1-M12, J4, O1) on the ``predictions``,
+``pairs`` and ``eval_log`` fixtures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vector as V
+from ..operators import evaluate as ev
+from ..session import load
+from . import fixtures as fx
+from .registry import register, with_ctes
+
+BY = ["model", "split"]
+
+_PRED = with_ctes(fx.PREDICTIONS_CTE, """scored as (
+  select *, cast(list_position(probs, list_max(probs)) - 1 as integer) as pred from predictions)""",
+                  """conf as (select model, split, label, pred, count(*) as n from scored group by all)""",
+                  """cls_rows as (
+  select model, split, label as cls, n as support, case when label = pred then n else 0 end as tp, 0 as pp from conf
+  union all select model, split, pred as cls, 0 as support, 0 as tp, n as pp from conf)""",
+                  """cs as (select model, split, cls, sum(tp) as tp, sum(pp) as pp, sum(support) as support,
+  case when sum(pp) > 0 then sum(tp) / sum(pp) else 0.0 end as precision,
+  case when sum(support) > 0 then sum(tp) / sum(support) else 0.0 end as recall,
+  case when sum(pp) + sum(support) > 0 then 2.0 * sum(tp) / (sum(pp) + sum(support)) else 0.0 end as f1
+  from cls_rows group by model, split, cls)""",
+                  """macro as (select model, split, avg(precision) as precision, avg(recall) as recall, avg(f1) as f1
+  from cs group by model, split)""",
+                  """acc as (select model, split, avg(case when label = pred then 1.0 else 0.0 end) as accuracy
+  from scored group by model, split)""",
+                  """metrics as (select m.model, m.split, round(a.accuracy, 6) as accuracy, round(m.f1, 6) as f1,
+  round(m.precision, 6) as precision, round(m.recall, 6) as recall from macro m join acc a using (model, split))""")
+
+
+def _scored(spark, sf_dir):
+    return ev.with_pred(fx.predictions(spark, sf_dir))
+
+
+@register("prediction_labels", _PRED + """
+select model, split, pair_id, pred,
+  ['entailment', 'neutral', 'contradiction'][pred + 1] as pred_name,
+  round(probs[3], 6) as score2, round(list_sum(probs), 6) as total from scored""")
+def prediction_labels(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return s.select("model", "split", "pair_id", "pred", V.label_name(F.col("pred")).alias("pred_name"),
+                    F.round(V.class_score(F.col("probs"), 2), 6).alias("score2"),
+                    F.round(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@register("confusion", _PRED + "select model, split, label, pred, n from conf")
+def confusion(spark, sf_dir):
+    return ev.confusion(_scored(spark, sf_dir), BY)
+
+
+@register("nli_metrics", _PRED + "select * from metrics")
+def nli_metrics(spark, sf_dir):
+    return ev.nli_metrics(_scored(spark, sf_dir), BY)
+
+
+@register("class_report", _PRED + """
+select model, split, ['entailment', 'neutral', 'contradiction'][cls + 1] as "row", round(precision, 6) as precision,
+  round(recall, 6) as recall, round(f1, 6) as f1, cast(support as bigint) as support from cs
+union all select model, split, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+  cast(sum(support) as bigint) from cs group by model, split
+union all select model, split, 'weighted avg', round(sum(precision * support) / sum(support), 6),
+  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+  cast(sum(support) as bigint) from cs group by model, split
+union all select model, split, 'accuracy', null, null, round(sum(tp) / sum(support), 6), cast(sum(support) as bigint)
+  from cs group by model, split""")
+def class_report(spark, sf_dir):
+    return ev.class_report(_scored(spark, sf_dir), BY)
+
+
+@register("cross_entropy", _PRED + """
+select model, split, round(avg(-ln(probs[label + 1])), 6) as loss from scored group by model, split""")
+def cross_entropy(spark, sf_dir):
+    return ev.cross_entropy(_scored(spark, sf_dir), BY)
+
+
+@register("leaderboard", _PRED + """
+select model, split, accuracy, f1, precision, recall, cast(rank() over (partition by split order by f1 desc) as integer) as rank
+from metrics""")
+def leaderboard(spark, sf_dir):
+    return ev.leaderboard(ev.nli_metrics(_scored(spark, sf_dir), BY))
+
+
+@register("prediction_table", _PRED + """
+select s.model, s.split, s.pair_id, d.text as premise, d.source as hypothesis, round(s.probs[3], 6) as pred, s.label
+from scored s join documents d on d.doc_id = s.pair_id""")
+def prediction_table(spark, sf_dir):
+    examples = load(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("pair_id"), F.col("text").alias("premise"), F.col("source").alias("hypothesis"))
+    t = ev.prediction_table(_scored(spark, sf_dir), examples)
+    return t.select("model", "split", "pair_id", "premise", "hypothesis", F.round("pred", 6).alias("pred"), "label")
+
+
+@register("best_checkpoint", with_ctes(fx.EVAL_LOG_CTE) + """
+select run_id, arg_min(step, (eval_loss, step)) as best_step, min(eval_loss) as best_loss from eval_log group by run_id""")
+def best_checkpoint(spark, sf_dir):
+    return ev.best_checkpoint(fx.eval_log(spark, sf_dir))
+
+
+@register("early_stop", with_ctes(
+    fx.EVAL_LOG_CTE,
+    """o as (select run_id, step, eval_loss, row_number() over (partition by run_id order by step) as i,
+  min(eval_loss) over (partition by run_id order by step rows between unbounded preceding and 1 preceding) as prev_best
+  from eval_log)""",
+    """g as (select *, i - max(case when prev_best is null or eval_loss < prev_best then i end)
+  over (partition by run_id order by step rows between unbounded preceding and current row) as gap from o)""",
+    """st as (select run_id, min(i) filter (where gap >= 3) as stop_i, max(i) as n, max(step) as last_step
+  from g group by run_id)""") + """
+select st.run_id, coalesce(g.step, st.last_step) as stop_step, cast(coalesce(st.stop_i, st.n) as bigint) as n_evals,
+  st.stop_i is not null as stopped
+from st left join g on g.run_id = st.run_id and g.i = st.stop_i""")
+def early_stop(spark, sf_dir):
+    return ev.early_stop(fx.eval_log(spark, sf_dir), patience=3, chunk_steps=500)
+
+
+@register("pair_classifier")
+def pair_classifier(spark, sf_dir):
+    from ..operators import encode as enc
+    p = fx.pairs(spark, sf_dir)
+    u = enc.hash_encode(p, "pair_id", "premise", dim=64).withColumnRenamed("vec", "u")
+    v = enc.hash_encode(p, "pair_id", "hypothesis", dim=64).withColumnRenamed("vec", "v")
+    feats = ev.pair_features(p.select("split", "pair_id", "label").join(u, "pair_id").join(v, "pair_id"), "u", "v")
+    feats = feats.select("split", "pair_id", "label", "features").cache()
+    model = ev.fit_pair_classifier(feats.filter(F.col("split") == "train"), feats.filter(F.col("split") == "validation"))
+    held = ev.predict_pairs(model, feats.filter(F.col("split").isin("test_lay", "test_expert")))
+    return ev.with_pred(held).select("split", "pair_id", "label", "pred", "probs")
