@@ -1 +1,125 @@
-"""Placeholder, filled below."""
+"""Sequence / encoder queries (E1-E7, P21) on ``conversations``, ``pairs``, ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vector as V
+from ..operators import encode as enc
+from ..session import load, spread
+from . import fixtures as fx
+from .registry import register, with_ctes
+
+VOCAB_SIZE = 1000
+_TOK = r"regexp_extract_all(lower({c}), '([\p{{L}}\p{{N}}]+)', 1)"
+
+
+def tok_sql(c):
+    return _TOK.format(c=c)
+
+
+_VOCAB = f"""tok_counts as (select token, count(*) as n from (select unnest({tok_sql('text')}) as token from conversations) t0
+  group by token),
+vocab as (select token, cast(row_number() over (order by n desc, token) + 3 as integer) as id, n from (
+  select token, n from tok_counts order by n desc, token limit {VOCAB_SIZE}) t1)"""
+
+
+def _conv(spark, sf_dir):
+    return spread(load(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+
+
+def _vocab(spark, sf_dir):
+    return enc.fit_vocab(_conv(spark, sf_dir), "text", VOCAB_SIZE)
+
+
+@register("corpus_vocab", with_ctes(_VOCAB) + "select token, id, n from vocab")
+def corpus_vocab(spark, sf_dir):
+    return _vocab(spark, sf_dir)
+
+
+def _pad_sql(x, n, v=0):
+    return f"list_concat({x}, list_transform(range({n} - len({x})), lambda i: {v}))"
+
+
+_ENC = with_ctes(_VOCAB, f"""toks as (select conv_id, turn, {tok_sql('text')} as l from conversations)""",
+                 """pos_toks as (select conv_id, turn, generate_subscripts(l, 1) as pos, unnest(l) as tok from toks)""",
+                 """looked as (select p.conv_id, p.turn, p.pos, coalesce(v.id, 1) as tid from pos_toks p
+  left join vocab v on v.token = p.tok where p.pos <= 30)""",
+                 """bodies as (select conv_id, turn, list(tid order by pos) as body from looked group by conv_id, turn)""",
+                 """rows_ as (select c.conv_id, c.turn, coalesce(b.body, []::integer[]) as body from conversations c
+  left join bodies b on b.conv_id = c.conv_id and b.turn = c.turn)""")
+
+
+@register("encode_text", _ENC + f"""
+select conv_id, turn, {_pad_sql('list_concat([2], body, [3])', 32)} as ids,
+  {_pad_sql('list_transform(range(len(body) + 2), lambda i: 1)', 32)} as mask from rows_""")
+def encode_text(spark, sf_dir):
+    return enc.encode(_conv(spark, sf_dir), _vocab(spark, sf_dir), ["conv_id", "turn"], "text", 32)
+
+
+_PAIRS = with_ctes(_VOCAB, fx.PAIRS_CTE, f"""pt as (select pair_id, {tok_sql('premise')} as a, {tok_sql('hypothesis')} as b from pairs)""",
+                   """cut as (select pair_id, a[1:least(len(a), greatest(31, 61 - len(b)))] as a,
+  b[1:least(len(b), greatest(30, 61 - len(a)))] as b from pt)""",
+                   """ia as (select pair_id, generate_subscripts(a, 1) as pos, unnest(a) as tok from cut)""",
+                   """ib as (select pair_id, generate_subscripts(b, 1) as pos, unnest(b) as tok from cut)""",
+                   """la as (select i.pair_id, list(coalesce(v.id, 1) order by i.pos) as l from ia i left join vocab v on v.token = i.tok group by i.pair_id)""",
+                   """lb as (select i.pair_id, list(coalesce(v.id, 1) order by i.pos) as l from ib i left join vocab v on v.token = i.tok group by i.pair_id)""",
+                   """both_ as (select c.pair_id, coalesce(la.l, []::integer[]) as a, coalesce(lb.l, []::integer[]) as b from cut c
+  left join la on la.pair_id = c.pair_id left join lb on lb.pair_id = c.pair_id)""")
+
+
+@register("encode_pairs", _PAIRS + f"""
+select pair_id, {_pad_sql('list_concat([2], a, [3], b, [3])', 64)} as ids,
+  {_pad_sql('list_concat(list_transform(range(len(a) + 2), lambda i: 0), list_transform(range(len(b) + 1), lambda i: 1))', 64)} as type_ids,
+  {_pad_sql('list_transform(range(len(a) + len(b) + 3), lambda i: 1)', 64)} as mask from both_""")
+def encode_pairs(spark, sf_dir):
+    return enc.encode_pairs(fx.pairs(spark, sf_dir), _vocab(spark, sf_dir), ["pair_id"], max_len=64)
+
+
+@register("assign_batches", """
+select doc_id, cast((row_number() over (order by doc_id) - 1) // 64 as bigint) as batch from documents""")
+def assign_batches(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id")
+    return enc.assign_batches(d, 64, ["doc_id"])
+
+
+@register("assign_batches_drop_last", """
+select doc_id, batch from (select doc_id, cast((row_number() over (order by doc_id) - 1) // 64 as bigint) as batch,
+  row_number() over (order by doc_id) - 1 as idx, count(*) over () as total from documents) t
+where idx < (total // 64) * 64""")
+def assign_batches_drop_last(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id")
+    return enc.assign_batches(d, 64, ["doc_id"], drop_last=True)
+
+
+_HASH = with_ctes(f"""ht as (select conv_id, turn, unnest({tok_sql('text')}) as t from conversations)""",
+                  """hb as (select conv_id, turn, cast('0x' || substr(md5(t), 1, 8) as bigint) % 64 as b,
+  case when cast('0x' || substr(md5(t), 9, 1) as bigint) % 2 = 0 then 1.0 else -1.0 end as s from ht)""",
+                  """cells as (select conv_id, turn, b, sum(s) as v from hb group by conv_id, turn, b)""",
+                  """grid as (select c.conv_id, c.turn, r.i, coalesce(x.v, 0.0) as v from conversations c cross join range(64) r(i)
+  left join cells x on x.conv_id = c.conv_id and x.turn = c.turn and x.b = r.i)""",
+                  """nrm as (select conv_id, turn, sqrt(sum(v * v)) as n from grid group by conv_id, turn)""")
+
+
+@register("hash_encode", _HASH + """
+select g.conv_id, g.turn, list(round(case when n.n = 0 then g.v else g.v / n.n end, 6) order by g.i) as vec
+from grid g join nrm n on n.conv_id = g.conv_id and n.turn = g.turn group by g.conv_id, g.turn""")
+def hash_encode(spark, sf_dir):
+    h = enc.hash_encode(_conv(spark, sf_dir), ["conv_id", "turn"], "text", 64)
+    return h.select("conv_id", "turn", V.round_vec("vec", 6).alias("vec"))
+
+
+@register("embed_batch")
+def embed_batch(spark, sf_dir):
+    return enc.embed(_conv(spark, sf_dir), "text", batch_size=64).select("conv_id", "turn", "vec")
+
+
+@register("pooled_vectors", with_ctes(fx.VECTORS_CTE) + """
+select uid, vec as first_vec,
+  list_transform(range(1, len(vec) + 1), lambda i: round((vec[i] + vec[len(vec) + 1 - i]) / 2, 6)) as mean_vec
+from vectors""")
+def pooled_vectors(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    hidden = F.array(F.col("vec"), F.reverse("vec"))  # a two-token [seq, dim] state per row
+    return v.select("uid", V.pool_first(hidden).alias("first_vec"),
+                    V.round_vec(V.pool_mean(hidden), 6).alias("mean_vec"))
