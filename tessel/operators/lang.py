@@ -8,21 +8,23 @@ gram ``g``, ``n_l`` gram occurrences in all and ``V`` distinct training grams::
                     of  ln(c_lg + 1) - ln(n_l + V)
                   = S_l - M * ln(n_l + V)
 
-where ``S_l`` only needs the grams seen in ``l`` (a sparse profile) and ``M``
-is the number of the doc's in-vocabulary occurrences. Candidate languages are
+where ``S_l`` only needs the grams seen in ``l`` and ``M`` is the number of the
+doc's in-vocabulary occurrences. Candidate languages are
 those sharing at least one gram with the document; the highest score rounded
 to 6 places wins, ties to the smaller language code. A document with no
 in-vocabulary gram (e.g. no letters) gets no language (L5).
 
 Plan: grams are produced per document by one linear regex pass (no per-position
-substring, whole texts); the sparse profile is joined by broadcast when its
-checked row count allows, else by a salted shuffle join so a gram that occurs in
-a third of all documents is spread over many tasks. Scores are pre-aggregated
-per (doc, language) map-side before the only large shuffle.
+substring, whole texts); the profile (one row per gram, one weight column per
+language) is joined by broadcast when its checked size allows, else by a
+salted shuffle join so a gram that occurs in a third of all documents is spread
+over many tasks. All language scores of a document come out of one aggregate
+that is partially combined map-side before its shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 from ..functions.text import URL_PATTERN
 from ..session import checkpoint
 
-# Rows of the sparse profile that may be broadcast (each row is a short gram,
-# a language code and a double: ~100 bytes).
-BROADCAST_PROFILE_ROWS = 2_000_000
+# Cells (grams x (languages + 1)) of the profile that may be broadcast: each
+# cell is at most ~16 bytes, so the bound keeps the broadcast under ~160 MB.
+BROADCAST_PROFILE_CELLS = 10_000_000
+MAX_LANGUAGES = 500
 SALT_BUCKETS = 32
 
 GRAM_PATTERN = r"(?=(.\p{L}.))"
@@ -67,29 +70,38 @@ def gram_counts(df: DataFrame, text_col: str, by: list[str]) -> DataFrame:
 
 @dataclass
 class LanguageProfile:
-    grams: DataFrame   # gram, lang, lw = ln(c_lg + 1); plus lang '' rows marking the vocabulary
-    langs: DataFrame   # lang, lden = ln(n_l + V)
+    grams: DataFrame   # gram, w0..w{L-1}: ln(c_lg + 1) per language (0.0 when unseen)
+    langs: list        # language codes, sorted (bounded model metadata)
+    lden: list         # ln(n_l + V) per language, same order
     rows: int          # row count of ``grams`` (checked before any broadcast)
 
 
 def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageProfile:
-    """L2: learn the sparse profile from labelled rows (whole texts)."""
+    """L2: learn the profile from labelled rows (whole texts).
+
+    Stored wide: one row per vocabulary gram with one weight column per
+    language, so scoring joins each gram occurrence to exactly one row.
+    """
     counts = gram_counts(train.filter(F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("t"), F.col(lang_col).alias("lang")), "t", ["lang"])
     counts = checkpoint(counts.select("lang", "gram", F.col("n").alias("c")))
-    vocab = counts.select("gram").distinct()
-    n_vocab = vocab.count()  # one number: the vocabulary size V
-    langs = (counts.groupBy("lang").agg(F.sum("c").alias("n"))
-             .select("lang", F.log(F.col("n") + F.lit(float(n_vocab))).alias("lden")))
-    grams = (counts.select("gram", "lang", F.log(F.col("c") + F.lit(1.0)).alias("lw"))
-             .unionByName(vocab.select("gram", F.lit("").alias("lang"), F.lit(0.0).alias("lw"))))
-    grams = checkpoint(grams)
-    langs = checkpoint(langs)
-    return LanguageProfile(grams, langs, grams.count())
+    per_lang = counts.groupBy("lang").agg(F.sum("c").alias("n")).orderBy("lang").collect()
+    if len(per_lang) > MAX_LANGUAGES:
+        raise ValueError(f"{len(per_lang)} languages; at most {MAX_LANGUAGES} supported")
+    langs = [r["lang"] for r in per_lang]
+    n_vocab = counts.select("gram").distinct().count()  # V
+    lden = [math.log(r["n"] + n_vocab) for r in per_lang]
+    lw = F.log(F.col("c") + F.lit(1.0))
+    wide = (counts.groupBy("gram")
+            .agg(*[F.max(F.when(F.col("lang") == F.lit(l), lw)).alias(f"w{i}") for i, l in enumerate(langs)]))
+    wide = wide.select("gram", *[F.coalesce(F.col(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(len(langs))])
+    grams = checkpoint(wide)
+    return LanguageProfile(grams, langs, lden, grams.count())
 
 
 def _join_profile(occ: DataFrame, profile: LanguageProfile, id_col: str) -> DataFrame:
-    if profile.rows <= BROADCAST_PROFILE_ROWS:
+    cells = profile.rows * (len(profile.langs) + 1)
+    if cells <= BROADCAST_PROFILE_CELLS:
         return occ.join(F.broadcast(profile.grams), "gram")
     # Salted shuffle join: the document side picks one of SALT_BUCKETS per doc,
     # the profile side is copied to every bucket, so a hot gram is split.
@@ -101,18 +113,23 @@ def _join_profile(occ: DataFrame, profile: LanguageProfile, id_col: str) -> Data
 def detect_language(df: DataFrame, profile: LanguageProfile, id_col: str = "id",
                     text_col: str = "text", out_col: str = "detected") -> DataFrame:
     """L3: ``id_col, out_col`` for every row with at least one vocabulary gram
-    (rows without one are absent = undetectable, L5)."""
+    (rows without one are absent = undetectable, L5).
+
+    One join row per in-vocabulary gram occurrence, one aggregate per document
+    (partial sums are combined map-side, so only one row per document and
+    partition is shuffled)."""
     occ = char_ngrams(df, id_col, text_col)
     joined = _join_profile(occ, profile, id_col)
-    per_lang = joined.groupBy(id_col, "lang").agg(F.sum("lw").alias("s"), F.count(F.lit(1)).alias("c"))
-    per_lang = per_lang.join(F.broadcast(profile.langs), "lang", "left")
-    packed = F.collect_list(F.struct("lang", "s", "c", "lden"))  # at most (#languages + 1) per doc
-    per_doc = per_lang.groupBy(id_col).agg(packed.alias("L"))
-    m = F.aggregate(F.filter("L", lambda x: x["lang"] == ""), F.lit(0).cast("long"),
-                    lambda a, x: a + x["c"])
-    cands = F.transform(F.filter("L", lambda x: x["lang"] != ""),
-                        lambda x: F.struct((-F.round(x["s"] - m * x["lden"], 6)).alias("k"), x["lang"].alias("lang")))
-    return per_doc.select(F.col(id_col), F.array_min(cands)["lang"].alias(out_col))
+    k = len(profile.langs)
+    sums = [F.sum(f"w{i}").alias(f"s{i}") for i in range(k)]
+    per_doc = joined.groupBy(id_col).agg(F.count(F.lit(1)).alias("_m"), *sums)
+    cands = F.array(*[
+        F.when(F.col(f"s{i}") > 0, F.struct(
+            (-F.round(F.col(f"s{i}") - F.col("_m") * F.lit(profile.lden[i]), 6)).alias("k"),
+            F.lit(l).alias("lang")))
+        for i, l in enumerate(profile.langs)])
+    best = F.array_min(F.filter(cands, lambda x: x.isNotNull()))["lang"]
+    return per_doc.select(F.col(id_col), best.alias(out_col))
 
 
 def with_language(df: DataFrame, profile: LanguageProfile, id_col: str = "id",

@@ -68,13 +68,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a frame only when it has fewer partitions than cores.
 
     Large inputs arrive split into many files/row groups and are left alone (no
-    shuffle); a small single-row-group file would otherwise run heavy per-row
-    work (regex, explode) in one task.
+    shuffle, filters keep reaching the scan). A small single-row-group file
+    would otherwise run all heavy per-row work (regex, explode) in one task:
+    it is spread and cached, because Catalyst would push a filter (and the
+    regexes inside it) back below a bare repartition, into the one scan task.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+        return df.repartition(want).cache()
     return df
 
 
