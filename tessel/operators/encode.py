@@ -109,20 +109,35 @@ def token_sign(tok: F.Column) -> F.Column:
     return F.when(nib % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def hash_encode(df: DataFrame, key, text_col: str = "text", dim: int = 64, out_col: str = "vec") -> DataFrame:
+def hash_encode(df: DataFrame, key, text_col: str = "text", dim: int = 64, out_col: str = "vec",
+                dense_limit: int = 256) -> DataFrame:
     """Signed feature hashing of word tokens into ``dim`` buckets
     (md5-based, identical in SQL), L2-normalised; no tokens -> zero vector.
-    Groups are bounded: (row, bucket) then at most ``dim`` entries per row."""
+
+    Up to ``dense_limit`` buckets, one aggregate per row builds the dense vector
+    directly (conditional sums, codegen, partial aggregation map-side, one
+    shuffle). Wider vectors go through sparse (row, bucket) cells first, so
+    per-token work stays O(1); either way a group holds at most ``dim`` cells.
+    """
     key = [key] if isinstance(key, str) else list(key)
     ex = df.select(*key, F.explode_outer(word_tokens(F.col(text_col))).alias("tok"))
-    cells = (ex.select(*key, token_bucket(F.col("tok"), dim).alias("b"), token_sign(F.col("tok")).alias("s"))
-             .groupBy(*key, "b").agg(F.sum(F.when(F.col("b").isNotNull(), F.col("s"))).alias("v")))
-    item = F.when(F.col("b").isNotNull(), F.struct("b", "v"))
-    per_row = cells.groupBy(*key).agg(F.map_from_entries(F.collect_list(item)).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
-    per_row = per_row.select(*key, dense.alias("_d"))
-    nrm = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, x: a + x * x))
-    vec = F.when(nrm == 0, F.col("_d")).otherwise(F.transform("_d", lambda x: x / nrm))
+    cells = ex.select(*key, token_bucket(F.col("tok"), dim).alias("b"), token_sign(F.col("tok")).alias("s"))
+    if dim <= dense_limit:
+        per_row = cells.groupBy(*key).agg(F.array(*[
+            F.coalesce(F.sum(F.when(F.col("b") == i, F.col("s"))), F.lit(0.0)) for i in range(dim)]).alias("_d"))
+        nrm = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, x: a + x * x))
+        per_row = per_row.select(*key, "_d", nrm.alias("_n"))
+    else:
+        sparse = cells.groupBy(*key, "b").agg(F.sum(F.when(F.col("b").isNotNull(), F.col("s"))).alias("v"))
+        item = F.when(F.col("b").isNotNull(), F.struct("b", "v"))
+        g = sparse.groupBy(*key).agg(F.map_from_entries(F.collect_list(item)).alias("_m"),
+                                     F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).alias("_n"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                            lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
+        per_row = g.select(*key, dense.alias("_d"), "_n")
+    # the norm is passed in as an array so the lambda does not re-evaluate it per element
+    norm = F.array_repeat(F.col("_n"), dim)
+    vec = F.zip_with("_d", norm, lambda x, n: F.when(n == 0, x).otherwise(x / n))
     return per_row.select(*key, vec.alias(out_col))
 
 

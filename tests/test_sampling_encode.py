@@ -93,3 +93,10 @@ def test_embed_batch_runs(spark):
     df = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "k long, text string")
     out = enc.embed(df, "text", batch_size=8).collect()
     assert len(out) == 50 and all(len(r.vec) == 64 for r in out)
+
+
+def test_hash_encode_dense_and_sparse_paths_agree(spark):
+    df = spark.createDataFrame([(1, "alpha beta beta gamma"), (2, "delta"), (3, "")], "k long, text string")
+    a = {r.k: [round(x, 9) for x in r.vec] for r in enc.hash_encode(df, "k", "text", 32).collect()}
+    b = {r.k: [round(x, 9) for x in r.vec] for r in enc.hash_encode(df, "k", "text", 32, dense_limit=0).collect()}
+    assert a == b
