@@ -45,9 +45,15 @@ def cosine(a, b) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(dot(a, b) / den)
 
 
+def _per_element(arr: Column, value: Column) -> Column:
+    """``value`` repeated to the array's length: lets a lambda use a per-row
+    scalar without re-evaluating it for every element."""
+    return F.array_repeat(value, F.size(arr))
+
+
 def l2_normalize(a) -> Column:
-    n = norm(a)
-    return F.when(n == 0, _c(a)).otherwise(F.transform(_c(a), lambda x: x / n))
+    a = _c(a)
+    return F.zip_with(a, _per_element(a, norm(a)), lambda x, n: F.when(n == 0, x).otherwise(x / n))
 
 
 def parse_vector(c) -> Column:
@@ -65,10 +71,8 @@ def format_vector(c, places: int = 6) -> Column:
 def softmax(c) -> Column:
     """Numerically stable softmax of a logit array."""
     arr = _c(c)
-    m = F.array_max(arr)
-    ex = F.transform(arr, lambda x: F.exp(x - m))
-    s = _sum(ex)
-    return F.transform(ex, lambda x: x / s)
+    ex = F.zip_with(arr, _per_element(arr, F.array_max(arr)), lambda x, m: F.exp(x - m))
+    return F.zip_with(ex, _per_element(ex, _sum(ex)), lambda x, s: x / s)
 
 
 def argmax(c) -> Column:

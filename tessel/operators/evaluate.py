@@ -176,20 +176,31 @@ def pair_features(df: DataFrame, u: str, v: str, out: str = "features") -> DataF
 
 
 def fit_pair_classifier(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.01, 0.1),
-                        features: str = "features", label: str = "label"):
+                        features: str = "features", label: str = "label", max_iter: int = 50):
     """Multinomial logistic regression; ``regParam`` chosen by validation
-    cross-entropy (the role of 'load best model at end' on eval loss)."""
+    cross-entropy (the role of 'load best model at end' on eval loss).
+
+    The candidates are independent, so they are fitted concurrently (one
+    driver thread each; Spark schedules their jobs side by side)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
-    best = None
-    for rp in reg_params:
-        m = LogisticRegression(family="multinomial", regParam=rp, maxIter=50,
+    train = train.cache()
+    valid = valid.cache()
+
+    def fit_one(rp):
+        m = LogisticRegression(family="multinomial", regParam=rp, maxIter=max_iter,
                                featuresCol=features, labelCol=label).fit(train)
         scored = m.transform(valid).withColumn("probs", vector_to_array("probability"))
         loss = scored.agg(F.avg(-F.log(F.element_at("probs", F.col(label).cast("int") + 1)))).first()[0]
-        if best is None or loss < best[0]:
-            best = (loss, m)
-    return best[1]
+        return loss, rp, m
+
+    with ThreadPoolExecutor(max_workers=len(reg_params)) as pool:
+        results = list(pool.map(fit_one, reg_params))
+    train.unpersist()
+    valid.unpersist()
+    return min(results, key=lambda r: (r[0], r[1]))[2]
 
 
 def predict_pairs(model, df: DataFrame, features: str = "features") -> DataFrame:
