@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .vectors import _sq_dists
 
 MAX_SAMPLE = 100_000  # rows a seeded sample may hold (it is shipped to tasks)
 
@@ -105,8 +106,7 @@ def odd_one_out(points: DataFrame, n: int = 30, seed: int = 123, id_col: str = "
             ids = pdf[id_col].to_numpy()
             pm = np.array([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
             hp = pdf["_h"].to_numpy(dtype=np.int64)
-            d = pm[None, :, :] - cm[:, None, :]
-            dist = np.einsum("ijk,ijk->ij", d, d)
+            dist = _sq_dists(cm, pm)
             out_c, out_kind, out_u, out_v = [], [], [], []
             by_id = np.argsort(ids, kind="stable")
             for i, c in enumerate(cids):

@@ -113,12 +113,22 @@ def _with_block(df: DataFrame, id_col: str, b: int) -> DataFrame:
     return df.withColumn("_b", F.pmod(F.xxhash64(F.col(id_col)), F.lit(b)).cast("int"))
 
 
-def _sq_dists(q: np.ndarray, p: np.ndarray, chunk: int = 2048) -> np.ndarray:
-    """Exact squared distances (differences, not the expanded dot form)."""
-    out = np.empty((q.shape[0], p.shape[0]), dtype=np.float64)
-    for s in range(0, p.shape[0], chunk):
-        d = q[:, None, :] - p[None, s:s + chunk, :]
-        out[:, s:s + chunk] = np.einsum("ijk,ijk->ij", d, d)
+# Cells (queries x points x dims) of one difference tensor: ~32 MB of doubles.
+DIFF_CELLS = 4_000_000
+POINT_BATCH = 8192
+
+
+def _sq_dists(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Exact squared distances (differences, not the expanded dot form, which
+    loses digits to cancellation), computed in chunks of bounded memory."""
+    nq, dim = q.shape[0], max(1, q.shape[1] if q.ndim == 2 else 1)
+    out = np.empty((nq, p.shape[0]), dtype=np.float64)
+    qc = max(1, min(nq, DIFF_CELLS // dim))
+    pc = max(1, DIFF_CELLS // (qc * dim))
+    for a in range(0, nq, qc):
+        for b in range(0, p.shape[0], pc):
+            d = q[a:a + qc, None, :] - p[None, b:b + pc, :]
+            out[a:a + qc, b:b + pc] = np.einsum("ijk,ijk->ij", d, d)
     return out
 
 
@@ -168,7 +178,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, include_self: bool = True
         for pdf in batches:
             ids.extend(pdf[id_col].tolist())
             vecs.extend(pdf[vec_col].tolist())
-            if len(ids) >= 65536:
+            if len(ids) >= POINT_BATCH:
                 yield _emit(ids, vecs)
                 ids, vecs = [], []
         if ids:
