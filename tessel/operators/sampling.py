@@ -140,3 +140,11 @@ def odd_one_out(points: DataFrame, n: int = 30, seed: int = 123, id_col: str = "
     index = F.element_at(F.create_map(*[x for c in cids for x in (F.lit(c), F.lit(cidx[c]))]), F.col("c"))
     return rows.select(index.cast("int").alias("index"), F.col("pos").cast("int").alias("pos"),
                        F.col("_u").alias(id_col), (F.col("pos") == 3).cast("int").alias("label"))
+
+
+def cap_rows(df: DataFrame, n: int | None, order_by: list[str]) -> DataFrame:
+    """At most ``n`` rows, the first ones in ``order_by`` order (the
+    ``max_*_samples`` options); ``None`` keeps every row. A bounded top-n."""
+    if n is None:
+        return df
+    return df.orderBy(*order_by).limit(n)

@@ -127,3 +127,11 @@ def pair_classifier(spark, sf_dir):
     model = ev.fit_pair_classifier(feats.filter(F.col("split") == "train"), feats.filter(F.col("split") == "validation"))
     held = ev.predict_pairs(model, feats.filter(F.col("split").isin("test_lay", "test_expert")))
     return ev.with_pred(held).select("split", "pair_id", "label", "pred", "probs")
+
+
+@register("cap_rows", with_ctes(fx.PAIRS_CTE) + """
+select split, pair_id, label from pairs where split = 'train' order by pair_id limit 100""")
+def cap_rows(spark, sf_dir):
+    from ..operators.sampling import cap_rows as cap
+    train = fx.pairs(spark, sf_dir).filter(F.col("split") == "train").select("split", "pair_id", "label")
+    return cap(train, 100, ["pair_id"])

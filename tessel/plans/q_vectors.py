@@ -155,3 +155,12 @@ def joint_vectors(spark, sf_dir):
     return j.select(F.col("id").alias("uid"),
                     T.image_path(F.col("original_img_dir"), T.file_stem("original_img_filename")).alias("img_fpath"),
                     V.joint_vector("vec", "vec").alias("joint"))
+
+
+@register("l2_to_one", with_ctes(fx.VECTORS_CTE, f"q as (select vec from vectors order by {_KEY}, uid limit 1)") + f"""
+select v.uid, round({l2sq_sql('v.vec', 'q.vec')}, 6) as l2sq, round(sqrt({l2sq_sql('v.vec', 'q.vec')}), 6) as l2
+from vectors v, q""")
+def l2_to_one(spark, sf_dir):
+    vecs = fx.vectors(spark, sf_dir)
+    q = F.array(*[F.lit(x) for x in ops.vector_of(vecs, "uid", R.sample_seeded(vecs, 1, SEED).first()["uid"])])
+    return vecs.select("uid", F.round(V.l2sq(F.col("vec"), q), 6).alias("l2sq"), F.round(V.l2(F.col("vec"), q), 6).alias("l2"))

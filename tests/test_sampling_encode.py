@@ -100,3 +100,9 @@ def test_hash_encode_dense_and_sparse_paths_agree(spark):
     a = {r.k: [round(x, 9) for x in r.vec] for r in enc.hash_encode(df, "k", "text", 32).collect()}
     b = {r.k: [round(x, 9) for x in r.vec] for r in enc.hash_encode(df, "k", "text", 32, dense_limit=0).collect()}
     assert a == b
+
+
+def test_cap_rows(spark):
+    df = ids(spark, 50).repartition(4)
+    assert [r.uid for r in R.cap_rows(df, 5, ["uid"]).collect()] == [0, 1, 2, 3, 4]
+    assert R.cap_rows(df, None, ["uid"]).count() == 50

@@ -93,3 +93,19 @@ def test_write_predictions_and_metrics(spark):
     m = spark.createDataFrame([("m1", "test_lay", 0.5)], "model string, split string, f1 double")
     writers.write_metrics(m, d + "/metrics")
     assert spark.read.json(d + "/metrics").count() == 1
+
+
+def test_vectors_sets_report_round_trip(spark):
+    d = tmpdir()
+    v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, 0.25])], "uid string, vec array<float>")
+    writers.write_vectors(v, d + "/vec")
+    back = {r.uid: r.vec for r in readers.read_vectors(spark, d + "/vec").collect()}
+    assert back == {"a": [1.0, 2.0], "b": [0.5, 0.25]}
+    sets = spark.createDataFrame([(0, 1, "u2", "t2", 0), (0, 0, "u1", "t1", 0)],
+                                 "index int, pos int, uid string, text string, label int")
+    writers.write_sets(sets, d + "/sets")
+    assert spark.read.json(d + "/sets").count() == 2
+    rep = spark.createDataFrame([(7, "x\ny")], "q_uid long, report string")
+    writers.write_report(rep, d + "/rep")
+    lines = [r.value for r in spark.read.text(d + "/rep").collect()]
+    assert lines[0] == "indexes 7" and lines[1:3] == ["x", "y"]

@@ -83,3 +83,8 @@ def test_dedup_keeps_first_and_is_partition_invariant(spark):
 def test_drop_incomplete_treats_empty_as_missing(spark):
     df = spark.createDataFrame([("a", "x"), ("b", ""), ("c", None)], "uid string, text string")
     assert [r.uid for r in ops.drop_incomplete(df).collect()] == ["a"]
+
+
+def test_hashtags_only_when_asked(spark):
+    assert one(spark, T.clean_text, "a #tag b") == "a #tag b"
+    assert one(spark, lambda c: T.clean_text(c, hashtags=True), "a #tag b #x") == "a  b"
