@@ -31,13 +31,13 @@ def _texts(spark, sf_dir):
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text")
 
 
-@register("vector_shape", "select count(*) as rows, max(len(embedding)) as width from embeddings")
+@register("vector_shape", "select count(*) as rows, cast(max(len(embedding)) as integer) as width from embeddings")
 def vector_shape(spark, sf_dir):
     return ops.shape(fx.vectors(spark, sf_dir))
 
 
 @register("attach_vectors", with_ctes(fx.VECTORS_CTE) + """
-select v.uid, d.lang, len(v.vec) as width from vectors v join documents d on d.doc_id = v.uid""")
+select v.uid, d.lang, cast(len(v.vec) as integer) as width from vectors v join documents d on d.doc_id = v.uid""")
 def attach_vectors(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "lang")
     return ops.attach_vectors(docs, fx.vectors(spark, sf_dir)).select("uid", "lang", F.size("vec").alias("width"))
@@ -61,7 +61,7 @@ def cosine_matrix(spark, sf_dir):
 
 _KNN_SELF = with_ctes(fx.VECTORS_CTE, f"""q as (select uid as q_uid, vec as qv from vectors order by {_KEY}, uid limit 10)""",
                       f"""d as (select q.q_uid, v.uid, {l2sq_sql('q.qv', 'v.vec')} as dist from q, vectors v)""",
-                      """nn as (select q_uid, uid, dist, row_number() over (partition by q_uid order by dist, uid) - 1 as rank from d)""")
+                      """nn as (select q_uid, uid, dist, cast(row_number() over (partition by q_uid order by dist, uid) - 1 as integer) as rank from d)""")
 
 
 @register("knn_self", _KNN_SELF + "select q_uid, rank, uid, round(dist, 6) as dist from nn where rank < 4")
@@ -73,7 +73,7 @@ def knn_self(spark, sf_dir):
 
 @register("knn_graph", with_ctes(fx.VECTORS_CTE, f"""d as (select a.uid as q_uid, b.uid, {l2sq_sql('a.vec', 'b.vec')} as dist
   from vectors a join vectors b on a.uid <> b.uid)""",
-                                 """nn as (select q_uid, uid, dist, row_number() over (partition by q_uid order by dist, uid) - 1 as rank from d)""")
+                                 """nn as (select q_uid, uid, dist, cast(row_number() over (partition by q_uid order by dist, uid) - 1 as integer) as rank from d)""")
           + "select q_uid, rank, uid, round(dist, 6) as dist from nn where rank < 20")
 def knn_graph(spark, sf_dir):
     g = ops.knn_graph(fx.vectors(spark, sf_dir), ks=(5, 10, 15, 20), block_rows=128)

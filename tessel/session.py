@@ -43,7 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A machine-local folder is only acceptable when the whole job runs in one
     JVM (``local[...]`` master), i.e. in tests and benchmarks.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns spark.checkpoint.dir
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -73,9 +76,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     it is spread and cached, because Catalyst would push a filter (and the
     regexes inside it) back below a bare repartition, into the one scan task.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the plan as is
+        return df
+    if have < want:
         return df.repartition(want).cache()
     return df
 
