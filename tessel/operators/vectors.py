@@ -164,12 +164,13 @@ def knn(queries: DataFrame, points: DataFrame, k: int, include_self: bool = True
     Output ``q_uid, rank (0-based), uid, dist``; ties by ``uid``. With
     ``include_self=False`` the query's own id is excluded.
     """
-    q = queries.select(id_col, vec_col).collect()
-    if not q:
+    st = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    if not st["n"]:
         raise ValueError("knn: no queries")
-    qm = np.array([r[1] for r in q], dtype=np.float64)
-    if qm.size > MAX_QUERY_CELLS:
+    if st["n"] * st["d"] > MAX_QUERY_CELLS:  # size checked before anything reaches the driver
         return knn_blocks(queries, points, k, include_self, id_col, vec_col)
+    q = queries.select(id_col, vec_col).collect()
+    qm = np.array([r[1] for r in q], dtype=np.float64)
     qids = [r[0] for r in q]
     id_type = points.schema[id_col].dataType.simpleString()
 

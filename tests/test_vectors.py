@@ -113,3 +113,13 @@ def test_project_2d_shape(spark):
     df = vec_df(spark, [(i, rng.normal(size=6).tolist()) for i in range(40)])
     out = ops.project_2d(df)
     assert out.count() == 40 and set(out.columns) == {"uid", "x", "y"}
+
+
+def test_knn_switches_to_blocks_above_query_limit(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pts = [(i, rng.normal(size=3).tolist()) for i in range(40)]
+    df = vec_df(spark, pts)
+    small = {(r.q_uid, r.rank): r.uid for r in ops.knn(df, df, 3, include_self=False).collect()}
+    monkeypatch.setattr(ops, "MAX_QUERY_CELLS", 10)
+    big = {(r.q_uid, r.rank): r.uid for r in ops.knn(df, df, 3, include_self=False).collect()}
+    assert small == big and len(small) == 40 * 3
