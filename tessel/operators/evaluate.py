@@ -186,7 +186,8 @@ def fit_pair_classifier(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.0
 
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
-    train = train.cache()
+    from ..session import spread
+    train = spread(train).cache()  # spread: a small frame coalesced to one partition fits single-threaded
     valid = valid.cache()
 
     def fit_one(rp):

@@ -79,24 +79,27 @@ class LanguageProfile:
 def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageProfile:
     """L2: learn the profile from labelled rows (whole texts).
 
-    Stored wide: one row per vocabulary gram with one weight column per
-    language, so scoring joins each gram occurrence to exactly one row.
+    The language list is read first (a scan of one column, bounded by
+    ``MAX_LANGUAGES``); the gram occurrences are then counted per gram with one
+    conditional count per language in a single aggregation (partial counts
+    map-side), checkpointed once. Stored wide: one row per vocabulary gram with
+    one weight column per language, so scoring joins each occurrence once.
     """
-    counts = gram_counts(train.filter(F.col(lang_col).isNotNull()).select(
-        F.col(text_col).alias("t"), F.col(lang_col).alias("lang")), "t", ["lang"])
-    counts = checkpoint(counts.select("lang", "gram", F.col("n").alias("c")))
-    per_lang = counts.groupBy("lang").agg(F.sum("c").alias("n")).orderBy("lang").collect()
-    if len(per_lang) > MAX_LANGUAGES:
-        raise ValueError(f"{len(per_lang)} languages; at most {MAX_LANGUAGES} supported")
-    langs = [r["lang"] for r in per_lang]
-    n_vocab = counts.select("gram").distinct().count()  # V
-    lden = [math.log(r["n"] + n_vocab) for r in per_lang]
-    lw = F.log(F.col("c") + F.lit(1.0))
-    wide = (counts.groupBy("gram")
-            .agg(*[F.max(F.when(F.col("lang") == F.lit(l), lw)).alias(f"w{i}") for i, l in enumerate(langs)]))
-    wide = wide.select("gram", *[F.coalesce(F.col(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(len(langs))])
-    grams = checkpoint(wide)
-    return LanguageProfile(grams, langs, lden, grams.count())
+    labelled = train.filter(F.col(lang_col).isNotNull())
+    found = labelled.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = sorted(r[0] for r in found)
+    occ = labelled.select(F.col(lang_col).alias("lang"), F.explode(gram_array(F.col(text_col))).alias("gram"))
+    counts = occ.groupBy("gram").agg(
+        *[F.count(F.when(F.col("lang") == F.lit(l), 1)).alias(f"c{i}") for i, l in enumerate(langs)])
+    counts = checkpoint(counts)
+    st = counts.agg(F.count(F.lit(1)).alias("v"),
+                    *[F.sum(f"c{i}").alias(f"n{i}") for i in range(len(langs))]).first()
+    n_vocab = st["v"]  # V
+    lden = [math.log(st[f"n{i}"] + n_vocab) for i in range(len(langs))]
+    grams = counts.select("gram", *[F.log(F.col(f"c{i}") + F.lit(1.0)).alias(f"w{i}") for i in range(len(langs))])
+    return LanguageProfile(grams, langs, lden, n_vocab)
 
 
 def _join_profile(occ: DataFrame, profile: LanguageProfile, id_col: str) -> DataFrame:
