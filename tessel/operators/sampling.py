@@ -126,7 +126,8 @@ def odd_one_out(points: DataFrame, n: int = 30, seed: int = 123, id_col: str = "
 
     src = points.select(id_col, vec_col, hash_int(seed, "odd", F.col(id_col)).alias("_h"))
     cand = src.mapInPandas(candidates, f"c {id_type}, kind string, uid {id_type}, v double")
-    cand = cand.withColumnRenamed("uid", "_u")
+    # materialised once (small: centroids x partitions x 6 rows); four branches read it
+    cand = checkpoint(cand.withColumnRenamed("uid", "_u"))
     w = Window.partitionBy("c").orderBy("v", "_u")
     nn = (cand.filter(F.col("kind") == "nn").withColumn("r", F.row_number().over(w))
           .filter(F.col("r") <= 2).select("c", "_u", (F.col("r") - 1).alias("pos")))
