@@ -63,6 +63,11 @@ def nli_metrics(df: DataFrame, by: list[str], places: int = 6) -> DataFrame:
     return m.select(*by, *[F.round(c, places).alias(c) for c in ("accuracy", "f1", "precision", "recall")])
 
 
+def evaluate_splits(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """M7: the metric row for every held-out split (and model) in one job."""
+    return nli_metrics(df, by or ["split"])
+
+
 def class_report(df: DataFrame, by: list[str], places: int = 6) -> DataFrame:
     """M4: a row per class name plus 'accuracy', 'macro avg', 'weighted avg'."""
     cs = class_stats(confusion(df, by), by)

@@ -59,6 +59,13 @@ def vector_of(df: DataFrame, id_col: str, id_value, vec_col: str = "vec") -> lis
     return list(row[0])
 
 
+def axis_stats(df: DataFrame, cols: list[str]) -> DataFrame:
+    """A3: one row with min, max, mean and population std of each column."""
+    aggs = [e for c in cols for e in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"),
+                                      F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))]
+    return df.agg(*aggs)
+
+
 def minmax(df: DataFrame, cols: list[str], eps: float = 1e-6) -> DataFrame:
     """V4: ``(x - min + eps) / (max - min + eps)`` per column; range (0, 1]."""
     aggs = [e for c in cols for e in (F.min(c).alias(f"mn_{c}"), F.max(c).alias(f"mx_{c}"))]

@@ -164,3 +164,11 @@ def l2_to_one(spark, sf_dir):
     vecs = fx.vectors(spark, sf_dir)
     q = F.array(*[F.lit(x) for x in ops.vector_of(vecs, "uid", R.sample_seeded(vecs, 1, SEED).first()["uid"])])
     return vecs.select("uid", F.round(V.l2sq(F.col("vec"), q), 6).alias("l2sq"), F.round(V.l2(F.col("vec"), q), 6).alias("l2"))
+
+
+@register("axis_stats", with_ctes(fx.MAP2D_CTE) + """
+select min(x) as min_x, max(x) as max_x, round(avg(x), 6) as mean_x, round(stddev_pop(x), 6) as std_x,
+  min(y) as min_y, max(y) as max_y, round(avg(y), 6) as mean_y, round(stddev_pop(y), 6) as std_y from map2d""")
+def axis_stats(spark, sf_dir):
+    st = ops.axis_stats(fx.map2d(spark, sf_dir), ["x", "y"])
+    return st.select(*[F.round(c, 6).alias(c) if c.startswith(("mean", "std")) else F.col(c) for c in st.columns])
