@@ -137,7 +137,14 @@ def detect_language(df: DataFrame, profile: LanguageProfile, id_col: str = "id",
 
 def with_language(df: DataFrame, profile: LanguageProfile, id_col: str = "id",
                   text_col: str = "text", out_col: str = "lang", where=None) -> DataFrame:
-    """Attach the detected language to rows (only rows meeting ``where`` are scored)."""
-    cand = df if where is None else df.filter(where)
-    det = detect_language(cand.select(id_col, text_col), profile, id_col, text_col, out_col)
-    return df.join(det, id_col, "left")
+    """Attach the detected language to rows (only rows meeting ``where`` are scored).
+
+    Scores are keyed by a digest of (id, text), not the id alone, so raw rows
+    that share an id but differ in text are detected separately (as the
+    per-row source does), while identical rows get the same answer.
+    """
+    key = F.sha2(F.concat_ws("\u0001", F.col(id_col).cast("string"), F.col(text_col)), 256)
+    keyed = df.withColumn("_rk", key)
+    cand = keyed if where is None else keyed.filter(where)
+    det = detect_language(cand.select("_rk", text_col), profile, "_rk", text_col, out_col)
+    return keyed.join(det, "_rk", "left").drop("_rk")

@@ -38,3 +38,13 @@ def test_undetectable_rows_have_no_language(spark):
     prof = L.fit_language_profile(d)
     odd = spark.createDataFrame([(1, "12345 !!! ???"), (2, "")], "doc_id long, text string")
     assert L.detect_language(odd, prof, "doc_id", "text").count() == 0
+
+
+def test_rows_sharing_an_id_are_detected_separately(spark):
+    d = load(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
+    prof = L.fit_language_profile(d)
+    de = d.filter(F.col("lang") == "de").select("text").first()[0]
+    en = d.filter(F.col("lang") == "en").select("text").first()[0]
+    rows = spark.createDataFrame([("x", de), ("x", en), ("x", en)], "id string, text string")
+    got = sorted(r.lang for r in L.with_language(rows, prof, "id", "text").collect())
+    assert got == ["de", "en", "en"]
