@@ -28,7 +28,6 @@ from ..functions import vector as V
 
 # Largest query matrix (rows x dims) shipped to every task by ``knn``.
 MAX_QUERY_CELLS = 50_000_000
-DEFAULT_BLOCK_ROWS = 4096
 
 
 def attach_vectors(rows: DataFrame, vecs: DataFrame, key: str = "uid", check: bool = False) -> DataFrame:
@@ -112,6 +111,21 @@ def project_2d(df: DataFrame, id_col: str = "uid", vec_col: str = "vec") -> Data
 
 # ---------------------------------------------------------------- block helpers
 
+# Bytes of vectors per block: a (block, block) task holds two blocks.
+BLOCK_BYTES = 64 << 20
+# Cells (queries x points x dims) of one difference tensor: ~32 MB of doubles.
+DIFF_CELLS = 4_000_000
+# Cells (queries x points) of one distance matrix inside a task.
+DIST_CELLS = 4_000_000
+
+
+def block_rows_for(dim: int, block_rows: int | None = None) -> int:
+    """Rows per block: explicit, or as many as fit ``BLOCK_BYTES`` of doubles.
+    Bigger blocks mean fewer copies of each row in the shuffle (a row is
+    copied once per block of the other side)."""
+    return block_rows or max(256, BLOCK_BYTES // (8 * max(1, dim)))
+
+
 def _blocks_for(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / max(1, block_rows)))
 
@@ -120,11 +134,6 @@ def _with_block(df: DataFrame, id_col: str, b: int) -> DataFrame:
     return df.withColumn("_b", F.pmod(F.xxhash64(F.col(id_col)), F.lit(b)).cast("int"))
 
 
-# Cells (queries x points x dims) of one difference tensor: ~32 MB of doubles.
-DIFF_CELLS = 4_000_000
-POINT_BATCH = 8192
-
-
 def _sq_dists(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Exact squared distances (differences, not the expanded dot form, which
     loses digits to cancellation), computed in chunks of bounded memory."""
@@ -139,23 +148,61 @@ def _sq_dists(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _topk_rows(qids, pids, dist: np.ndarray, k: int, include_self: bool):
-    """Per query row: the k smallest (dist, id) among the given points."""
-    out_q, out_p, out_d = [], [], []
-    pids = np.asarray(pids)
-    order_ids = np.argsort(pids, kind="stable")
-    for i, qid in enumerate(qids):
-        d = dist[i].copy()
-        if not include_self:
-            d[pids == qid] = np.inf
-        # stable sort by id first, then by distance -> ties broken by id
-        d_by_id = d[order_ids]
-        sel = order_ids[np.argsort(d_by_id, kind="stable")[:k]]
-        sel = sel[np.isfinite(d[sel])]
-        out_q.extend([qid] * len(sel))
-        out_p.extend(pids[sel].tolist())
-        out_d.extend(d[sel].tolist())
-    return out_q, out_p, out_d
+def _id_key(ids: np.ndarray) -> np.ndarray:
+    """Sortable stand-in for an id array (numbers as is, others by rank)."""
+    if ids.dtype.kind in "iuf":
+        return ids
+    _, inv = np.unique(ids, return_inverse=True)
+    return inv.reshape(ids.shape)
+
+
+class _TopK:
+    """Running k smallest (distance, id) per query over chunks of points.
+
+    Memory stays O(query chunk x (k + point chunk)) whatever the block size;
+    ties are broken by id, so the answer is the same for any chunking."""
+
+    def __init__(self, qids, k: int, include_self: bool):
+        self.qids = np.asarray(qids)
+        self.k = k
+        self.include_self = include_self
+        self.bd = np.full((len(self.qids), 0), np.inf)
+        self.bi = None
+
+    def add(self, qm: np.ndarray, pids, pm: np.ndarray) -> None:
+        pids = np.asarray(pids)
+        if len(pids) == 0:
+            return
+        if self.bi is None:
+            self.bi = np.empty((len(self.qids), 0), dtype=pids.dtype)
+        nq = len(self.qids)
+        qc = max(1, min(nq, 1024))
+        pc = max(1, DIST_CELLS // qc)
+        new_d, new_i = [], []
+        for a in range(0, nq, qc):
+            qi, bd, bi = self.qids[a:a + qc], self.bd[a:a + qc], self.bi[a:a + qc]
+            for b in range(0, len(pids), pc):
+                pi = pids[b:b + pc]
+                d = _sq_dists(qm[a:a + qc], pm[b:b + pc])
+                if not self.include_self:
+                    d[qi[:, None] == pi[None, :]] = np.inf
+                cd = np.concatenate([bd, d], axis=1)
+                ci = np.concatenate([bi, np.broadcast_to(pi, d.shape)], axis=1)
+                order = np.lexsort((_id_key(ci), cd), axis=1)[:, :self.k]
+                bd, bi = np.take_along_axis(cd, order, axis=1), np.take_along_axis(ci, order, axis=1)
+            new_d.append(bd)
+            new_i.append(bi)
+        self.bd, self.bi = np.concatenate(new_d), np.concatenate(new_i)
+
+    def frame(self) -> pd.DataFrame:
+        if self.bi is None:
+            return pd.DataFrame({"q_uid": [], "uid": [], "dist": []})
+        r, c = np.nonzero(np.isfinite(self.bd))
+        return pd.DataFrame({"q_uid": self.qids[r], "uid": self.bi[r, c], "dist": self.bd[r, c]})
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.array([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
 def _final_topk(cands: DataFrame, k: int) -> DataFrame:
@@ -169,7 +216,9 @@ def knn(queries: DataFrame, points: DataFrame, k: int, include_self: bool = True
     """V7/V8: exact k nearest points (squared L2) for a bounded query set.
 
     Output ``q_uid, rank (0-based), uid, dist``; ties by ``uid``. With
-    ``include_self=False`` the query's own id is excluded.
+    ``include_self=False`` the query's own id is excluded. Each task streams
+    its partition's Arrow batches through a running top-k and emits at most
+    queries x k rows.
     """
     st = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     if not st["n"]:
@@ -177,25 +226,16 @@ def knn(queries: DataFrame, points: DataFrame, k: int, include_self: bool = True
     if st["n"] * st["d"] > MAX_QUERY_CELLS:  # size checked before anything reaches the driver
         return knn_blocks(queries, points, k, include_self, id_col, vec_col)
     q = queries.select(id_col, vec_col).collect()
-    qm = np.array([r[1] for r in q], dtype=np.float64)
+    qm = _matrix(r[1] for r in q)
     qids = [r[0] for r in q]
     id_type = points.schema[id_col].dataType.simpleString()
 
     def part_topk(batches):
-        ids, vecs = [], []
+        top = _TopK(qids, k, include_self)
         for pdf in batches:
-            ids.extend(pdf[id_col].tolist())
-            vecs.extend(pdf[vec_col].tolist())
-            if len(ids) >= POINT_BATCH:
-                yield _emit(ids, vecs)
-                ids, vecs = [], []
-        if ids:
-            yield _emit(ids, vecs)
-
-    def _emit(ids, vecs):
-        p = np.array([np.asarray(v, dtype=np.float64) for v in vecs])
-        a, b, c = _topk_rows(qids, ids, _sq_dists(qm, p), k, include_self)
-        return pd.DataFrame({"q_uid": a, "uid": b, "dist": c})
+            if not pdf.empty:
+                top.add(qm, pdf[id_col].to_numpy(), _matrix(pdf[vec_col]))
+        yield top.frame()
 
     schema = f"q_uid {id_type}, uid {id_type}, dist double"
     cands = points.select(id_col, vec_col).mapInPandas(part_topk, schema)
@@ -203,11 +243,13 @@ def knn(queries: DataFrame, points: DataFrame, k: int, include_self: bool = True
 
 
 def knn_blocks(queries: DataFrame, points: DataFrame, k: int, include_self: bool = False,
-               id_col: str = "uid", vec_col: str = "vec", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+               id_col: str = "uid", vec_col: str = "vec", block_rows: int | None = None) -> DataFrame:
     """V9 engine: exact k-NN for any number of queries by (query block, point block)
     cogroups; each task keeps its local top-k, a windowed top-k merges them."""
-    nq, np_ = queries.count(), points.count()
-    bq, bp = _blocks_for(nq, block_rows), _blocks_for(np_, block_rows)
+    sq = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    sp = points.agg(F.count(F.lit(1)).alias("n")).first()
+    rows = block_rows_for(sq["d"] or 1, block_rows)
+    bq, bp = _blocks_for(sq["n"], rows), _blocks_for(sp["n"], rows)
     id_type = points.schema[id_col].dataType.simpleString()
     qs = _with_block(queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv")), "qid", bq)
     ps = _with_block(points.select(F.col(id_col).alias("pid"), F.col(vec_col).alias("pv")), "pid", bp)
@@ -218,10 +260,9 @@ def knn_blocks(queries: DataFrame, points: DataFrame, k: int, include_self: bool
     def pair_topk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"q_uid": [], "uid": [], "dist": []})
-        qm = np.array([np.asarray(v, dtype=np.float64) for v in left["qv"]])
-        pm = np.array([np.asarray(v, dtype=np.float64) for v in right["pv"]])
-        a, b, c = _topk_rows(left["qid"].tolist(), right["pid"].tolist(), _sq_dists(qm, pm), k, include_self)
-        return pd.DataFrame({"q_uid": a, "uid": b, "dist": c})
+        top = _TopK(left["qid"].to_numpy(), k, include_self)
+        top.add(_matrix(left["qv"]), right["pid"].to_numpy(), _matrix(right["pv"]))
+        return top.frame()
 
     schema = f"q_uid {id_type}, uid {id_type}, dist double"
     cands = (qs.groupBy("bq", "bp").cogroup(ps.groupBy("bq", "bp")).applyInPandas(pair_topk, schema))
@@ -229,7 +270,7 @@ def knn_blocks(queries: DataFrame, points: DataFrame, k: int, include_self: bool
 
 
 def knn_graph(points: DataFrame, ks=(5, 10, 15, 20), id_col: str = "uid", vec_col: str = "vec",
-              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+              block_rows: int | None = None) -> DataFrame:
     """V9: neighbour graph for the largest k (self excluded); smaller k are a
     filter on ``rank`` (see ``graph_for_k``)."""
     return knn_blocks(points, points, max(ks), False, id_col, vec_col, block_rows)
@@ -240,11 +281,12 @@ def graph_for_k(graph: DataFrame, k: int) -> DataFrame:
 
 
 def cosine_matrix(df: DataFrame, threshold: float | None = None, id_col: str = "uid",
-                  vec_col: str = "vec", block_rows: int = DEFAULT_BLOCK_ROWS, places: int = 6) -> DataFrame:
+                  vec_col: str = "vec", block_rows: int | None = None, places: int = 6) -> DataFrame:
     """V3: pairwise cosine similarity ``i <= j`` (diagonal included), rounded to
-    ``places``; with ``threshold`` only pairs with rounded similarity >= it."""
-    n = df.count()
-    b = _blocks_for(n, block_rows)
+    ``places``; with ``threshold`` only pairs with rounded similarity >= it.
+    Inside a block pair the product is taken in chunks of bounded memory."""
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    b = _blocks_for(st["n"], block_rows_for(st["d"] or 1, block_rows))
     id_type = df.schema[id_col].dataType.simpleString()
     base = _with_block(df.select(F.col(id_col).alias("k"), F.col(vec_col).alias("v")), "k", b)
     # block pair (bi, bj) with bi <= bj: left rows of bi, right rows of bj
@@ -257,24 +299,28 @@ def cosine_matrix(df: DataFrame, threshold: float | None = None, id_col: str = "
     def block_cos(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({"i": [], "j": [], "sim": []})
-        a = np.array([np.asarray(v, dtype=np.float64) for v in lp["lv"]])
-        c = np.array([np.asarray(v, dtype=np.float64) for v in rp["rv"]])
+        a, c = _matrix(lp["lv"]), _matrix(rp["rv"])
         na, nc = np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1)
-        den = np.outer(na, nc)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sim = np.where(den == 0, 0.0, (a @ c.T) / np.where(den == 0, 1.0, den))
-        sim = np.round(sim, places)
         li, ri = lp["lid"].to_numpy(), rp["rid"].to_numpy()
         same_block = lp["bi"].iloc[0] == rp["bj"].iloc[0]
-        mask = np.ones_like(sim, dtype=bool)
-        if same_block:
-            mask &= li[:, None] <= ri[None, :]
-        if thr is not None:
-            mask &= sim >= thr
-        ii, jj = np.nonzero(mask)
-        lo = np.minimum(li[ii], ri[jj])
-        hi = np.maximum(li[ii], ri[jj])
-        return pd.DataFrame({"i": lo, "j": hi, "sim": sim[ii, jj]})
+        step = max(1, DIST_CELLS // max(1, len(ri)))
+        parts = []
+        for s0 in range(0, len(li), step):
+            den = np.outer(na[s0:s0 + step], nc)
+            raw = a[s0:s0 + step] @ c.T
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sim = np.where(den == 0, 0.0, raw / np.where(den == 0, 1.0, den))
+            sim = np.round(sim, places)
+            mask = np.ones_like(sim, dtype=bool)
+            if same_block:
+                mask &= li[s0:s0 + step, None] <= ri[None, :]
+            if thr is not None:
+                mask &= sim >= thr
+            ii, jj = np.nonzero(mask)
+            lo, hi = li[s0:s0 + step][ii], ri[jj]
+            parts.append(pd.DataFrame({"i": np.where(lo <= hi, lo, hi), "j": np.where(lo <= hi, hi, lo),
+                                       "sim": sim[ii, jj]}))
+        return pd.concat(parts, ignore_index=True)
 
     schema = f"i {id_type}, j {id_type}, sim double"
     return left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(block_cos, schema)

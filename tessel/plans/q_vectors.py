@@ -56,7 +56,7 @@ def cosine_to_one(spark, sf_dir):
 select * from (select a.uid as i, b.uid as j, round({cos_sql('a.vec', 'b.vec')}, 6) as sim
   from vectors a join vectors b on a.uid <= b.uid) t where sim >= 0.5""")
 def cosine_matrix(spark, sf_dir):
-    return ops.cosine_matrix(fx.vectors(spark, sf_dir), threshold=0.5, block_rows=128)
+    return ops.cosine_matrix(fx.vectors(spark, sf_dir), threshold=0.5)
 
 
 _KNN_SELF = with_ctes(fx.VECTORS_CTE, f"""q as (select uid as q_uid, vec as qv from vectors order by {_KEY}, uid limit 10)""",
@@ -76,7 +76,7 @@ def knn_self(spark, sf_dir):
                                  """nn as (select q_uid, uid, dist, cast(row_number() over (partition by q_uid order by dist, uid) - 1 as integer) as rank from d)""")
           + "select q_uid, rank, uid, round(dist, 6) as dist from nn where rank < 20")
 def knn_graph(spark, sf_dir):
-    g = ops.knn_graph(fx.vectors(spark, sf_dir), ks=(5, 10, 15, 20), block_rows=128)
+    g = ops.knn_graph(fx.vectors(spark, sf_dir), ks=(5, 10, 15, 20))
     return g.withColumn("dist", F.round("dist", 6))
 
 

@@ -123,3 +123,28 @@ def test_knn_switches_to_blocks_above_query_limit(spark, monkeypatch):
     monkeypatch.setattr(ops, "MAX_QUERY_CELLS", 10)
     big = {(r.q_uid, r.rank): r.uid for r in ops.knn(df, df, 3, include_self=False).collect()}
     assert small == big and len(small) == 40 * 3
+
+
+def test_topk_chunking_is_invisible(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    pts = [(i, rng.integers(0, 3, size=2).astype(float).tolist()) for i in range(120)]  # many exact ties
+    df = vec_df(spark, pts)
+    base = {(r.q_uid, r.rank): (r.uid, r.dist) for r in ops.knn_graph(df, ks=(7,)).collect()}
+    monkeypatch.setattr(ops, "DIST_CELLS", 50)
+    monkeypatch.setattr(ops, "DIFF_CELLS", 30)
+    small = {(r.q_uid, r.rank): (r.uid, r.dist) for r in ops.knn_graph(df, ks=(7,), block_rows=16).collect()}
+    assert base == small
+    for p in pts[:10]:
+        assert [base[(p[0], r)][0] for r in range(7)] == brute_knn(pts, p, 7, False)
+
+
+def test_knn_string_ids(spark):
+    rng = np.random.default_rng(4)
+    pts = [(f"id{i:03d}", rng.normal(size=3).tolist()) for i in range(30)]
+    df = spark.createDataFrame(pts, "uid string, vec array<double>")
+    got = ops.knn_graph(df, ks=(3,), block_rows=8).collect()
+    by_q = {}
+    for r in sorted(got, key=lambda r: (r.q_uid, r.rank)):
+        by_q.setdefault(r.q_uid, []).append(r.uid)
+    for p in pts:
+        assert by_q[p[0]] == brute_knn(pts, p, 3, False)
