@@ -46,3 +46,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["uid", "text", "img_dir", "img_fname"]
     assert df.count() > 0
+
+
+def test_knn_merge_uses_group_limit(spark):
+    p = plan(E.queries()["knn_self"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_all_pairs_plans_have_no_cross_join(spark):
+    for name in ("knn_graph", "cosine_matrix", "odd_one_out"):
+        p = plan(E.queries()[name](spark, SF_SMALL))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name

@@ -30,3 +30,19 @@ def test_prepare_posts_job(spark):
     n_rej = sum(r.n for r in spark.read.json(paths["rejects"]).collect())
     assert n_clean + n_rej == posts.count()
     assert spark.read.text(paths["corpus"]).count() == n_clean
+
+
+def test_vector_analysis_job(spark):
+    from pyspark.sql import functions as F
+    clean = ops.clean_posts(fx.posts(spark, SF_SMALL))
+    vecs = fx.vectors(spark, SF_SMALL).select(F.concat(F.lit("p"), F.col("uid").cast("string")).alias("uid"), "vec")
+    report = jobs.vector_analysis(spark, clean, vecs, n_queries=5, k=3)
+    rows = report.collect()
+    assert len(rows) == 5 and all(r.report.count("\n") <= 2 for r in rows)
+
+
+def test_map_2d_job(spark):
+    norm, grid = jobs.map_2d(spark, fx.vectors(spark, SF_SMALL), bins=4)
+    xs = norm.collect()
+    assert all(0 < r.x <= 1 and 0 < r.y <= 1 for r in xs)
+    assert sum(r.n for r in grid.collect()) == len(xs)

@@ -148,3 +148,11 @@ def test_knn_string_ids(spark):
         by_q.setdefault(r.q_uid, []).append(r.uid)
     for p in pts:
         assert by_q[p[0]] == brute_knn(pts, p, 3, False)
+
+
+def test_knn_graph_distances_symmetric(spark):
+    rng = np.random.default_rng(13)
+    df = vec_df(spark, [(i, rng.normal(size=4).tolist()) for i in range(50)])
+    g = {(r.q_uid, r.uid): r.dist for r in ops.knn_graph(df, ks=(10,), block_rows=12).collect()}
+    both = [(a, b) for (a, b) in g if (b, a) in g]
+    assert both and all(g[(a, b)] == g[(b, a)] for a, b in both)
