@@ -59,3 +59,23 @@ def map_2d(spark: SparkSession, vectors: DataFrame, bins: int = 10) -> tuple[Dat
     proj = vec_ops.project_2d(vectors)
     norm = vec_ops.minmax(vec_ops.trim_outliers(proj, ["x", "y"]), ["x", "y"])
     return norm, vec_ops.density_grid(norm, bins=bins)
+
+
+def evaluate_models(spark: SparkSession, predictions: DataFrame, examples: DataFrame, out_dir: str,
+                    key: str = "pair_id") -> dict[str, str]:
+    """Entry 4 (evaluation side): for every model and held-out split in one job,
+    metrics (JSON per split), the class report, prediction tables with the
+    contradiction score (CSV per split) and the model leaderboard."""
+    from ..operators import evaluate as ev
+    paths = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("metrics", "report", "predictions", "leaderboard")}
+    scored = ev.with_pred(predictions)
+    metrics = ev.nli_metrics(scored, ["model", "split"]).join(
+        ev.cross_entropy(scored, ["model", "split"]), ["model", "split"])
+    writers.write_metrics(metrics, paths["metrics"])
+    ev.class_report(scored, ["model", "split"]).write.mode("overwrite").parquet(paths["report"])
+    table = ev.prediction_table(scored, examples, key)
+    for_model = table.select("model", "split", "premise", "hypothesis", "pred", "label")
+    (for_model.orderBy("model", "split", F.desc("pred")).write.mode("overwrite")
+     .partitionBy("model", "split").option("header", True).option("escape", '"').csv(paths["predictions"]))
+    ev.leaderboard(metrics).write.mode("overwrite").parquet(paths["leaderboard"])
+    return paths

@@ -46,3 +46,18 @@ def test_map_2d_job(spark):
     xs = norm.collect()
     assert all(0 < r.x <= 1 and 0 < r.y <= 1 for r in xs)
     assert sum(r.n for r in grid.collect()) == len(xs)
+
+
+def test_evaluate_models_job(spark):
+    from pyspark.sql import functions as F
+    from tessel.session import load
+    d = tempfile.mkdtemp(prefix="tessel-eval-", dir="/tmp")
+    preds = fx.predictions(spark, SF_SMALL)
+    examples = load(spark, SF_SMALL, "documents").select(
+        F.col("doc_id").alias("pair_id"), F.col("text").alias("premise"), F.col("source").alias("hypothesis"))
+    paths = jobs.evaluate_models(spark, preds, examples, d)
+    lb = spark.read.parquet(paths["leaderboard"]).collect()
+    assert {(r.model, r.split) for r in lb} == {(m, s) for m in ("m1", "m2") for s in ("test_lay", "test_expert")}
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", "\"").csv(paths["predictions"])
+    assert back.count() == preds.count()
+    assert spark.read.json(paths["metrics"]).count() == 4
