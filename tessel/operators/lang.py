@@ -147,4 +147,5 @@ def with_language(df: DataFrame, profile: LanguageProfile, id_col: str = "id",
     keyed = df.withColumn("_rk", key)
     cand = keyed if where is None else keyed.filter(where)
     det = detect_language(cand.select("_rk", text_col), profile, "_rk", text_col, out_col)
-    return keyed.join(det, "_rk", "left").drop("_rk")
+    # hash the small side (one short row per document) instead of sorting the text side
+    return keyed.join(det.hint("shuffle_hash"), "_rk", "left").drop("_rk")

@@ -65,7 +65,7 @@ select d.doc_id, d.lang, b.detected from documents d left join best b on d.doc_i
 def detect_language(spark, sf_dir):
     d = _documents(spark, sf_dir)
     det = L.detect_language(d, _profile(spark, sf_dir), "doc_id", "text")
-    return d.select("doc_id", "lang").join(det, "doc_id", "left")
+    return d.select("doc_id", "lang").join(det.hint("shuffle_hash"), "doc_id", "left")
 
 
 @register("language_accuracy", _DETECT + """
