@@ -150,7 +150,7 @@ def early_stop(log: DataFrame, patience: int = 3, run: str = "run_id", step: str
     wk = Window.partitionBy("r").orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("r", "ch", F.coalesce(F.sum("cnt").over(wk), F.lit(0)).alias("off"),
                            F.min("cmin").over(wk).alias("before"))
-    rows = c.join(chunks, ["r", "ch"]).select(
+    rows = c.join(chunks.hint("shuffle_hash"), ["r", "ch"]).select(
         "r", "s", "l", (F.col("off") + F.col("k")).alias("i"),
         F.least(F.coalesce(F.col("before"), F.col("cmin_run")), F.col("cmin_run")).alias("pmin"))
     sent = rows.select("r", "s", "l", "pmin", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("t"),
