@@ -25,7 +25,7 @@ def test_break_and_url_removal(spark):
 
 
 def test_strip_unicode_whitespace(spark):
-    for s in [" abc ", "\x1cabc\x1c", "\rabc\r", " 　abc  ", "a b"]:
+    for s in [" abc ", "\x1cabc\x1c", "\rabc\r", "\u00a0abc\u00a0", "\u3000abc\u2028", "\x0babc\x0c", "a b"]:
         assert one(spark, T.strip_ws, s) == s.strip()
 
 
