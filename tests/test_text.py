@@ -31,7 +31,7 @@ def test_strip_unicode_whitespace(spark):
 
 def test_url_stops_at_python_whitespace(spark):
     py = re.compile(r"http[s]?://\S+")
-    for s in ["https://q\x1cz", "https://q z", "go https://a.b/c?d=1 now", "http://x\x0by"]:
+    for s in ["https://q\x1cz", "https://q\u00a0z", "https://q z", "go https://a.b/c?d=1 now", "http://x\x0by"]:
         assert one(spark, T.strip_urls, s) == py.sub("", s)
 
 
