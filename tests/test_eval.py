@@ -63,3 +63,21 @@ def test_prediction_table_checks_count(spark):
     ex = spark.createDataFrame([(1, "p1", "h1"), (2, "p2", "h2")], "pair_id long, premise string, hypothesis string")
     t = ev.prediction_table(preds, ex, check=True).collect()
     assert [r.pair_id for r in t] == [1, 2] and t[0].pred == 0.7
+
+
+def test_pair_classifier_learns_separable_classes(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        lab = i % 3
+        u = rng.normal(size=4) + 3 * np.eye(4)[lab]
+        v = rng.normal(size=4)
+        rows.append(("train" if i < 200 else "validation", i, lab, u.tolist(), v.tolist()))
+    df = spark.createDataFrame(rows, "split string, pair_id long, label int, u array<double>, v array<double>")
+    feats = ev.pair_features(df, "u", "v")
+    model = ev.fit_pair_classifier(feats.filter(F.col("split") == "train"), feats.filter(F.col("split") == "validation"))
+    out = ev.with_pred(ev.predict_pairs(model, feats.filter(F.col("split") == "validation")))
+    acc = out.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
+    assert acc > 0.85
+    assert all(abs(sum(r.probs) - 1) < 1e-9 for r in out.select("probs").collect())

@@ -106,3 +106,14 @@ def test_cap_rows(spark):
     df = ids(spark, 50).repartition(4)
     assert [r.uid for r in R.cap_rows(df, 5, ["uid"]).collect()] == [0, 1, 2, 3, 4]
     assert R.cap_rows(df, None, ["uid"]).count() == 50
+
+
+def test_embed_batch_equals_direct_encoder(spark):
+    import numpy as np
+    texts = [f"word{i % 7} and more words {i}" for i in range(40)] + [""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {r.k: r.vec for r in enc.embed(df.repartition(3), "text", batch_size=8).collect()}
+    predict = enc.numpy_text_encoder()()
+    want = predict(np.array(texts, dtype=object))
+    for k, t in enumerate(texts):
+        assert np.allclose(got[k], want[k], atol=1e-7)

@@ -156,3 +156,19 @@ def test_knn_graph_distances_symmetric(spark):
     g = {(r.q_uid, r.uid): r.dist for r in ops.knn_graph(df, ks=(10,), block_rows=12).collect()}
     both = [(a, b) for (a, b) in g if (b, a) in g]
     assert both and all(g[(a, b)] == g[(b, a)] for a, b in both)
+
+
+def test_project_2d_equals_numpy_pca(spark):
+    rng = np.random.default_rng(17)
+    X = rng.normal(size=(60, 5)) * np.array([5.0, 3.0, 1.0, 0.5, 0.1])
+    df = vec_df(spark, [(i, X[i].tolist()) for i in range(60)])
+    got = {r.uid: (r.x, r.y) for r in ops.project_2d(df).collect()}
+    cov = np.cov(X, rowvar=False)
+    w, v = np.linalg.eigh(cov)
+    pc = v[:, np.argsort(w)[::-1][:2]]
+    for j in range(2):
+        if pc[np.argmax(np.abs(pc[:, j])), j] < 0:
+            pc[:, j] = -pc[:, j]
+    want = X @ pc  # Spark ML's PCA model projects without centring
+    for i in range(60):
+        assert abs(got[i][0] - want[i, 0]) < 1e-6 and abs(got[i][1] - want[i, 1]) < 1e-6
