@@ -1,4 +1,5 @@
-"""Language-identification queries (L1-L5), train on even doc ids, score all."""
+"""Language-identification queries (L1-L5): profiles learnt from the labelled
+documents, every document / post scored; accuracy on held-out odd ids."""
 
 from __future__ import annotations
 
@@ -45,9 +46,11 @@ def _documents(spark, sf_dir):
     return spread(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-def _profile(spark, sf_dir):
+def _profile(spark, sf_dir, held_out: bool = False):
+    """Profile from the labelled documents: all of them, or only the even ids
+    when the odd ids are kept back to measure accuracy (``language_accuracy``)."""
     d = _documents(spark, sf_dir)
-    return L.fit_language_profile(d.filter(F.col("doc_id") % 2 == 0))
+    return L.fit_language_profile(d.filter(F.col("doc_id") % 2 == 0) if held_out else d)
 
 
 @register("char_ngrams", with_ctes(grams_cte("documents", "doc_id", "text", ", lang")) + """
@@ -56,8 +59,10 @@ def char_ngrams(spark, sf_dir):
     return L.gram_counts(_documents(spark, sf_dir), "text", ["lang"])
 
 
-_DETECT = with_ctes(grams_cte("documents", "doc_id", "text", ", lang"), profile_ctes("doc_id % 2 = 0"),
+_DETECT = with_ctes(grams_cte("documents", "doc_id", "text", ", lang"), profile_ctes("true"),
                     detect_ctes("grams", "doc_id"))
+_DETECT_HELD_OUT = with_ctes(grams_cte("documents", "doc_id", "text", ", lang"), profile_ctes("doc_id % 2 = 0"),
+                             detect_ctes("grams", "doc_id"))
 
 
 @register("detect_language", _DETECT + """
@@ -68,30 +73,32 @@ def detect_language(spark, sf_dir):
     return d.select("doc_id", "lang").join(det.hint("shuffle_hash"), "doc_id", "left")
 
 
-@register("language_accuracy", _DETECT + """
-select d.lang, count(*) as n, count(*) filter (where b.detected = d.lang) as correct,
-  count(*) filter (where b.detected is null) as undetected
-from documents d left join best b on d.doc_id = b.doc_id where d.doc_id % 2 = 1 group by d.lang""")
+@register("language_accuracy", _DETECT_HELD_OUT + """
+select d.lang, case when d.doc_id % 2 = 0 then 'train' else 'held_out' end as part, count(*) as n,
+  count(*) filter (where b.detected = d.lang) as correct, count(*) filter (where b.detected is null) as undetected
+from documents d left join best b on d.doc_id = b.doc_id group by all""")
 def language_accuracy(spark, sf_dir):
+    """Every document scored by a profile learnt from the even ids; accuracy
+    reported for the training part and the held-out (odd) part."""
     d = _documents(spark, sf_dir)
-    held = d.filter(F.col("doc_id") % 2 == 1)
-    det = L.detect_language(held, _profile(spark, sf_dir), "doc_id", "text")
-    j = held.select("doc_id", "lang").join(det, "doc_id", "left")
-    return j.groupBy("lang").agg(
+    det = L.detect_language(d, _profile(spark, sf_dir, held_out=True), "doc_id", "text")
+    j = d.select("doc_id", "lang").join(det.hint("shuffle_hash"), "doc_id", "left")
+    part = F.when(F.col("doc_id") % 2 == 0, F.lit("train")).otherwise(F.lit("held_out"))
+    return j.groupBy("lang", part.alias("part")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("detected") == F.col("lang"), 1)).alias("correct"),
         F.count(F.when(F.col("detected").isNull(), 1)).alias("undetected"))
 
 
 # Entry 1 with a detected language: posts that pass the length test are scored
-# by the profile learnt from the even documents, then kept if German.
+# by the profile learnt from the labelled documents, then kept if German.
 _POSTS_DETECT = with_ctes(
     fx.POSTS_CTE, S.tagged_cte().replace("tagged as", "pre as"),
     grams_cte("(select id, text from pre where reason is null)", "id", "text"),
     grams_cte("documents", "doc_id", "text", ", lang").replace("words as", "dwords as")
     .replace("word_pos as", "dword_pos as").replace("grams as", "dgrams as")
     .replace("from words", "from dwords").replace("from word_pos", "from dword_pos"),
-    profile_ctes("doc_id % 2 = 0").replace("from grams", "from dgrams"),
+    profile_ctes("true").replace("from grams", "from dgrams"),
     detect_ctes("grams", "id"),
     """tagged as (
   select pre.* exclude (reason, lang), b.detected as lang,
