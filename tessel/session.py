@@ -26,6 +26,11 @@ def get_spark(master: str | None = None, app: str = "tessel",
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # post-shuffle partitions of ~128 MB; AQE coalesces small ones and splits skewed joins
+         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(128 << 20))
+         # checkpoint files are deleted once their DataFrame is garbage-collected,
+         # so the shared checkpoint folder does not grow job after job
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
