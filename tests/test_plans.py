@@ -58,3 +58,18 @@ def test_all_pairs_plans_have_no_cross_join(spark):
     for name in ("knn_graph", "cosine_matrix", "odd_one_out"):
         p = plan(E.queries()[name](spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_bucketed_documents_need_no_exchange_for_detection(spark):
+    import tempfile
+    from tessel.operators import lang as L
+    d = load(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
+    path = tempfile.mkdtemp(prefix="tessel-bucket-", dir="/tmp")
+    (d.write.mode("overwrite").bucketBy(4, "doc_id").sortBy("doc_id")
+     .option("path", path + "/docs").saveAsTable("tessel_docs_bucketed"))
+    b = spark.table("tessel_docs_bucketed")
+    prof = L.fit_language_profile(d)
+    p = plan(L.detect_language(b, prof, "doc_id", "text"))
+    assert "hashpartitioning(doc_id" not in p
+    assert L.detect_language(b, prof, "doc_id", "text").count() == d.count()
+    spark.sql("drop table tessel_docs_bucketed")
