@@ -149,3 +149,19 @@ def with_language(df: DataFrame, profile: LanguageProfile, id_col: str = "id",
     det = detect_language(cand.select("_rk", text_col), profile, "_rk", text_col, out_col)
     # hash the small side (one short row per document) instead of sorting the text side
     return keyed.join(det.hint("shuffle_hash"), "_rk", "left").drop("_rk")
+
+
+def save_profile(profile: LanguageProfile, path: str, mode: str = "overwrite") -> None:
+    """Write a profile: the gram table as Parquet plus its (small) language
+    metadata as one JSON row, so it can be trained once and reused."""
+    spark = profile.grams.sparkSession
+    profile.grams.write.mode(mode).parquet(f"{path}/grams")
+    meta = spark.createDataFrame([(profile.langs, profile.lden, profile.rows)],
+                                 "langs array<string>, lden array<double>, rows long")
+    meta.coalesce(1).write.mode(mode).json(f"{path}/meta")
+
+
+def load_profile(spark, path: str) -> LanguageProfile:
+    meta = spark.read.schema("langs array<string>, lden array<double>, rows long").json(f"{path}/meta").first()
+    return LanguageProfile(spark.read.parquet(f"{path}/grams"), list(meta["langs"]), list(meta["lden"]),
+                           meta["rows"])

@@ -48,3 +48,16 @@ def test_rows_sharing_an_id_are_detected_separately(spark):
     rows = spark.createDataFrame([("x", de), ("x", en), ("x", en)], "id string, text string")
     got = sorted(r.lang for r in L.with_language(rows, prof, "id", "text").collect())
     assert got == ["de", "en", "en"]
+
+
+def test_profile_round_trip(spark):
+    import tempfile
+    d = load(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
+    prof = L.fit_language_profile(d)
+    path = tempfile.mkdtemp(prefix="tessel-prof-", dir="/tmp") + "/p"
+    L.save_profile(prof, path)
+    back = L.load_profile(spark, path)
+    assert back.langs == prof.langs and back.lden == prof.lden and back.rows == prof.rows
+    a = {r.doc_id: r.detected for r in L.detect_language(d, prof, "doc_id", "text").collect()}
+    b = {r.doc_id: r.detected for r in L.detect_language(d, back, "doc_id", "text").collect()}
+    assert a == b
