@@ -21,7 +21,7 @@ from . import sampling
 # Reserved ids of the vocabulary.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 RESERVED = [("[PAD]", PAD), ("[UNK]", UNK), ("[CLS]", CLS), ("[SEP]", SEP)]
-MAX_BROADCAST_VOCAB = 5_000_000
+MAX_BROADCAST_VOCAB = 2_000_000  # rows of (token, id) that may be broadcast
 
 
 def fit_vocab(df: DataFrame, text_col: str = "text", max_size: int = 30_000) -> DataFrame:
@@ -36,8 +36,12 @@ def fit_vocab(df: DataFrame, text_col: str = "text", max_size: int = 30_000) ->
 
 
 def _lookup(exploded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Token -> id (UNK when absent). The vocabulary is broadcast when its
+    counted size allows; a larger one is joined by shuffle instead."""
     v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
-    return (exploded.join(F.broadcast(v), exploded["tok"] == v["_tok"], "left")
+    if v.count() <= MAX_BROADCAST_VOCAB:
+        v = F.broadcast(v)
+    return (exploded.join(v, exploded["tok"] == v["_tok"], "left")
             .withColumn("tid", F.coalesce(F.col("_id"), F.lit(UNK))).drop("_tok", "_id"))
 
 

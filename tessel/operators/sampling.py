@@ -90,6 +90,10 @@ def odd_one_out(points: DataFrame, n: int = 30, seed: int = 123, id_col: str = "
     keys, so no (centroid, point) pair row is ever emitted; the exact answer is
     among those candidates (an outsider excludes at most 3 points).
     """
+    from .vectors import MAX_QUERY_CELLS
+    width = points.agg(F.max(F.size(vec_col))).first()[0] or 1
+    if n * width > MAX_QUERY_CELLS:
+        raise ValueError(f"odd_one_out: {n} centroids of width {width} exceed {MAX_QUERY_CELLS} cells")
     cents = sample_seeded(points.select(id_col, vec_col), n, seed, id_col)
     cents = cents.withColumn("_h", hash_int(seed, "odd", F.col(id_col))).collect()
     cids = [r[id_col] for r in cents]

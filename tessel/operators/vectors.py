@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 
-# Largest query matrix (rows x dims) shipped to every task by ``knn``.
-MAX_QUERY_CELLS = 50_000_000
+# Largest query matrix (rows x dims) shipped with the task closure by ``knn``
+# (~32 MB of doubles); beyond it the exact block plan is used instead.
+MAX_QUERY_CELLS = 4_000_000
 
 
 def attach_vectors(rows: DataFrame, vecs: DataFrame, key: str = "uid", check: bool = False) -> DataFrame:
