@@ -180,6 +180,23 @@ def pair_features(df: DataFrame, u: str, v: str, out: str = "features") -> DataF
     return df.withColumn(out, array_to_vector(feats))
 
 
+TRAIN_PARTITION_BYTES = 16 << 20
+
+
+def _training_partitions(df: DataFrame, features: str) -> int:
+    """Partitions for an iterative fit: about 16 MB of features each, at least
+    2, at most the cluster's parallelism. Every iteration is a job over all of
+    them, so tiny partitions only add scheduling (and a second aggregation
+    stage), while large data still uses every core."""
+    import math
+
+    from pyspark.ml.functions import vector_to_array
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_to_array(F.col(features)))).alias("d")).first()
+    est = (st["n"] or 0) * (st["d"] or 1) * 8
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(2, min(cores, math.ceil(est / TRAIN_PARTITION_BYTES)))
+
+
 def fit_pair_classifier(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.01, 0.1),
                         features: str = "features", label: str = "label", max_iter: int = 50):
     """Multinomial logistic regression; ``regParam`` chosen by validation
@@ -191,8 +208,7 @@ def fit_pair_classifier(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.0
 
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
-    from ..session import spread
-    train = spread(train).cache()  # spread: a small frame coalesced to one partition fits single-threaded
+    train = train.repartition(_training_partitions(train, features)).cache()
     valid = valid.cache()
 
     def fit_one(rp):
