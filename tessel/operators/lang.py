@@ -76,7 +76,8 @@ class LanguageProfile:
     rows: int          # row count of ``grams`` (checked before any broadcast)
 
 
-def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageProfile:
+def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                         min_count: int = 1) -> LanguageProfile:
     """L2: learn the profile from labelled rows (whole texts).
 
     The language list is read first (a scan of one column, bounded by
@@ -84,6 +85,10 @@ def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str
     conditional count per language in a single aggregation (partial counts
     map-side), checkpointed once. Stored wide: one row per vocabulary gram with
     one weight column per language, so scoring joins each occurrence once.
+
+    ``min_count`` > 1 keeps only grams seen at least that often in all (a
+    model choice, as published detector profiles drop rare grams) to keep a
+    many-language profile within the broadcast bound; the default keeps all.
     """
     labelled = train.filter(F.col(lang_col).isNotNull())
     found = labelled.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect()
@@ -93,6 +98,9 @@ def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str
     occ = labelled.select(F.col(lang_col).alias("lang"), F.explode(gram_array(F.col(text_col))).alias("gram"))
     counts = occ.groupBy("gram").agg(
         *[F.count(F.when(F.col("lang") == F.lit(l), 1)).alias(f"c{i}") for i, l in enumerate(langs)])
+    if min_count > 1:
+        total = sum((F.col(f"c{i}") for i in range(len(langs))), F.lit(0))
+        counts = counts.filter(total >= min_count)
     counts = checkpoint(counts)
     st = counts.agg(F.count(F.lit(1)).alias("v"),
                     *[F.sum(f"c{i}").alias(f"n{i}") for i in range(len(langs))]).first()

@@ -61,3 +61,12 @@ def test_profile_round_trip(spark):
     a = {r.doc_id: r.detected for r in L.detect_language(d, prof, "doc_id", "text").collect()}
     b = {r.doc_id: r.detected for r in L.detect_language(d, back, "doc_id", "text").collect()}
     assert a == b
+
+
+def test_min_count_prunes_rare_grams(spark):
+    d = load(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
+    full = L.fit_language_profile(d)
+    pruned = L.fit_language_profile(d, min_count=5)
+    assert pruned.rows < full.rows and pruned.langs == full.langs
+    n = pruned.grams.filter(sum((F.col(f"w{i}") for i in range(len(pruned.langs))), F.lit(0.0)) <= 0).count()
+    assert n == 0
