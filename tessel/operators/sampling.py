@@ -153,3 +153,51 @@ def cap_rows(df: DataFrame, n: int | None, order_by: list[str]) -> DataFrame:
     if n is None:
         return df
     return df.orderBy(*order_by).limit(n)
+
+
+def random_outsiders(points: DataFrame, groups: DataFrame, excluded: DataFrame, seed: int = 123,
+                     id_col: str = "uid", group_col: str = "g") -> DataFrame:
+    """R2: for every group, one pseudo-random point outside that group's
+    excluded set: the point p with the smallest ``(h(p) + h(g)) mod 2^32``
+    (ties by id), ``h`` = first 32 bits of ``md5(seed ':odd:' id)`` — the same
+    rule as the odd-one-out outsider.
+
+    ``groups`` (one row per group) is bounded and shipped to every task; each
+    task keeps, per group, the E+1 smallest keys (E = largest excluded set),
+    which provably contains the answer, so no (group, point) pair row exists.
+    Output ``group_col, id_col``.
+    """
+    g_rows = groups.select(group_col, hash_int(seed, "odd", F.col(group_col)).alias("_h")).limit(MAX_SAMPLE + 1).collect()
+    if len(g_rows) > MAX_SAMPLE:
+        raise ValueError("random_outsiders: too many groups to ship")
+    e_max = excluded.groupBy(group_col).count().agg(F.max("count")).first()[0] or 0
+    keep = e_max + 1
+    gids = [r[group_col] for r in g_rows]
+    gh = np.array([r["_h"] for r in g_rows], dtype=np.int64)
+    id_type = points.schema[id_col].dataType.simpleString()
+    g_type = groups.schema[group_col].dataType.simpleString()
+    mod = np.int64(1 << 32)
+
+    def smallest(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = pdf[id_col].to_numpy()
+            hp = pdf["_h"].to_numpy(dtype=np.int64)
+            by_id = np.argsort(ids, kind="stable")
+            out_g, out_u, out_k = [], [], []
+            for i, g in enumerate(gids):
+                key = ((hp + gh[i]) % mod)[by_id]
+                sel = by_id[np.argsort(key, kind="stable")[:keep]]
+                out_g += [g] * len(sel)
+                out_u += ids[sel].tolist()
+                out_k += ((hp[sel] + gh[i]) % mod).tolist()
+            yield pd.DataFrame({group_col: out_g, "_u": out_u, "_k": out_k})
+
+    src = points.select(id_col, hash_int(seed, "odd", F.col(id_col)).alias("_h"))
+    cand = src.mapInPandas(smallest, f"{group_col} {g_type}, _u {id_type}, _k long")
+    excl = excluded.select(F.col(group_col), F.col(id_col).alias("_u"))
+    w = Window.partitionBy(group_col).orderBy("_k", "_u")  # at most keep x partitions rows per group
+    return (cand.join(excl, [group_col, "_u"], "left_anti")
+            .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+            .select(group_col, F.col("_u").alias(id_col)))

@@ -52,3 +52,19 @@ def odd_one_out(spark, sf_dir):
     sets = R.odd_one_out(m, 30, SEED)
     texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text")
     return sets.join(texts, "uid", "left").select("index", "pos", "uid", "label", "text")
+
+
+@register("random_outsiders", with_ctes(
+    fx.VECTORS_CTE,
+    f"""grp as (select uid as g, cast('0x' || substr(md5('{SEED}:odd:' || cast(uid as varchar)), 1, 8) as bigint) as hg
+     from vectors order by {_KEY}, uid limit 30)""",
+    f"""pts as (select uid, cast('0x' || substr(md5('{SEED}:odd:' || cast(uid as varchar)), 1, 8) as bigint) as hp
+     from vectors)""") + """
+select g, uid from (
+  select g, uid, row_number() over (partition by g order by (hp + hg) % 4294967296, uid) as r
+  from grp, pts where uid <> g) t where r = 1""")
+def random_outsiders(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir).select("uid")
+    groups = R.sample_seeded(v, 30, SEED).select(F.col("uid").alias("g"))
+    excluded = groups.select("g", F.col("g").alias("uid"))
+    return R.random_outsiders(v, groups, excluded, SEED)

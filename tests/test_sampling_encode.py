@@ -117,3 +117,21 @@ def test_embed_batch_equals_direct_encoder(spark):
     want = predict(np.array(texts, dtype=object))
     for k, t in enumerate(texts):
         assert np.allclose(got[k], want[k], atol=1e-7)
+
+
+def test_random_outsiders_equals_brute_force(spark):
+    import hashlib
+    pts = ids(spark, 200).repartition(5)
+    groups = spark.createDataFrame([(g,) for g in (3, 50, 77)], "g long")
+    excluded = spark.createDataFrame([(3, 3), (3, 10), (50, 50), (77, 77), (77, 1), (77, 2), (77, 5)], "g long, uid long")
+
+    def h(x):
+        return int(hashlib.md5(f"123:odd:{x}".encode()).hexdigest()[:8], 16)
+
+    ex = {}
+    for g, u in excluded.collect():
+        ex.setdefault(g, set()).add(u)
+    want = {g: min((u for u in range(200) if u not in ex[g]), key=lambda u: ((h(u) + h(g)) % (1 << 32), u))
+            for g in (3, 50, 77)}
+    got = {r.g: r.uid for r in R.random_outsiders(pts, groups, excluded, 123).collect()}
+    assert got == want
