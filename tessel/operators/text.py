@@ -36,6 +36,16 @@ def choose_text(posts: DataFrame, min_tokens: int = 5) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
+def min_tokens(df: DataFrame, n: int = 5, text_col: str = "text") -> DataFrame:
+    """Rows whose text has more than ``n`` single-space pieces."""
+    return df.filter(T.token_count(text_col) > n)
+
+
+def keep_language(df: DataFrame, lang: str, lang_col: str = "lang") -> DataFrame:
+    """Rows of one language."""
+    return df.filter(F.col(lang_col) == F.lit(lang))
+
+
 def tag_language(df: DataFrame, keep_language: str | None = None, lang_col: str = "lang") -> DataFrame:
     """P11 + L5: rows still unrejected get 'undetected' (no language) or
     'other_language' (a language other than ``keep_language``)."""

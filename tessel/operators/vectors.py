@@ -59,6 +59,11 @@ def vector_of(df: DataFrame, id_col: str, id_value, vec_col: str = "vec") -> lis
     return list(row[0])
 
 
+def filter_dim(df: DataFrame, d: int, vec_col: str = "vec") -> DataFrame:
+    """Vectors of width ``d`` only."""
+    return df.filter(F.size(vec_col) == d)
+
+
 def axis_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """A3: one row with min, max, mean and population std of each column."""
     aggs = [e for c in cols for e in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"),

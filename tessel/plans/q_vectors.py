@@ -141,7 +141,7 @@ def parse_vector_text(spark, sf_dir):
     m = fx.map2d(spark, sf_dir)
     printed = m.select("uid", V.format_vector(F.array("x", "y")).alias("s"))
     parsed = printed.select("uid", V.parse_vector("s").alias("vec"))
-    return parsed.filter(F.size("vec") == 2)
+    return ops.filter_dim(parsed, 2)
 
 
 @register("joint_vectors", with_ctes(fx.POSTS_CTE, fx.VECTORS_CTE) + """

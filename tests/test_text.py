@@ -88,3 +88,9 @@ def test_drop_incomplete_treats_empty_as_missing(spark):
 def test_hashtags_only_when_asked(spark):
     assert one(spark, T.clean_text, "a #tag b") == "a #tag b"
     assert one(spark, lambda c: T.clean_text(c, hashtags=True), "a #tag b #x") == "a  b"
+
+
+def test_min_tokens_and_keep_language(spark):
+    df = spark.createDataFrame([("a b c d e f", "de"), ("a b", "de"), ("a b c d e f g", "en")], "text string, lang string")
+    assert ops.min_tokens(df, 5).count() == 2
+    assert [r.text for r in ops.keep_language(ops.min_tokens(df, 5), "de").collect()] == ["a b c d e f"]

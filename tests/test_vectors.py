@@ -172,3 +172,8 @@ def test_project_2d_equals_numpy_pca(spark):
     want = X @ pc  # Spark ML's PCA model projects without centring
     for i in range(60):
         assert abs(got[i][0] - want[i, 0]) < 1e-6 and abs(got[i][1] - want[i, 1]) < 1e-6
+
+
+def test_filter_dim(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "uid long, vec array<double>")
+    assert [r.uid for r in ops.filter_dim(df, 2).collect()] == [1]
