@@ -30,13 +30,40 @@ def hash_int(seed, *parts) -> F.Column:
     return F.conv(F.substring(hash_key(seed, *parts), 1, 8), 16, 10).cast("long")
 
 
+PREFILTER_ROWS = 1_000_000  # n x partitions above which the top-n merge is prefiltered
+
+
+def _prefilter(keyed: DataFrame, n: int) -> DataFrame:
+    """Exact shortcut for a large top-n: the first 32 bits of the md5 key are
+    uniform, so keep rows whose prefix is below a threshold expected to hold
+    ~4n rows (raised until at least n survive). Every row outside sorts after
+    every row inside, so the n smallest keys are among the survivors."""
+    total = keyed.count()
+    if total <= n:
+        return keyed
+    prefix = F.conv(F.substring("_k", 1, 8), 16, 10).cast("long")
+    limit = 1 << 32
+    x = max(1, min(limit, int(limit * 4 * n / total)))
+    while True:
+        kept = keyed.filter(prefix < F.lit(x))
+        if x >= limit or kept.count() >= n:
+            return kept
+        x = min(limit, x * 4)
+
+
 def sample_seeded(df: DataFrame, n: int, seed: int = 123, id_col: str = "uid") -> DataFrame:
     """``n`` rows without replacement in hash order, with 0-based ``pos``.
     Planned as a bounded top-n (TakeOrderedAndProject), not a global sort."""
     if n > MAX_SAMPLE:
         raise ValueError("sample_seeded: n too large for a bounded sample")
-    key = hash_key(seed, F.col(id_col))
-    top = df.withColumn("_k", key).orderBy("_k", id_col).limit(n)
+    keyed = df.withColumn("_k", hash_key(seed, F.col(id_col)))
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view: plan as is
+        parts = 1
+    if n * parts > PREFILTER_ROWS:
+        keyed = _prefilter(keyed, n)
+    top = keyed.orderBy("_k", id_col).limit(n)
     w = Window.orderBy("_k", id_col)  # over at most n rows
     return top.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("_k")
 

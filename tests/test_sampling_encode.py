@@ -135,3 +135,11 @@ def test_random_outsiders_equals_brute_force(spark):
             for g in (3, 50, 77)}
     got = {r.g: r.uid for r in R.random_outsiders(pts, groups, excluded, 123).collect()}
     assert got == want
+
+
+def test_sample_prefilter_is_exact(spark, monkeypatch):
+    df = ids(spark, 5000).repartition(8)
+    base = [r.uid for r in R.sample_seeded(df, 40, 9).orderBy("pos").collect()]
+    monkeypatch.setattr(R, "PREFILTER_ROWS", 0)
+    assert [r.uid for r in R.sample_seeded(df, 40, 9).orderBy("pos").collect()] == base
+    assert [r.uid for r in R.sample_seeded(df, 4999, 9).orderBy("pos").collect()][:40] == base
