@@ -73,7 +73,13 @@ def clean_table(tagged: DataFrame, hashtags: bool = False) -> DataFrame:
 
 def clean_posts(posts: DataFrame, keep_language: str | None = None, min_tokens: int = 5,
                 lang_col: str = "lang") -> DataFrame:
-    """Entry 1 as one plan: raw posts -> clean table."""
+    """Entry 1 as one plan: raw posts -> clean table.
+
+    With a stored language column and ``keep_language``, the language test is
+    also applied first as a plain column filter (same kept rows), so it reaches
+    the Parquet scan as a pushed filter instead of waiting for the tagging."""
+    if keep_language is not None and lang_col in posts.columns:
+        posts = posts.filter(F.col(lang_col) == F.lit(keep_language))
     return clean_table(tag_posts(posts, keep_language, min_tokens, lang_col))
 
 

@@ -73,3 +73,13 @@ def test_bucketed_documents_need_no_exchange_for_detection(spark):
     assert "hashpartitioning(doc_id" not in p
     assert L.detect_language(b, prof, "doc_id", "text").count() == d.count()
     spark.sql("drop table tessel_docs_bucketed")
+
+
+def test_language_filter_reaches_the_scan(spark):
+    import tempfile
+    from tessel.operators import text as ops
+    from tessel.plans import fixtures as fx
+    d = tempfile.mkdtemp(prefix="tessel-push-", dir="/tmp")
+    fx.posts(spark, SF_SMALL).write.parquet(d + "/posts")
+    p = plan(ops.clean_posts(spark.read.parquet(d + "/posts"), keep_language="de"))
+    assert "EqualTo(lang,de)" in p
