@@ -148,21 +148,26 @@ def hash_encode(df: DataFrame, key, text_col: str = "text", dim: int = 64, out_c
 # ------------------------------------------------------------- batch inference
 
 def numpy_text_encoder(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """Stand-in encoder factory (no model files ship here): hashed word counts,
-    L2-normalised. Any factory with the same shape (load once, then
-    ``texts -> [batch, dim]``) plugs into ``embed``; a real model goes here."""
+    """Stand-in encoder factory (no model files ship here): the same signed
+    md5 feature hashing as ``hash_encode``, done in numpy per batch, so the
+    batch-inference plumbing can be checked against SQL. Any factory with the
+    same shape (load once, then ``texts -> [batch, dim]``) plugs into ``embed``;
+    a real model goes here."""
     def make():
-        import re
-        import zlib
-        pat = re.compile(r"[^\W_]+", re.UNICODE)
+        import hashlib
+
+        import regex
+        tok = regex.compile(r"[\p{L}\p{N}]+")
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
+            out = np.zeros((len(texts), dim), dtype=np.float64)
             for r, t in enumerate(texts):
-                for tok in pat.findall(str(t).lower()):
-                    h = zlib.crc32(tok.encode("utf-8"))
-                    out[r, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-            n = np.linalg.norm(out, axis=1, keepdims=True)
+                if t is None:
+                    continue
+                for w in tok.findall(str(t).lower()):
+                    h = hashlib.md5(w.encode("utf-8")).hexdigest()
+                    out[r, int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+            n = np.sqrt(np.sum(out * out, axis=1, keepdims=True))
             return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
         return predict
     return make
@@ -173,9 +178,9 @@ def embed(df: DataFrame, text_col: str = "text", encoder=None, batch_size: int =
     """Arrow-batched inference with ``predict_batch_udf``; the model is
     built once per Python worker and fed ``batch_size`` rows at a time."""
     from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import ArrayType, FloatType
+    from pyspark.sql.types import ArrayType, DoubleType
     encoder = encoder or numpy_text_encoder()
-    udf = predict_batch_udf(encoder, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    udf = predict_batch_udf(encoder, return_type=ArrayType(DoubleType()), batch_size=batch_size)
     return df.withColumn(out_col, udf(F.col(text_col)))
 
 

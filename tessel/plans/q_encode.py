@@ -109,9 +109,14 @@ def hash_encode(spark, sf_dir):
     return h.select("conv_id", "turn", V.round_vec("vec", 6).alias("vec"))
 
 
-@register("embed_batch")
+@register("embed_batch", _HASH + """
+select g.conv_id, g.turn, list(round(case when n.n = 0 then g.v else g.v / n.n end, 6) order by g.i) as vec
+from grid g join nrm n on n.conv_id = g.conv_id and n.turn = g.turn group by g.conv_id, g.turn""")
 def embed_batch(spark, sf_dir):
-    return enc.embed(_conv(spark, sf_dir), "text", batch_size=64).select("conv_id", "turn", "vec")
+    """E5 through ``predict_batch_udf`` with the stand-in encoder (same hashing
+    as E6), so the batched path is checked against the SQL of ``hash_encode``."""
+    out = enc.embed(_conv(spark, sf_dir), "text", batch_size=64)
+    return out.select("conv_id", "turn", V.round_vec("vec", 6).alias("vec"))
 
 
 @register("pooled_vectors", with_ctes(fx.VECTORS_CTE) + """
