@@ -61,3 +61,23 @@ def test_evaluate_models_job(spark):
     back = spark.read.option("header", True).option("multiLine", True).option("escape", "\"").csv(paths["predictions"])
     assert back.count() == preds.join(examples, "pair_id").count()
     assert spark.read.json(paths["metrics"]).count() == 4
+
+
+def test_csv_stream_with_detected_language(spark):
+    from pyspark.sql import functions as F
+    from tessel.operators import lang as L
+    from tessel.session import load
+    d = tempfile.mkdtemp(prefix="tessel-csvstream-", dir="/tmp")
+    posts = fx.posts(spark, SF_SMALL).drop("lang")
+    posts.repartition(2).write.option("header", True).option("escape", '"').csv(d + "/in")
+    prof = L.fit_language_profile(load(spark, SF_SMALL, "documents").select("text", "lang"))
+    stream = clean_stream.read_post_stream(spark, d + "/in", fmt="csv", max_files=1)
+    q = clean_stream.start_clean_stream(stream, d + "/out", d + "/ckpt", keep_language="de", profile=prof,
+                                        available_now=True)
+    q.awaitTermination(300)
+    got = spark.read.parquet(d + "/out/clean").drop("batch")
+    batch = clean_stream.clean_batch(spark.read.option("header", True).option("multiLine", True)
+                                     .option("escape", '"').csv(d + "/in"), "de", prof)
+    want = ops.clean_table(batch)
+    assert got.count() > 0
+    assert sorted(got.collect()) == sorted(want.collect())
