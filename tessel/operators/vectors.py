@@ -123,6 +123,8 @@ BLOCK_BYTES = 64 << 20
 DIFF_CELLS = 4_000_000
 # Cells (queries x points) of one distance matrix inside a task.
 DIST_CELLS = 4_000_000
+# Pairs one cosine-matrix task may return (its output is one pandas frame).
+MAX_TASK_PAIRS = 10_000_000
 
 
 def block_rows_for(dim: int, block_rows: int | None = None) -> int:
@@ -292,7 +294,10 @@ def cosine_matrix(df: DataFrame, threshold: float | None = None, id_col: str = "
     ``places``; with ``threshold`` only pairs with rounded similarity >= it.
     Inside a block pair the product is taken in chunks of bounded memory."""
     st = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    b = _blocks_for(st["n"], block_rows_for(st["d"] or 1, block_rows))
+    # a task returns its pairs as one frame: blocks also small enough that even
+    # a full block pair (no threshold) stays within MAX_TASK_PAIRS
+    rows = block_rows or min(block_rows_for(st["d"] or 1), int(math.isqrt(MAX_TASK_PAIRS)))
+    b = _blocks_for(st["n"], rows)
     id_type = df.schema[id_col].dataType.simpleString()
     base = _with_block(df.select(F.col(id_col).alias("k"), F.col(vec_col).alias("v")), "k", b)
     # block pair (bi, bj) with bi <= bj: left rows of bi, right rows of bj
