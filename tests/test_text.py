@@ -94,3 +94,25 @@ def test_min_tokens_and_keep_language(spark):
     df = spark.createDataFrame([("a b c d e f", "de"), ("a b", "de"), ("a b c d e f g", "en")], "text string, lang string")
     assert ops.min_tokens(df, 5).count() == 2
     assert [r.text for r in ops.keep_language(ops.min_tokens(df, 5), "de").collect()] == ["a b c d e f"]
+
+
+def test_cleaning_equals_python_on_random_strings(spark):
+    import random
+    rnd = random.Random(7)
+    pieces = ["word", "\u00c9lan", "\u00df", "http://a.b/c", "https://x.y", "http s", "https:/", " ", "  ",
+              "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\u00a0", "\u3000", "\u202f",
+              "\u2028", "#tag", ".", "42"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.c, r.n) for r in df.select("i", T.clean_text(F.lower("t")).alias("c"),
+                                                T.token_count(F.lower("t")).alias("n")).collect()}
+
+    def py_clean(s):
+        s = s.lower()
+        n = len(s.split(" "))
+        s = re.sub(r"[\n\t]*", "", s)
+        s = re.sub(r"http[s]?://\S+", "", s)
+        return s.strip(), n
+
+    for i, t in enumerate(texts):
+        assert got[i] == py_clean(t), repr(t)
