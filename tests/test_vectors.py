@@ -177,3 +177,15 @@ def test_project_2d_equals_numpy_pca(spark):
 def test_filter_dim(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "uid long, vec array<double>")
     assert [r.uid for r in ops.filter_dim(df, 2).collect()] == [1]
+
+
+def test_parse_vector_matches_numpy_prints(spark):
+    rng = np.random.default_rng(8)
+    vecs = [rng.normal(size=2) * 10.0 ** rng.integers(-6, 4) for _ in range(200)] + [np.array([1.0, 0.5]),
+                                                                                   np.array([0.0, -0.0])]
+    printed = [str(v) for v in vecs]  # numpy's own print, as a CSV cell would hold it
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(printed)], "i int, s string")
+    got = {r.i: r.v for r in df.select("i", V.parse_vector("s").alias("v")).collect()}
+    for i, s in enumerate(printed):
+        want = [float(x) for x in s.strip("[]").split()]
+        assert got[i] == want, s
