@@ -94,6 +94,8 @@ def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str
     found = labelled.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not found:
+        raise ValueError("fit_language_profile: no labelled rows")
     langs = sorted(r[0] for r in found)
     occ = labelled.select(F.col(lang_col).alias("lang"), F.explode(gram_array(F.col(text_col))).alias("gram"))
     counts = occ.groupBy("gram").agg(

@@ -70,3 +70,10 @@ def test_min_count_prunes_rare_grams(spark):
     assert pruned.rows < full.rows and pruned.langs == full.langs
     n = pruned.grams.filter(sum((F.col(f"w{i}") for i in range(len(pruned.langs))), F.lit(0.0)) <= 0).count()
     assert n == 0
+
+
+def test_profile_needs_labels(spark):
+    import pytest
+    empty = spark.createDataFrame([("some text here", None)], "text string, lang string")
+    with pytest.raises(ValueError):
+        L.fit_language_profile(empty)
