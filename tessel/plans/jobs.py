@@ -79,3 +79,19 @@ def evaluate_models(spark: SparkSession, predictions: DataFrame, examples: DataF
      .partitionBy("model", "split").option("header", True).option("escape", '"').csv(paths["predictions"]))
     ev.leaderboard(metrics).write.mode("overwrite").parquet(paths["leaderboard"])
     return paths
+
+
+def embed_and_map(spark: SparkSession, clean: DataFrame, out_dir: str, encoder=None, batch_size: int = 32,
+                  bins: int = 10) -> dict[str, str]:
+    """Entry 2: clean table -> drop incomplete rows -> batch-encode text ->
+    vectors (typed Parquet, keyed by uid) -> 2-D map with text -> density grid."""
+    from ..operators import encode as enc
+    paths = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("vectors", "map", "grid")}
+    rows = text_ops.drop_incomplete(clean)
+    writers.write_vectors(enc.embed(rows, "text", encoder, batch_size).select("uid", "vec"), paths["vectors"])
+    vecs = readers.read_vectors(spark, paths["vectors"])
+    norm, grid = map_2d(spark, vecs, bins)
+    writers.write_map(norm.join(rows.select("uid", "text"), "uid").withColumn("vec", F.array("x", "y")),
+                      paths["map"])
+    grid.write.mode("overwrite").parquet(paths["grid"])
+    return paths

@@ -81,3 +81,14 @@ def test_csv_stream_with_detected_language(spark):
     want = ops.clean_table(batch)
     assert got.count() > 0
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_embed_and_map_job(spark):
+    d = tempfile.mkdtemp(prefix="tessel-embed-", dir="/tmp")
+    clean = ops.clean_posts(fx.posts(spark, SF_SMALL))
+    paths = jobs.embed_and_map(spark, clean, d, batch_size=16, bins=5)
+    n_rows = ops.drop_incomplete(clean).count()
+    assert spark.read.parquet(paths["vectors"]).count() == n_rows
+    m = spark.read.parquet(paths["map"])
+    assert m.count() <= n_rows and set(m.columns) >= {"uid", "text", "x", "y", "vec"}
+    assert sum(r.n for r in spark.read.parquet(paths["grid"]).collect()) == m.count()
