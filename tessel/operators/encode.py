@@ -159,14 +159,25 @@ def numpy_text_encoder(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.
         import regex
         tok = regex.compile(r"[\p{L}\p{N}]+")
 
+        memo: dict[str, tuple[int, float]] = {}  # token -> (bucket, sign), bounded below
+
+        def cell(w: str) -> tuple[int, float]:
+            got = memo.get(w)
+            if got is None:
+                if len(memo) > 1_000_000:
+                    memo.clear()
+                h = hashlib.md5(w.encode("utf-8")).hexdigest()
+                got = memo[w] = (int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
+            return got
+
         def predict(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float64)
             for r, t in enumerate(texts):
                 if t is None:
                     continue
                 for w in tok.findall(str(t).lower()):
-                    h = hashlib.md5(w.encode("utf-8")).hexdigest()
-                    out[r, int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+                    b, sgn = cell(w)
+                    out[r, b] += sgn
             n = np.sqrt(np.sum(out * out, axis=1, keepdims=True))
             return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
         return predict
