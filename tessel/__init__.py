@@ -1,7 +1,7 @@
 """tessel — text-corpus, vector and evaluation operators on Spark DataFrames.
 
 Every public operator takes and returns DataFrames so that Catalyst sees the
-whole pipeline; see README.md for the module map.
+whole plan; see README.md for the module map.
 """
 
 import sys as _sys

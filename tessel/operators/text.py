@@ -15,7 +15,7 @@ from ..functions import text as T
 
 POST_COLUMNS = ["id", "headline", "related_text", "original_img_dir", "original_img_filename"]
 
-# Reject reasons, in pipeline order.
+# Reject reasons, in the order the checks run.
 MISSING, TOO_SHORT, UNDETECTED, OTHER_LANGUAGE = "missing", "too_short", "undetected", "other_language"
 
 
