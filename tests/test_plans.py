@@ -1,5 +1,6 @@
 """Physical-plan checks: native expressions, pushdown/pruning, no single-partition exchange."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -83,3 +84,10 @@ def test_language_filter_reaches_the_scan(spark):
     fx.posts(spark, SF_SMALL).write.parquet(d + "/posts")
     p = plan(ops.clean_posts(spark.read.parquet(d + "/posts"), keep_language="de"))
     assert "EqualTo(lang,de)" in p
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_every_query_reads_the_given_tables(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    text = df._jdf.queryExecution().toString()
+    assert SF_SMALL in text or "ExistingRDD" in text, name  # checkpointed data derived from the tables
