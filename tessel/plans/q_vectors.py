@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..operators import sampling as R
 from ..operators import vectors as ops
-from ..operators import text as text_ops
 from ..session import load
 from . import fixtures as fx
 from .registry import register, with_ctes

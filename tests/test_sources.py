@@ -4,8 +4,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from tessel.sources import readers, writers
 
 
