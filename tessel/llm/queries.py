@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir, load
-from . import packing, sharding, tokenfiles, tokens
+from . import packing, quality, sharding, simhash, tokenfiles, tokens, toxicity
 from .store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,11 +22,26 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op1_simhash_dedup(spark, sf_dir):
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality_ftrl(spark, sf_dir):
+    return quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 @query
 def op5_lpt_shards(spark, sf_dir):
     return sharding.assign_shards(load(spark, sf_dir, "documents"))
 
 
+@query
+def op6_toxicity_fm(spark, sf_dir):
+    return toxicity.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 @query
 def op8_bm25_packing(spark, sf_dir):
     return packing.pack(load(spark, sf_dir, "documents"), tokens.tokenizer_path(), end_id=1)

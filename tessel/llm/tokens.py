@@ -21,7 +21,7 @@ import pyarrow as pa
 
 from .words import Words, buffers, gathered
 
-CACHE_WORDS = 1_500_000  # distinct words remembered per Python worker; beyond that the cache starts anew
+CACHE_WORDS = 1_000_000  # distinct words remembered per Python worker; beyond that the cache starts anew
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,!?;:"]] = True
 _LETTER = np.zeros(256, bool)
