@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir, load
-from . import packing, quality, sharding, simhash, tokenfiles, tokens, toxicity
+from . import packing, quality, secrets, sharding, simhash, tokenfiles, tokens, toxicity
 from .store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op6_toxicity_fm(spark, sf_dir):
     return toxicity.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+@query
+def op7_secret_scan(spark, sf_dir):
+    return secrets.secret_spans(load(spark, sf_dir, "documents"))
+
+
 @query
 def op8_bm25_packing(spark, sf_dir):
     return packing.pack(load(spark, sf_dir, "documents"), tokens.tokenizer_path(), end_id=1)

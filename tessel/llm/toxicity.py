@@ -1,7 +1,7 @@
 """Toxicity scores: a factorization machine over hashed terms.
 
-Terms are lower-cased words without the signs around them, known by a 64-bit
-hash. The model has a weight and a short vector for every term that enough of the
+Terms are lower-cased words without the signs around them and the words' stems,
+known by a 64-bit hash. The model has a weight and a short vector for every term that enough of the
 sample's documents contain; the score adds the weights of a text's distinct terms
 and the inner products of all pairs of their vectors, so two words that mean harm
 only together are learnt as a pair. A pairwise sum costs one pass: half of
@@ -23,10 +23,11 @@ from .store import stored
 from .words import Words, mix, slices
 
 FACTORS = 8
-MIN_DOCS = 4          # documents of the sample a term must stand in
+STEMS = (4, 6)        # leading bytes of a word that are terms of their own: inflected words share them
+MIN_DOCS = 20         # documents of the sample a term must stand in
 MAX_TERMS = 1 << 18   # terms with parameters, the most frequent first
-RATE, REG_W, REG_V = 0.08, 2e-4, 2e-4
-EPOCHS = 4
+RATE, REG_W, REG_V = 0.5, 1e-3, 1e-2
+EPOCHS = 6
 THRESHOLD = 0.5
 FILTER_BITS = 24      # bitmap in front of the term table
 
@@ -35,7 +36,8 @@ _WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = _WORDY[128:] = True
 
 
 def term_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word without the signs around it, and word offsets of the texts."""
+    """Hashes of the terms of every text, and term offsets of the texts: each word
+    without the signs around it, and its first bytes (``STEMS``) where it is longer."""
     w = Words(col, lower=True)
     start, end = w.start.copy(), w.end.copy()
     todo = np.flatnonzero(~_WORDY[w.data[end - 1]]) if len(w) else np.zeros(0, np.int64)
@@ -47,8 +49,16 @@ def term_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while len(todo):
         start[todo] += 1
         todo = todo[~_WORDY[w.data[start[todo]]]]
-    w.start, w.end = start, end
-    return w.hashes(), w.first
+    lo, hi, of = [start], [end], [np.arange(len(start))]
+    for k in STEMS:
+        long = np.flatnonzero(end - start > k)
+        lo.append(start[long])
+        hi.append(start[long] + k)
+        of.append(long)
+    of = np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    w.start, w.end = np.concatenate(lo)[order], np.concatenate(hi)[order]
+    return w.hashes(), np.searchsorted(of[order], w.first)
 
 
 class Terms:
@@ -130,7 +140,7 @@ def fit(sample: DataFrame, factors: int = FACTORS, epochs: int = EPOCHS) -> dict
     m = len(keys)
     # small deterministic vectors: the same start in every shard
     noise = (mix(np.arange(1, m * factors + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53) - 0.5
-    start = {"w0": np.zeros(1), "w": np.zeros(m), "v": noise.reshape(m, factors) * 0.02,
+    start = {"w0": np.zeros(1), "w": np.zeros(m), "v": noise.reshape(m, factors) * 0.002,
              "g0": np.ones(1), "gw": np.ones(m), "gv": np.ones((m, factors))}
     state = training.mix_epochs(table.mapInArrow(numbered, "id long, y int, idx array<int>"), start, _train, epochs)
     return {"keys": keys, "w0": state["w0"], "w": state["w"], "v": state["v"]}
