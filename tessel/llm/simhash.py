@@ -32,7 +32,7 @@ from .words import Words, slices
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
-RANGE_SIZE = 16_384   # fingerprints in a range
+RANGE_SIZE = 65_536   # fingerprints in a range
 MAX_RANGES = 32_768   # leaves of the upper tree
 FAN_OUT = 8           # children of a node
 QUERY_BLOCK = 32_768  # fingerprints that descend a tree together
