@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir, load
-from . import packing, quality, secrets, sharding, simhash, tokenfiles, tokens, toxicity
+from . import decontam, packing, quality, secrets, sharding, simhash, tokenfiles, tokens, toxicity
 from .store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op3_quality_ftrl(spark, sf_dir):
     return quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+@query
+def op4_spaced_seed_decontamination(spark, sf_dir):
+    return decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_lpt_shards(spark, sf_dir):
     return sharding.assign_shards(load(spark, sf_dir, "documents"))

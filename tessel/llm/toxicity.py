@@ -31,24 +31,13 @@ EPOCHS = 6
 THRESHOLD = 0.5
 FILTER_BITS = 24      # bitmap in front of the term table
 
-_WORDY = np.zeros(256, bool)
-_WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = _WORDY[128:] = True
-
 
 def term_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the terms of every text, and term offsets of the texts: each word
     without the signs around it, and its first bytes (``STEMS``) where it is longer."""
     w = Words(col, lower=True)
-    start, end = w.start.copy(), w.end.copy()
-    todo = np.flatnonzero(~_WORDY[w.data[end - 1]]) if len(w) else np.zeros(0, np.int64)
-    while len(todo):
-        end[todo] -= 1
-        todo = todo[end[todo] > start[todo]]
-        todo = todo[~_WORDY[w.data[end[todo] - 1]]]
-    todo = np.flatnonzero((end > start) & ~_WORDY[w.data[start]]) if len(w) else todo
-    while len(todo):
-        start[todo] += 1
-        todo = todo[~_WORDY[w.data[start[todo]]]]
+    w.strip_signs()
+    start, end = w.start, w.end
     lo, hi, of = [start], [end], [np.arange(len(start))]
     for k in STEMS:
         long = np.flatnonzero(end - start > k)

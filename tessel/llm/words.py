@@ -16,6 +16,8 @@ SLICE_BYTES = 4 << 20  # text handled at once inside a task (a longer document i
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_WORDY = np.zeros(256, bool)  # letters, digits and all bytes of other scripts
+_WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = _WORDY[128:] = True
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 
@@ -118,6 +120,23 @@ class Words:
     def hashes(self) -> np.ndarray:
         return ranged(_BYTE[self.data], self.start, self.end)
 
+    def strip_signs(self) -> None:
+        """Take the ASCII signs around each word away; a word of signs alone is dropped."""
+        data, start, end = self.data, self.start.copy(), self.end.copy()
+        todo = np.flatnonzero(~_WORDY[data[end - 1]]) if len(self) else np.zeros(0, np.int64)
+        while len(todo):
+            end[todo] -= 1
+            todo = todo[end[todo] > start[todo]]
+            todo = todo[~_WORDY[data[end[todo] - 1]]]
+        todo = np.flatnonzero(end > start)
+        todo = todo[~_WORDY[data[start[todo]]]]
+        while len(todo):
+            start[todo] += 1
+            todo = todo[~_WORDY[data[start[todo]]]]
+        keep = end > start
+        self.start, self.end = start[keep], end[keep]
+        self.first = np.searchsorted(self.start, self.off)
+
     def of(self, d: int) -> list[bytes]:
         """The words of document ``d``."""
         return self.data[self.off[d]:self.off[d + 1]].tobytes().split()
