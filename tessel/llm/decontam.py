@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import stored
-from .words import Words, mix, slices
+from .words import Words, folded, mix, slices
 
 MASKS = ("1111", "11101", "10111", "11011")
 OVERLAP = 15
@@ -52,7 +52,7 @@ def seed_hashes(h: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.n
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    w = Words(col, lower=True)
+    w = Words(folded(col))
     w.strip_signs()
     return w.hashes(), w.first
 

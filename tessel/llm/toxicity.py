@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import training
 from .store import stored
-from .words import Words, mix, slices
+from .words import Words, folded, mix, slices
 
 FACTORS = 8
 STEMS = (4, 6)        # leading bytes of a word that are terms of their own: inflected words share them
@@ -35,7 +35,7 @@ FILTER_BITS = 24      # bitmap in front of the term table
 def term_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the terms of every text, and term offsets of the texts: each word
     without the signs around it, and its first bytes (``STEMS``) where it is longer."""
-    w = Words(col, lower=True)
+    w = Words(folded(col))
     w.strip_signs()
     start, end = w.start, w.end
     lo, hi, of = [start], [end], [np.arange(len(start))]

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20  # text handled at once inside a task (a longer document is handled alone)
 
@@ -89,6 +90,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             i = j
 
 
+def folded(col: pa.Array) -> pa.Array:
+    """The column in lower case, letters of all scripts."""
+    return pc.utf8_lower(col)
+
+
 class Words:
     """Word boundaries of a string column: word ``k`` is ``data[start[k]:end[k]]``
     and document ``d`` owns words ``first[d]`` to ``first[d + 1]``."""
