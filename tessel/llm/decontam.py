@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmap
 from .store import stored
 from .words import Words, folded, mix, slices
 
@@ -28,8 +29,6 @@ MASKS = ("1111", "11101", "10111", "11011")
 OVERLAP = 15
 SIMILARITY = 0.8
 MIN_WORDS = 5            # items of fewer words name nothing in particular and take no part
-BITMAP_LOAD = 64         # bits of the prefilter for each benchmark hash ...
-BITMAP_MAX_BITS = 1 << 29  # ... up to 64 MB; beyond that it lets more windows through to the join
 
 
 def seed_hashes(h: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -57,20 +56,6 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w.hashes(), w.first
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bit set of the benchmark's hashes, built by Spark; its size is bounded."""
-    n = hashes.count()
-    bits = min(BITMAP_MAX_BITS, max(1 << 16, 1 << (max(1, n * BITMAP_LOAD) - 1).bit_length()))
-    shift = 64 - (bits.bit_length() - 1)
-    at = F.shiftrightunsigned("h", shift)
-    words = (hashes.groupBy(F.shiftrightunsigned(at, 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, %d) & 63 as int))" % shift)).alias("v")).collect())
-    out = np.zeros(bits // 64, np.uint64)
-    for r in words:
-        out[r["w"]] = np.int64(r["v"]).view(np.uint64)
-    return out
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, overlap: int = OVERLAP,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text") -> DataFrame:
@@ -112,7 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                                                  names=["h", "item", "item_at"])
 
     seeds = stored(items.select("item", "item_words").mapInArrow(item_seeds, "h long, item long, item_at int"), "seeds")
-    bitmap = spark.sparkContext.broadcast(_bitmap(seeds.select("h").distinct()))
+    members = spark.sparkContext.broadcast(bitmap.bitmap(seeds))
     reach = overlap
 
     hit_type = pa.struct([("h", pa.int64()), ("at", pa.int32())])
@@ -120,14 +105,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     def doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         key = TaskContext.get().partitionId() << 33
-        bits = bitmap.value
-        shift = np.uint64(64 - (64 * len(bits)).bit_length() + 1)
+        bits = members.value
         for b in slices(batches):
             h, first = _words(b.column("text"))
             ats, values = [], []
             for at, value in seed_hashes(h, first):
-                k = value >> shift
-                on = (bits[k >> np.uint64(6)] >> (k & np.uint64(63))) & np.uint64(1) == 1
+                on = bitmap.contained(bits, value)
                 ats.append(at[on])
                 values.append(value[on])
             at, value = np.concatenate(ats), np.concatenate(values).view(np.int64)

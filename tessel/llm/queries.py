@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir, load
-from . import decontam, packing, quality, secrets, sharding, simhash, tokenfiles, tokens, toxicity
+from . import decontam, maxscore, packing, quality, secrets, sharding, simhash, substring, tokenfiles, tokens, toxicity
 from .store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op1_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+@query
+def op2_maxscore_topk(spark, sf_dir):
+    return maxscore.top_k(load(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_quality_ftrl(spark, sf_dir):
     return quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -57,8 +62,30 @@ def op8_bm25_packing(spark, sf_dir):
     return packing.pack(load(spark, sf_dir, "documents"), tokens.tokenizer_path(), end_id=1)
 
 
+@query
+def op9_substring_dedup(spark, sf_dir):
+    return substring.dedup(load(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_files(spark, sf_dir):
     path = shared_folder(spark, "tokens")
     tokenfiles.write_tokens(load(spark, sf_dir, "documents"), path, tokens.tokenizer_path(), end_id=2)
     return tokenfiles.read_digests(spark, path)
+
+
+ORACLES["op2_maxscore_topk"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as vec
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, d.vec_id as vec_id,
+    cast(list_sum(list_transform(list_zip(q.vec, d.vec), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v d on q.vec_id % 20 = 0 and q.vec_id <> d.vec_id),
+r as (
+  select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+"""
