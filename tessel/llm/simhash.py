@@ -74,16 +74,16 @@ def fingerprints(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """``doc_id, k, fp`` of every row: ``k`` hashes the text, ``fp`` has the 64 bits as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp = fingerprints(b.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), pa.array(fp.view(np.int64))], schema=schema)
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
+            .mapInArrow(run, "doc_id long, k long, fp long"))
 
 
 # ------------------------------------------------------------------------ tree
@@ -225,6 +225,14 @@ def links(codes: DataFrame, distance: int = DISTANCE, range_size: int = RANGE_SI
     return parts.mapInArrow(routed, "part int, fp long, member boolean").groupBy("part").applyInPandas(inside, "a long, b long")
 
 
+def _classes(docs: DataFrame, shingle: int, distance: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and ``fp, root`` of every distinct one: equal ``root``, one component."""
+    rows = stored(fingerprint_table(docs, shingle, id_col, text_col), "fingerprints")
+    codes = stored(rows.select("fp").distinct(), "codes")
+    found = stored(components(links(codes, distance), "simhash"), "roots")
+    return rows, codes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
@@ -236,12 +244,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     a row each; null ids never name a component (null if it has no other). An
     empty table gives no row.
     """
-    rows = stored(fingerprint_table(docs, shingle, id_col, text_col), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = stored(components(links(classes.select("fp"), distance), "simhash").select(F.col("node").alias("fp"), "root"), "roots")
-    roots = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "component_id")
+    rows, roots = _classes(docs, shingle, distance, id_col, text_col)
+    of_class = roots.join(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = of_class.join(least, "root").select("fp", "component_id")
     # a fingerprint shared by very many rows is a hot key of this join: Spark splits it
     return (rows.join(named, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id (a null
+    id only if there is no other), of rows sharing that id the one with the smallest text hash.
+    Columns as before."""
+    rows, roots = _classes(docs, shingle, distance, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("k").alias("k"))
+    kept = (roots.join(rows.groupBy("fp").agg(F.min(order).alias("first")), "fp")
+            .groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.i").alias("_i"), F.col("first.k").alias("_h")))
+    keyed = docs.withColumn("_k", F.xxhash64(text_col))
+    return (keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")), "left_semi")
+            .dropDuplicates([id_col, "_k"]).select(*docs.columns))
