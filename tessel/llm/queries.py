@@ -74,18 +74,105 @@ def op10_token_files(spark, sf_dir):
     return tokenfiles.read_digests(spark, path)
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLES["op2_maxscore_topk"] = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as vec
   from embeddings
   where embedding is not null and vec_id is not null
-    and list_count(embedding) = len(embedding)
-    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id as query_id, d.vec_id as vec_id,
-    cast(list_sum(list_transform(list_zip(q.vec, d.vec), lambda p: p[1] * p[2])) as bigint) as score
+    cast(list_dot_product(cast(q.vec as double[]), cast(d.vec as double[])) as bigint) as score
   from v q join v d on q.vec_id % 20 = 0 and q.vec_id <> d.vec_id),
 r as (
   select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
 """
+
+_SIGNS = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+_PLAIN = f"list_filter(list_transform({_WORDS.replace('text', 'lower(text)')}, lambda w: regexp_replace(w, '^{_SIGNS}|{_SIGNS}$', '', 'g')), lambda w: w <> '')"
+
+ORACLES["op4_spaced_seed_decontamination"] = f"""
+with d as (select doc_id, {_PLAIN} as ws from documents),
+i as (select item_id, {_PLAIN} as ws from benchmark),
+dw as (select doc_id, len(ws) as n, unnest(range(len(ws))) as p, unnest(ws) as w from d),
+iw as (select item_id, len(ws) as l, unnest(range(len(ws))) as q, unnest(ws) as w from i where len(ws) >= 5),
+hit as (
+  select doc_id, item_id, p - q as diagonal, q, least(l, 15) as need, l, n
+  from dw join iw using (w)),
+line as (select doc_id, item_id, diagonal, need, l, n, list(q) as qs, count(*) as c from hit group by all having c >= 0.8 * need),
+stretch as (
+  select doc_id, item_id, diagonal, need, qs, unnest(range(greatest(0, -diagonal), least(l, n - diagonal) - need + 1)) as a from line),
+scored as (
+  select doc_id, item_id, diagonal + a as doc_word, a as item_word, need as n_words,
+    len(list_filter(qs, lambda x: x >= a and x < a + need)) as n_equal from stretch),
+ranked as (
+  select *, row_number() over (partition by doc_id, item_id order by n_equal desc, doc_word, item_word) as rn
+  from scored where n_equal >= 0.8 * n_words - 1e-9)
+select doc_id, item_id, cast(doc_word as bigint) as doc_word, cast(item_word as bigint) as item_word,
+  cast(n_words as bigint) as n_words, cast(n_equal as bigint) as n_equal from ranked where rn = 1
+"""
+
+
+def _found_sql(kind: int, pattern: str, keep: str = "true") -> str:
+    """Matches of a pattern with their positions, from the pieces between them."""
+    return f"""select doc_id, {kind} as kind, start, start + length(m) as stop, m from (
+    select doc_id, m, list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda g: length(g))), 0) as start
+    from (select doc_id, gaps, ms, unnest(range(1, len(ms) + 1)) as k, unnest(ms) as m from (
+      select doc_id, string_split_regex(t, '{pattern}') as gaps, regexp_extract_all(t, '{pattern}') as ms from texts) x0) x1) x2 where {keep}"""
+
+
+_SQ = "'" + "'"
+_ASSIGN = secrets.ASSIGN.replace("'", _SQ)
+_NAMES = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+_NOT_ALLOWED = " and ".join(f"not regexp_matches(m, '{a}')" for a in secrets.ALLOWED)
+
+ORACLES["op7_secret_scan"] = f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+base as (
+  {_found_sql(0, _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= {secrets.ASSIGN_MIN}")}
+  union all {_found_sql(1, secrets.ACCESS)}
+  union all {_found_sql(2, secrets.HEX)}),
+cand as (
+  select *, case when regexp_matches(m, '^[0-9a-fA-F]+$') then 3 else 4 end as ekind,
+    row_number() over (order by doc_id, start) as cid
+  from ({_found_sql(9, secrets.CANDIDATE.split(")", 1)[1])}) c0 where {_NOT_ALLOWED}),
+win as (
+  select doc_id, ekind, start, cid, unnest(range(0, length(m) - {secrets.WINDOW} + 1)) as i, string_split(m, '') as cs from cand),
+high as (
+  select doc_id, ekind, start, cid, i from win
+  where list_entropy(cs[i + 1:i + {secrets.WINDOW}]) >= case when ekind = 3 then {secrets.HEX_BITS} else {secrets.MIXED_BITS} end - 1e-9),
+grp as (
+  select *, sum(case when prev is null or i > prev + {secrets.WINDOW} then 1 else 0 end) over (partition by cid order by i) as g from (
+    select *, lag(i) over (partition by cid order by i) as prev from high) h),
+entropy as (
+  select doc_id, ekind as kind, start + min(i) as start, start + max(i) + {secrets.WINDOW} as stop from grp
+  group by doc_id, ekind, cid, start, g),
+every_ as (select doc_id, kind, start, stop from base union all select doc_id, kind, start, stop from entropy),
+listed as (
+  select doc_id, string_agg({_NAMES}[kind + 1] || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, kind, stop) as spans,
+    string_agg({_NAMES}[kind + 1] || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, kind, stop) filter (where kind < 3) as own,
+    count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex
+  from every_ group by doc_id)
+select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(own, '')) as base_sha256, coalesce(spans, '') as spans
+from texts t left join listed l on l.doc_id = t.doc_id
+"""
+
+ORACLES["op9_substring_dedup"] = f"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+win as (
+  select doc_id, p, array_to_string(ws[p:p + 49], ' ') as s
+  from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as p from d) x),
+first_ as (select s, min(doc_id) as f from win group by s),
+gone as (select distinct win.doc_id, p + o as p from win join first_ using (s), range(50) r(o) where f < win.doc_id),
+word as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as w from d),
+kept as (
+  select word.doc_id, string_agg(w, ' ' order by word.p) as t, count(*) as n
+  from word anti join gone on gone.doc_id = word.doc_id and gone.p = word.p group by word.doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed,
+  sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
