@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import decontam, packing, quality, secrets, simhash, tokens, training
-from tessel.llm.store import stored
+from tessel.llm.store import boxed, stored, unboxed
 from tessel.session import ensure_checkpoint_dir, load
 
 
@@ -23,7 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = quality.fit(training.labelled_sample(docs, labels, "quality", usable))
     if not model.any():
         return docs
-    return quality.score(docs, model, "_quality").filter(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.score(boxed(docs, text=F.col("text")), model)
+    return unboxed(scored.filter(F.col("score") >= quality.THRESHOLD), docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

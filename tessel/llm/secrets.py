@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import boxed, unboxed
+
 # The base patterns with their shortest lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_MIN = 6
@@ -39,15 +41,15 @@ ALLOWED = (r"^[A-Za-z+/_-]+$", r"^[0-9+/_-]+$",
 _NONE = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _empty() -> F.Column:
+def _empty() -> Column:
     return F.array().cast(_NONE)
 
 
-def _span(start, kind: int, end) -> F.Column:
+def _span(start, kind: int, end) -> Column:
     return F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), end.cast("int").alias("end"))
 
 
-def matches(text: F.Column, pattern: str, group: int = 0) -> F.Column:
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """``array<struct<start, end, piece>>`` of the leftmost non-overlapping matches;
     ``piece`` is the match's group. Positions are code points from 0."""
     lit = F.lit(pattern)
@@ -66,7 +68,7 @@ def matches(text: F.Column, pattern: str, group: int = 0) -> F.Column:
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
-def entropy_spans(piece: F.Column, alphabet: str, bits: float, window: int = WINDOW) -> F.Column:
+def entropy_spans(piece: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
     """``array<struct<from, to>>`` (from 0): merged windows of ``piece`` whose entropy is ``bits`` or more."""
     chars = F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(alphabet), c))
     # c * log2(c) for c = 0..window, and the largest sum a window may have
@@ -101,47 +103,44 @@ def entropy_spans(piece: F.Column, alphabet: str, bits: float, window: int = WIN
 
 
 def scan(docs: DataFrame, allowed: Sequence[str] = ALLOWED, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_all``: sorted ``array<struct<start, kind, end>>``
-    of the base spans and of all spans (``kind`` numbers ``KINDS``).
+    """``row, text, base, every`` of every row: the row itself, its text, and sorted
+    ``array<struct<start, kind, end>>`` of the base spans and of all spans (``kind`` numbers ``KINDS``).
 
     Whole texts; a null text counts as empty and has no span. Positions are code
     points, the end is exclusive. Repeated rows are scanned each.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_text", text)
-    t = F.col("_text")
+    rows = boxed(docs, text=F.coalesce(F.col(text_col), F.lit("")))
+    text = F.col("text")
 
-    def found(pattern: str, group: int = 0) -> F.Column:
-        kind = "array<struct<start:int,end:int,piece:string>>"
-        return F.when(t.rlike(pattern), matches(t, pattern, group)).otherwise(F.array().cast(kind))
+    def found(pattern: str, group: int = 0) -> Column:
+        none = F.array().cast("array<struct<start:int,end:int,piece:string>>")
+        return F.when(text.rlike(pattern), matches(text, pattern, group)).otherwise(none)
 
-    def flat(col: F.Column, kind: int) -> F.Column:
+    def flat(col: Column, kind: int) -> Column:
         return F.transform(col, lambda m: _span(m["start"], kind, m["end"]))
 
-    assign = flat(F.filter(found(ASSIGN, 2), lambda m: F.length(m["piece"]) >= ASSIGN_MIN), 0)
-    base = F.concat(assign, flat(found(ACCESS), 1), flat(found(HEX), 2))
-
-    def allowed_any(p: F.Column) -> F.Column:
+    def is_allowed(piece: Column) -> Column:
         out = F.lit(False)
-        for a in allowed:
-            out = out | p.rlike(a)
+        for pattern in allowed:
+            out = out | piece.rlike(pattern)
         return out
 
-    def spans_of(m, kind: int, alphabet: str, bits: float) -> F.Column:
+    def spans_of(m: Column, kind: int, alphabet: str, bits: float) -> Column:
         return F.transform(entropy_spans(m["piece"], alphabet, bits),
                            lambda s: _span(m["start"] + s["from"], kind, m["start"] + s["to"]))
 
-    is_hex = lambda m: m["piece"].rlike("^[0-9a-fA-F]+$")
+    assign = flat(F.filter(found(ASSIGN, 2), lambda m: F.length(m["piece"]) >= ASSIGN_MIN), 0)
     entropy = F.flatten(F.transform(
-        F.filter(found(CANDIDATE), lambda m: ~allowed_any(m["piece"])),
-        lambda m: F.when(is_hex(m), spans_of(m, 3, HEX_ALPHABET, HEX_BITS)).otherwise(spans_of(m, 4, MIXED_ALPHABET, MIXED_BITS))))
-    return (out.withColumn("_base", F.array_sort(base))
-            .withColumn("_entropy", entropy)
-            .withColumn("_all", F.when(F.size("_entropy") > 0, F.array_sort(F.concat("_base", "_entropy"))).otherwise(F.col("_base")))
-            .drop("_text", "_entropy"))
+        F.filter(found(CANDIDATE), lambda m: ~is_allowed(m["piece"])),
+        lambda m: F.when(m["piece"].rlike("^[0-9a-fA-F]+$"), spans_of(m, 3, HEX_ALPHABET, HEX_BITS))
+        .otherwise(spans_of(m, 4, MIXED_ALPHABET, MIXED_BITS))))
+    return (rows.withColumn("base", F.array_sort(F.concat(assign, flat(found(ACCESS), 1), flat(found(HEX), 2))))
+            .withColumn("entropy", entropy)
+            .withColumn("every", F.when(F.size("entropy") > 0, F.array_sort(F.concat("base", "entropy"))).otherwise(F.col("base")))
+            .drop("entropy"))
 
 
-def _listed(spans: F.Column) -> F.Column:
+def _listed(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -149,28 +148,27 @@ def _listed(spans: F.Column) -> F.Column:
 
 def secret_spans(docs: DataFrame, allowed: Sequence[str] = ALLOWED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row (see ``scan``)."""
-    rows = scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t")), allowed, "_t")
+    rows = scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), allowed)
 
-    def number(kind: int) -> F.Column:
-        return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
-    return rows.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
-                       F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.col("_all")).alias("spans"))
+    return rows.select("row.doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+                       F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("every")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", allowed: Sequence[str] = ALLOWED, text_col: str = "text") -> DataFrame:
     """``docs`` with every found span (overlapping ones as one) replaced by ``mark``;
     columns as before. Texts without a span, null ones included, stay as they are."""
     rows = scan(docs, allowed, text_col)
-    text = F.col(text_col)
+    text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
-        # spans come by start: text up to the span, then the mark, unless the span lies in what is gone already
+        # spans come by start: the text up to the span, then the mark, unless the span starts in what is gone already
         gap = F.greatest(s["start"] - acc["at"], F.lit(0))
-        overlaps = (s["start"] < acc["at"]) & (acc["at"] > 0)
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap), F.when(overlaps, F.lit("")).otherwise(F.lit(mark)))
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap), F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.lit(mark)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("_all") > 0, clean).otherwise(text)).select(*docs.columns)
+    clean = F.aggregate("every", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return unboxed(rows, docs.columns, **{text_col: F.when(F.size("every") > 0, clean).otherwise(F.col(f"row.`{text_col}`"))})

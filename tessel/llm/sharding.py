@@ -23,7 +23,7 @@ ROWS_PER_SLOT_RANGE = 100_000
 
 
 def schedule(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Longest first to the least loaded shard (ties: smaller item, smaller shard)."""
+    """Shard of every (item, size): longest first to the least loaded shard (ties: smaller item, smaller shard)."""
     heap = [(0, s) for s in range(shards)]
     out = {}
     for size, item in sorted(((s, i) for i, s in items), key=lambda x: (-x[0], x[1])):

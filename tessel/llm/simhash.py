@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import stored
+from .store import boxed, stored, unboxed
 from .words import Words, slices
 
 SHINGLE = 3
@@ -261,7 +261,7 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     rows, roots = _classes(docs, shingle, distance, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("k").alias("k"))
     kept = (roots.join(rows.groupBy("fp").agg(F.min(order).alias("first")), "fp")
-            .groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.i").alias("_i"), F.col("first.k").alias("_h")))
-    keyed = docs.withColumn("_k", F.xxhash64(text_col))
-    return (keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")), "left_semi")
-            .dropDuplicates([id_col, "_k"]).select(*docs.columns))
+            .groupBy("root").agg(F.min("first").alias("first")).select("first.i", "first.k"))
+    keyed = boxed(docs, i=F.col(id_col).cast("long"), k=F.xxhash64(text_col))
+    return unboxed(keyed.alias("d").join(kept.alias("x"), F.col("d.i").eqNullSafe(F.col("x.i")) & (F.col("d.k") == F.col("x.k")), "left_semi")
+                   .dropDuplicates(["i", "k"]), docs.columns)

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 24_000
@@ -23,12 +23,12 @@ SHARDS = 6
 State = dict[str, np.ndarray]
 
 
-def id_remainder(id_col: str, modulus: int) -> F.Column:
+def id_remainder(id_col: str, modulus: int) -> Column:
     """``crc32`` of the id as text, modulo ``modulus``; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: F.Column, rows: int = SAMPLE_ROWS,
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text, y`` of at most ``rows`` labelled ids for which ``usable`` (an
     expression over the label table) holds. Repeated label rows count once;
