@@ -25,7 +25,7 @@ from .words import Words, folded, mix, slices
 FACTORS = 8
 STEMS = (4, 6)        # leading bytes of a word that are terms of their own: inflected words share them
 MIN_DOCS = 20         # documents of the sample a term must stand in
-MAX_TERMS = 1 << 18   # terms with parameters, the most frequent first
+MAX_TERMS = 1 << 16   # terms with parameters, the most frequent first
 RATE, REG_W, REG_V = 0.5, 1e-3, 1e-2
 EPOCHS = 6
 THRESHOLD = 0.5
@@ -110,8 +110,8 @@ def fit(sample: DataFrame, factors: int = FACTORS, epochs: int = EPOCHS) -> dict
 
     table = stored(sample.mapInArrow(rows, "id long, y int, terms array<long>"), "toxicity-sample")
     known = (table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "t").limit(MAX_TERMS).collect())
-    keys = np.sort(np.array([r["t"] for r in known], np.int64).view(np.uint64))
+             .filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "t").limit(MAX_TERMS).select("t").toPandas())
+    keys = np.sort(known["t"].to_numpy(np.int64).view(np.uint64))
     shipped = table.sparkSession.sparkContext.broadcast(keys)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +129,11 @@ def fit(sample: DataFrame, factors: int = FACTORS, epochs: int = EPOCHS) -> dict
     m = len(keys)
     # small deterministic vectors: the same start in every shard
     noise = (mix(np.arange(1, m * factors + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53) - 0.5
-    start = {"w0": np.zeros(1), "w": np.zeros(m), "v": noise.reshape(m, factors) * 0.002,
-             "g0": np.ones(1), "gw": np.ones(m), "gv": np.ones((m, factors))}
+    kind = np.float32  # what shards and driver exchange stays small
+    start = {"w0": np.zeros(1, kind), "w": np.zeros(m, kind), "v": (noise.reshape(m, factors) * 0.002).astype(kind),
+             "g0": np.ones(1, kind), "gw": np.ones(m, kind), "gv": np.ones((m, factors), kind)}
     state = training.mix_epochs(table.mapInArrow(numbered, "id long, y int, idx array<int>"), start, _train, epochs)
-    return {"keys": keys, "w0": state["w0"], "w": state["w"], "v": state["v"]}
+    return {"keys": keys} | {k: state[k].astype(np.float64) for k in ("w0", "w", "v")}
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], out_col: str = "score", text_col: str = "text") -> DataFrame:

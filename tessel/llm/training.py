@@ -72,12 +72,15 @@ def mix_epochs(features: DataFrame, start: State, step: Callable[[State, pd.Data
     for _ in range(epochs):
         shipped = spark.sparkContext.broadcast(_packed(state))
 
-        parts = [_unpacked(bytes(r["state"])) for r in
-                 keyed.groupBy("_shard").applyInPandas(_trainer(step, shipped), "state binary").collect()]
-        shipped.unpersist()
+        parts = keyed.groupBy("_shard").applyInPandas(_trainer(step, shipped), "state binary").collect()
         if not parts:
             return state
-        state = {k: np.mean([p[k] for p in parts], axis=0).astype(state[k].dtype) for k in state}
+        total = {k: np.zeros(v.shape) for k, v in state.items()}
+        for r in parts:
+            for k, v in _unpacked(bytes(r["state"])).items():
+                total[k] += v
+        state = {k: (total[k] / len(parts)).astype(v.dtype) for k, v in state.items()}
+        shipped.unpersist()
     return state
 
 
