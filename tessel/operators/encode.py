@@ -1,68 +1,112 @@
 """Sequences and encoders: vocabulary, fixed-length (pair) encoding, batch
 assignment, signed feature hashing, and batch inference (E1-E8).
 
-Fixed-length encoding keeps the per-row token lists bounded: tokens are cut to
-the length budget *before* they are exploded, looked up in the (size-checked,
-broadcast) vocabulary and regrouped, so no group exceeds ``max_len`` rows.
+Sequences and hashes are made inside the row: tokens come from a native regex,
+an Arrow batch looks every distinct token up once (in the size-checked,
+broadcast vocabulary, or by hashing it) and the row keeps its place. One output row
+per input row, whatever the keys; no explode and no shuffle. Only a vocabulary
+beyond the broadcast bound is joined by shuffle, keyed by a generated row id.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
+from ..session import checkpoint
 from . import sampling
 
 # Reserved ids of the vocabulary.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 RESERVED = [("[PAD]", PAD), ("[UNK]", UNK), ("[CLS]", CLS), ("[SEP]", SEP)]
 MAX_BROADCAST_VOCAB = 2_000_000  # rows of (token, id) that may be broadcast
+JOIN_SALTS = 16  # copies of a larger vocabulary in the join, so a hot token is split
 
 
 def fit_vocab(df: DataFrame, text_col: str = "text", max_size: int = 30_000) -> DataFrame:
     """``token, id, n``: the ``max_size`` most frequent tokens (ties by
-    token), ids after the reserved ones. Counting is a partial aggregate; the
-    ranking runs on the bounded top list only."""
-    counts = (df.select(F.explode(word_tokens(F.col(text_col))).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), F.col("token")).limit(max_size)
+    token), ids after the reserved ones. Counting is a partial aggregate; tokens
+    below the count that ``max_size`` tokens reach are left out before the ranking, so only
+    about that many rows are merged. The result is checkpointed: the corpus is
+    counted once however often the vocabulary is used."""
+    counts = checkpoint(df.select(F.explode(word_tokens(F.col(text_col))).alias("token"))
+                        .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    # the largest count that at least max_size tokens reach, from the counts of counts
+    hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("tokens"))
+    reach = hist.select("n", F.sum("tokens").over(Window.orderBy(F.desc("n"))).alias("at"))  # a row per distinct count
+    least = reach.filter(F.col("at") >= max_size).agg(F.max("n")).first()[0] or 0
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), F.col("token")).limit(max_size)
     w = Window.orderBy(F.desc("n"), F.col("token"))  # over <= max_size rows
-    return top.select("token", (F.row_number().over(w) + len(RESERVED) - 1).cast("int").alias("id"), "n")
-
-
-def _lookup(exploded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Token -> id (UNK when absent). The vocabulary is broadcast when its
-    counted size allows; a larger one is joined by shuffle instead."""
-    v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
-    if v.count() <= MAX_BROADCAST_VOCAB:
-        v = F.broadcast(v)
-    return (exploded.join(v, exploded["tok"] == v["_tok"], "left")
-            .withColumn("tid", F.coalesce(F.col("_id"), F.lit(UNK))).drop("_tok", "_id"))
-
-
-def _pad(arr: F.Column, max_len: int, value: int = PAD) -> F.Column:
+    return checkpoint(top.select("token", (F.row_number().over(w) + len(RESERVED) - 1).cast("int").alias("id"), "n"))
+
+
+def _distinct(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token lists of a batch: number of each token's distinct form, the forms, and list lengths."""
+    size = np.array([0 if t is None else len(t) for t in column], np.int64)
+    if not size.sum():
+        return np.zeros(0, np.int64), np.zeros(0, object), size
+    code, seen = pd.factorize(np.concatenate([t for t in column if t is not None and len(t)]))
+    return code, seen, size
+
+
+def token_ids(df: DataFrame, vocab: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with a column of token ids (``UNK`` for unknown tokens) for every given
+    column of token lists; an empty or null list gives an empty one."""
+    if vocab.count() > MAX_BROADCAST_VOCAB:
+        return _token_ids_by_join(df, vocab, columns)
+    known = vocab.select("token", "id").toPandas()  # size checked
+    shipped = df.sparkSession.sparkContext.broadcast(dict(zip(known["token"], known["id"].astype(int))))
+
+    @F.pandas_udf("array<int>")
+    def look(column: pd.Series) -> pd.Series:
+        ids = shipped.value
+        code, seen, size = _distinct(column)
+        flat = np.array([ids.get(t, UNK) for t in seen], np.int32)[code] if len(code) else np.zeros(0, np.int32)
+        return pd.Series(np.split(flat, np.cumsum(size)[:-1]) if len(size) else [])
+
+    return df.select("*", *[look(c).alias(name) for name, c in columns.items()])
+
+
+def _token_ids_by_join(df: DataFrame, vocab: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The same for a vocabulary too large to broadcast. The token of a hot word is salted by its row."""
+    rows = checkpoint(df.select("*", *[c.alias(name) for name, c in columns.items()])
+                      .withColumn("_rid", F.monotonically_increasing_id()))
+    salt = F.pmod(F.xxhash64("_rid"), F.lit(JOIN_SALTS)).cast("int")
+    parts = [rows.select("_rid", F.lit(name).alias("_col"), F.posexplode(name).alias("pos", "_tok")) for name in columns]
+    ex = parts[0]
+    for p in parts[1:]:
+        ex = ex.unionByName(p)
+    v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    tid = F.coalesce("_id", F.lit(UNK))
+    got = (ex.withColumn("_salt", salt).join(v, ["_tok", "_salt"], "left")
+           .groupBy("_rid").pivot("_col", list(columns))
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", tid.alias("t")))), lambda x: x["t"])))
+    out = rows.drop(*columns).join(got, "_rid", "left").drop("_rid")
+    return out.withColumns({c: F.coalesce(F.col(c), F.array().cast("array<int>")) for c in columns})
+
+
+def _pad(arr: Column, max_len: int, value: int = PAD) -> Column:
     return F.concat(arr, F.array_repeat(F.lit(value), F.lit(max_len) - F.size(arr)))
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: list[str], text_col: str = "text", max_len: int = 32) -> DataFrame:
-    """``key..., ids, mask`` of length ``max_len``: [CLS] tokens [SEP], truncated, padded."""
-    toks = F.slice(word_tokens(F.col(text_col)), 1, max_len - 2)
-    ex = df.select(*key, F.posexplode_outer(toks).alias("pos", "tok"))
-    looked = _lookup(ex, vocab)
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "tid"))
-    g = looked.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    body = F.transform("_l", lambda x: x["tid"])
-    ids = F.concat(F.array(F.lit(CLS)), body, F.array(F.lit(SEP)))
-    n = F.size(body) + 2
-    return g.select(*key, _pad(ids, max_len).alias("ids"),
-                    _pad(F.array_repeat(F.lit(1), n), max_len).alias("mask"))
-
-
-def pair_budget(la: F.Column, lb: F.Column, budget: int):
+    """``key..., ids, mask`` of length ``max_len``: [CLS] tokens [SEP],
+    truncated, padded. One row per input row, also where keys repeat."""
+    toks = F.slice(F.coalesce(word_tokens(F.col(text_col)), F.array().cast("array<string>")), 1, max_len - 2)
+    rows = token_ids(df.select(*key, text_col), vocab, {"_body": toks})
+    ids = F.concat(F.array(F.lit(CLS)), F.col("_body"), F.array(F.lit(SEP)))
+    return rows.select(*key, _pad(ids, max_len).alias("ids"),
+                       _pad(F.array_repeat(F.lit(1), F.size("_body") + 2), max_len).alias("mask"))
+
+
+def pair_budget(la: Column, lb: Column, budget: int):
     """Longest-first truncation of a pair to ``budget`` tokens (ties cut the
     second side): kept lengths of side a and side b."""
     half_up, half_down = (budget + 1) // 2, budget // 2
@@ -73,23 +117,18 @@ def pair_budget(la: F.Column, lb: F.Column, budget: int):
 
 def encode_pairs(df: DataFrame, vocab: DataFrame, key: list[str], a_col: str = "premise",
                  b_col: str = "hypothesis", max_len: int = 64) -> DataFrame:
-    """``key..., ids, type_ids, mask``: [CLS] a [SEP] b [SEP], longest-first truncation."""
-    ta, tb = word_tokens(F.col(a_col)), word_tokens(F.col(b_col))
-    base = df.select(*key, ta.alias("_a"), tb.alias("_b"))
-    ka, kb = pair_budget(F.size("_a"), F.size("_b"), max_len - 3)
-    base = base.select(*key, F.slice("_a", 1, ka).alias("_a"), F.slice("_b", 1, kb).alias("_b"))
-    side_a = base.select(*key, F.lit(0).alias("side"), F.posexplode_outer("_a").alias("pos", "tok"))
-    side_b = base.select(*key, F.lit(1).alias("side"), F.posexplode_outer("_b").alias("pos", "tok"))
-    looked = _lookup(side_a.unionByName(side_b), vocab)
-    item = F.when(F.col("pos").isNotNull(), F.struct("side", "pos", "tid"))
-    g = looked.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    a_ids = F.transform(F.filter("_l", lambda x: x["side"] == 0), lambda x: x["tid"])
-    b_ids = F.transform(F.filter("_l", lambda x: x["side"] == 1), lambda x: x["tid"])
-    ids = F.concat(F.array(F.lit(CLS)), a_ids, F.array(F.lit(SEP)), b_ids, F.array(F.lit(SEP)))
-    types = F.concat(F.array_repeat(F.lit(0), F.size(a_ids) + 2), F.array_repeat(F.lit(1), F.size(b_ids) + 1))
-    n = F.size(a_ids) + F.size(b_ids) + 3
-    return g.select(*key, _pad(ids, max_len).alias("ids"), _pad(types, max_len).alias("type_ids"),
-                    _pad(F.array_repeat(F.lit(1), n), max_len).alias("mask"))
+    """``key..., ids, type_ids, mask``: [CLS] a [SEP] b [SEP], longest-first
+    truncation. One row per input row, also where keys repeat."""
+    none = F.array().cast("array<string>")
+    base = df.select(*key, F.coalesce(word_tokens(F.col(a_col)), none).alias("_ta"),
+                     F.coalesce(word_tokens(F.col(b_col)), none).alias("_tb"))
+    ka, kb = pair_budget(F.size("_ta"), F.size("_tb"), max_len - 3)
+    rows = token_ids(base, vocab, {"_a": F.slice("_ta", 1, ka), "_b": F.slice("_tb", 1, kb)})
+    ids = F.concat(F.array(F.lit(CLS)), F.col("_a"), F.array(F.lit(SEP)), F.col("_b"), F.array(F.lit(SEP)))
+    types = F.concat(F.array_repeat(F.lit(0), F.size("_a") + 2), F.array_repeat(F.lit(1), F.size("_b") + 1))
+    n = F.size("_a") + F.size("_b") + 3
+    return rows.select(*key, _pad(ids, max_len).alias("ids"), _pad(types, max_len).alias("type_ids"),
+                       _pad(F.array_repeat(F.lit(1), n), max_len).alias("mask"))
 
 
 def assign_batches(df: DataFrame, size: int, order_by: list[str], drop_last: bool = False) -> DataFrame:
@@ -103,45 +142,39 @@ def assign_batches(df: DataFrame, size: int, order_by: list[str], drop_last: boo
     return out.drop("idx")
 
 
-def token_bucket(tok: F.Column, dim: int) -> F.Column:
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-
-
-def token_sign(tok: F.Column) -> F.Column:
-    nib = F.conv(F.substring(F.md5(tok), 9, 1), 16, 10).cast("int")
-    return F.when(nib % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
-def hash_encode(df: DataFrame, key, text_col: str = "text", dim: int = 64, out_col: str = "vec",
-                dense_limit: int = 256) -> DataFrame:
-    """Signed feature hashing of word tokens into ``dim`` buckets
-    (md5-based, identical in SQL), L2-normalised; no tokens -> zero vector.
-
-    Up to ``dense_limit`` buckets, one aggregate per row builds the dense vector
-    directly (conditional sums, codegen, partial aggregation map-side, one
-    shuffle). Wider vectors go through sparse (row, bucket) cells first, so
-    per-token work stays O(1); either way a group holds at most ``dim`` cells.
-    """
+def _cells(tokens, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of tokens: the first 32 bits of the md5, and its next hex digit's parity."""
+    digests = [hashlib.md5(t.encode("utf-8")).hexdigest() for t in tokens]
+    return (np.array([int(d[:8], 16) % dim for d in digests], np.int64),
+            np.array([1.0 if int(d[8], 16) % 2 == 0 else -1.0 for d in digests]))
+
+
+def hash_vector(tokens: Column, dim: int = 64) -> Column:
+    """E6 as a column: signed feature hashing of token lists, L2-normalised, no tokens -> zero vector."""
+    @F.pandas_udf("array<double>")
+    def hashed(column: pd.Series) -> pd.Series:
+        code, seen, size = _distinct(column)
+        bucket, sign = _cells(seen, dim)
+        out = []
+        for a in range(0, len(size), rows := max(1, (4 << 20) // dim)):
+            part = size[a:a + rows]
+            lo = int(size[:a].sum())
+            own = code[lo:lo + int(part.sum())]
+            cell = np.repeat(np.arange(len(part)), part) * dim + (bucket[own] if len(own) else 0)
+            v = np.bincount(cell, sign[own] if len(own) else None, len(part) * dim).reshape(len(part), dim).astype(float)
+            n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            out += list(np.divide(v, n, out=v, where=n > 0))
+        return pd.Series(out)
+
+    return hashed(tokens)
+
+
+def hash_encode(df: DataFrame, key, text_col: str = "text", dim: int = 64, out_col: str = "vec") -> DataFrame:
+    """``key..., vec``: signed feature hashing of word tokens into ``dim``
+    buckets (md5-based, identical in SQL), L2-normalised; no tokens -> zero vector.
+    One row per input row, also where keys repeat."""
     key = [key] if isinstance(key, str) else list(key)
-    ex = df.select(*key, F.explode_outer(word_tokens(F.col(text_col))).alias("tok"))
-    cells = ex.select(*key, token_bucket(F.col("tok"), dim).alias("b"), token_sign(F.col("tok")).alias("s"))
-    if dim <= dense_limit:
-        per_row = cells.groupBy(*key).agg(F.array(*[
-            F.coalesce(F.sum(F.when(F.col("b") == i, F.col("s"))), F.lit(0.0)) for i in range(dim)]).alias("_d"))
-        nrm = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, x: a + x * x))
-        per_row = per_row.select(*key, "_d", nrm.alias("_n"))
-    else:
-        sparse = cells.groupBy(*key, "b").agg(F.sum(F.when(F.col("b").isNotNull(), F.col("s"))).alias("v"))
-        item = F.when(F.col("b").isNotNull(), F.struct("b", "v"))
-        g = sparse.groupBy(*key).agg(F.map_from_entries(F.collect_list(item)).alias("_m"),
-                                     F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).alias("_n"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                            lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
-        per_row = g.select(*key, dense.alias("_d"), "_n")
-    # the norm is passed in as an array so the lambda does not re-evaluate it per element
-    norm = F.array_repeat(F.col("_n"), dim)
-    vec = F.zip_with("_d", norm, lambda x, n: F.when(n == 0, x).otherwise(x / n))
-    return per_row.select(*key, vec.alias(out_col))
+    return df.select(*key, hash_vector(word_tokens(F.col(text_col)), dim).alias(out_col))
 
 
 # ------------------------------------------------------------- batch inference
@@ -153,21 +186,12 @@ def numpy_text_encoder(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.
     same shape (load once, then ``texts -> [batch, dim]``) plugs into ``embed``;
     a real model goes here."""
     def make():
-        import hashlib
-
         import regex
         tok = regex.compile(r"[\p{L}\p{N}]+")
 
-        memo: dict[str, tuple[int, float]] = {}  # token -> (bucket, sign), bounded below
-
         def cell(w: str) -> tuple[int, float]:
-            got = memo.get(w)
-            if got is None:
-                if len(memo) > 1_000_000:
-                    memo.clear()
-                h = hashlib.md5(w.encode("utf-8")).hexdigest()
-                got = memo[w] = (int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
-            return got
+            b, sgn = _cells([w], dim)
+            return int(b[0]), float(sgn[0])
 
         def predict(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float64)
@@ -194,6 +218,32 @@ def embed(df: DataFrame, text_col: str = "text", encoder=None, batch_size: int =
     return df.withColumn(out_col, udf(F.col(text_col)))
 
 
+def mean_embedding_encoder(vocab_size: int, dim: int = 16):
+    """Stand-in sequence encoder factory: a fixed table of token vectors
+    (``sin(id * (j + 1))``), averaged where the mask is 1. A model that reads ids and
+    a mask has the same shape."""
+    def make():
+        table = np.sin(np.arange(vocab_size)[:, None] * (np.arange(dim)[None, :] + 1.0))
+
+        def predict(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            m = mask.astype(float)
+            total = np.einsum("bs,bsd->bd", m, table[ids.astype(np.int64)])
+            return total / np.maximum(m.sum(axis=1, keepdims=True), 1.0)
+        return predict
+    return make
+
+
+def embed_encoded(df: DataFrame, encoder, max_len: int, batch_size: int = 64, ids_col: str = "ids",
+                  mask_col: str = "mask", out_col: str = "vec") -> DataFrame:
+    """E5/E8 on encoded rows (the output of ``encode``): the model gets an id
+    matrix and a mask of ``max_len`` columns."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+    udf = predict_batch_udf(encoder, return_type=ArrayType(DoubleType()), batch_size=batch_size,
+                            input_tensor_shapes=[[max_len], [max_len]])
+    return df.withColumn(out_col, udf(F.col(ids_col), F.col(mask_col)))
+
+
 def image_encoder(dim: int = 64):
     """Stand-in image encoder factory: byte histogram folded to ``dim`` bins."""
     def make():

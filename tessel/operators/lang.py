@@ -15,29 +15,30 @@ to 6 places wins, ties to the smaller language code. A document with no
 in-vocabulary gram (e.g. no letters) gets no language (L5).
 
 Plan: grams are produced per document by one linear regex pass (no per-position
-substring, whole texts); the profile (one row per gram, one weight column per
-language) is joined by broadcast when its checked size allows, else by a
-salted shuffle join so a gram that occurs in a third of all documents is spread
-over many tasks. All language scores of a document come out of one aggregate
-that is partially combined map-side before its shuffle.
+substring, whole texts). The profile is long (gram, language, weight). While its
+counted size allows, it is broadcast and a document is scored inside its row:
+an Arrow batch looks every distinct gram up once and sums the weight rows, so
+there is no explode, no join and no shuffle. A larger profile is joined by
+shuffle: grams are counted per row first, and rows are salted by their own id so a
+gram that occurs in a third of all documents is spread over many tasks.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import URL_PATTERN
 from ..session import checkpoint
 
-# Cells (grams x (languages + 1)) of the profile that may be broadcast: each
-# cell is at most ~16 bytes, so the bound keeps the broadcast under ~160 MB.
+# Cells (grams x languages) of the profile that may be broadcast: 8 bytes each,
+# so the bound keeps the broadcast under ~80 MB.
 BROADCAST_PROFILE_CELLS = 10_000_000
-MAX_LANGUAGES = 500
-SALT_BUCKETS = 32
+ROWS_PER_SALT = 1_000_000  # grams of one kind that one task of the salted join meets, about
 
 GRAM_PATTERN = r"(?=(.\p{L}.))"
 
@@ -70,108 +71,118 @@ def gram_counts(df: DataFrame, text_col: str, by: list[str]) -> DataFrame:
 
 @dataclass
 class LanguageProfile:
-    grams: DataFrame   # gram, w0..w{L-1}: ln(c_lg + 1) per language (0.0 when unseen)
-    langs: list        # language codes, sorted (bounded model metadata)
-    lden: list         # ln(n_l + V) per language, same order
-    rows: int          # row count of ``grams`` (checked before any broadcast)
+    grams: DataFrame   # gram, lang, w: ln(c_lg + 1) for every seen pair
+    langs: DataFrame   # lang, lden: ln(n_l + V)
+    rows: int          # distinct grams V (checked before any broadcast)
+    n_langs: int
 
 
 def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str = "lang",
                          min_count: int = 1) -> LanguageProfile:
-    """L2: learn the profile from labelled rows (whole texts).
+    """L2: learn the profile from labelled rows (whole texts), for any number of languages.
 
-    The language list is read first (a scan of one column, bounded by
-    ``MAX_LANGUAGES``); the gram occurrences are then counted per gram with one
-    conditional count per language in a single aggregation (partial counts
-    map-side), checkpointed once. Stored wide: one row per vocabulary gram with
-    one weight column per language, so scoring joins each occurrence once.
-
-    ``min_count`` > 1 keeps only grams seen at least that often in all (a
-    model choice, as published detector profiles drop rare grams) to keep a
-    many-language profile within the broadcast bound; the default keeps all.
+    One count per (gram, language), partially aggregated before its shuffle and
+    checkpointed once. ``min_count`` > 1 keeps only grams seen at least that often
+    in all (a model choice, as published detector profiles drop rare grams); the
+    default keeps all.
     """
-    labelled = train.filter(F.col(lang_col).isNotNull())
-    found = labelled.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not found:
-        raise ValueError("fit_language_profile: no labelled rows")
-    langs = sorted(r[0] for r in found)
-    occ = labelled.select(F.col(lang_col).alias("lang"), F.explode(gram_array(F.col(text_col))).alias("gram"))
-    counts = occ.groupBy("gram").agg(
-        *[F.count(F.when(F.col("lang") == F.lit(l), 1)).alias(f"c{i}") for i, l in enumerate(langs)])
+    counts = gram_counts(train.filter(F.col(lang_col).isNotNull()).withColumn("lang", F.col(lang_col)), text_col, ["lang"])
     if min_count > 1:
-        total = sum((F.col(f"c{i}") for i in range(len(langs))), F.lit(0))
-        counts = counts.filter(total >= min_count)
+        often = counts.groupBy("gram").agg(F.sum("n").alias("_t")).filter(F.col("_t") >= min_count).select("gram")
+        counts = counts.join(often, "gram")
     counts = checkpoint(counts)
-    st = counts.agg(F.count(F.lit(1)).alias("v"),
-                    *[F.sum(f"c{i}").alias(f"n{i}") for i in range(len(langs))]).first()
-    n_vocab = st["v"]  # V
-    lden = [math.log(st[f"n{i}"] + n_vocab) for i in range(len(langs))]
-    grams = counts.select("gram", *[F.log(F.col(f"c{i}") + F.lit(1.0)).alias(f"w{i}") for i in range(len(langs))])
-    return LanguageProfile(grams, langs, lden, n_vocab)
-
-
-def _join_profile(occ: DataFrame, profile: LanguageProfile, id_col: str) -> DataFrame:
-    cells = profile.rows * (len(profile.langs) + 1)
-    if cells <= BROADCAST_PROFILE_CELLS:
-        return occ.join(F.broadcast(profile.grams), "gram")
-    # Salted shuffle join: the document side picks one of SALT_BUCKETS per doc,
-    # the profile side is copied to every bucket, so a hot gram is split.
-    salted = occ.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALT_BUCKETS)))
-    prof = profile.grams.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
-    return salted.join(prof, ["gram", "_salt"]).drop("_salt")
-
-
-def detect_language(df: DataFrame, profile: LanguageProfile, id_col: str = "id",
-                    text_col: str = "text", out_col: str = "detected") -> DataFrame:
-    """L3: ``id_col, out_col`` for every row with at least one vocabulary gram
-    (rows without one are absent = undetectable, L5).
-
-    One join row per in-vocabulary gram occurrence, one aggregate per document
-    (partial sums are combined map-side, so only one row per document and
-    partition is shuffled)."""
-    occ = char_ngrams(df, id_col, text_col)
-    joined = _join_profile(occ, profile, id_col)
-    k = len(profile.langs)
-    sums = [F.sum(f"w{i}").alias(f"s{i}") for i in range(k)]
-    per_doc = joined.groupBy(id_col).agg(F.count(F.lit(1)).alias("_m"), *sums)
-    cands = F.array(*[
-        F.when(F.col(f"s{i}") > 0, F.struct(
-            (-F.round(F.col(f"s{i}") - F.col("_m") * F.lit(profile.lden[i]), 6)).alias("k"),
-            F.lit(l).alias("lang")))
-        for i, l in enumerate(profile.langs)])
-    best = F.array_min(F.filter(cands, lambda x: x.isNotNull()))["lang"]
-    return per_doc.select(F.col(id_col), best.alias(out_col))
-
-
-def with_language(df: DataFrame, profile: LanguageProfile, id_col: str = "id",
-                  text_col: str = "text", out_col: str = "lang", where=None) -> DataFrame:
-    """Attach the detected language to rows (only rows meeting ``where`` are scored).
-
-    Scores are keyed by a digest of (id, text), not the id alone, so raw rows
-    that share an id but differ in text are detected separately (as the
-    per-row source does), while identical rows get the same answer.
-    """
-    key = F.sha2(F.concat_ws("\u0001", F.col(id_col).cast("string"), F.col(text_col)), 256)
-    keyed = df.withColumn("_rk", key)
-    cand = keyed if where is None else keyed.filter(where)
-    det = detect_language(cand.select("_rk", text_col), profile, "_rk", text_col, out_col)
-    # hash the small side (one short row per document) instead of sorting the text side
-    return keyed.join(det.hint("shuffle_hash"), "_rk", "left").drop("_rk")
+    n_vocab = counts.select("gram").distinct().count()  # V
+    if not n_vocab:
+        raise ValueError("fit_language_profile: no labelled rows with letters")
+    langs = checkpoint(counts.groupBy("lang").agg(F.log(F.sum("n") + F.lit(n_vocab)).alias("lden")))
+    grams = counts.select("gram", "lang", F.log(F.col("n") + F.lit(1.0)).alias("w"))
+    return LanguageProfile(grams, langs, n_vocab, langs.count())
+
+
+def _detect_in_row(df: DataFrame, profile: LanguageProfile, text_col: str, out_col: str) -> DataFrame:
+    """Score inside the row with the broadcast profile."""
+    langs = profile.langs.orderBy("lang").toPandas()  # size checked: V x languages <= BROADCAST_PROFILE_CELLS
+    pairs = profile.grams.toPandas()
+    names = langs["lang"].to_numpy(object)
+    grams, row = np.unique(pairs["gram"].to_numpy(str), return_inverse=True)
+    weight = np.zeros((len(grams) + 1, len(names)))  # the last row: grams outside the vocabulary
+    weight[row, np.searchsorted(names.astype(str), pairs["lang"].to_numpy(str))] = pairs["w"]
+    shipped = df.sparkSession.sparkContext.broadcast((grams, weight, langs["lden"].to_numpy(), names))
+
+    @F.pandas_udf("string")
+    def detected(column: pd.Series) -> pd.Series:
+        grams, weight, lden, names = shipped.value
+        size = np.array([0 if g is None else len(g) for g in column], np.int64)
+        out = np.full(len(column), None, object)
+        if not size.sum():
+            return pd.Series(out)
+        code, seen = pd.factorize(np.concatenate([g for g in column if g is not None and len(g)]))
+        at = np.searchsorted(grams, seen.astype(str))
+        at[at == len(grams)] = 0
+        known = np.where(grams[at] == seen.astype(str), at, len(grams))[code]
+        has = np.flatnonzero(size)
+        start = np.concatenate([[0], np.cumsum(size[has])[:-1]])
+        step = max(1, (4 << 20) // max(1, len(names)))  # occurrences whose weight rows are held at once
+        score = np.zeros((len(has), len(names)))
+        m = np.add.reduceat((known < len(grams)).astype(np.int64), start)
+        doc = np.repeat(np.arange(len(has)), size[has])
+        for a in range(0, len(known), step):
+            d = doc[a:a + step]
+            first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            score[d[first]] += np.add.reduceat(weight[known[a:a + step]], first, axis=0)
+        key = np.where(score > 0, np.round(score - m[:, None] * lden[None, :], 6), -np.inf)
+        best = key.argmax(axis=1)  # names are sorted: the smaller code wins ties
+        ok = m > 0
+        out[has[ok]] = names[best[ok]]
+        return pd.Series(out)
+
+    return df.withColumn(out_col, detected(gram_array(F.col(text_col))))
+
+
+def _detect_by_join(df: DataFrame, profile: LanguageProfile, text_col: str, out_col: str) -> DataFrame:
+    """The same by shuffle: per-row gram counts joined with the long profile."""
+    rows = checkpoint(df.withColumn("_rid", F.monotonically_increasing_id()))
+    counts = (rows.select("_rid", F.explode(gram_array(F.col(text_col))).alias("gram"))
+              .groupBy("_rid", "gram").agg(F.count(F.lit(1)).alias("n")))
+    # the hottest gram stands in at most every row: so many salts share it
+    salts = max(1, -(-rows.count() // ROWS_PER_SALT))
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("_rid"), F.lit(salts)))
+    prof = (profile.grams.groupBy("gram").agg(F.collect_list(F.struct("lang", "w")).alias("lw"))
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))))
+    hits = salted.join(prof, ["gram", "_salt"]).select("_rid", "n", "lw")
+    m = hits.groupBy("_rid").agg(F.sum("n").alias("m"))
+    s = (hits.select("_rid", "n", F.explode("lw").alias("x")).groupBy("_rid", F.col("x.lang").alias("lang"))
+         .agg(F.sum(F.col("n") * F.col("x.w")).alias("s")).filter("s > 0"))
+    scored = s.join(m, "_rid").join(profile.langs, "lang")
+    key = F.struct((-F.round(F.col("s") - F.col("m") * F.col("lden"), 6)).alias("k"), F.col("lang").alias("lang"))
+    best = scored.groupBy("_rid").agg(F.min(key)["lang"].alias(out_col))
+    return rows.drop(out_col).join(best, "_rid", "left").drop("_rid")
+
+
+def detect_language(df: DataFrame, profile: LanguageProfile, text_col: str = "text", out_col: str = "detected") -> DataFrame:
+    """L3: every row of ``df`` with its language in ``out_col``; null where no gram
+    is in the vocabulary (undetectable, L5). Rows are scored one by one, so rows that
+    share an id keep a language each."""
+    cells = profile.rows * profile.n_langs
+    detect = _detect_in_row if cells <= BROADCAST_PROFILE_CELLS else _detect_by_join
+    return detect(df, profile, text_col, out_col)
+
+
+def with_language(df: DataFrame, profile: LanguageProfile, text_col: str = "text", out_col: str = "lang", where=None) -> DataFrame:
+    """Attach the detected language to rows (only rows meeting ``where`` are scored)."""
+    if where is None:
+        return detect_language(df, profile, text_col, out_col)
+    scored = detect_language(df.withColumn("_scored", F.when(where, F.col(text_col))), profile, "_scored", out_col)
+    return scored.drop("_scored")
 
 
 def save_profile(profile: LanguageProfile, path: str, mode: str = "overwrite") -> None:
-    """Write a profile: the gram table as Parquet plus its (small) language
-    metadata as one JSON row, so it can be trained once and reused."""
-    spark = profile.grams.sparkSession
+    """Write a profile: gram weights and language denominators as Parquet, so it
+    can be trained once and reused."""
     profile.grams.write.mode(mode).parquet(f"{path}/grams")
-    meta = spark.createDataFrame([(profile.langs, profile.lden, profile.rows)],
-                                 "langs array<string>, lden array<double>, rows long")
-    meta.coalesce(1).write.mode(mode).json(f"{path}/meta")
+    profile.langs.write.mode(mode).parquet(f"{path}/langs")
 
 
 def load_profile(spark, path: str) -> LanguageProfile:
-    meta = spark.read.schema("langs array<string>, lden array<double>, rows long").json(f"{path}/meta").first()
-    return LanguageProfile(spark.read.parquet(f"{path}/grams"), list(meta["langs"]), list(meta["lden"]),
-                           meta["rows"])
+    grams, langs = spark.read.parquet(f"{path}/grams"), spark.read.parquet(f"{path}/langs")
+    return LanguageProfile(grams, langs, grams.select("gram").distinct().count(), langs.count())

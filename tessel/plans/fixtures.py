@@ -16,8 +16,9 @@ from ..session import load, spread
 
 POSTS_CTE = """posts as (
   select concat('p', cast(doc_id as string)) as id, lang,
-    case when doc_id % 5 = 0 then null when doc_id % 11 = 0 then 'NA' else substr(text, 1, 60) end as headline,
-    case when doc_id % 7 = 0 then null
+    case when doc_id % 5 = 0 then null when doc_id % 11 = 0 then 'NA'
+         when doc_id % 17 = 0 then concat('2021 - 07 - 0', cast(doc_id as string), ' / 12 : 30') else text end as headline,
+    case when doc_id % 7 = 0 or doc_id % 17 = 0 then null
          when doc_id % 3 = 0 then concat(text, ' https://ex.org/', cast(doc_id as string), chr(10), 'tail word')
          when doc_id % 3 = 1 then concat(text, chr(9), 'http://ex.org/a?b=', cast(doc_id as string), ' end ')
          else text end as related_text,
@@ -34,8 +35,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sid = k.cast("string")
     null = F.lit(None).cast("string")
     headline = (F.when(k % 5 == 0, null).when(k % 11 == 0, F.lit("NA"))
-                .otherwise(F.substring("text", 1, 60)))
-    related = (F.when(k % 7 == 0, null)
+                .when(k % 17 == 0, F.concat(F.lit("2021 - 07 - 0"), sid, F.lit(" / 12 : 30")))  # no letter: no language
+                .otherwise(F.col("text")))
+    related = (F.when((k % 7 == 0) | (k % 17 == 0), null)
                .when(k % 3 == 0, F.concat("text", F.lit(" https://ex.org/"), sid, F.lit("\n"), F.lit("tail word")))
                .when(k % 3 == 1, F.concat("text", F.lit("\t"), F.lit("http://ex.org/a?b="), sid, F.lit(" end ")))
                .otherwise(F.col("text")))

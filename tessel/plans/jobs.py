@@ -27,8 +27,7 @@ def prepare_posts(spark: SparkSession, posts: DataFrame, out_dir: str, keep_lang
     """
     pre = text_ops.choose_text(posts, min_tokens)
     if profile is not None:
-        pre = L.with_language(pre.drop("lang") if "lang" in pre.columns else pre, profile, "id", "text", "lang",
-                              where=F.col("reason").isNull())
+        pre = L.with_language(pre.drop("lang") if "lang" in pre.columns else pre, profile, where=F.col("reason").isNull())
     tagged = text_ops.tag_language(pre, keep_language)
     paths = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("tagged", "clean", "corpus", "counts", "rejects")}
     tagged.write.mode("overwrite").parquet(paths["tagged"])

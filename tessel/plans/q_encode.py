@@ -57,6 +57,24 @@ def encode_text(spark, sf_dir):
     return enc.encode(_conv(spark, sf_dir), _vocab(spark, sf_dir), ["conv_id", "turn"], "text", 32)
 
 
+@register("encode_text_shared_keys", _ENC + f"""
+select conv_id, {_pad_sql('list_concat([2], body, [3])', 32)} as ids from rows_""")
+def encode_text_shared_keys(spark, sf_dir):
+    """Keyed by the conversation alone: every turn keeps its own sequence."""
+    return enc.encode(_conv(spark, sf_dir), _vocab(spark, sf_dir), ["conv_id"], "text", 32).select("conv_id", "ids")
+
+
+@register("embed_encoded", _ENC + """
+, m as (select conv_id, turn, list_concat([2], body, [3]) as l from rows_)
+select conv_id, turn, list_transform(range(16), lambda j: round(list_sum(list_transform(l, lambda i: sin(cast(i as double) * (j + 1)))) / len(l), 6)) as vec
+from m""")
+def embed_encoded(spark, sf_dir):
+    """E5 fed with the ids and the mask of E2."""
+    rows = enc.encode(_conv(spark, sf_dir), _vocab(spark, sf_dir), ["conv_id", "turn"], "text", 32)
+    out = enc.embed_encoded(rows, enc.mean_embedding_encoder(VOCAB_SIZE + 4, 16), 32)
+    return out.select("conv_id", "turn", V.round_vec("vec", 6).alias("vec"))
+
+
 _PAIRS = with_ctes(_VOCAB, fx.PAIRS_CTE, f"""pt as (select pair_id, {tok_sql('premise')} as a, {tok_sql('hypothesis')} as b from pairs)""",
                    """cut as (select pair_id, a[1:least(len(a), greatest(31, 61 - len(b)))] as a,
   b[1:least(len(b), greatest(30, 61 - len(a)))] as b from pt)""",
@@ -109,6 +127,14 @@ def hash_encode(spark, sf_dir):
     return h.select("conv_id", "turn", V.round_vec("vec", 6).alias("vec"))
 
 
+@register("hash_encode_shared_keys", _HASH + """
+select g.conv_id, list(round(case when n.n = 0 then g.v else g.v / n.n end, 6) order by g.i) as vec
+from grid g join nrm n on n.conv_id = g.conv_id and n.turn = g.turn group by g.conv_id, g.turn""")
+def hash_encode_shared_keys(spark, sf_dir):
+    h = enc.hash_encode(_conv(spark, sf_dir), "conv_id", "text", 64)
+    return h.select("conv_id", V.round_vec("vec", 6).alias("vec"))
+
+
 @register("embed_batch", _HASH + """
 select g.conv_id, g.turn, list(round(case when n.n = 0 then g.v else g.v / n.n end, 6) order by g.i) as vec
 from grid g join nrm n on n.conv_id = g.conv_id and n.turn = g.turn group by g.conv_id, g.turn""")

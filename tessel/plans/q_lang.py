@@ -69,8 +69,16 @@ _DETECT_HELD_OUT = with_ctes(grams_cte("documents", "doc_id", "text", ", lang"),
 select d.doc_id, d.lang, b.detected from documents d left join best b on d.doc_id = b.doc_id""")
 def detect_language(spark, sf_dir):
     d = _documents(spark, sf_dir)
-    det = L.detect_language(d, _profile(spark, sf_dir), "doc_id", "text")
-    return d.select("doc_id", "lang").join(det.hint("shuffle_hash"), "doc_id", "left")
+    return L.detect_language(d, _profile(spark, sf_dir)).select("doc_id", "lang", "detected")
+
+
+@register("detect_language_shared_ids", _DETECT + """
+select d.doc_id % 7 as id, b.detected, count(*) as n from documents d left join best b on d.doc_id = b.doc_id group by all""")
+def detect_language_shared_ids(spark, sf_dir):
+    """Rows that share an id keep a language each."""
+    d = _documents(spark, sf_dir).withColumn("id", F.col("doc_id") % 7).select("id", "text")
+    det = L.detect_language(d, _profile(spark, sf_dir))
+    return det.groupBy("id", "detected").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("language_accuracy", _DETECT_HELD_OUT + """
@@ -81,8 +89,7 @@ def language_accuracy(spark, sf_dir):
     """Every document scored by a profile learnt from the even ids; accuracy
     reported for the training part and the held-out (odd) part."""
     d = _documents(spark, sf_dir)
-    det = L.detect_language(d, _profile(spark, sf_dir, held_out=True), "doc_id", "text")
-    j = d.select("doc_id", "lang").join(det.hint("shuffle_hash"), "doc_id", "left")
+    j = L.detect_language(d, _profile(spark, sf_dir, held_out=True))
     part = F.when(F.col("doc_id") % 2 == 0, F.lit("train")).otherwise(F.lit("held_out"))
     return j.groupBy("lang", part.alias("part")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -109,8 +116,7 @@ _POSTS_DETECT = with_ctes(
 
 def _posts_detected(spark, sf_dir):
     pre = text_ops.choose_text(fx.posts(spark, sf_dir).drop("lang"))
-    tagged = L.with_language(pre, _profile(spark, sf_dir), "id", "text", "lang",
-                             where=F.col("reason").isNull())
+    tagged = L.with_language(pre, _profile(spark, sf_dir), where=F.col("reason").isNull())
     return text_ops.tag_language(tagged, keep_language="de")
 
 

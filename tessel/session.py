@@ -11,6 +11,8 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+SPREAD_BELOW = 16  # inputs of at least so many splits are never dealt anew
+
 
 def get_spark(master: str | None = None, app: str = "tessel",
               shuffle_partitions: int | None = None) -> SparkSession:
@@ -73,22 +75,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a frame only when it has fewer partitions than cores.
+    """Deal the (already projected) rows of a small input to more tasks.
 
-    Large inputs arrive split into many files/row groups and are left alone (no
-    shuffle, filters keep reaching the scan). A small single-row-group file
-    would otherwise run all heavy per-row work (regex, explode) in one task:
-    it is spread and cached, because Catalyst would push a filter (and the
-    regexes inside it) back below a bare repartition, into the one scan task.
+    A file that is a single row group is one input split, and all heavy work per
+    row (regex, explode) would run in one task. The number of partitions is only
+    ever raised, to the session's shuffle partitions; inputs with as many splits
+    keep them, without a shuffle. Nothing is cached.
     """
+    want = min_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the plan as is
         return df
-    if have < want:
-        return df.repartition(want).cache()
-    return df
+    return df.repartition(want) if have < min(want, SPREAD_BELOW) else df
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

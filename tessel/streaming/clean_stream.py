@@ -33,8 +33,7 @@ def _posts_with_lang():
 def clean_batch(batch: DataFrame, keep_language: str | None, profile: L.LanguageProfile | None) -> DataFrame:
     pre = text_ops.choose_text(batch)
     if profile is not None:
-        pre = L.with_language(pre.drop("lang") if "lang" in pre.columns else pre, profile, "id", "text",
-                              "lang", where=F.col("reason").isNull())
+        pre = L.with_language(pre.drop("lang") if "lang" in pre.columns else pre, profile, where=F.col("reason").isNull())
     return text_ops.tag_language(pre, keep_language)
 
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tessel.plans import registry
 from tessel.session import TABLES
 
 from conftest import SF_SMALL
@@ -49,5 +50,5 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_or_is_listed():
-    no_oracle = set(E.queries()) - set(E.oracle_sql())
+    no_oracle = set(registry.queries()) - set(registry.oracle_sql())
     assert no_oracle == {"project_2d", "pair_classifier"}

@@ -1,10 +1,14 @@
 """Physical-plan checks: native expressions, pushdown/pruning, no single-partition exchange."""
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from tessel import session
 from tessel.operators import encode as enc
+from tessel.plans import registry
 from tessel.session import load
 
 from conftest import SF_SMALL
@@ -19,10 +23,12 @@ def test_clean_posts_has_no_python(spark):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
-def test_language_detection_is_native_and_broadcast(spark):
-    p = plan(E.queries()["detect_language"](spark, SF_SMALL))
-    assert "Python" not in p
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+def test_rows_are_encoded_and_scored_in_place(spark):
+    """No exchange on the row's key: sequences, hashes and language scores stay in their row."""
+    for name in ("detect_language", "encode_text", "hash_encode"):
+        p = plan(E.queries()[name](spark, SF_SMALL))
+        assert "hashpartitioning(doc_id" not in p and "hashpartitioning(conv_id" not in p, name
+        assert "Join" not in p, name
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark):
@@ -61,21 +67,6 @@ def test_all_pairs_plans_have_no_cross_join(spark):
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
 
-def test_bucketed_documents_need_no_exchange_for_detection(spark):
-    import tempfile
-    from tessel.operators import lang as L
-    d = load(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
-    path = tempfile.mkdtemp(prefix="tessel-bucket-", dir="/tmp")
-    (d.write.mode("overwrite").bucketBy(4, "doc_id").sortBy("doc_id")
-     .option("path", path + "/docs").saveAsTable("tessel_docs_bucketed"))
-    b = spark.table("tessel_docs_bucketed")
-    prof = L.fit_language_profile(d)
-    p = plan(L.detect_language(b, prof, "doc_id", "text"))
-    assert "hashpartitioning(doc_id" not in p
-    assert L.detect_language(b, prof, "doc_id", "text").count() == d.count()
-    spark.sql("drop table tessel_docs_bucketed")
-
-
 def test_language_filter_reaches_the_scan(spark):
     import tempfile
     from tessel.operators import text as ops
@@ -86,8 +77,22 @@ def test_language_filter_reaches_the_scan(spark):
     assert "EqualTo(lang,de)" in p
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
-def test_every_query_reads_the_given_tables(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    text = df._jdf.queryExecution().toString()
-    assert SF_SMALL in text or "ExistingRDD" in text, name  # checkpointed data derived from the tables
+def test_dedup_aggregates_by_hash(spark):
+    p = plan(E.queries()["dedup_text"](spark, SF_SMALL))
+    assert "SortAggregate" not in p and "HashAggregate" in p
+
+
+def test_spread_keeps_pruning_and_caches_nothing(spark):
+    p = plan(E.queries()["file_stems"](spark, SF_SMALL))
+    assert "InMemoryTableScan" not in p and "text" not in p.split("ReadSchema")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_every_query_reads_the_given_tables(spark, name, monkeypatch):
+    """The tables are opened below the given folder; what is checkpointed comes from them."""
+    opened = []
+    real = session.load
+    for m in [m for n, m in sys.modules.items() if n.startswith("tessel.") and getattr(m, "load", None) is real]:
+        monkeypatch.setattr(m, "load", lambda spark, sf_dir, table: opened.append(sf_dir) or real(spark, sf_dir, table))
+    registry.queries()[name](spark, SF_SMALL)
+    assert opened and set(opened) == {SF_SMALL}, name

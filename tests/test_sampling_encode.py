@@ -95,11 +95,28 @@ def test_embed_batch_runs(spark):
     assert len(out) == 50 and all(len(r.vec) == 64 for r in out)
 
 
-def test_hash_encode_dense_and_sparse_paths_agree(spark):
-    df = spark.createDataFrame([(1, "alpha beta beta gamma"), (2, "delta"), (3, "")], "k long, text string")
-    a = {r.k: [round(x, 9) for x in r.vec] for r in enc.hash_encode(df, "k", "text", 32).collect()}
-    b = {r.k: [round(x, 9) for x in r.vec] for r in enc.hash_encode(df, "k", "text", 32, dense_limit=0).collect()}
-    assert a == b
+def test_rows_sharing_a_key_keep_a_row_each(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (1, "c"), (2, None)], "k long, text string")
+    vocab = enc.fit_vocab(df, "text", 10)
+    assert sorted(r.ids for r in enc.encode(df, vocab, ["k"], "text", 6).collect()) == sorted(
+        [[2, 5, 6, 3, 0, 0], [2, 4, 3, 0, 0, 0], [2, 4, 3, 0, 0, 0], [2, 3, 0, 0, 0, 0]])
+    assert enc.hash_encode(df, "k", "text", 16).count() == 4
+    pairs = df.select("k", F.col("text").alias("premise"), F.col("text").alias("hypothesis"))
+    assert enc.encode_pairs(pairs, vocab, ["k"], max_len=12).count() == 4
+
+
+def test_large_vocabulary_join_equals_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 5, " ".join(f"t{j % 7}" for j in range(i))) for i in range(20)] + [(9, None)], "k long, text string")
+    vocab = enc.fit_vocab(df, "text", 5)
+    pairs = df.select("k", F.col("text").alias("premise"), F.reverse("text").alias("hypothesis"))
+
+    def both():
+        return (sorted(map(str, enc.encode(df, vocab, ["k"], "text", 12).collect())),
+                sorted(map(str, enc.encode_pairs(pairs, vocab, ["k"], max_len=16).collect())))
+
+    want = both()
+    monkeypatch.setattr(enc, "MAX_BROADCAST_VOCAB", 0)
+    assert both() == want
 
 
 def test_cap_rows(spark):

@@ -32,9 +32,10 @@ def test_early_stop_with_one_huge_run(spark):
 def test_salted_profile_join_equals_broadcast(spark, monkeypatch):
     d = load(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
     prof = L.fit_language_profile(d.filter(F.col("doc_id") % 2 == 0))
-    a = {r.doc_id: r.detected for r in L.detect_language(d, prof, "doc_id", "text").collect()}
+    a = {r.doc_id: r.detected for r in L.detect_language(d, prof).collect()}
     monkeypatch.setattr(L, "BROADCAST_PROFILE_CELLS", 0)
-    salted = L.detect_language(d, prof, "doc_id", "text")
+    monkeypatch.setattr(L, "ROWS_PER_SALT", 20)
+    salted = L.detect_language(d, prof)
     assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
     b = {r.doc_id: r.detected for r in salted.collect()}
     assert a == b
