@@ -62,10 +62,10 @@ def parse_vector(c) -> Column:
     return F.transform(F.filter(pieces, lambda x: x != F.lit("")), lambda x: x.cast("double"))
 
 
-def format_vector(c, places: int = 6) -> Column:
-    """Print a vector the way the source's CSV holds it: ``[x  y]`` with fixed decimals."""
-    body = F.array_join(F.transform(_c(c), lambda x: F.round(x, places).cast(f"decimal(38,{places})").cast("string")), "  ")
-    return F.concat(F.lit("["), body, F.lit("]"))
+def format_vector(c) -> Column:
+    """Print a vector the way the source's CSV holds it, ``[x  y]``, each element in
+    the shortest text that reads back as the same double."""
+    return F.concat(F.lit("["), F.array_join(F.transform(_c(c), lambda x: x.cast("string")), "  "), F.lit("]"))
 
 
 def softmax(c) -> Column:

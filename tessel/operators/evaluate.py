@@ -9,10 +9,11 @@ with partial aggregation, so a model/split holding most rows is not a hot task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .vectors import matched_join
 
 N_CLASSES = 3
 
@@ -52,15 +53,18 @@ def class_stats(conf: DataFrame, by: list[str]) -> DataFrame:
 
 def macro_prf(df: DataFrame, by: list[str], label: str = "label", pred: str = "pred") -> DataFrame:
     """M3: unweighted means over classes (a class never predicted scores 0)."""
-    cs = class_stats(confusion(df, by, label, pred), by)
-    return cs.groupBy(*by).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                               F.avg("f1").alias("f1"))
+    return _macro(class_stats(confusion(df, by, label, pred), by), by).drop("accuracy")
 
 
-def nli_metrics(df: DataFrame, by: list[str], places: int = 6) -> DataFrame:
-    """M5/M7: ``by..., accuracy, f1, precision, recall``."""
-    m = macro_prf(df, by).join(accuracy(df, by), by)
-    return m.select(*by, *[F.round(c, places).alias(c) for c in ("accuracy", "f1", "precision", "recall")])
+def _macro(stats: DataFrame, by: list[str]) -> DataFrame:
+    """Macro means and accuracy from per-class counts."""
+    return stats.groupBy(*by).agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("f1"),
+                                  F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
+
+
+def nli_metrics(df: DataFrame, by: list[str]) -> DataFrame:
+    """M5/M7: ``by..., accuracy, f1, precision, recall``, unrounded; one pass over the rows."""
+    return _macro(class_stats(confusion(df, by), by), by).select(*by, "accuracy", "f1", "precision", "recall")
 
 
 def evaluate_splits(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -68,43 +72,66 @@ def evaluate_splits(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return nli_metrics(df, by or ["split"])
 
 
-def class_report(df: DataFrame, by: list[str], places: int = 6) -> DataFrame:
-    """M4: a row per class name plus 'accuracy', 'macro avg', 'weighted avg'."""
+def class_report(df: DataFrame, by: list[str]) -> DataFrame:
+    """M4: a row per class name plus 'accuracy', 'macro avg', 'weighted avg',
+    unrounded. The rows are read once: one aggregate keeps a group's few classes
+    as a list, which every line of the report comes from."""
     cs = class_stats(confusion(df, by), by)
-    per_class = cs.select(*by, V.label_name(F.col("cls")).alias("row"), "precision", "recall", "f1",
-                          F.col("support").cast("long").alias("support"))
-    tot = F.sum("support")
-    macro = cs.groupBy(*by).agg(F.lit("macro avg").alias("row"), F.avg("precision").alias("precision"),
-                                F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                                tot.cast("long").alias("support"))
-    weighted = cs.groupBy(*by).agg(
-        F.lit("weighted avg").alias("row"),
-        (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
-        (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
-        (F.sum(F.col("f1") * F.col("support")) / tot).alias("f1"), tot.cast("long").alias("support"))
-    acc = (cs.groupBy(*by).agg((F.sum("tp") / tot).alias("f1"), tot.cast("long").alias("support"))
-           .select(*by, F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                   F.lit(None).cast("double").alias("recall"), "f1", "support"))
-    out = per_class.unionByName(macro).unionByName(weighted).unionByName(acc)
-    return out.select(*by, "row", *[F.round(c, places).alias(c) for c in ("precision", "recall", "f1")], "support")
+    one = F.struct("cls", "tp", "support", "precision", "recall", "f1")
+    g = cs.groupBy(*by).agg(F.collect_list(one).alias("c"))  # a group holds one entry per class
+    total = F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x["support"])
+
+    def mean(field: str, weight: bool):
+        value = lambda x: x[field] * (x["support"] if weight else F.lit(1.0))
+        return F.aggregate("c", F.lit(0.0), lambda acc, x: acc + value(x)) / (total if weight else F.size("c"))
+
+    def line(row, precision, recall, f1, support):
+        return F.struct(row.alias("row"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
+                        support.cast("long").alias("support"))
+
+    none = F.lit(None).cast("double")
+    hits = F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x["tp"])
+    lines = F.concat(
+        F.transform("c", lambda x: line(V.label_name(x["cls"]), x["precision"], x["recall"], x["f1"], x["support"])),
+        F.array(line(F.lit("macro avg"), mean("precision", False), mean("recall", False), mean("f1", False), total),
+                line(F.lit("weighted avg"), mean("precision", True), mean("recall", True), mean("f1", True), total),
+                line(F.lit("accuracy"), none, none, hits / total, total)))
+    return g.select(*by, F.explode(lines).alias("l")).select(*by, "l.*")
+
+
+SMALLEST = 2.2250738585072014e-308  # smallest positive normal double
+
+
+def row_loss(logits: Column, label: Column) -> Column:
+    """Cross-entropy of one row from its logits: ``logsumexp - logit[label]``, always finite."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+    return top + F.log(total) - F.element_at(logits, label.cast("int") + 1)
 
 
 def cross_entropy(df: DataFrame, by: list[str], probs_col: str = "probs", label: str = "label",
-                  places: int = 6) -> DataFrame:
-    """M6: mean of -ln p(true class)."""
-    p = F.element_at(F.col(probs_col), F.col(label) + 1)
-    return df.groupBy(*by).agg(F.round(F.avg(-F.log(p)), places).alias("loss"))
+                  logits_col: str | None = None) -> DataFrame:
+    """M6: mean of -ln p(true class) over all rows, unrounded: ``by..., loss, clipped``.
+
+    With ``logits_col`` the loss comes from the logits and is exact. From
+    probabilities alone a true-class probability of 0 counts as the smallest
+    positive double, and ``clipped`` says for how many rows."""
+    if logits_col:
+        loss, zero = row_loss(F.col(logits_col), F.col(label)), F.lit(False)
+    else:
+        p = F.element_at(F.col(probs_col), F.col(label).cast("int") + 1)
+        loss, zero = -F.log(F.greatest(p, F.lit(SMALLEST))), p < SMALLEST
+    return df.groupBy(*by).agg(F.avg(loss).alias("loss"), F.count(F.when(zero, 1)).alias("clipped"))
 
 
 def prediction_table(preds: DataFrame, examples: DataFrame, key: str = "pair_id", cls: int = 2,
-                     check: bool = False) -> DataFrame:
-    """Examples joined to predictions by key; ``pred`` = score of class
-    ``cls`` (contradiction); sorted by it descending (ties by key)."""
-    j = preds.join(examples, key, "inner")
-    if check:
-        a, b = preds.count(), j.count()
-        if a != b:
-            raise ValueError(f"prediction_table: {a} predictions, {b} matched examples")
+                     missing: str = "error") -> DataFrame:
+    """Predictions with their examples by key; ``pred`` = score of class
+    ``cls`` (contradiction); sorted by it descending (ties by key).
+
+    A prediction without an example raises (``missing="error"``), stays with null
+    example columns and ``matched`` false (``"keep"``), or goes (``"drop"``)."""
+    j = matched_join(preds, examples, key, missing)
     return j.withColumn("pred", V.class_score(F.col("probs"), cls)).orderBy(F.desc("pred"), F.col(key))
 
 
@@ -180,27 +207,22 @@ def pair_features(df: DataFrame, u: str, v: str, out: str = "features") -> DataF
     return df.withColumn(out, array_to_vector(feats))
 
 
-TRAIN_PARTITION_BYTES = 16 << 20
+TRAIN_PARTITION_BYTES = 128 << 20
 
 
 def _training_partitions(df: DataFrame, features: str) -> int:
-    """Partitions for an iterative fit: about 16 MB of features each, at least
-    2, at most the cluster's parallelism. Every iteration is a job over all of
-    them, so tiny partitions only add scheduling (and a second aggregation
-    stage), while large data still uses every core."""
+    """Partitions for an iterative fit: by bytes of features alone."""
     import math
 
     from pyspark.ml.functions import vector_to_array
     st = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_to_array(F.col(features)))).alias("d")).first()
-    est = (st["n"] or 0) * (st["d"] or 1) * 8
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(2, min(cores, math.ceil(est / TRAIN_PARTITION_BYTES)))
+    return max(2, math.ceil((st["n"] or 0) * (st["d"] or 1) * 8 / TRAIN_PARTITION_BYTES))
 
 
 def fit_pair_classifier(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.01, 0.1),
                         features: str = "features", label: str = "label", max_iter: int = 50):
     """Multinomial logistic regression; ``regParam`` chosen by validation
-    cross-entropy (the role of 'load best model at end' on eval loss).
+    cross-entropy from the logits (the role of 'load best model at end' on eval loss).
 
     The candidates are independent, so they are fitted concurrently (one
     driver thread each; Spark schedules their jobs side by side)."""
@@ -214,15 +236,16 @@ def fit_pair_classifier(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.0
     def fit_one(rp):
         m = LogisticRegression(family="multinomial", regParam=rp, maxIter=max_iter,
                                featuresCol=features, labelCol=label).fit(train)
-        scored = m.transform(valid).withColumn("probs", vector_to_array("probability"))
-        loss = scored.agg(F.avg(-F.log(F.element_at("probs", F.col(label).cast("int") + 1)))).first()[0]
-        return loss, rp, m
-
-    with ThreadPoolExecutor(max_workers=len(reg_params)) as pool:
-        results = list(pool.map(fit_one, reg_params))
-    train.unpersist()
-    valid.unpersist()
-    return min(results, key=lambda r: (r[0], r[1]))[2]
+        scored = m.transform(valid).withColumn("_logits", vector_to_array("rawPrediction"))
+        return scored.agg(F.avg(row_loss(F.col("_logits"), F.col(label)))).first()[0], rp, m
+
+    try:
+        with ThreadPoolExecutor(max_workers=len(reg_params)) as pool:
+            results = list(pool.map(fit_one, reg_params))
+    finally:
+        train.unpersist()
+        valid.unpersist()
+    return min(results, key=lambda r: (float("inf") if r[0] is None else r[0], r[1]))[2]
 
 
 def predict_pairs(model, df: DataFrame, features: str = "features") -> DataFrame:

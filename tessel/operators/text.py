@@ -103,29 +103,30 @@ def corpus(clean: DataFrame) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Drop rows with a missing value in any (or the given) column;
+    """Drop rows with a missing value in any (or the given) column; NaN and
     empty strings count as missing, as they would after a CSV round trip."""
-    cols = cols or df.columns
-    string_cols = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
-    cond = None
-    for c in cols:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    cond = F.lit(True)
+    for c in cols or df.columns:
         ok = F.col(c).isNotNull()
-        if c in string_cols:
+        if kinds[c] == "string":
             ok = ok & (F.col(c) != F.lit(""))
-        cond = ok if cond is None else cond & ok
+        elif kinds[c] in ("double", "float"):
+            ok = ok & ~F.isnan(c)
+        cond = cond & ok
     return df.filter(cond)
 
 
 def dedup_text(df: DataFrame, text_col: str = "text", order_col: str = "doc_id") -> DataFrame:
-    """A4: keep the first row (smallest ``order_col``) of every distinct text.
-
-    Grouped on a SHA-256 of the text, not the text itself, and reduced with
-    ``min_by``: the partial aggregate keeps one row per text per map task, so a
-    text copied into a third of all rows collapses before the shuffle instead of
-    landing whole in one task (a row_number window would).
-    """
-    cols = df.columns
-    packed = F.struct(*[F.col(c) for c in cols])
-    return (df.groupBy(F.sha2(F.col(text_col), 256).alias("_h"))
-            .agg(F.min_by(packed, F.col(order_col)).alias("_r"))
-            .select("_r.*"))
+    """A4: keep the first row (smallest ``order_col``) of every distinct text;
+    ``order_col`` tells rows with equal texts apart.
+
+    The aggregate holds fixed-width values only (three hashes of the text, 160 bits
+    together, and the smallest order value), so it is a hash aggregate that collapses a
+    text copied into a third of all rows before the shuffle; the rows are then
+    picked by a semi join on it."""
+    hashes = {"_h0": F.xxhash64(text_col), "_h1": F.xxhash64(F.lit(1), F.reverse(text_col)),
+              "_h2": F.coalesce(F.crc32(F.encode(F.col(text_col), "utf-8")), F.lit(-1))}
+    keyed = df.withColumns(hashes)
+    first = keyed.groupBy(*hashes).agg(F.min(order_col).alias(order_col))
+    return keyed.join(first, [*hashes, order_col], "left_semi").select(*df.columns)

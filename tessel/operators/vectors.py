@@ -25,20 +25,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..session import checkpoint
 
 # Largest query matrix (rows x dims) shipped with the task closure by ``knn``
 # (~32 MB of doubles); beyond it the exact block plan is used instead.
 MAX_QUERY_CELLS = 4_000_000
+MAX_BROADCAST_IDS = 1_000_000  # ids (8 to a few dozen bytes each) that may be broadcast
+
+
+def matched_join(left: DataFrame, right: DataFrame, key: str, missing: str = "keep") -> DataFrame:
+    """``left`` with the columns of ``right`` by key. Left rows without a partner stay with
+    nulls and ``matched`` false (``keep``), raise (``error``; one pass counts them) or go (``drop``)."""
+    if missing == "drop":
+        return left.join(right, key, "inner")
+    out = left.join(right.withColumn("matched", F.lit(True)), key, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    if missing == "error":
+        n = out.filter(~F.col("matched")).count()
+        if n:
+            raise ValueError(f"{n} rows have no partner by {key}")
+        out = out.drop("matched")
+    return out
 
 
-def attach_vectors(rows: DataFrame, vecs: DataFrame, key: str = "uid", check: bool = False) -> DataFrame:
-    """Keyed join of text rows and vectors (replaces attach-by-position)."""
-    out = rows.join(vecs, key, "inner")
-    if check:
-        a, b = rows.count(), out.count()
-        if a != b:
-            raise ValueError(f"attach_vectors: {a} rows but {b} with a vector")
-    return out
+def attach_vectors(rows: DataFrame, vecs: DataFrame, key: str = "uid", missing: str = "keep") -> DataFrame:
+    """Keyed join of text rows and vectors (replaces attach-by-position); rows
+    without a vector stay, flagged by ``matched``, unless ``missing`` says otherwise."""
+    return matched_join(rows, vecs, key, missing)
 
 
 def shape(df: DataFrame, vec_col: str = "vec") -> DataFrame:
@@ -174,7 +186,7 @@ class _TopK:
         self.qids = np.asarray(qids)
         self.k = k
         self.include_self = include_self
-        self.bd = np.full((len(self.qids), 0), np.inf)
+        self.bd = np.empty((len(self.qids), 0))
         self.bi = None
 
     def add(self, qm: np.ndarray, pids, pm: np.ndarray) -> None:
@@ -192,8 +204,9 @@ class _TopK:
             for b in range(0, len(pids), pc):
                 pi = pids[b:b + pc]
                 d = _sq_dists(qm[a:a + qc], pm[b:b + pc])
+                d[~np.isfinite(d)] = np.inf  # a point with a non-finite component comes last, but is there
                 if not self.include_self:
-                    d[qi[:, None] == pi[None, :]] = np.inf
+                    d[qi[:, None] == pi[None, :]] = np.nan  # never a neighbour; NaN sorts behind infinity
                 cd = np.concatenate([bd, d], axis=1)
                 ci = np.concatenate([bi, np.broadcast_to(pi, d.shape)], axis=1)
                 order = np.lexsort((_id_key(ci), cd), axis=1)[:, :self.k]
@@ -205,7 +218,7 @@ class _TopK:
     def frame(self) -> pd.DataFrame:
         if self.bi is None:
             return pd.DataFrame({"q_uid": [], "uid": [], "dist": []})
-        r, c = np.nonzero(np.isfinite(self.bd))
+        r, c = np.nonzero(~np.isnan(self.bd))
         return pd.DataFrame({"q_uid": self.qids[r], "uid": self.bi[r, c], "dist": self.bd[r, c]})
 
 
@@ -228,17 +241,18 @@ def knn(queries: DataFrame, points: DataFrame, k: int, include_self: bool = True
     its partition's Arrow batches through a running top-k and emits at most
     queries x k rows.
     """
+    queries = checkpoint(queries.select(id_col, vec_col))  # evaluated once
     st = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     if not st["n"]:
         raise ValueError("knn: no queries")
     if st["n"] * st["d"] > MAX_QUERY_CELLS:  # size checked before anything reaches the driver
         return knn_blocks(queries, points, k, include_self, id_col, vec_col)
-    q = queries.select(id_col, vec_col).collect()
-    qm = _matrix(r[1] for r in q)
-    qids = [r[0] for r in q]
+    q = queries.collect()
+    shipped = points.sparkSession.sparkContext.broadcast(([r[0] for r in q], _matrix(r[1] for r in q)))
     id_type = points.schema[id_col].dataType.simpleString()
 
     def part_topk(batches):
+        qids, qm = shipped.value
         top = _TopK(qids, k, include_self)
         for pdf in batches:
             if not pdf.empty:
@@ -289,9 +303,10 @@ def graph_for_k(graph: DataFrame, k: int) -> DataFrame:
 
 
 def cosine_matrix(df: DataFrame, threshold: float | None = None, id_col: str = "uid",
-                  vec_col: str = "vec", block_rows: int | None = None, places: int = 6) -> DataFrame:
-    """V3: pairwise cosine similarity ``i <= j`` (diagonal included), rounded to
-    ``places``; with ``threshold`` only pairs with rounded similarity >= it.
+                  vec_col: str = "vec", block_rows: int | None = None) -> DataFrame:
+    """V3: pairwise cosine similarity ``i <= j`` (diagonal included), unrounded;
+    with ``threshold`` only pairs with a similarity >= it. Without one all n(n + 1)/2 pairs
+    are asked for: meant for a set of sampled rows.
     Inside a block pair the product is taken in chunks of bounded memory."""
     st = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     # a task returns its pairs as one frame: blocks also small enough that even
@@ -321,7 +336,6 @@ def cosine_matrix(df: DataFrame, threshold: float | None = None, id_col: str = "
             raw = a[s0:s0 + step] @ c.T
             with np.errstate(invalid="ignore", divide="ignore"):
                 sim = np.where(den == 0, 0.0, raw / np.where(den == 0, 1.0, den))
-            sim = np.round(sim, places)
             mask = np.ones_like(sim, dtype=bool)
             if same_block:
                 mask &= li[s0:s0 + step, None] <= ri[None, :]
@@ -337,10 +351,19 @@ def cosine_matrix(df: DataFrame, threshold: float | None = None, id_col: str = "
     return left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(block_cos, schema)
 
 
+def texts_of(ids: DataFrame, texts: DataFrame, id_col: str = "uid") -> DataFrame:
+    """The text rows of a few ids: the ids go to the texts, not the texts through a shuffle."""
+    few = ids.select(id_col).distinct()
+    return texts.join(F.broadcast(few) if few.count() <= MAX_BROADCAST_IDS else few, id_col, "left_semi")
+
+
 def neighbour_report(nn: DataFrame, texts: DataFrame, id_col: str = "uid", text_col: str = "text",
                      sep: str = "\n") -> DataFrame:
-    """Per query, its neighbours' texts in rank order joined by ``sep``.
-    Groups hold k rows (bounded by the k-NN)."""
-    j = nn.join(texts.select(F.col(id_col).alias("uid"), F.col(text_col).alias("_t")), "uid")
-    g = j.groupBy("q_uid").agg(F.array_sort(F.collect_list(F.struct("rank", "_t"))).alias("_l"))
-    return g.select("q_uid", F.concat_ws(sep, F.transform("_l", lambda x: x["_t"])).alias("report"))
+    """Per query, its neighbours' texts in rank order joined by ``sep``; a
+    neighbour without a text keeps its place with an empty one. Groups hold k rows
+    (bounded by the k-NN)."""
+    nn = checkpoint(nn.select("q_uid", "rank", "uid"))
+    t = texts_of(nn, texts.select(F.col(id_col).alias("uid"), F.coalesce(text_col, F.lit("")).alias("_t")))
+    j = nn.join(t, "uid", "left")
+    g = j.groupBy("q_uid").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("_t", F.lit("")).alias("t")))).alias("_l"))
+    return g.select("q_uid", F.array_join(F.transform("_l", lambda x: x["t"]), sep).alias("report"))

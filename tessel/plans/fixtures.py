@@ -90,22 +90,24 @@ predictions as (
   from logit_rows)"""
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.vector import softmax
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings")
     first3 = [F.col("embedding")[i].cast("double") for i in range(3)]
-    models = [("m1", 4.0), ("m2", -4.0)]
     frames = []
-    for name, sign in models:
-        logits = F.array(F.lit(sign) * first3[0], F.lit(4.0) * first3[1], F.lit(4.0) * first3[2])
+    for name, sign in (("m1", 4.0), ("m2", -4.0)):
         frames.append(e.select(
             F.lit(name).alias("model"),
             F.when(F.col("vec_id") % 2 == 0, F.lit("test_lay")).otherwise(F.lit("test_expert")).alias("split"),
             F.col("vec_id").alias("pair_id"), (F.col("label") % 3).alias("label"),
-            softmax(logits).alias("probs")))
+            F.array(F.lit(sign) * first3[0], F.lit(4.0) * first3[1], F.lit(4.0) * first3[2]).alias("logits")))
     return frames[0].unionByName(frames[1])
 
 
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.vector import softmax
+    return logits(spark, sf_dir).withColumn("probs", softmax("logits")).drop("logits")
+
+
 # --- pairs: consecutive turns of a conversation as premise / hypothesis ---
 # pair_id = conv_id * 1000 + turn; label = (conv_id + turn) % 3; split by conv_id % 5.
 

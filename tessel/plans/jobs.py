@@ -14,6 +14,7 @@ from ..operators import lang as L
 from ..operators import text as text_ops
 from ..operators import vectors as vec_ops
 from ..operators import sampling
+from ..session import checkpoint
 from ..sources import readers, writers
 
 
@@ -46,17 +47,17 @@ def vector_analysis(spark: SparkSession, clean: DataFrame, vectors: DataFrame, n
     texts (first kept), then exact k-NN of sampled queries with a text report."""
     rows = text_ops.drop_incomplete(clean)
     rows = text_ops.dedup_text(rows.withColumn("_o", F.col("uid")), "text", "_o").drop("_o")
-    att = vec_ops.attach_vectors(rows, vectors, "uid")
-    pts = att.select("uid", "vec")
+    att = vec_ops.attach_vectors(rows, vectors, "uid", missing="drop")  # only rows with a vector can be searched
+    pts = checkpoint(att.select("uid", "vec"))
     nn = vec_ops.knn(sampling.sample_seeded(pts, n_queries, seed), pts, k, include_self=True)
-    return vec_ops.neighbour_report(nn, att.select("uid", "text"))
+    return vec_ops.neighbour_report(nn, rows.select("uid", "text"))
 
 
 def map_2d(spark: SparkSession, vectors: DataFrame, bins: int = 10) -> tuple[DataFrame, DataFrame]:
     """Entry 2 (active part): vectors -> 2-D projection -> 3-sigma trim ->
     min-max -> density grid (the plot, as counts)."""
-    proj = vec_ops.project_2d(vectors)
-    norm = vec_ops.minmax(vec_ops.trim_outliers(proj, ["x", "y"]), ["x", "y"])
+    proj = checkpoint(vec_ops.project_2d(vectors))  # the trim, the scaling, the map and the grid read it
+    norm = checkpoint(vec_ops.minmax(vec_ops.trim_outliers(proj, ["x", "y"]), ["x", "y"]))
     return norm, vec_ops.density_grid(norm, bins=bins)
 
 
@@ -68,13 +69,13 @@ def evaluate_models(spark: SparkSession, predictions: DataFrame, examples: DataF
     from ..operators import evaluate as ev
     paths = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("metrics", "report", "predictions", "leaderboard")}
     scored = ev.with_pred(predictions)
-    metrics = ev.nli_metrics(scored, ["model", "split"]).join(
-        ev.cross_entropy(scored, ["model", "split"]), ["model", "split"])
+    metrics = checkpoint(ev.nli_metrics(scored, ["model", "split"]).join(
+        ev.cross_entropy(scored, ["model", "split"]), ["model", "split"]))
     writers.write_metrics(metrics, paths["metrics"])
     ev.class_report(scored, ["model", "split"]).write.mode("overwrite").parquet(paths["report"])
-    table = ev.prediction_table(scored, examples, key)
-    for_model = table.select("model", "split", "premise", "hypothesis", "pred", "label")
-    (for_model.orderBy("model", "split", F.desc("pred")).write.mode("overwrite")
+    table = ev.prediction_table(scored, examples, key, missing="keep")
+    (table.orderBy("model", "split", F.desc("pred"), key)
+     .select("model", "split", "premise", "hypothesis", "pred", "label").write.mode("overwrite")
      .partitionBy("model", "split").option("header", True).option("escape", '"').csv(paths["predictions"]))
     ev.leaderboard(metrics).write.mode("overwrite").parquet(paths["leaderboard"])
     return paths

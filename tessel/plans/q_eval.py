@@ -32,6 +32,10 @@ _PRED = with_ctes(fx.PREDICTIONS_CTE, """scored as (
   round(m.precision, 6) as precision, round(m.recall, 6) as recall from macro m join acc a using (model, split))""")
 
 
+def _rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
 def _scored(spark, sf_dir):
     return ev.with_pred(fx.predictions(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def confusion(spark, sf_dir):
 
 @register("nli_metrics", _PRED + "select * from metrics")
 def nli_metrics(spark, sf_dir):
-    return ev.nli_metrics(_scored(spark, sf_dir), BY)
+    return _rounded(ev.nli_metrics(_scored(spark, sf_dir), BY), "accuracy", "f1", "precision", "recall")
 
 
 @register("class_report", _PRED + """
@@ -68,32 +72,59 @@ union all select model, split, 'weighted avg', round(sum(precision * support) /
 union all select model, split, 'accuracy', null, null, round(sum(tp) / sum(support), 6), cast(sum(support) as bigint)
   from cs group by model, split""")
 def class_report(spark, sf_dir):
-    return ev.class_report(_scored(spark, sf_dir), BY)
+    return _rounded(ev.class_report(_scored(spark, sf_dir), BY), "precision", "recall", "f1")
 
 
 @register("cross_entropy", _PRED + """
 select model, split, round(avg(-ln(probs[label + 1])), 6) as loss from scored group by model, split""")
 def cross_entropy(spark, sf_dir):
-    return ev.cross_entropy(_scored(spark, sf_dir), BY)
+    return _rounded(ev.cross_entropy(_scored(spark, sf_dir), BY).drop("clipped"), "loss")
+
+
+_SATURATED = with_ctes(fx.PREDICTIONS_CTE, """big as (
+  select model, split, label, list_transform(logits, lambda x: 4000 * x) as l from logit_rows)""",
+                       """shifted as (select model, split, label, l, list_max(l) as top, l[label + 1] as own from big)""")
+
+
+@register("cross_entropy_saturated", _SATURATED + """
+select model, split, round(avg(top + ln(list_sum(list_transform(l, lambda x: exp(x - top)))) - own), 6) as loss,
+  count(*) filter (where exp(own - top) / list_sum(list_transform(l, lambda x: exp(x - top))) < 2.2250738585072014e-308) as clipped
+from shifted group by model, split""")
+def cross_entropy_saturated(spark, sf_dir):
+    """Logits times 4000: many rows have probability 0 for their true class and still count."""
+    rows = fx.logits(spark, sf_dir).withColumn("logits", F.transform("logits", lambda x: F.lit(4000) * x))
+    exact = ev.cross_entropy(rows, BY, logits_col="logits").drop("clipped")
+    seen = ev.cross_entropy(rows.withColumn("probs", V.softmax("logits")), BY).drop("loss")
+    return _rounded(exact, "loss").join(seen, BY)
 
 
 @register("leaderboard", _PRED + """
-select model, split, accuracy, f1, precision, recall, cast(rank() over (partition by split order by f1 desc) as integer) as rank
-from metrics""")
+select m.model, m.split, round(a.accuracy, 6) as accuracy, round(m.f1, 6) as f1, round(m.precision, 6) as precision,
+  round(m.recall, 6) as recall, cast(rank() over (partition by m.split order by m.f1 desc) as integer) as rank
+from macro m join acc a using (model, split)""")
 def leaderboard(spark, sf_dir):
-    return ev.leaderboard(ev.nli_metrics(_scored(spark, sf_dir), BY))
+    return _rounded(ev.leaderboard(ev.nli_metrics(_scored(spark, sf_dir), BY)), "accuracy", "f1", "precision", "recall")
 
 
 @register("prediction_table", _PRED + """
 select s.model, s.split, s.pair_id, d.text as premise, d.source as hypothesis, round(s.probs[3], 6) as pred, s.label
-from scored s join documents d on d.doc_id = s.pair_id""")
+from scored s left join documents d on d.doc_id = s.pair_id""")
 def prediction_table(spark, sf_dir):
     examples = load(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("pair_id"), F.col("text").alias("premise"), F.col("source").alias("hypothesis"))
-    t = ev.prediction_table(_scored(spark, sf_dir), examples)
+    t = ev.prediction_table(_scored(spark, sf_dir), examples, missing="keep")
     return t.select("model", "split", "pair_id", "premise", "hypothesis", F.round("pred", 6).alias("pred"), "label")
 
 
+@register("prediction_order", _PRED + """
+select model, split, pair_id, cast(row_number() over (order by probs[3] desc, pair_id, model) as bigint) as pos from scored""")
+def prediction_order(spark, sf_dir):
+    """O1: the place of every prediction in the sorted table."""
+    from ..operators.sampling import number_rows
+    s = _scored(spark, sf_dir).select("model", "split", "pair_id", (-V.class_score(F.col("probs"), 2)).alias("o"))
+    return number_rows(s, ["o", "pair_id", "model"]).select("model", "split", "pair_id", (F.col("idx") + 1).alias("pos"))
+
+
 @register("best_checkpoint", with_ctes(fx.EVAL_LOG_CTE) + """
 select run_id, arg_min(step, (eval_loss, step)) as best_step, min(eval_loss) as best_loss from eval_log group by run_id""")
 def best_checkpoint(spark, sf_dir):
@@ -116,19 +147,52 @@ def early_stop(spark, sf_dir):
     return ev.early_stop(fx.eval_log(spark, sf_dir), patience=3, chunk_steps=500)
 
 
-@register("pair_classifier")
-def pair_classifier(spark, sf_dir):
+def _pair_features(spark, sf_dir):
+    """Both sides hashed in the row, then (u, v, |u - v|, u * v)."""
+    from ..functions.text import word_tokens
     from ..operators import encode as enc
     p = fx.pairs(spark, sf_dir)
-    u = enc.hash_encode(p, "pair_id", "premise", dim=64).withColumnRenamed("vec", "u")
-    v = enc.hash_encode(p, "pair_id", "hypothesis", dim=64).withColumnRenamed("vec", "v")
-    feats = ev.pair_features(p.select("split", "pair_id", "label").join(u, "pair_id").join(v, "pair_id"), "u", "v")
-    feats = feats.select("split", "pair_id", "label", "features").cache()
+    hashed = p.select("split", "pair_id", "label", enc.hash_vector(word_tokens(F.col("premise")), 64).alias("u"),
+                      enc.hash_vector(word_tokens(F.col("hypothesis")), 64).alias("v"))
+    return ev.pair_features(hashed, "u", "v").select("split", "pair_id", "label", "features")
+
+
+_SIDE = """{s}t as (select pair_id, unnest(regexp_extract_all(lower({c}), '([\\p{{L}}\\p{{N}}]+)', 1)) as t from pairs),
+{s}b as (select pair_id, cast('0x' || substr(md5(t), 1, 8) as bigint) % 64 as b,
+  sum(case when cast('0x' || substr(md5(t), 9, 1) as bigint) % 2 = 0 then 1.0 else -1.0 end) as x from {s}t group by pair_id, b),
+{s}g as (select p.pair_id, r.i, coalesce(q.x, 0.0) as x from pairs p cross join range(64) r(i) left join {s}b q on q.pair_id = p.pair_id and q.b = r.i),
+{s} as (select pair_id, list(x order by i) as raw, sqrt(sum(x * x)) as n from {s}g group by pair_id),
+{s}v as (select pair_id, list_transform(raw, lambda x: case when n = 0 then x else x / n end) as vec from {s})"""
+
+
+@register("pair_features", with_ctes(fx.PAIRS_CTE, _SIDE.format(s="u", c="premise"), _SIDE.format(s="h", c="hypothesis")) + """
+select p.split, p.pair_id, p.label, list_transform(range(1, 257), lambda i: round(case
+    when i <= 64 then uv.vec[i] when i <= 128 then hv.vec[i - 64]
+    when i <= 192 then abs(uv.vec[i - 128] - hv.vec[i - 128]) else uv.vec[i - 192] * hv.vec[i - 192] end, 6)) as features
+from pairs p join uv using (pair_id) join hv using (pair_id)""")
+def pair_features(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    f = _pair_features(spark, sf_dir)
+    return f.withColumn("features", V.round_vec(vector_to_array("features"), 6))
+
+
+@register("pair_classifier")
+def pair_classifier(spark, sf_dir):
+    from ..session import checkpoint
+    feats = checkpoint(_pair_features(spark, sf_dir))
     model = ev.fit_pair_classifier(feats.filter(F.col("split") == "train"), feats.filter(F.col("split") == "validation"))
     held = ev.predict_pairs(model, feats.filter(F.col("split").isin("test_lay", "test_expert")))
     return ev.with_pred(held).select("split", "pair_id", "label", "pred", "probs")
 
 
+@register("pair_classifier_complete", with_ctes(fx.PAIRS_CTE) + """
+select split, pair_id, label, 1.0::double as total from pairs where split in ('test_lay', 'test_expert')""")
+def pair_classifier_complete(spark, sf_dir):
+    """Every held-out pair gets one distribution over the classes."""
+    out = pair_classifier(spark, sf_dir)
+    return out.select("split", "pair_id", "label", F.round(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @register("cap_rows", with_ctes(fx.PAIRS_CTE) + """
 select split, pair_id, label from pairs where split = 'train' order by pair_id limit 100""")
 def cap_rows(spark, sf_dir):

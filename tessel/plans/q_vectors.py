@@ -36,10 +36,12 @@ def vector_shape(spark, sf_dir):
 
 
 @register("attach_vectors", with_ctes(fx.VECTORS_CTE) + """
-select v.uid, d.lang, cast(len(v.vec) as integer) as width from vectors v join documents d on d.doc_id = v.uid""")
+select d.doc_id as uid, d.lang, cast(len(v.vec) as integer) as width, v.uid is not null as matched
+from documents d left join vectors v on d.doc_id = v.uid""")
 def attach_vectors(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "lang")
-    return ops.attach_vectors(docs, fx.vectors(spark, sf_dir)).select("uid", "lang", F.size("vec").alias("width"))
+    return ops.attach_vectors(docs, fx.vectors(spark, sf_dir)).select(
+        "uid", "lang", F.when(F.col("vec").isNotNull(), F.size("vec")).alias("width"), "matched")
 
 
 @register("cosine_to_one", with_ctes(fx.VECTORS_CTE, f"q as (select vec from vectors order by {_KEY}, uid limit 1)") + f"""
@@ -53,9 +55,17 @@ def cosine_to_one(spark, sf_dir):
 
 @register("cosine_matrix", with_ctes(fx.VECTORS_CTE) + f"""
 select * from (select a.uid as i, b.uid as j, round({cos_sql('a.vec', 'b.vec')}, 6) as sim
-  from vectors a join vectors b on a.uid <= b.uid) t where sim >= 0.5""")
+  from vectors a join vectors b on a.uid <= b.uid where {cos_sql('a.vec', 'b.vec')} >= 0.5) t""")
 def cosine_matrix(spark, sf_dir):
-    return ops.cosine_matrix(fx.vectors(spark, sf_dir), threshold=0.5)
+    return ops.cosine_matrix(fx.vectors(spark, sf_dir), threshold=0.5).withColumn("sim", F.round("sim", 6))
+
+
+@register("cosine_matrix_full", with_ctes(fx.VECTORS_CTE, f"few as (select uid, vec from vectors order by {_KEY}, uid limit 40)") + f"""
+select a.uid as i, b.uid as j, round({cos_sql('a.vec', 'b.vec')}, 6) as sim from few a join few b on a.uid <= b.uid""")
+def cosine_matrix_full(spark, sf_dir):
+    """Every pair of a sampled set, negative and small values included."""
+    few = R.sample_seeded(fx.vectors(spark, sf_dir), 40, SEED).select("uid", "vec")
+    return ops.cosine_matrix(few).withColumn("sim", F.round("sim", 6))
 
 
 _KNN_SELF = with_ctes(fx.VECTORS_CTE, f"""q as (select uid as q_uid, vec as qv from vectors order by {_KEY}, uid limit 10)""",
@@ -79,6 +89,15 @@ def knn_graph(spark, sf_dir):
     return g.withColumn("dist", F.round("dist", 6))
 
 
+@register("knn_graph_k5", with_ctes(fx.VECTORS_CTE, f"""d as (select a.uid as q_uid, b.uid, {l2sq_sql('a.vec', 'b.vec')} as dist
+  from vectors a join vectors b on a.uid <> b.uid)""",
+                                    """nn as (select q_uid, uid, cast(row_number() over (partition by q_uid order by dist, uid) - 1 as integer) as rank from d)""")
+          + "select q_uid, rank, uid from nn where rank < 5")
+def knn_graph_k5(spark, sf_dir):
+    """One step of the neighbour-count sweep: the k = 5 graph as a part of the k = 20 one."""
+    return ops.graph_for_k(ops.knn_graph(fx.vectors(spark, sf_dir), ks=(5, 10, 15, 20)), 5).select("q_uid", "rank", "uid")
+
+
 @register("neighbour_report", _KNN_SELF + """, t as (select q_uid, rank, text from nn join documents on documents.doc_id = nn.uid where rank < 4)
 select q_uid, string_agg(text, chr(10) order by rank) as report from t group by q_uid""")
 def neighbour_report(spark, sf_dir):
@@ -129,8 +148,30 @@ def project_2d(spark, sf_dir):
     return ops.project_2d(fx.vectors(spark, sf_dir))
 
 
-_PRINTED = ("'[' || cast(cast(round(x, 6) as decimal(38, 6)) as varchar) || '  ' || "
-            "cast(cast(round(y, 6) as decimal(38, 6)) as varchar) || ']'")
+# The two principal components of 2-D points in closed form: eigenvectors of the
+# covariance matrix, each with its larger loading positive; points are not centred.
+_PLANE = with_ctes(
+    fx.MAP2D_CTE,
+    "cv as (select var_samp(x) as a, covar_samp(x, y) as b, var_samp(y) as c from map2d)",
+    "ev as (select a, b, c, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) as l1, (a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) as l2 from cv)",
+    "dirs as (select b / sqrt(b * b + (l1 - a) * (l1 - a)) as p1, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) as q1, "
+    "b / sqrt(b * b + (l2 - a) * (l2 - a)) as p2, (l2 - a) / sqrt(b * b + (l2 - a) * (l2 - a)) as q2 from ev)",
+    "pc as (select p1 * sign(case when abs(p1) >= abs(q1) then p1 else q1 end) as p1, q1 * sign(case when abs(p1) >= abs(q1) then p1 else q1 end) as q1, "
+    "p2 * sign(case when abs(p2) >= abs(q2) then p2 else q2 end) as p2, q2 * sign(case when abs(p2) >= abs(q2) then p2 else q2 end) as q2 from dirs)",
+    "proj as (select uid, p1 * x + q1 * y as x, p2 * x + q2 * y as y from map2d, pc)")
+
+
+def _plane(spark, sf_dir):
+    return ops.project_2d(fx.map2d(spark, sf_dir).select("uid", F.array("x", "y").alias("vec")))
+
+
+@register("project_plane", _PLANE + "select uid, round(x, 6) as x, round(y, 6) as y from proj")
+def project_plane(spark, sf_dir):
+    return _plane(spark, sf_dir).select("uid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# every third vector is printed with three elements, so the width filter drops rows
+_PRINTED = "'[' || cast(x as varchar) || '  ' || cast(y as varchar) || case when uid % 3 = 0 then '  1e-08' else '' end || ']'"
 
 
 @register("parse_vector_text", with_ctes(fx.MAP2D_CTE, f"printed as (select uid, {_PRINTED} as s from map2d)") + r"""
@@ -138,7 +179,8 @@ select uid, vec from (select uid, list_transform(list_filter(string_split_regex(
   lambda p: p <> ''), lambda p: cast(p as double)) as vec from printed) t where len(vec) = 2""")
 def parse_vector_text(spark, sf_dir):
     m = fx.map2d(spark, sf_dir)
-    printed = m.select("uid", V.format_vector(F.array("x", "y")).alias("s"))
+    three = F.when(F.col("uid") % 3 == 0, F.array("x", "y", F.lit(1e-8))).otherwise(F.array("x", "y"))
+    printed = m.select("uid", V.format_vector(three).alias("s"))
     parsed = printed.select("uid", V.parse_vector("s").alias("vec"))
     return ops.filter_dim(parsed, 2)
 

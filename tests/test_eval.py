@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessel.operators import evaluate as ev
@@ -24,9 +26,9 @@ def test_macro_with_class_never_predicted(spark):
     df = spark.createDataFrame(rows, "model string, label int, pred int")
     m = ev.nli_metrics(df, ["model"]).first()
     # per class: p = [1, 1/3, 0], r = [1/2, 1, 0], f1 = [2/3, 1/2, 0]
-    assert m.precision == round((1 + 1 / 3 + 0) / 3, 6)
-    assert m.recall == round((0.5 + 1 + 0) / 3, 6)
-    assert m.f1 == round((2 / 3 + 0.5 + 0) / 3, 6)
+    assert m.precision == pytest.approx((1 + 1 / 3 + 0) / 3)
+    assert m.recall == pytest.approx((0.5 + 1 + 0) / 3)
+    assert m.f1 == pytest.approx((2 / 3 + 0.5 + 0) / 3)
     assert m.accuracy == 0.5
 
 
@@ -61,8 +63,21 @@ def test_best_checkpoint_earliest_tie(spark):
 def test_prediction_table_checks_count(spark):
     preds = spark.createDataFrame([(1, [0.1, 0.2, 0.7], 2), (2, [0.5, 0.3, 0.2], 0)], "pair_id long, probs array<double>, label int")
     ex = spark.createDataFrame([(1, "p1", "h1"), (2, "p2", "h2")], "pair_id long, premise string, hypothesis string")
-    t = ev.prediction_table(preds, ex, check=True).collect()
+    t = ev.prediction_table(preds, ex).collect()
     assert [r.pair_id for r in t] == [1, 2] and t[0].pred == 0.7
+    with pytest.raises(ValueError):
+        ev.prediction_table(preds, ex.limit(1))
+    kept = ev.prediction_table(preds, ex.filter("pair_id = 1"), missing="keep").collect()
+    assert [(r.pair_id, r.matched, r.premise) for r in kept] == [(1, True, "p1"), (2, False, None)]
+
+
+def test_loss_counts_rows_of_probability_zero(spark):
+    import math
+    df = spark.createDataFrame([("m", 0, [0.5, 0.5], [0.0, 0.0]), ("m", 1, [1.0, 0.0], [800.0, 0.0])],
+                               "model string, label int, probs array<double>, logits array<double>")
+    r = ev.cross_entropy(df, ["model"]).first()
+    assert r.clipped == 1 and math.isclose(r.loss, (math.log(2) - math.log(ev.SMALLEST)) / 2)
+    assert math.isclose(ev.cross_entropy(df, ["model"], logits_col="logits").first().loss, (math.log(2) + 800) / 2)
 
 
 def test_pair_classifier_learns_separable_classes(spark):
