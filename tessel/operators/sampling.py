@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
-from .vectors import _sq_dists
+from ..session import checkpoint, partitions_for
+from .vectors import DIST_CELLS, knn
 
-MAX_SAMPLE = 100_000  # rows a seeded sample may hold (it is shipped to tasks)
+MAX_SAMPLE = 100_000  # rows of a sample taken as one top-n; groups shipped to a task at once
 
 
 def hash_key(seed, *parts) -> F.Column:
@@ -53,10 +53,12 @@ def _prefilter(keyed: DataFrame, n: int) -> DataFrame:
 
 def sample_seeded(df: DataFrame, n: int, seed: int = 123, id_col: str = "uid") -> DataFrame:
     """``n`` rows without replacement in hash order, with 0-based ``pos``.
-    Planned as a bounded top-n (TakeOrderedAndProject), not a global sort."""
-    if n > MAX_SAMPLE:
-        raise ValueError("sample_seeded: n too large for a bounded sample")
+    Planned as a bounded top-n (TakeOrderedAndProject), not a global sort; a
+    sample of more than ``MAX_SAMPLE`` rows is cut from the distributed order instead."""
     keyed = df.withColumn("_k", hash_key(seed, F.col(id_col)))
+    if n > MAX_SAMPLE:
+        numbered = number_rows(_prefilter(keyed, n), ["_k", id_col])
+        return numbered.filter(F.col("idx") < n).withColumn("pos", F.col("idx").cast("int")).drop("_k", "idx")
     try:
         parts = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view: plan as is
@@ -76,8 +78,7 @@ def number_rows(df: DataFrame, order_by: list[str], partitions: int | None = Non
     the layout), then add each partition's offset (a table of one row per
     partition, broadcast). ``order_by`` must be unique per row.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(df)
     laid = (df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
             .withColumn("_pid", F.spark_partition_id())
             .withColumn("_mid", F.monotonically_increasing_id()))
@@ -112,66 +113,21 @@ def odd_one_out(points: DataFrame, n: int = 30, seed: int = 123, id_col: str = "
     ``md5(seed ':odd:' id)``. Output ``index, pos, uid, label`` (label 1 only
     for the outsider, pos 0-3 = nn1, nn2, centroid, outsider).
 
-    Plan: the sampled centroids (bounded by ``n``) are shipped to every task;
-    each task keeps, per centroid, its 2 nearest and its 4 smallest outsider
-    keys, so no (centroid, point) pair row is ever emitted; the exact answer is
-    among those candidates (an outsider excludes at most 3 points).
+    Plan: the sampled centroids go through ``knn`` (k = 2) and
+    ``random_outsiders``; a task emits at most 2 + 4 candidates per centroid, and
+    both take any number of centroids.
     """
-    from .vectors import MAX_QUERY_CELLS
-    width = points.agg(F.max(F.size(vec_col))).first()[0] or 1
-    if n * width > MAX_QUERY_CELLS:
-        raise ValueError(f"odd_one_out: {n} centroids of width {width} exceed {MAX_QUERY_CELLS} cells")
-    cents = sample_seeded(points.select(id_col, vec_col), n, seed, id_col)
-    cents = cents.withColumn("_h", hash_int(seed, "odd", F.col(id_col))).collect()
-    cids = [r[id_col] for r in cents]
-    cidx = {r[id_col]: r["pos"] for r in cents}
-    cm = np.array([np.asarray(r[vec_col], dtype=np.float64) for r in cents])
-    ch = np.array([r["_h"] for r in cents], dtype=np.int64)
-    id_type = points.schema[id_col].dataType.simpleString()
-    mod = np.int64(1 << 32)
-
-    def candidates(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[id_col].to_numpy()
-            pm = np.array([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            hp = pdf["_h"].to_numpy(dtype=np.int64)
-            dist = _sq_dists(cm, pm)
-            out_c, out_kind, out_u, out_v = [], [], [], []
-            by_id = np.argsort(ids, kind="stable")
-            for i, c in enumerate(cids):
-                di = dist[i].copy()
-                di[ids == c] = np.inf
-                sel = by_id[np.argsort(di[by_id], kind="stable")[:2]]
-                sel = sel[np.isfinite(di[sel])]
-                out_c += [c] * len(sel); out_kind += ["nn"] * len(sel)
-                out_u += ids[sel].tolist(); out_v += di[sel].tolist()
-                key = ((hp + ch[i]) % mod).astype(np.float64)
-                key[ids == c] = np.inf
-                sel = by_id[np.argsort(key[by_id], kind="stable")[:4]]
-                sel = sel[np.isfinite(key[sel])]
-                out_c += [c] * len(sel); out_kind += ["odd"] * len(sel)
-                out_u += ids[sel].tolist(); out_v += key[sel].tolist()
-            yield pd.DataFrame({"c": out_c, "kind": out_kind, "uid": out_u, "v": out_v})
-
-    src = points.select(id_col, vec_col, hash_int(seed, "odd", F.col(id_col)).alias("_h"))
-    cand = src.mapInPandas(candidates, f"c {id_type}, kind string, uid {id_type}, v double")
-    # materialised once (small: centroids x partitions x 6 rows); four branches read it
-    cand = checkpoint(cand.withColumnRenamed("uid", "_u"))
-    w = Window.partitionBy("c").orderBy("v", "_u")
-    nn = (cand.filter(F.col("kind") == "nn").withColumn("r", F.row_number().over(w))
-          .filter(F.col("r") <= 2).select("c", "_u", (F.col("r") - 1).alias("pos")))
-    taken = nn.select("c", "_u").unionByName(
-        cand.select("c").distinct().select("c", F.col("c").alias("_u")))
-    odd = (cand.filter(F.col("kind") == "odd").join(taken, ["c", "_u"], "left_anti")
-           .withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1)
-           .select("c", "_u", F.lit(3).alias("pos")))
-    centre = nn.select("c").distinct().select("c", F.col("c").alias("_u"), F.lit(2).alias("pos"))
-    rows = nn.unionByName(centre).unionByName(odd)
-    index = F.element_at(F.create_map(*[x for c in cids for x in (F.lit(c), F.lit(cidx[c]))]), F.col("c"))
-    return rows.select(index.cast("int").alias("index"), F.col("pos").cast("int").alias("pos"),
-                       F.col("_u").alias(id_col), (F.col("pos") == 3).cast("int").alias("label"))
+    cents = checkpoint(sample_seeded(points.select(id_col, vec_col), n, seed, id_col))
+    near = checkpoint(knn(cents, points, 2, include_self=False, id_col=id_col, vec_col=vec_col)
+                      .select(F.col("q_uid").alias("c"), F.col("uid").alias(id_col), F.col("rank").alias("pos")))
+    own = cents.select(F.col(id_col).alias("c"), F.col(id_col), F.lit(2).alias("pos"))
+    taken = near.select("c", id_col).unionByName(own.select("c", id_col))
+    odd = random_outsiders(points, cents.select(F.col(id_col).alias("c")), taken, seed, id_col, "c").withColumn("pos", F.lit(3))
+    rows = near.unionByName(own).unionByName(odd.select("c", id_col, "pos"))
+    index = cents.select(F.col(id_col).alias("c"), F.col("pos").alias("index"))  # a row per set
+    return rows.join(F.broadcast(index) if n <= MAX_SAMPLE else index, "c").select(
+        F.col("index").cast("int").alias("index"), F.col("pos").cast("int").alias("pos"), id_col,
+        (F.col("pos") == 3).cast("int").alias("label"))
 
 
 def cap_rows(df: DataFrame, n: int | None, order_by: list[str]) -> DataFrame:
@@ -189,42 +145,58 @@ def random_outsiders(points: DataFrame, groups: DataFrame, excluded: DataFrame,
     (ties by id), ``h`` = first 32 bits of ``md5(seed ':odd:' id)`` — the same
     rule as the odd-one-out outsider.
 
-    ``groups`` (one row per group) is bounded and shipped to every task; each
-    task keeps, per group, the E+1 smallest keys (E = largest excluded set),
-    which provably contains the answer, so no (group, point) pair row exists.
-    Output ``group_col, id_col``.
+    Groups are shipped to every task in blocks of ``MAX_SAMPLE``; a task keeps
+    per group the E + 1 smallest keys over all its rows (E = size of that group's excluded
+    set), which provably contains the answer, so no (group, point) pair row
+    exists. Output ``group_col, id_col``.
     """
-    g_rows = groups.select(group_col, hash_int(seed, "odd", F.col(group_col)).alias("_h")).limit(MAX_SAMPLE + 1).collect()
-    if len(g_rows) > MAX_SAMPLE:
-        raise ValueError("random_outsiders: too many groups to ship")
-    e_max = excluded.groupBy(group_col).count().agg(F.max("count")).first()[0] or 0
-    keep = e_max + 1
-    gids = [r[group_col] for r in g_rows]
-    gh = np.array([r["_h"] for r in g_rows], dtype=np.int64)
+    sizes = excluded.groupBy(group_col).agg(F.count(F.lit(1)).alias("_e"))
+    asked = checkpoint(groups.select(group_col, hash_int(seed, "odd", F.col(group_col)).alias("_h"))
+                       .join(sizes, group_col, "left").withColumn("_e", F.coalesce("_e", F.lit(0))))
+    blocks = max(1, -(-asked.count() // MAX_SAMPLE))
     id_type = points.schema[id_col].dataType.simpleString()
     g_type = groups.schema[group_col].dataType.simpleString()
-    mod = np.int64(1 << 32)
-
-    def smallest(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[id_col].to_numpy()
-            hp = pdf["_h"].to_numpy(dtype=np.int64)
-            by_id = np.argsort(ids, kind="stable")
-            out_g, out_u, out_k = [], [], []
-            for i, g in enumerate(gids):
-                key = ((hp + gh[i]) % mod)[by_id]
-                sel = by_id[np.argsort(key, kind="stable")[:keep]]
-                out_g += [g] * len(sel)
-                out_u += ids[sel].tolist()
-                out_k += ((hp[sel] + gh[i]) % mod).tolist()
-            yield pd.DataFrame({group_col: out_g, "_u": out_u, "_k": out_k})
-
-    src = points.select(id_col, hash_int(seed, "odd", F.col(id_col)).alias("_h"))
-    cand = src.mapInPandas(smallest, f"{group_col} {g_type}, _u {id_type}, _k long")
+    src = points.select(F.col(id_col).alias("_u"), hash_int(seed, "odd", F.col(id_col)).alias("_h"))
+    cand = None
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64(group_col), F.lit(blocks)) == b).toPandas()
+        part = src.mapInPandas(_smallest_keys(src, block, group_col), f"{group_col} {g_type}, _u {id_type}, _k long")
+        cand = part if cand is None else cand.unionByName(part)
+    cand = checkpoint(cand)
     excl = excluded.select(F.col(group_col), F.col(id_col).alias("_u"))
-    w = Window.partitionBy(group_col).orderBy("_k", "_u")  # at most keep x partitions rows per group
+    w = Window.partitionBy(group_col).orderBy("_k", "_u")  # at most (E + 1) x partitions rows per group
     return (cand.join(excl, [group_col, "_u"], "left_anti")
             .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
             .select(group_col, F.col("_u").alias(id_col)))
+
+
+def _smallest_keys(src: DataFrame, block: pd.DataFrame, group_col: str):
+    """The task of ``random_outsiders``: per group the smallest keys of all its batches, emitted once."""
+    shipped = src.sparkSession.sparkContext.broadcast(
+        (block[group_col].to_numpy(), block["_h"].to_numpy(np.int64), block["_e"].to_numpy(np.int64) + 1))
+    cells = DIST_CELLS
+
+    def smallest(batches):
+        gids, gh, keep = shipped.value
+        best = pd.DataFrame({"g": [], "_k": [], "_u": []})
+        for pdf in batches:
+            if pdf.empty or not len(gids):
+                continue
+            pdf = pdf.sort_values("_u", kind="stable")  # ties by id: earlier rows first
+            ids, hp = pdf["_u"].to_numpy(), pdf["_h"].to_numpy(np.int64)
+            n = len(ids)
+            parts = [best]
+            for a in range(0, len(gids), step := max(1, cells // n)):
+                key = (hp[None, :] + gh[a:a + step, None]) % np.int64(1 << 32)
+                k = min(n, int(keep[a:a + step].max()))
+                order = key * np.int64(n) + np.arange(n)  # unique: key, then id
+                sel = np.argpartition(order, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(order), 1))
+                rows = np.repeat(np.arange(a, a + len(order)), k)
+                parts.append(pd.DataFrame({"g": rows, "_k": np.take_along_axis(key, sel, axis=1).ravel(), "_u": ids[sel.ravel()]}))
+            best = pd.concat([p for p in parts if len(p)], ignore_index=True).sort_values(["g", "_k", "_u"], kind="stable")
+            g = best["g"].to_numpy(np.int64)
+            best = best[best.groupby("g").cumcount().to_numpy() < keep[g]]
+        if len(best):
+            yield pd.DataFrame({group_col: gids[best["g"].to_numpy(np.int64)], "_u": best["_u"].to_numpy(), "_k": best["_k"].to_numpy(np.int64)})
+
+    return smallest

@@ -147,6 +147,25 @@ def early_stop(spark, sf_dir):
     return ev.early_stop(fx.eval_log(spark, sf_dir), patience=3, chunk_steps=500)
 
 
+@register("early_stop_falling", with_ctes(
+    fx.EVAL_LOG_CTE.replace("value as eval_loss", "case when user_id % 2 = 0 then -cast(event_id as double) else value end as eval_loss"),
+    """o as (select run_id, step, eval_loss, row_number() over (partition by run_id order by step) as i,
+  min(eval_loss) over (partition by run_id order by step rows between unbounded preceding and 1 preceding) as prev_best
+  from eval_log)""",
+    """g as (select *, i - max(case when prev_best is null or eval_loss < prev_best then i end)
+  over (partition by run_id order by step rows between unbounded preceding and current row) as gap from o)""",
+    """st as (select run_id, min(i) filter (where gap >= 3) as stop_i, max(i) as n, max(step) as last_step
+  from g group by run_id)""") + """
+select st.run_id, coalesce(g.step, st.last_step) as stop_step, cast(coalesce(st.stop_i, st.n) as bigint) as n_evals,
+  st.stop_i is not null as stopped
+from st left join g on g.run_id = st.run_id and g.i = st.stop_i""")
+def early_stop_falling(spark, sf_dir):
+    """Half of the runs get better at every step and so never stop."""
+    log = fx.eval_log(spark, sf_dir)
+    loss = F.when(F.col("run_id") % 2 == 0, -F.col("step").cast("double")).otherwise(F.col("eval_loss"))
+    return ev.early_stop(log.withColumn("eval_loss", loss), patience=3, chunk_steps=500)
+
+
 def _pair_features(spark, sf_dir):
     """Both sides hashed in the row, then (u, v, |u - v|, u * v)."""
     from ..functions.text import word_tokens

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sampling as R
-from ..session import load
+from ..operators import vectors as vec_ops
+from ..session import checkpoint, load
 from . import fixtures as fx
+from . import q_vectors
 from .registry import register, with_ctes
 
 SEED = 123
@@ -26,8 +28,11 @@ def shuffle_rows(spark, sf_dir):
     return R.shuffle_rows(fx.vectors(spark, sf_dir).select("uid"), SEED, 0).select("uid", "pos")
 
 
-_ODD = with_ctes(
-    fx.MAP2D_CTE,
+def _odd_ctes(src: str) -> list[str]:
+    return [c.replace("from map2d", f"from {src}") for c in _ODD_PARTS]
+
+
+_ODD_PARTS = (
     f"""cent as (select uid as c, x as cx, y as cy, row_number() over (order by {_KEY}, uid) - 1 as idx,
        cast('0x' || substr(md5('{SEED}:odd:' || cast(uid as varchar)), 1, 8) as bigint) as hc
      from map2d order by {_KEY}, uid limit 30)""",
@@ -42,16 +47,30 @@ _ODD = with_ctes(
     """sets as (select idx, pos, uid from nn union all select idx, 2 as pos, c as uid from cent
      union all select idx, pos, uid from odd)""")
 
-
-@register("odd_one_out", _ODD + """
+_SETS = """
 select cast(idx as integer) as "index", cast(pos as integer) as pos, uid,
   cast(case when pos = 3 then 1 else 0 end as integer) as label, d.text
-from sets left join documents d on d.doc_id = sets.uid""")
-def odd_one_out(spark, sf_dir):
-    m = fx.map2d(spark, sf_dir).select("uid", F.array("x", "y").alias("vec"))
-    sets = R.odd_one_out(m, 30, SEED)
+from sets left join documents d on d.doc_id = sets.uid"""
+
+
+def _sets(spark, sf_dir, points):
+    sets = checkpoint(R.odd_one_out(points.select("uid", F.array("x", "y").alias("vec")), 30, SEED))
     texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text")
-    return sets.join(texts, "uid", "left").select("index", "pos", "uid", "label", "text")
+    return sets.join(vec_ops.texts_of(sets, texts), "uid", "left").select("index", "pos", "uid", "label", "text")
+
+
+@register("odd_one_out", with_ctes(fx.MAP2D_CTE, *_odd_ctes("map2d")) + _SETS)
+def odd_one_out(spark, sf_dir):
+    return _sets(spark, sf_dir, fx.map2d(spark, sf_dir))
+
+
+_NORM = q_vectors.PLANE_NORM
+
+
+@register("odd_one_out_projected", with_ctes(*_NORM, *_odd_ctes("norm")) + _SETS)
+def odd_one_out_projected(spark, sf_dir):
+    """The whole chain: projection, 3-sigma trim, min-max, question sets."""
+    return _sets(spark, sf_dir, q_vectors.plane_norm(spark, sf_dir))
 
 
 @register("random_outsiders", with_ctes(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import WS_CLASS
 from ..operators import text as ops
 from . import fixtures as fx
 from . import sqlbits as S
@@ -43,6 +44,15 @@ def corpus_lines(spark, sf_dir):
     return ops.corpus(ops.clean_posts(fx.posts(spark, sf_dir)))
 
 
+@register("corpus_without_hashtags", _TAGGED + f"""
+select regexp_replace({S.clean("text || ' #tag' || id || ' end'")}, '#[^{WS_CLASS}]+', '', 'g') as value from tagged where reason is null""")
+def corpus_without_hashtags(spark, sf_dir):
+    """P8 on: every post has a hashtag before its last word."""
+    tagged = ops.tag_posts(fx.posts(spark, sf_dir))
+    tagged = tagged.withColumn("text", F.concat("text", F.lit(" #tag"), "id", F.lit(" end")))
+    return ops.corpus(ops.clean_table(tagged, hashtags=True))
+
+
 @register("drop_incomplete", _TAGGED + f"""
 select * from ({S.clean_select()}) c
 where uid is not null and uid <> '' and text is not null and text <> '' and img_dir is not null

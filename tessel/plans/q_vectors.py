@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..operators import sampling as R
 from ..operators import vectors as ops
-from ..session import load
+from ..session import checkpoint, load
 from . import fixtures as fx
 from .registry import register, with_ctes
 
@@ -150,7 +150,7 @@ def project_2d(spark, sf_dir):
 
 # The two principal components of 2-D points in closed form: eigenvectors of the
 # covariance matrix, each with its larger loading positive; points are not centred.
-_PLANE = with_ctes(
+_PLANE_CTES = (
     fx.MAP2D_CTE,
     "cv as (select var_samp(x) as a, covar_samp(x, y) as b, var_samp(y) as c from map2d)",
     "ev as (select a, b, c, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) as l1, (a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) as l2 from cv)",
@@ -161,6 +161,20 @@ _PLANE = with_ctes(
     "proj as (select uid, p1 * x + q1 * y as x, p2 * x + q2 * y as y from map2d, pc)")
 
 
+_PLANE = with_ctes(*_PLANE_CTES)
+PLANE_NORM = (
+    *_PLANE_CTES,
+    "st as (select avg(x) as mux, stddev_pop(x) as sdx, avg(y) as muy, stddev_pop(y) as sdy from proj)",
+    "kept as (select uid, x, y from proj, st where x < mux + 3 * sdx and x > mux - 3 * sdx and y < muy + 3 * sdy and y > muy - 3 * sdy)",
+    _MINMAX.format(src="kept"), f"norm as ({_minmax_sel('kept')})")
+
+
+def plane_norm(spark, sf_dir):
+    """Projection, 3-sigma trim and min-max of the 2-D points, computed once."""
+    proj = checkpoint(_plane(spark, sf_dir))
+    return checkpoint(ops.minmax(ops.trim_outliers(proj, ["x", "y"]), ["x", "y"]))
+
+
 def _plane(spark, sf_dir):
     return ops.project_2d(fx.map2d(spark, sf_dir).select("uid", F.array("x", "y").alias("vec")))
 
@@ -170,6 +184,12 @@ def project_plane(spark, sf_dir):
     return _plane(spark, sf_dir).select("uid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+@register("density_grid_projected", with_ctes(*PLANE_NORM) + """
+select cast(least(floor(x * 10), 9) as integer) as bx, cast(least(floor(y * 10), 9) as integer) as by, count(*) as n from norm group by all""")
+def density_grid_projected(spark, sf_dir):
+    return ops.density_grid(plane_norm(spark, sf_dir), bins=10)
+
+
 # every third vector is printed with three elements, so the width filter drops rows
 _PRINTED = "'[' || cast(x as varchar) || '  ' || cast(y as varchar) || case when uid % 3 = 0 then '  1e-08' else '' end || ']'"
 

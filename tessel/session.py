@@ -90,6 +90,16 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want) if have < min(want, SPREAD_BELOW) else df
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """Partitions of about ``bytes_each`` by the optimizer's size estimate, at least the session's shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate (Spark Connect)
+        return least
+    return max(least, min(size // bytes_each + 1, 1_000_000))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (cuts lineage, survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
