@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# The column names of the raw post file.
 POST_COLUMNS = ["id", "headline", "related_text", "original_img_dir", "original_img_filename"]
 
 # Reject reasons, in the order the checks run.

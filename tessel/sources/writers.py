@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 
 
+REPORT_LINE = "*" * 200  # fixed value of the report format: the line behind each query
+
+
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Clean table, no index column."""
     w = df.write.mode(mode)
@@ -54,7 +57,7 @@ def write_sets(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.orderBy("index", "pos").select("index", "uid", "text", "label").write.mode(mode).json(path)
 
 
-def write_report(report: DataFrame, path: str, sep: str = "*" * 200, mode: str = "overwrite") -> None:
+def write_report(report: DataFrame, path: str, sep: str = REPORT_LINE, mode: str = "overwrite") -> None:
     """Neighbour report as text, one block per query followed by a separator line."""
     body = F.concat(F.lit("indexes "), F.col("q_uid").cast("string"), F.lit("\n"), F.col("report"),
                     F.lit("\n"), F.lit(sep))
@@ -62,10 +65,11 @@ def write_report(report: DataFrame, path: str, sep: str = "*" * 200, mode: str =
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Per split, ``premise, hypothesis, pred, label`` in that order, sorted by pred."""
-    (df.select("split", "premise", "hypothesis", "pred", "label")
-     .orderBy("split", F.desc("pred"))  # range-partitioned: a large split spans many tasks
-     .write.mode(mode).partitionBy("split").option("header", True).option("escape", '"').csv(path))
+    """Per split, ``premise, hypothesis, pred, label`` in that order, sorted by
+    pred (ties by ``pair_id`` where there is one)."""
+    ties = ["pair_id"] if "pair_id" in df.columns else []
+    (df.orderBy("split", F.desc("pred"), *ties)  # range-partitioned: a large split spans many tasks
+     .select("split", "premise", "hypothesis", "pred", "label").write.mode(mode).partitionBy("split").option("header", True).option("escape", '"').csv(path))
 
 
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:

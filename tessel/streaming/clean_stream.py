@@ -18,11 +18,18 @@ from ..sources import schemas
 
 
 def read_post_stream(spark: SparkSession, src_dir: str, fmt: str = "parquet", max_files: int = 100) -> DataFrame:
-    schema = schemas.POSTS if fmt == "csv" else _posts_with_lang()
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if fmt == "csv":
-        return r.option("header", True).option("multiLine", True).option("escape", '"').csv(src_dir)
-    return r.parquet(src_dir)
+    """Posts arriving in a folder. CSV columns go by header name: the layout is the
+    header of the files already there, all of which must have one layout (a file with
+    another header fails the batch); a missing column raises at the start."""
+    r = spark.readStream.option("maxFilesPerTrigger", max_files)
+    if fmt != "csv":
+        return r.schema(_posts_with_lang()).parquet(src_dir)
+    head = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(src_dir).schema
+    missing = [c for c in schemas.POSTS.names if c not in head.names]
+    if missing:
+        raise ValueError(f"{src_dir}: no column {', '.join(missing)} in the header")
+    return (r.schema(head).option("header", True).option("enforceSchema", False).option("multiLine", True)
+            .option("escape", '"').csv(src_dir).select(*schemas.POSTS.names))
 
 
 def _posts_with_lang():

@@ -160,3 +160,31 @@ def test_sample_prefilter_is_exact(spark, monkeypatch):
     monkeypatch.setattr(R, "PREFILTER_ROWS", 0)
     assert [r.uid for r in R.sample_seeded(df, 40, 9).orderBy("pos").collect()] == base
     assert [r.uid for r in R.sample_seeded(df, 4999, 9).orderBy("pos").collect()][:40] == base
+
+
+def test_sample_beyond_the_top_n_bound(spark, monkeypatch):
+    df = ids(spark, 3000).repartition(4)
+    base = sorted((r.pos, r.uid) for r in R.sample_seeded(df, 1500, 9).collect())
+    monkeypatch.setattr(R, "MAX_SAMPLE", 100)
+    assert sorted((r.pos, r.uid) for r in R.sample_seeded(df, 1500, 9).collect()) == base
+
+
+def test_outsiders_in_blocks_of_groups(spark, monkeypatch):
+    pts = ids(spark, 90).repartition(3)
+    groups = pts.select(F.col("uid").alias("g"))
+    excluded = groups.select("g", F.col("g").alias("uid"))
+    base = sorted(map(tuple, R.random_outsiders(pts, groups, excluded).collect()))
+    monkeypatch.setattr(R, "MAX_SAMPLE", 20)
+    assert sorted(map(tuple, R.random_outsiders(pts, groups, excluded).collect())) == base and len(base) == 90
+
+
+def test_candidates_once_per_task(spark):
+    """At most (E + 1) candidates per group and task, however small the Arrow batches."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        src = ids(spark, 1000).repartition(2).select(F.col("uid").alias("_u"), R.hash_int(123, "odd", F.col("uid")).alias("_h"))
+        block = spark.createDataFrame([(g, g * 7, 3) for g in range(30)], "g long, _h long, _e long").toPandas()
+        assert src.mapInPandas(R._smallest_keys(src, block, "g"), "g long, _u long, _k long").count() == 30 * 4 * 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

@@ -4,6 +4,9 @@ import json
 import os
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessel.sources import readers, writers
 
 
@@ -65,19 +68,51 @@ def test_map_csv_and_vector_round_trip(spark):
     assert back == {"a": [1.0, 0.5], "b": [0.123456, 1e-7]}
 
 
-def test_images_attach_and_flag_missing(spark):
+def test_map_csv_as_it_is_exported(spark):
     d = tmpdir()
-    os.makedirs(d + "/img/src1")
-    with open(d + "/img/src1/f1.jpg", "wb") as f:
-        f.write(bytes(range(50)))
-    caps = spark.createDataFrame([("u1", d + "/img/src1/f1.jpg", "a cap"), ("u2", d + "/img/src1/f2.jpg", "b")],
-                                 "uid string, img_fpath string, caption string")
-    out = {r.uid: r.has_image for r in readers.attach_images(caps, readers.read_images(spark, d + "/img")).collect()}
-    assert out == {"u1": True, "u2": False}
+    with open(d + "/map.csv", "w") as f:
+        f.write(",uid,text,img_dir,img_fname,vec\n0,a,NA,d/,f,[1.  5e-8]\n1,b,t b,,g,[1. 2. 3.]\n2,c,\"x, y\",d/,h,\"[0.5\n 0.25]\"\n")
+    back = {r.uid: (r.text, r.vec) for r in readers.read_map_csv(spark, d + "/map.csv").collect()}
+    assert back == {"a": (None, [1.0, 5e-8]), "c": ("x, y", [0.5, 0.25])}
+
+
+def test_columns_go_by_name(spark):
+    d = tmpdir()
+    with open(d + "/posts.csv", "w") as f:
+        f.write("id,created,related_text,headline,extra,original_img_filename,original_img_dir\n1,2021,REL,HEAD,x,f.jpg,dir/\n")
+    r = readers.read_posts(spark, d + "/posts.csv").first()
+    assert (r.id, r.headline, r.related_text, r.original_img_dir, r.original_img_filename) == ("1", "HEAD", "REL", "dir/", "f.jpg")
+    with open(d + "/clean.csv", "w") as f:
+        f.write("text,uid,img_fname,img_dir\nhello,u1,NA,d\n")
+    assert tuple(readers.read_clean(spark, d + "/clean.csv", fmt="csv").first()) == ("u1", "hello", "d", None)
+    with open(d + "/short.csv", "w") as f:
+        f.write("id,headline\n1,x\n")
+    with pytest.raises(ValueError, match="related_text"):
+        readers.read_posts(spark, d + "/short.csv")
+
+
+def test_images_of_the_clean_table(spark):
+    """From raw posts to joint vectors: relative paths without extension find their file."""
+    from tessel.functions import text as T
     from tessel.operators import encode as enc
-    joint = enc.embed_pairs(readers.attach_images(caps, readers.read_images(spark, d + "/img")),
-                            "content", "caption").collect()
-    assert all(len(r.joint) == 128 for r in joint)
+    from tessel.operators import text as ops
+    d = tmpdir()
+    os.makedirs(d + "/img/original_images/s")
+    for name in ("f1.jpg", "f1.png", "f3.v2.jpg"):
+        with open(f"{d}/img/original_images/s/{name}", "wb") as f:
+            f.write(name.encode() * 9)
+    posts = spark.createDataFrame([(str(i), "one two three four five six", None, "original_images/s/", f"f{i}.jpg", "en") for i in (1, 2)]
+                                  + [("3", "one two three four five six", None, "original_images/s/", "f3.v2.jpg", "en")],
+                                  "id string, headline string, related_text string, original_img_dir string, original_img_filename string, lang string")
+    clean = ops.clean_posts(posts)
+    caps = clean.select("uid", T.image_path("img_dir", "img_fname").alias("img_fpath"), F.col("text").alias("caption"))
+    out = {r.uid: r for r in readers.attach_images(caps, d + "/img").collect()}
+    assert {u: r.has_image for u, r in out.items()} == {"1": True, "2": False, "3": True}
+    assert bytes(out["1"].content) == b"f1.jpg" * 9 and bytes(out["3"].content) == b"f3.v2.jpg" * 9 and out["2"].content is None
+    joint = enc.embed_pairs(readers.attach_images(caps, "file://" + d + "/img"), "content", "caption").collect()
+    assert len(joint) == 3 and all(len(r.joint) == 128 for r in joint)
+    absolute = spark.createDataFrame([("u", f"file:{d}/img/original_images/s/f1.png")], "uid string, img_fpath string")
+    assert readers.attach_images(absolute, d + "/img").first().has_image
 
 
 def test_write_predictions_and_metrics(spark):

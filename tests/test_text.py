@@ -83,6 +83,8 @@ def test_dedup_keeps_first_and_is_partition_invariant(spark):
 def test_drop_incomplete_treats_empty_as_missing(spark):
     df = spark.createDataFrame([("a", "x"), ("b", ""), ("c", None)], "uid string, text string")
     assert [r.uid for r in ops.drop_incomplete(df).collect()] == ["a"]
+    num = spark.createDataFrame([("a", 1.0), ("b", float("nan")), ("c", None)], "uid string, x double")
+    assert [r.uid for r in ops.drop_incomplete(num).collect()] == ["a"]
 
 
 def test_hashtags_only_when_asked(spark):
@@ -107,6 +109,7 @@ def test_cleaning_equals_python_on_random_strings(spark):
     got = {r.i: (r.c, r.n) for r in df.select("i", T.clean_text(F.lower("t")).alias("c"),
                                                 T.token_count(F.lower("t")).alias("n")).collect()}
 
+    # The patterns under test, as the behaviour they state
     def py_clean(s):
         s = s.lower()
         n = len(s.split(" "))

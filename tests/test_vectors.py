@@ -189,3 +189,23 @@ def test_parse_vector_matches_numpy_prints(spark):
     for i, s in enumerate(printed):
         want = [float(x) for x in s.strip("[]").split()]
         assert got[i] == want, s
+
+
+def test_points_with_nan_come_last_but_are_there(spark):
+    nan = float("nan")
+    pts = spark.createDataFrame([(1, [0.0, 0.0]), (2, [nan, 1.0]), (3, [1.0, 0.0]), (4, [float("inf"), 0.0])], "uid long, vec array<double>")
+    q = pts.filter("uid = 1")
+    got = [(r["rank"], r.uid) for r in ops.knn(q, pts, 4).orderBy("rank").collect()]
+    assert got == [(0, 1), (1, 3), (2, 2), (3, 4)]
+    graph = ops.knn_graph(pts, ks=(3,)).groupBy("q_uid").count().collect()
+    assert all(r["count"] == 3 for r in graph) and len(graph) == 4
+
+
+def test_rows_without_a_vector_stay_or_raise(spark):
+    import pytest
+    rows = spark.createDataFrame([(1,), (2,)], "uid long")
+    vecs = spark.createDataFrame([(1, [1.0])], "uid long, vec array<double>")
+    assert sorted((r.uid, r.matched) for r in ops.attach_vectors(rows, vecs).collect()) == [(1, True), (2, False)]
+    assert ops.attach_vectors(rows, vecs, missing="drop").count() == 1
+    with pytest.raises(ValueError):
+        ops.attach_vectors(rows, vecs, missing="error")
