@@ -24,7 +24,7 @@ from . import tokens
 from .words import gathered, slices
 
 WINDOW = 2048
-SHARD_TOKENS = 4 << 20  # tokens indexed at once inside a task
+SHARD_TOKENS = 1 << 20  # tokens indexed at once inside a task
 QUERY_TERMS = 16        # strongest terms of a seed that make its query
 K1, B = 1.2, 0.75       # BM25 constants
 

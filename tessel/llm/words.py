@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # text handled at once inside a task (a longer document is handled alone)
+SLICE_BYTES = 2 << 20  # text handled at once inside a task (a longer document is handled alone)
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
