@@ -38,6 +38,15 @@ def language_counts(spark, sf_dir):
     return ops.language_counts(ops.tag_posts(fx.posts(spark, sf_dir)))
 
 
+@register("language_counts_json", _TAGGED + """
+select '{' || string_agg('"' || lang || '":' || cast(n as varchar), ',' order by lang) || '}' as value from (
+  select lang, count(*) as n from tagged where (reason is null or reason not in ('missing', 'too_short')) and lang is not null group by lang) c""")
+def language_counts_json(spark, sf_dir):
+    """The counts as the one JSON object that is written."""
+    from ..sources.writers import counts_json
+    return counts_json(ops.language_counts(ops.tag_posts(fx.posts(spark, sf_dir))))
+
+
 @register("corpus_lines", _TAGGED + f"""
 select {S.clean('text')} as value from tagged where reason is null""")
 def corpus_lines(spark, sf_dir):

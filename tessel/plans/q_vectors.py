@@ -98,7 +98,7 @@ def knn_graph_k5(spark, sf_dir):
     return ops.graph_for_k(ops.knn_graph(fx.vectors(spark, sf_dir), ks=(5, 10, 15, 20)), 5).select("q_uid", "rank", "uid")
 
 
-@register("neighbour_report", _KNN_SELF + """, t as (select q_uid, rank, text from nn join documents on documents.doc_id = nn.uid where rank < 4)
+@register("neighbour_report", _KNN_SELF + """, t as (select q_uid, rank, coalesce(text, '') as text from nn left join documents on documents.doc_id = nn.uid where rank < 4)
 select q_uid, string_agg(text, chr(10) order by rank) as report from t group by q_uid""")
 def neighbour_report(spark, sf_dir):
     vecs = fx.vectors(spark, sf_dir)
