@@ -25,23 +25,25 @@ from . import bitmap
 from .store import stored
 from .words import Words, folded, mix, slices
 
-MASKS = ("1111", "11101", "10111", "11011")
+MASKS = ("11111", "111011", "11001011")           # for items of LONG_WORDS words or more
+SHORT_MASKS = ("1111", "11101", "10111", "11011")  # for shorter ones; unused while there are none
+LONG_WORDS = 8
 OVERLAP = 15
 SIMILARITY = 0.8
 MIN_WORDS = 5            # items of fewer words name nothing in particular and take no part
 
 
-def seed_hashes(h: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def seed_hashes(h: np.ndarray, first: np.ndarray, masks: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each mask the start words of its windows (inside one text) and their hashes."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = []
-    for m, mask in enumerate(MASKS):
+    for mask in masks:
         n = len(h) - len(mask) + 1
         if n <= 0:
             out.append((np.zeros(0, np.int64), np.zeros(0, np.uint64)))
             continue
         ok = doc[:n] == doc[len(mask) - 1:]
-        value = np.full(n, np.uint64(m + 1))
+        value = np.full(n, np.uint64(int(mask, 2)))
         for o, bit in enumerate(mask):
             if bit == "1":
                 value = value * np.uint64(0x9E3779B97F4A7C15) + h[o:o + n]
@@ -91,14 +93,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             h = col.flatten().to_numpy().view(np.uint64)
             first = np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())])
             key = b.column("item").to_numpy()
-            for at, value in seed_hashes(h, first):
-                d = np.searchsorted(first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(key[d]), pa.array((at - first[d]).astype(np.int32))],
-                                                 names=["h", "item", "item_at"])
+            long = np.diff(first) >= LONG_WORDS
+            for masks, own in ((MASKS, long), (SHORT_MASKS, ~long)):
+                for at, value in seed_hashes(h, first, masks):
+                    d = np.searchsorted(first, at, "right") - 1
+                    at, value, d = at[own[d]], value[own[d]], d[own[d]]
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(key[d]), pa.array((at - first[d]).astype(np.int32))],
+                                                     names=["h", "item", "item_at"])
 
     seeds = stored(items.select("item", "item_words").mapInArrow(item_seeds, "h long, item long, item_at int"), "seeds")
     members = spark.sparkContext.broadcast(bitmap.bitmap(seeds))
     reach = overlap
+    short = items.filter(F.size("item_words") < LONG_WORDS).limit(1).count()
+    masks = MASKS + SHORT_MASKS if short else MASKS
 
     hit_type = pa.struct([("h", pa.int64()), ("at", pa.int32())])
 
@@ -109,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         for b in slices(batches):
             h, first = _words(b.column("text"))
             ats, values = [], []
-            for at, value in seed_hashes(h, first):
+            for at, value in seed_hashes(h, first, masks):
                 on = bitmap.contained(bits, value)
                 ats.append(at[on])
                 values.append(value[on])
