@@ -7,11 +7,13 @@ next one's ``docs``; all but the last return the columns they got.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import decontam, packing, quality, secrets, simhash, tokens, training
-from tessel.llm.store import boxed, stored, unboxed
+from tessel.llm.store import stored
 from tessel.session import ensure_checkpoint_dir, load
 
 
@@ -23,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = quality.fit(training.labelled_sample(docs, labels, "quality", usable))
     if not model.any():
         return docs
-    scored = quality.score(boxed(docs, text=F.col("text")), model)
-    return unboxed(scored.filter(F.col("score") >= quality.THRESHOLD), docs.columns)
+    name = f"score_{uuid.uuid4().hex}"  # a name no table has
+    return quality.score(docs, model, name).filter(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .store import stored
+from .store import bounded_batches, stored
 from .words import Words, folded, mix, slices
 
 MASKS = ("11111", "111011", "11001011")           # for items of LONG_WORDS words or more
@@ -70,7 +70,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     ``MIN_WORDS`` words take no part. Null ids are reported as null. An empty
     table on either side gives no row.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
 
     def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .store import bounded_batches
 from .words import gathered, slices
 
 WINDOW = 2048
@@ -187,6 +188,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
                 last.append((r[0][0], s, e - s, zlib.crc32(part.astype("<u4").tobytes()), r[2], base + seq, at))
             yield emit(last)
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return (bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                              "sequence_id long, offset long"))

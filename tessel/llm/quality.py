@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import training
-from .store import stored
+from .store import bounded_batches, stored
 from .words import Words, mix, slices
 
 BITS = 18          # feature table of 2**18 weights
@@ -117,7 +117,7 @@ def fit(sample: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(idx, pa.list_(pa.int32())),
                                               pa.array(val, pa.list_(pa.float32()))], names=["id", "y", "idx", "val"])
 
-    table = stored(sample.mapInArrow(rows, "id long, y int, idx array<int>, val array<float>"), "quality-sample")
+    table = stored(bounded_batches(sample).mapInArrow(rows, "id long, y int, idx array<int>, val array<float>"), "quality-sample")
     size = (1 << bits) + 1
     state = training.mix_epochs(table, {"z": np.zeros(size), "n": np.zeros(size)}, _train, epochs)
     return weights(state["z"], state["n"]).astype(np.float32)
@@ -125,22 +125,22 @@ def fit(sample: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray
 
 def score(docs: DataFrame, weight: np.ndarray, out_col: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with a score in 0..1 from the whole text; empty and null texts get the bias alone."""
-    shipped = docs.sparkSession.sparkContext.broadcast(weight)
+    shipped = bounded_batches(docs).sparkSession.sparkContext.broadcast(weight)
     bits = int(len(weight) - 1).bit_length() - 1
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shipped.value
         table = np.append(w[:-1], np.float32(0)).astype(np.float64)  # feature -1: nothing
-        for s in texts:
-            out = []
-            for b in slices([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]):
+        for t in texts:
+            out = [np.zeros(0)]
+            for b in slices([pa.RecordBatch.from_arrays([t], ["text"])]):
                 f, first = features(b.column("text"), bits)
                 total = np.zeros(f.shape[1] + 1)
                 np.cumsum(table[f].sum(axis=0), out=total[1:])
                 n = np.diff(first)
                 out.append(w[-1] + (total[first[1:]] - total[first[:-1]]) * (SCALE / np.maximum(n, 1)))
-            yield pd.Series(training.sigmoid(np.concatenate(out)) if out else np.zeros(0))
+            yield pa.array(training.sigmoid(np.concatenate(out)))
 
     return docs.withColumn(out_col, scored(F.col(text_col)))
 

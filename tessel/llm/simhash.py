@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import boxed, stored, unboxed
+from .store import bounded_batches, boxed, stored, unboxed
 from .words import Words, slices
 
 SHINGLE = 3
@@ -82,7 +82,7 @@ def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "do
             fp = fingerprints(b.column("text"), shingle)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), pa.array(fp.view(np.int64))], schema=schema)
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
+    return (bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
             .mapInArrow(run, "doc_id long, k long, fp long"))
 
 

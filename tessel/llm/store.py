@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+BATCH_BYTES = 4 << 20  # bytes of an Arrow batch between the JVM and Python
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session cuts Arrow batches at ``BATCH_BYTES`` from now on, so that
+    a batch of long texts stays small on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .store import stored
+from .store import bounded_batches, stored
 from .words import Words, ranged, slices
 
 WINDOW = 50
@@ -254,7 +254,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     an id never count as earlier than one another; a row with a null id neither loses
     words nor makes others lose any. An empty table gives no row.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
                        F.xxhash64(F.col(id_col).cast("long"), text).alias("k"))

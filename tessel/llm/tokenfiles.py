@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .store import bounded_batches
 from .words import slices
 
 NULL_ID = -(1 << 63)
@@ -54,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     spark = docs.sparkSession
     fs, root = _open(path)
     fs.create_dir(root, recursive=True)
-    ordered = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ordered = (bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
                .repartitionByRange("id").sortWithinPartitions("id", "text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

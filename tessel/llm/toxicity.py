@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import training
-from .store import stored
+from .store import bounded_batches, stored
 from .words import Words, folded, mix, slices
 
 FACTORS = 8
@@ -108,7 +108,7 @@ def fit(sample: DataFrame, factors: int = FACTORS, epochs: int = EPOCHS) -> dict
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(terms, pa.list_(pa.int64()))],
                                              names=["id", "y", "terms"])
 
-    table = stored(sample.mapInArrow(rows, "id long, y int, terms array<long>"), "toxicity-sample")
+    table = stored(bounded_batches(sample).mapInArrow(rows, "id long, y int, terms array<long>"), "toxicity-sample")
     known = (table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
              .filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "t").limit(MAX_TERMS).select("t").toPandas())
     keys = np.sort(known["t"].to_numpy(np.int64).view(np.uint64))
@@ -138,19 +138,19 @@ def fit(sample: DataFrame, factors: int = FACTORS, epochs: int = EPOCHS) -> dict
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], out_col: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with a score in 0..1 from the whole text; a text without known terms gets the bias alone."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shipped.value
         terms = Terms(m["keys"])
-        for s in texts:
+        for t in texts:
             out = [np.zeros(0)]
-            for b in slices([pa.RecordBatch.from_arrays([pa.array(s, pa.string())], ["text"])]):
+            for b in slices([pa.RecordBatch.from_arrays([t], ["text"])]):
                 h, first = term_hashes(b.column("text"))
                 doc, term = terms.distinct(h, first)
                 out.append(training.sigmoid(machine(m["w0"][0], m["w"], m["v"], doc, term, b.num_rows)))
-            yield pd.Series(np.concatenate(out))
+            yield pa.array(np.concatenate(out))
 
     return docs.withColumn(out_col, scored(F.col(text_col)))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 24_000
-SHARDS = 6
+SHARDS = 12
 
 State = dict[str, np.ndarray]
 
