@@ -35,7 +35,8 @@ SEED = 42
 RANGE_SIZE = 65_536   # fingerprints in a range
 MAX_RANGES = 32_768   # leaves of the upper tree
 FAN_OUT = 8           # children of a node
-QUERY_BLOCK = 32_768  # fingerprints that descend a tree together
+QUERY_BLOCK = 32_768  # fingerprints whose pairs are held together
+FRONTIER = 1 << 17     # (query, node) pairs that go to their children together
 
 _ONE = np.uint64(1)
 
@@ -121,19 +122,27 @@ class GrayTree:
         """Pairs (query, group) whose accumulated differences stay within ``distance``, and those differences."""
         top = len(self.mask) - 1
         query = np.arange(len(code), dtype=np.int64)
-        node = np.zeros(len(code), np.int64)
-        gone = np.zeros(len(code), np.uint8)
-        for k in range(top, -1, -1):
+        todo = [(top + 1, query, np.zeros(len(code), np.int64), np.zeros(len(code), np.uint8))]
+        found = []
+        while todo:
+            k, query, node, gone = todo.pop()
+            if k == 0:
+                found.append((query, node, gone))
+                continue
+            if len(query) > FRONTIER:  # piece by piece, so memory does not grow with the tree or the queries
+                todo += [(k, query[i:i + FRONTIER], node[i:i + FRONTIER], gone[i:i + FRONTIER])
+                         for i in range(0, len(query), FRONTIER)]
+                continue
+            k -= 1
             if k < top:  # to the children
-                n = len(self.mask[k])
                 query, gone = np.repeat(query, FAN_OUT), np.repeat(gone, FAN_OUT)
                 node = (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-                real = node < n
+                real = node < len(self.mask[k])
                 query, gone, node = query[real], gone[real], node[real]
             gone = gone + np.bitwise_count((code[query] ^ self.pattern[k][node]) & self.mask[k][node])
             near = gone <= distance
-            query, node, gone = query[near], node[near], gone[near]
-        return query, node, gone
+            todo.append((k, query[near], node[near], gone[near]))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
