@@ -91,7 +91,7 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _train(state: training.State, rows: pd.DataFrame) -> training.State:
     """One pass of per-coordinate FTRL-proximal over the rows; coordinate ``2**BITS`` is the bias."""
-    z, n = state["z"], state["n"]
+    z, n = state["z"].astype(np.float64), state["n"].astype(np.float64)
     for idx, val, y in zip(rows["idx"], rows["val"], rows["y"]):
         i, x = np.asarray(idx), np.asarray(val, np.float64)
         w = weights(z[i], n[i])
@@ -99,7 +99,7 @@ def _train(state: training.State, rows: pd.DataFrame) -> training.State:
         sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
         z[i] += g - sigma * w
         n[i] += g * g
-    return {"z": z, "n": n}
+    return {"z": z.astype(np.float32), "n": n.astype(np.float32)}
 
 
 def fit(sample: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
@@ -119,7 +119,7 @@ def fit(sample: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray
 
     table = stored(bounded_batches(sample).mapInArrow(rows, "id long, y int, idx array<int>, val array<float>"), "quality-sample")
     size = (1 << bits) + 1
-    state = training.mix_epochs(table, {"z": np.zeros(size), "n": np.zeros(size)}, _train, epochs)
+    state = training.mix_epochs(table, {"z": np.zeros(size, np.float32), "n": np.zeros(size, np.float32)}, _train, epochs)
     return weights(state["z"], state["n"]).astype(np.float32)
 
 

@@ -24,10 +24,10 @@ from .words import Words, folded, mix, slices
 
 FACTORS = 8
 STEMS = (4, 6)        # leading bytes of a word that are terms of their own: inflected words share them
-MIN_DOCS = 20         # documents of the sample a term must stand in
+MIN_DOCS = 10         # documents of the sample a term must stand in
 MAX_TERMS = 1 << 16   # terms with parameters, the most frequent first
-RATE, REG_W, REG_V = 0.5, 1e-3, 1e-2
-EPOCHS = 6
+RATE, SPARSE = 0.5, 0.02  # step size; L1 penalty that sets parameters of uninformative terms to zero
+EPOCHS = 8
 THRESHOLD = 0.5
 FILTER_BITS = 24      # bitmap in front of the term table
 
@@ -79,6 +79,12 @@ def machine(w0: float, w: np.ndarray, v: np.ndarray, doc: np.ndarray, term: np.n
     return w0 + add + 0.5 * pair
 
 
+def _shrunk(x: np.ndarray, gradient, rate: np.ndarray) -> np.ndarray:
+    """A gradient step and the proximal step of the L1 penalty."""
+    x = x - rate * gradient
+    return np.sign(x) * np.maximum(0.0, np.abs(x) - rate * SPARSE)
+
+
 def _train(state: training.State, rows: pd.DataFrame) -> training.State:
     """One pass of per-coordinate adaptive gradient steps on the logistic loss."""
     w0, w, v, g0, gw, gv = (state[k] for k in ("w0", "w", "v", "g0", "gw", "gv"))
@@ -90,12 +96,11 @@ def _train(state: training.State, rows: pd.DataFrame) -> training.State:
         e = float(training.sigmoid(np.array([raw]))[0]) - y
         g0[0] += e * e
         w0[0] -= RATE * e / np.sqrt(g0[0])
-        d = e + REG_W * w[i]
-        gw[i] += d * d
-        w[i] -= RATE * d / np.sqrt(gw[i])
-        dv = e * (s - vi) + REG_V * vi
+        gw[i] += e * e
+        w[i] = _shrunk(w[i], e, RATE / np.sqrt(gw[i]))
+        dv = e * (s - vi)
         gv[i] += dv * dv
-        v[i] -= RATE * dv / np.sqrt(gv[i])
+        v[i] = _shrunk(vi, dv, RATE / np.sqrt(gv[i]))
     return {"w0": w0, "w": w, "v": v, "g0": g0, "gw": gw, "gv": gv}
 
 

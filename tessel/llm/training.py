@@ -43,7 +43,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
 def _packed(state: State) -> bytes:
     out = io.BytesIO()
-    np.savez(out, **state)
+    np.savez_compressed(out, **state)  # mostly zeros
     return out.getvalue()
 
 
