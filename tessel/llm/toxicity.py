@@ -24,9 +24,9 @@ from .words import Words, folded, mix, slices
 
 FACTORS = 8
 STEMS = (4, 6)        # leading bytes of a word that are terms of their own: inflected words share them
-MIN_DOCS = 10         # documents of the sample a term must stand in
+MIN_DOCS = 20         # documents of the sample a term must stand in
 MAX_TERMS = 1 << 16   # terms with parameters, the most frequent first
-RATE, SPARSE = 0.5, 0.02  # step size; L1 penalty that sets parameters of uninformative terms to zero
+RATE, SPARSE = 0.5, 0.05  # step size; L1 penalty that sets parameters of uninformative terms to zero
 EPOCHS = 8
 THRESHOLD = 0.5
 FILTER_BITS = 24      # bitmap in front of the term table
@@ -135,7 +135,7 @@ def fit(sample: DataFrame, factors: int = FACTORS, epochs: int = EPOCHS) -> dict
     # small deterministic vectors: the same start in every shard
     noise = (mix(np.arange(1, m * factors + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53) - 0.5
     kind = np.float32  # what shards and driver exchange stays small
-    start = {"w0": np.zeros(1, kind), "w": np.zeros(m, kind), "v": (noise.reshape(m, factors) * 0.002).astype(kind),
+    start = {"w0": np.zeros(1, kind), "w": np.zeros(m, kind), "v": (noise.reshape(m, factors) * 0.02).astype(kind),
              "g0": np.ones(1, kind), "gw": np.ones(m, kind), "gv": np.ones((m, factors), kind)}
     state = training.mix_epochs(table.mapInArrow(numbered, "id long, y int, idx array<int>"), start, _train, epochs)
     return {"keys": keys} | {k: state[k].astype(np.float64) for k in ("w0", "w", "v")}

@@ -218,7 +218,8 @@ def test_pairwise_machine_equals_the_double_sum():
     assert np.isclose(toxicity.machine(0.5, w, v, np.zeros(3, int), np.array(terms), 1)[0], want)
 
 
-def test_machine_learns_a_pair_that_weights_alone_miss():
+def test_machine_learns_a_pair_that_weights_alone_miss(monkeypatch):
+    monkeypatch.setattr(toxicity, "SPARSE", 0.01)  # few rows: a weaker penalty
     # harmful only together: exclusive-or is not additive
     rows = [([0, 1], 1), ([0], 0), ([1], 0), ([2], 0)] * 60
     import pandas as pd
