@@ -14,7 +14,8 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,13 +47,16 @@ def fit_vocab(df: DataFrame, text_col: str = "text", max_size: int = 30_000) ->
     return checkpoint(top.select("token", (F.row_number().over(w) + len(RESERVED) - 1).cast("int").alias("id"), "n"))
 
 
-def _distinct(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token lists of a batch: number of each token's distinct form, the forms, and list lengths."""
-    size = np.array([0 if t is None else len(t) for t in column], np.int64)
-    if not size.sum():
-        return np.zeros(0, np.int64), np.zeros(0, object), size
-    code, seen = pd.factorize(np.concatenate([t for t in column if t is not None and len(t)]))
-    return code, seen, size
+def distinct_tokens(column: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Token lists of an Arrow batch: number of each token's distinct form, the
+    forms, and list lengths. Only distinct tokens become Python strings."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = column.flatten().dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), size
+
+
+def list_column(flat: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
 
 
 def token_ids(df: DataFrame, vocab: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -63,12 +67,11 @@ def token_ids(df: DataFrame, vocab: DataFrame, columns: dict[str, Column]) -> Da
     known = vocab.select("token", "id").toPandas()  # size checked
     shipped = df.sparkSession.sparkContext.broadcast(dict(zip(known["token"], known["id"].astype(int))))
 
-    @F.pandas_udf("array<int>")
-    def look(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def look(column: pa.Array) -> pa.Array:
         ids = shipped.value
-        code, seen, size = _distinct(column)
-        flat = np.array([ids.get(t, UNK) for t in seen], np.int32)[code] if len(code) else np.zeros(0, np.int32)
-        return pd.Series(np.split(flat, np.cumsum(size)[:-1]) if len(size) else [])
+        code, seen, size = distinct_tokens(column)
+        return list_column(np.array([ids.get(t, UNK) for t in seen], np.int32)[code] if len(code) else np.zeros(0, np.int32), size)
 
     return df.select("*", *[look(c).alias(name) for name, c in columns.items()])
 
@@ -151,11 +154,11 @@ def _cells(tokens, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_vector(tokens: Column, dim: int = 64) -> Column:
     """E6 as a column: signed feature hashing of token lists, L2-normalised, no tokens -> zero vector."""
-    @F.pandas_udf("array<double>")
-    def hashed(column: pd.Series) -> pd.Series:
-        code, seen, size = _distinct(column)
+    @F.arrow_udf("array<double>")
+    def hashed(column: pa.Array) -> pa.Array:
+        code, seen, size = distinct_tokens(column)
         bucket, sign = _cells(seen, dim)
-        out = []
+        out = [np.zeros(0)]
         for a in range(0, len(size), rows := max(1, (4 << 20) // dim)):
             part = size[a:a + rows]
             lo = int(size[:a].sum())
@@ -163,8 +166,8 @@ def hash_vector(tokens: Column, dim: int = 64) -> Column:
             cell = np.repeat(np.arange(len(part)), part) * dim + (bucket[own] if len(own) else 0)
             v = np.bincount(cell, sign[own] if len(own) else None, len(part) * dim).reshape(len(part), dim).astype(float)
             n = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            out += list(np.divide(v, n, out=v, where=n > 0))
-        return pd.Series(out)
+            out.append(np.divide(v, n, out=v, where=n > 0).ravel())
+        return list_column(np.concatenate(out), np.full(len(size), dim))
 
     return hashed(tokens)
 

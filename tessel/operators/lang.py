@@ -28,12 +28,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import URL_PATTERN
 from ..session import checkpoint
+from .encode import distinct_tokens
 
 # Cells (grams x languages) of the profile that may be broadcast: 8 bytes each,
 # so the bound keeps the broadcast under ~80 MB.
@@ -109,17 +110,17 @@ def _detect_in_row(df: DataFrame, profile: LanguageProfile, text_col: str, out_c
     weight[row, np.searchsorted(names.astype(str), pairs["lang"].to_numpy(str))] = pairs["w"]
     shipped = df.sparkSession.sparkContext.broadcast((grams, weight, langs["lden"].to_numpy(), names))
 
-    @F.pandas_udf("string")
-    def detected(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def detected(column: pa.Array) -> pa.Array:
         grams, weight, lden, names = shipped.value
-        size = np.array([0 if g is None else len(g) for g in column], np.int64)
+        code, seen, size = distinct_tokens(column)
         out = np.full(len(column), None, object)
         if not size.sum():
-            return pd.Series(out)
-        code, seen = pd.factorize(np.concatenate([g for g in column if g is not None and len(g)]))
-        at = np.searchsorted(grams, seen.astype(str))
+            return pa.array(out, pa.string())
+        seen = np.array(seen, str)
+        at = np.searchsorted(grams, seen)
         at[at == len(grams)] = 0
-        known = np.where(grams[at] == seen.astype(str), at, len(grams))[code]
+        known = np.where(grams[at] == seen, at, len(grams))[code]
         has = np.flatnonzero(size)
         start = np.concatenate([[0], np.cumsum(size[has])[:-1]])
         step = max(1, (4 << 20) // max(1, len(names)))  # occurrences whose weight rows are held at once
@@ -134,7 +135,7 @@ def _detect_in_row(df: DataFrame, profile: LanguageProfile, text_col: str, out_c
         best = key.argmax(axis=1)  # names are sorted: the smaller code wins ties
         ok = m > 0
         out[has[ok]] = names[best[ok]]
-        return pd.Series(out)
+        return pa.array(out, pa.string())
 
     return df.withColumn(out_col, detected(gram_array(F.col(text_col))))
 
