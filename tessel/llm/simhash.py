@@ -34,6 +34,7 @@ DISTANCE = 2
 SEED = 42
 RANGE_SIZE = 65_536   # fingerprints in a range
 MAX_RANGES = 32_768   # leaves of the upper tree
+HISTOGRAM_BITS = 20   # leading bits of the Gray rank whose counts place the range cuts
 FAN_OUT = 8           # children of a node
 QUERY_BLOCK = 32_768  # fingerprints whose pairs are held together
 FRONTIER = 1 << 17     # (query, node) pairs that go to their children together
@@ -180,17 +181,19 @@ def links(codes: DataFrame, distance: int = DISTANCE, range_size: int = RANGE_SI
             yield pa.RecordBatch.from_pydict({"fp": fp, "rank": rank})
 
     ordered = codes.mapInArrow(ranked, "fp long, rank long")
-    n = codes.count()
-    ranges = int(min(max_ranges, max(1, -(-n // range_size))))
-    # cut points of the order; only their number matters for speed, so approximate ones do
-    cuts = sorted(set(ordered.select((F.col("rank").cast("double")).alias("r"))
-                      .approxQuantile("r", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    edges = np.array(cuts)
+    # counts of equal leading bits of the rank: cut points stand where the counts fill a range
+    step = 64 - HISTOGRAM_BITS
+    filled = (ordered.groupBy(F.shiftright("rank", step).alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+              .sort_values("b"))  # at most 2**HISTOGRAM_BITS rows
+    total = np.cumsum(filled["n"].to_numpy(np.int64))
+    size = max(range_size, -(-int(total[-1]) // max_ranges)) if len(total) else 1
+    cut = np.flatnonzero(np.diff(total // size)) if len(total) else np.zeros(0, np.int64)
+    edges = (filled["b"].to_numpy(np.int64)[cut] + 1) << step
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rank = b.column("rank").to_numpy()
-            part = np.searchsorted(edges, rank.astype(np.float64), "right").astype(np.int32)
+            part = np.searchsorted(edges, rank, "right").astype(np.int32)
             yield pa.RecordBatch.from_pydict({"fp": b.column("fp"), "part": pa.array(part)})
 
     parts = ordered.mapInArrow(numbered, "fp long, part int")
