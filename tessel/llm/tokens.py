@@ -12,14 +12,12 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-from .words import Words, buffers, gathered
+from .words import Words, buffers, gathered, worker_state
 
 CACHE_WORDS = 1_000_000  # distinct words remembered per Python worker; beyond that the cache starts anew
 _STOP = np.zeros(256, bool)
@@ -35,12 +33,6 @@ _PIECE = re.compile("[a-z\u00c0-\u024f]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 Encode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def worker_state() -> dict:
-    """A dict that lives as long as the Python worker (shipped functions get
-    fresh module globals with every task)."""
-    return vars(sys.modules.setdefault("_tessel_worker_state", types.ModuleType("_tessel_worker_state")))
-
-
 def word_ended(spec: dict) -> bool:
     """Whether ids of a text are the ids of its white-space separated words, and
     case does not matter: white space removed by the split, words closed by a suffix."""

@@ -7,6 +7,9 @@ finished by a mixer: equal words hash alike everywhere, in any task.
 
 from __future__ import annotations
 
+import gc
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +37,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def worker_state() -> dict:
+    """A dict that lives as long as the Python worker (shipped functions get
+    fresh module globals with every task)."""
+    return vars(sys.modules.setdefault("_tessel_worker_state", types.ModuleType("_tessel_worker_state")))
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and its inverse modulo 2**64 for ``i`` below at least ``n``."""
-    got = _powers.get(base)
+    kept = worker_state().setdefault("powers", {})  # one table per Python worker, not per task
+    got = kept.get(base)
     if got is None or len(got[0]) < n:
         size = 1 << max(12, int(n - 1).bit_length())
         pair = []
@@ -49,7 +58,7 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
             pair.append(np.cumprod(p))
         got = (pair[0], pair[1])
         if n <= 2 * SLICE_BYTES:  # tables for an exceptionally long text are not kept
-            _powers[base] = got
+            kept[base] = got
     return got
 
 
@@ -79,6 +88,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most ``limit`` bytes of ``column``, or one row."""
+    gc.collect()  # what earlier tasks of this worker left behind: shipped functions hold cycles with their tables
     for b in batches:
         if not b.num_rows:
             continue
