@@ -25,7 +25,7 @@ from .words import Words, folded, mix, slices
 FACTORS = 8
 STEMS = (4, 6)        # leading bytes of a word that are terms of their own: inflected words share them
 MIN_DOCS = 20         # documents of the sample a term must stand in
-MAX_TERMS = 1 << 16   # terms with parameters, the most frequent first
+MAX_TERMS = 1 << 14   # terms with parameters, the most frequent first
 RATE, SPARSE = 0.5, 0.05  # step size; L1 penalty that sets parameters of uninformative terms to zero
 EPOCHS = 8
 THRESHOLD = 0.5
