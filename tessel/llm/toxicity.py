@@ -1,8 +1,8 @@
 """Toxicity scores: a factorization machine over hashed terms.
 
 Terms are lower-cased words without the signs around them and the words' stems,
-known by a 64-bit hash. The model has a weight and a short vector for every term that enough of the
-sample's documents contain; the score adds the weights of a text's distinct terms
+hashed into a table of parameters. Every slot of the table has a weight and a short vector, so
+rare terms are learnt like frequent ones; the score adds the weights of a text's distinct terms
 and the inner products of all pairs of their vectors, so two words that mean harm
 only together are learnt as a pair. A pairwise sum costs one pass: half of
 (sum of vectors) squared minus the sum of squares.
@@ -24,12 +24,12 @@ from .words import Words, folded, mix, slices
 
 FACTORS = 8
 STEMS = (4, 6)        # leading bytes of a word that are terms of their own: inflected words share them
-MIN_DOCS = 20         # documents of the sample a term must stand in
-MAX_TERMS = 1 << 14   # terms with parameters, the most frequent first
+BITS = 18             # parameter table of 2**18 slots; every term has one
+SCALE = 8.0           # value of a text's terms together (as a length); at most 1 for each
+BLOCKS = 16           # pieces of the table in which Spark adds the shards' states
 RATE, SPARSE = 0.5, 0.05  # step size; L1 penalty that sets parameters of uninformative terms to zero
 EPOCHS = 8
 THRESHOLD = 0.5
-FILTER_BITS = 24      # bitmap in front of the term table
 
 
 def term_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,33 +50,30 @@ def term_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w.hashes(), np.searchsorted(of[order], w.first)
 
 
-class Terms:
-    """Known terms (sorted hashes) with a bitmap that turns most others away."""
+def slots(col: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots of every text's terms in a table of ``size`` (a power of two): text
+    numbers and slots, by text."""
+    h, first = term_hashes(col)
+    doc = np.repeat(np.arange(len(col)), np.diff(first))
+    both = np.unique(doc * np.int64(size) + (h & np.uint64(size - 1)).astype(np.int64))
+    return both // size, both % size
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.seen = np.zeros(1 << FILTER_BITS, bool)
-        self.seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def distinct(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct known terms of every text: text numbers and term numbers, by text."""
-        at = np.flatnonzero(self.seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        k = np.searchsorted(self.keys, h[at])
-        k[k == len(self.keys)] = 0
-        ok = self.keys[k] == h[at] if len(self.keys) else np.zeros(len(at), bool)
-        doc = np.searchsorted(first, at[ok], "right") - 1
-        both = np.unique(doc * np.int64(len(self.keys) + 1) + k[ok])
-        return both // (len(self.keys) + 1), both % (len(self.keys) + 1)
+def values(n: np.ndarray) -> np.ndarray:
+    """Value of each term of texts with ``n`` distinct terms: a step on a long text, where
+    thousands of terms move at once, does not overshoot."""
+    return np.minimum(1.0, SCALE / np.sqrt(np.maximum(n, 1)))
 
 
-def machine(w0: float, w: np.ndarray, v: np.ndarray, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-    """Raw score of ``n`` texts from their distinct terms."""
+def machine(w0: float, w: np.ndarray, v: np.ndarray, doc: np.ndarray, term: np.ndarray, n: int,
+            value: np.ndarray | float = 1.0) -> np.ndarray:
+    """Raw score of ``n`` texts from their distinct terms, whose value in each text is ``value``."""
     add = np.bincount(doc, w[term], n)
     pair = np.zeros(n)
     for f in range(v.shape[1]):
         x = v[term, f]
         pair += np.bincount(doc, x, n) ** 2 - np.bincount(doc, x * x, n)
-    return w0 + add + 0.5 * pair
+    return w0 + value * add + 0.5 * value ** 2 * pair
 
 
 def _shrunk(x: np.ndarray, gradient, rate: np.ndarray) -> np.ndarray:
@@ -90,71 +87,61 @@ def _train(state: training.State, rows: pd.DataFrame) -> training.State:
     w0, w, v, g0, gw, gv = (state[k] for k in ("w0", "w", "v", "g0", "gw", "gv"))
     for idx, y in zip(rows["idx"], rows["y"]):
         i = np.asarray(idx, np.int64)
+        x = float(values(len(i)))
         vi = v[i]
         s = vi.sum(axis=0)
-        raw = w0[0] + w[i].sum() + 0.5 * float((s * s).sum() - (vi * vi).sum())
+        raw = w0[0] + x * w[i].sum() + 0.5 * x * x * float((s * s).sum() - (vi * vi).sum())
         e = float(training.sigmoid(np.array([raw]))[0]) - y
         g0[0] += e * e
         w0[0] -= RATE * e / np.sqrt(g0[0])
-        gw[i] += e * e
-        w[i] = _shrunk(w[i], e, RATE / np.sqrt(gw[i]))
-        dv = e * (s - vi)
+        dw = e * x
+        gw[i] += dw * dw
+        w[i] = _shrunk(w[i], dw, RATE / np.sqrt(gw[i]))
+        dv = dw * x * (s - vi)
         gv[i] += dv * dv
         v[i] = _shrunk(vi, dv, RATE / np.sqrt(gv[i]))
     return {"w0": w0, "w": w, "v": v, "g0": g0, "gw": gw, "gv": gv}
 
 
-def fit(sample: DataFrame, factors: int = FACTORS, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Term hashes, weights and vectors learnt from ``id, text, y`` rows."""
+def fit(sample: DataFrame, factors: int = FACTORS, epochs: int = EPOCHS, bits: int = BITS) -> dict[str, np.ndarray]:
+    """Bias, weights and vectors of the slots learnt from ``id, text, y`` rows."""
+    m = 1 << bits
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            h, first = term_hashes(b.column("text"))
-            terms = [np.unique(h[first[d]:first[d + 1]]).view(np.int64) for d in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(terms, pa.list_(pa.int64()))],
-                                             names=["id", "y", "terms"])
-
-    table = stored(bounded_batches(sample).mapInArrow(rows, "id long, y int, terms array<long>"), "toxicity-sample")
-    known = (table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "t").limit(MAX_TERMS).select("t").toPandas())
-    keys = np.sort(known["t"].to_numpy(np.int64).view(np.uint64))
-    shipped = table.sparkSession.sparkContext.broadcast(keys)
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shipped.value)
-        for b in batches:
-            col = b.column("terms")
-            flat = col.flatten().to_numpy().view(np.uint64)
-            first = np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())])
-            doc, term = terms.distinct(flat, first)
+            doc, slot = slots(b.column("text"), m)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("y"),
-                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term, pa.int32()))], names=["id", "y", "idx"])
+                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(slot, pa.int32()))], names=["id", "y", "idx"])
 
-    m = len(keys)
+    table = stored(bounded_batches(sample).mapInArrow(rows, "id long, y int, idx array<int>"), "toxicity-sample")
     # small deterministic vectors: the same start in every shard
     noise = (mix(np.arange(1, m * factors + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53) - 0.5
     kind = np.float32  # what shards and driver exchange stays small
     start = {"w0": np.zeros(1, kind), "w": np.zeros(m, kind), "v": (noise.reshape(m, factors) * 0.02).astype(kind),
              "g0": np.ones(1, kind), "gw": np.ones(m, kind), "gv": np.ones((m, factors), kind)}
-    state = training.mix_epochs(table.mapInArrow(numbered, "id long, y int, idx array<int>"), start, _train, epochs)
-    return {"keys": keys} | {k: state[k].astype(np.float64) for k in ("w0", "w", "v")}
+    state = training.mix_epochs(table, start, _train, epochs, blocks=BLOCKS)
+    state["v"][state["gw"] == 1] = 0  # slots no document of the sample has add nothing
+    return {k: state[k] for k in ("w0", "w", "v")}
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], out_col: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with a score in 0..1 from the whole text; a text without known terms gets the bias alone."""
+    """``docs`` with a score in 0..1 from the whole text; a text without terms gets the bias alone."""
     shipped = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shipped.value
-        terms = Terms(m["keys"])
+        w0, w, v = float(m["w0"][0]), m["w"].astype(np.float64), m["v"].astype(np.float64)
+        live = (w != 0) | (v != 0).any(axis=1)  # all other slots add nothing
         for t in texts:
             out = [np.zeros(0)]
             for b in slices([pa.RecordBatch.from_arrays([t], ["text"])]):
-                h, first = term_hashes(b.column("text"))
-                doc, term = terms.distinct(h, first)
-                out.append(training.sigmoid(machine(m["w0"][0], m["w"], m["v"], doc, term, b.num_rows)))
+                doc, slot = slots(b.column("text"), len(w))
+                value = values(np.bincount(doc, minlength=b.num_rows))
+                doc, slot = doc[live[slot]], slot[live[slot]]
+                out.append(training.sigmoid(machine(w0, w, v, doc, slot, b.num_rows, value)))
             yield pa.array(np.concatenate(out))
 
     return docs.withColumn(out_col, scored(F.col(text_col)))

@@ -59,17 +59,68 @@ def _trainer(step: Callable, shipped) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return train
 
 
+def _saved(arrays: State) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def _block_trainer(step: Callable, shipped, blocks: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Trains a shard and returns, by block, the coordinates it changed and by how much."""
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        shard = int(rows["_shard"].iloc[0])
+        rows = rows.sort_values("id", key=lambda s: s * np.int64(-7046029254386353131), kind="stable")
+        old = shipped.value
+        new = step({k: v.copy() for k, v in old.items()}, rows)
+        out = [{} for _ in range(blocks)]
+        for k, v in new.items():
+            change = v - old[k]
+            at = np.flatnonzero(change.reshape(len(v), -1).any(axis=1))
+            cut = np.searchsorted(at, np.arange(blocks + 1) * -(-len(v) // blocks))
+            for b in range(blocks):
+                own = at[cut[b]:cut[b + 1]]
+                out[b] |= {f"{k}.at": own, k: change[own]}
+        return pd.DataFrame({"block": range(blocks), "shard": shard, "change": [_saved(o) for o in out]})
+    return train
+
+
+def _block_sum(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of all shards' changes in one block, added in the order of the shards."""
+    parts = [_unpacked(data) for data in rows.sort_values("shard")["change"]]
+    out = {}
+    for k in [k for k in parts[0] if not k.endswith(".at")]:
+        at, back = np.unique(np.concatenate([p[f"{k}.at"] for p in parts]), return_inverse=True)
+        each = np.concatenate([p[k] for p in parts])
+        total = np.zeros((len(at), *each.shape[1:]))
+        np.add.at(total, back, each)
+        out |= {f"{k}.at": at, k: total.astype(each.dtype)}
+    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "shards": [len(rows)], "change": [_saved(out)]})
+
+
 def mix_epochs(features: DataFrame, start: State, step: Callable[[State, pd.DataFrame], State],
-               epochs: int, shards: int = SHARDS) -> State:
+               epochs: int, shards: int = SHARDS, blocks: int = 0) -> State:
     """Train ``epochs`` passes: ``step(state, rows)`` per shard, then the mean of the shards' states.
 
     ``features`` has ``id``; a shard sees its rows in hash order of the id. An
-    empty table leaves the start state as it is.
+    empty table leaves the start state as it is. With ``blocks``, shards return what
+    they changed, Spark adds it, each block of the coordinates in a task of its own, and the
+    driver never holds more than one sum beside the state; without, the driver adds the shards' states.
     """
     spark = features.sparkSession
     keyed = features.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     state = start
     for _ in range(epochs):
+        if blocks:
+            shipped = spark.sparkContext.broadcast(state)
+            sums = (keyed.groupBy("_shard").applyInPandas(_block_trainer(step, shipped, blocks), "block int, shard int, change binary")
+                    .groupBy("block").applyInPandas(_block_sum, "block int, shards int, change binary").collect())
+            state = {k: v.copy() for k, v in state.items()}
+            for r in sums:
+                change = _unpacked(bytes(r["change"]))
+                for k, v in state.items():
+                    v[change[f"{k}.at"]] += change[k] / r["shards"]
+            shipped.destroy()
+            continue
         shipped = spark.sparkContext.broadcast(_packed(state))
 
         parts = keyed.groupBy("_shard").applyInPandas(_trainer(step, shipped), "state binary").collect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessel.llm import (decontam, graph, maxscore, packing, quality, secrets, sharding, simhash, store, substring,
-                        tokenfiles, tokens, toxicity, words)
+                        tokenfiles, tokens, toxicity, training, words)
 
 SF = "/root/testdata/sf0.001"
 # columns whose names the operators use inside
@@ -210,6 +210,22 @@ def test_scorers_on_odd_rows_and_without_labels(spark, odd, none, run):
     assert {r["score"] for r in run(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_learns_words_of_few_documents(spark):
+    rare = [f"insult{chr(97 + k)}zz" for k in range(12)]  # each in five documents
+    rows = [(i, f"plain words here number{i} {rare[i % 12] if i < 60 else 'calm'}", int(i < 60)) for i in range(300)]
+    model = toxicity.fit(spark.createDataFrame(rows, "id long, text string, y int"))
+    got = toxicity.score(docs_of(spark, [(k, f"plain {w} words") for k, w in enumerate([*rare, "calm"])]), model).collect()
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert min(by[k] for k in range(12)) > by[12] + 0.1
+
+
+def test_states_added_in_blocks_equal_the_drivers_mean(spark):
+    table = spark.createDataFrame([(i, [i % 7, 7 + i % 3], i % 2) for i in range(200)], "id long, idx array<int>, y int")
+    start = {k: np.full(s, x, np.float32) for k, s, x in (("w0", 1, 0), ("w", 10, 0), ("v", (10, 3), 0.01), ("g0", 1, 1), ("gw", 10, 1), ("gv", (10, 3), 1))}
+    one, two = (training.mix_epochs(table, start, toxicity._train, 2, blocks=b) for b in (0, 4))
+    assert all(np.allclose(one[k], two[k], atol=1e-6) and one[k].shape == two[k].shape for k in start)
+
+
 def test_pairwise_machine_equals_the_double_sum():
     rng = np.random.default_rng(0)
     w, v = rng.normal(size=6), rng.normal(size=(6, 3))
