@@ -1,9 +1,11 @@
 """Packing of documents into token windows by lexical retrieval.
 
-Every task cuts its rows into index shards of a bounded number of tokens and
+Documents are brought into the order of their strongest terms over the whole table
+(``routed``), so that related ones of all input splits meet. Every task cuts its range
+of that order into index shards of a bounded number of tokens and
 builds a BM25 inverted index over each shard's token ids. The first unused
 document of a shard is the seed of a window; the index returns the unused
-documents that score best for the seed's strongest terms, and they fill the
+documents that score best for all terms the seed shares, and they fill the
 window in that order. What does not fit is cut, and its rest opens the next
 window, so windows are always full. When retrieval finds nothing more, the
 next unused document follows. The last window of a task is cut into power-of-two
@@ -21,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .store import bounded_batches
-from .words import gathered, slices
+from .store import bounded_batches, stored
+from .words import buffers, gathered, slices
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20  # tokens indexed at once inside a task
-QUERY_TERMS = 16        # strongest terms of a seed that make its query
+ROUTE_TERMS = 4         # strongest terms of a document, in order, that place it
 K1, B = 1.2, 0.75       # BM25 constants
 
 
@@ -51,25 +53,21 @@ class Bm25Index:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
         norm = (K1 * (1 - B + B * size / max(1.0, size.mean() if n else 1.0))).astype(np.float32)
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        # the strongest terms of each document: postings of shared terms by (document, weight)
+        # the terms each document shares with others
         shared = np.flatnonzero(df[self.term] > 1)
-        best = shared[np.lexsort((-self.weight[shared], self.doc[shared]))]
-        of = np.searchsorted(self.doc[best], np.arange(n + 1))
-        self.query_to = of
-        self.query_term = self.term[best]
-
-    def neighbours(self, seed: int, unused: np.ndarray, query_terms: int = QUERY_TERMS) -> np.ndarray:
-        """Unused documents by falling score for the seed's strongest terms (ties: earlier first)."""
-        q = self.query_term[self.query_to[seed]:self.query_to[seed + 1]][:query_terms]
+        shared = shared[np.argsort(self.doc[shared], kind="stable")]
+        self.query_to = np.searchsorted(self.doc[shared], np.arange(n + 1))
+        self.query_term = self.term[shared]
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents by falling score for all terms the seed shares (ties: earlier first)."""
+        q = self.query_term[self.query_to[seed]:self.query_to[seed + 1]]
         if not len(q):
             return q
         lo, count = self.to[q], self.to[q + 1] - self.to[q]
-        doc = gathered(self.doc, lo, count)
-        free = unused[doc]
-        doc, weight = doc[free], gathered(self.weight, lo, count)[free]
-        found, back = np.unique(doc, return_inverse=True)
-        score = np.bincount(back, weight, len(found))
-        return found[np.argsort(-score, kind="stable")]
+        score = np.bincount(gathered(self.doc, lo, count), gathered(self.weight, lo, count), len(unused))
+        found = np.flatnonzero((score > 0) & unused)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 class Packer:
@@ -78,7 +76,7 @@ class Packer:
     def __init__(self, window: int = WINDOW):
         self.window, self.seq, self.fill = window, 0, 0
 
-    def shard(self, ids: np.ndarray, off: np.ndarray, query_terms: int = QUERY_TERMS) -> list[tuple[int, int, int, int, int]]:
+    def shard(self, ids: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         n = len(off) - 1
         size = np.diff(off).tolist()
         index = Bm25Index(ids, off)
@@ -105,7 +103,7 @@ class Packer:
             if opened:  # the rest of this document leads the next window
                 seed = d
             if seed == d:
-                queue = iter(index.neighbours(d, unused, query_terms).tolist())
+                queue = iter(index.neighbours(d, unused).tolist())
 
 
 def power_cuts(pieces: list, first: int, window: int) -> list:
@@ -124,23 +122,96 @@ def power_cuts(pieces: list, first: int, window: int) -> list:
     return out
 
 
+def _strongest(ids: np.ndarray, off: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """The ``ROUTE_TERMS`` terms of greatest BM25 weight of every document, a row each (-1: none)."""
+    n, m = len(off) - 1, np.int64(len(idf))
+    both, tf = np.unique(np.repeat(np.arange(n), np.diff(off)) * m + ids, return_counts=True)
+    doc, term = both // m, both % m
+    weight = idf[term] * tf / (tf + K1 * (1 - B + B * np.diff(off)[doc] / mean))
+    keep = weight > 0
+    doc, term, weight = doc[keep], term[keep], weight[keep]
+    order = np.lexsort((term, -weight, doc))
+    doc, term = doc[order], term[order]
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    top = rank < ROUTE_TERMS
+    out = np.full((n, ROUTE_TERMS), -1, np.int64)
+    out[doc[top], rank[top]] = term[top]
+    return out
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of a batch of binary columns, and document offsets into them."""
+    raw, off = buffers(b.column("ids"))
+    kind = np.dtype("<u2") if not b.num_rows or b.column("width")[0].as_py() == 2 else np.dtype("<u4")
+    return np.frombuffer(raw.tobytes(), kind), off // kind.itemsize
+
+
+def routed(docs: DataFrame) -> DataFrame:
+    """``id, ids, width`` rows, range-partitioned and sorted by their strongest terms.
+
+    A term's strength counts its documents in the whole table; terms of one document
+    bring nothing together and do not count. Documents with the same strongest terms are
+    dealt by a hash, so a range of any size can be cut.
+    """
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows, size = np.zeros(0, np.int64), 0, 0
+        for b in slices(batches, "ids"):
+            ids, off = _arrays(b)
+            both = np.unique(np.repeat(np.arange(b.num_rows), np.diff(off)) << 32 | ids)
+            own = np.bincount(both & 0xFFFFFFFF, minlength=len(total))
+            own[:len(total)] += total
+            total, rows, size = own, rows + b.num_rows, size + len(ids)
+        t = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(t, [-1, -2])), pa.array(np.append(total[t], [rows, size]))],
+                                         names=["term", "n"])
+
+    count = docs.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    by = dict(zip(count["term"], count["n"]))  # at most the tokenizer's vocabulary
+    rows, size = int(by.pop(-1, 0)), int(by.pop(-2, 0))
+    idf = np.zeros(max(by, default=0) + 1)
+    for t, n in by.items():
+        idf[t] = np.log(1 + (rows - n + 0.5) / (n + 0.5)) if n > 1 else 0
+    shipped = docs.sparkSession.sparkContext.broadcast((idf, max(1.0, size / max(1, rows))))
+    keys = [f"k{i}" for i in range(ROUTE_TERMS)]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "ids"):
+            k = _strongest(*_arrays(b), *shipped.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(k[:, i]) for i in range(ROUTE_TERMS))],
+                                             names=[*b.schema.names, *keys])
+
+    schema = "id long, ids binary, width int, " + ", ".join(f"{k} long" for k in keys)
+    out = docs.mapInArrow(placed, schema).withColumn("salt", F.xxhash64("id", "ids"))
+    return out.repartitionByRange(*keys, "salt").sortWithinPartitions(*keys, "salt").select("id", "ids", "width")
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS,
-         query_terms: int = QUERY_TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every whole text (a null one: empty) with ``end_id`` behind it.
 
     Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``. Rows that share an id are packed as documents of
-    their own; an empty table gives no piece. No shuffle: the index shards are
-    parts of the input partitions; a sequence id holds the partition number in its
+    their own; an empty table gives no piece. The token ids are stored once and shuffled
+    once, by content; a sequence id holds the partition number in its
     upper bits, so ids are unique without a second pass.
     """
     schema = pa.schema([(c, pa.int64()) for c in
                         ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokens.encoder(tokenizer)
+        for b in slices(batches):
+            ids, off = encode(b.column("text"))
+            kind = ids.dtype if end_id <= np.iinfo(ids.dtype).max else np.dtype(np.uint32)
+            data = np.insert(ids.astype(kind, copy=False), off[1:], end_id)
+            off = (off + np.arange(len(off))) * kind.itemsize
+            col = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column("id"), col, pa.array(np.full(b.num_rows, kind.itemsize, np.int32))],
+                                             names=["id", "ids", "width"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         base = TaskContext.get().partitionId() << 33
-        encode = tokens.encoder(tokenizer)
         packer, tail, held, total = Packer(window), [], [], 0
 
         def emit(rows: list) -> pa.RecordBatch:
@@ -156,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
             np.cumsum(size, out=off[1:])
             held, total = [], 0
             rows = []
-            for d, s, e, seq, at in packer.shard(flat, off, query_terms):
+            for d, s, e, seq, at in packer.shard(flat, off):
                 crc = zlib.crc32(flat[off[d] + s:off[d] + e].astype("<u4").tobytes())
                 rows.append(((names[d], s, e, seq, at), crc, int(size[d]), flat[off[d] + s:off[d] + e]))
             rows = tail + rows
@@ -168,11 +239,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
             (name, s, e, seq, at), crc, doc_tokens, _ = r
             return name, s, e - s, crc, doc_tokens, base + seq, at
 
-        for b in slices(batches):
-            ids, off = encode(b.column("text"))
-            kind = ids.dtype if end_id <= np.iinfo(ids.dtype).max else np.uint32
-            held.append((np.insert(ids.astype(kind, copy=False), off[1:], end_id), off + np.arange(len(off)),
-                         b.column("id").to_pylist()))
+        for b in slices(batches, "ids"):
+            held.append((*_arrays(b), b.column("id").to_pylist()))
             total += len(held[-1][0])
             if total >= shard_tokens:
                 yield from flush()
@@ -188,6 +256,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
                 last.append((r[0][0], s, e - s, zlib.crc32(part.astype("<u4").tobytes()), r[2], base + seq, at))
             yield emit(last)
 
-    return (bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-                             "sequence_id long, offset long"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    held_ids = stored(texts.mapInArrow(encoded, "id long, ids binary, width int"), "packing-ids")
+    return routed(held_ids).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+                                            "sequence_id long, offset long")

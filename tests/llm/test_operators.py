@@ -463,6 +463,25 @@ def test_neighbours_share_a_window():
         assert len({p[0] % 2 for p in pieces if p[3] == seq}) == 1
 
 
+def test_related_documents_of_far_splits_meet(spark):
+    topics = ["river", "engine", "garden", "violin"]
+    rows = [(k * 4 + t, f"{w} {w} {w} {w} filler words stand here too") for k in range(8) for t, w in enumerate(topics)]
+    docs = docs_of(spark, rows).repartition(8, "doc_id")
+    pieces = packing.pack(docs, tokens.tokenizer_path(), 1, window=16, shard_tokens=40).collect()
+    by = {}
+    for p in pieces:
+        by.setdefault(p["sequence_id"], set()).add(p["doc_id"] % 4)
+    assert sum(len(v) == 1 for v in by.values()) >= 0.7 * len(by)
+
+
+def test_a_query_has_all_shared_terms():
+    docs = [list(range(1, 41)), [*range(100, 120)], [40] * 3]  # documents 0 and 2 share one term of 40
+    docs += [[t] for t in range(1, 40)]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    found = packing.Bm25Index(np.array(sum(docs, []), np.uint16), off).neighbours(0, np.arange(len(docs)) > 0)
+    assert sorted(found.tolist()) == [2, *range(3, 42)]
+
+
 def test_token_files_round_trip(spark, odd, none, documents, tok):
     path = tokens.tokenizer_path()
     for df, rows in ((documents, [(r["doc_id"], r["text"]) for r in documents.collect()]), (odd, ODD), (none, [])):
