@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir, load
-from . import decontam, maxscore, packing, quality, secrets, sharding, simhash, substring, tokenfiles, tokens, toxicity
+from . import (bytebpe, decontam, maxscore, packing, quality, secrets, sharding, simhash, substring, tokenfiles, tokens, toxicity,
+               whitening)
 from .store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +75,16 @@ def op10_token_files(spark, sf_dir):
     return tokenfiles.read_digests(spark, path)
 
 
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(load(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_byte_bpe(spark, sf_dir):
+    return bytebpe.digests(load(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op2_maxscore_topk"] = """
