@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir, load
-from . import (bytebpe, decontam, maxscore, packing, quality, secrets, sharding, simhash, substring, tokenfiles, tokens, toxicity,
+from . import (bytebpe, decontam, maxscore, packing, phrases, quality, secrets, sharding, simhash, substring, tokenfiles, tokens, toxicity,
                whitening)
 from .store import shared_folder
 
@@ -85,6 +85,11 @@ def op12_byte_bpe(spark, sf_dir):
     return bytebpe.digests(load(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+@query
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op2_maxscore_topk"] = """
@@ -187,3 +192,36 @@ select d.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n,
   sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id)
 """
+
+ORACLES["op13_phrase_collocations"] = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+g as (
+  select lang, k, unnest(list_transform(range(1, greatest(len(ws) - k + 2, 1)), lambda i: ws[i:i + k - 1])) as ph
+  from w, range(1, 5) t(k)),
+f as (select lang, k, ph, count(*) as a from g group by all),
+total as (select lang, cast(sum(a) as bigint) as n from f where k = 1 group by lang),
+c as (select * from f where k >= 2 and a >= 30),
+sub as (
+  select lang, a, unnest(case when k = 3 then [ph[1:2], ph[2:3]]
+                              else [ph[1:3], ph[2:4], ph[1:2], ph[2:3], ph[3:4]] end) as ph
+  from c where k >= 3),
+held as (select lang, ph, max(a) as held from sub group by all),
+kept as (
+  select c.* from c left join held on held.lang = c.lang and held.ph = c.ph
+  where held is null or 100::hugeint * held < 80::hugeint * c.a),
+cut as (select *, unnest(range(1, k)) as j from kept),
+scored as (
+  select cut.lang, cut.ph, cut.a, x.a as l, y.a as r, j, (2000000::hugeint * cut.a) // (x.a::hugeint + y.a::hugeint) as score
+  from cut join f x on x.lang = cut.lang and x.ph = cut.ph[1:j] join f y on y.lang = cut.lang and y.ph = cut.ph[j + 1:cut.k]),
+best as (select *, row_number() over (partition by lang, ph order by score, j) as rn from scored),
+listed as (
+  select lang, array_to_string(ph, ' ') as phrase, a, l, r, score,
+    row_number() over (partition by lang order by score desc, a desc, array_to_string(ph, ' ')) as rank
+  from best where rn = 1)
+select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+  n, cast(score as bigint) as score
+from listed join total using (lang) where rank <= 2000
+"""
