@@ -15,6 +15,9 @@ COLUMNS = {
     "op8": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op9": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op10": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op11": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op12": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op13": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
@@ -24,13 +27,13 @@ def test_columns(spark, name):
     df = queries.QUERIES[name](spark, SF)
     if op in COLUMNS:
         assert df.columns[:len(COLUMNS[op])] == COLUMNS[op]
-    whole = {"op2": None, "op4": None, "op8": None}
+    whole = {"op2": None, "op4": None, "op8": None, "op11": None, "op13": None}
     if op not in whole:
         assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_nothing_else_imports_these_folders():
