@@ -187,7 +187,7 @@ _SIDE = """{s}t as (select pair_id, unnest(regexp_extract_all(lower({c}), '([\\p
 @register("pair_features", with_ctes(fx.PAIRS_CTE, _SIDE.format(s="u", c="premise"), _SIDE.format(s="h", c="hypothesis")) + """
 select p.split, p.pair_id, p.label, list_transform(range(1, 257), lambda i: round(case
     when i <= 64 then uv.vec[i] when i <= 128 then hv.vec[i - 64]
-    when i <= 192 then abs(uv.vec[i - 128] - hv.vec[i - 128]) else uv.vec[i - 192] * hv.vec[i - 192] end, 6)) as features
+    when i <= 192 then abs(uv.vec[i - 128] - hv.vec[i - 128]) else uv.vec[i - 192] * hv.vec[i - 192] end, 6) + 0.0) as features
 from pairs p join uv using (pair_id) join hv using (pair_id)""")
 def pair_features(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array

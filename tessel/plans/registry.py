@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # Query modules register themselves on import.
-    from . import q_text, q_lang, q_encode, q_vectors, q_sampling, q_eval  # noqa: F401
+    from . import q_text, q_lang, q_encode, q_vectors, q_sampling, q_eval, q_sources  # noqa: F401
 
 
 def with_ctes(*ctes: str) -> str:

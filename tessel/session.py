@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,14 +91,24 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want) if have < min(want, SPREAD_BELOW) else df
 
 
+def size_estimate(df: DataFrame) -> int | None:
+    """Bytes of the rows by the optimizer's estimate, if there is one."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate (Spark Connect)
+        return None
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
     """Partitions of about ``bytes_each`` by the optimizer's size estimate, at least the session's shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no estimate (Spark Connect)
-        return least
-    return max(least, min(size // bytes_each + 1, 1_000_000))
+    size = size_estimate(df)
+    return least if size is None else max(least, min(size // bytes_each + 1, 1_000_000))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
-"""Readers (S1-S6). CSV inputs with quoted newlines are not splittable, so a
-job converts them to Parquet once (``csv_to_parquet``) and reads Parquet after."""
+"""Readers (S1-S6). Spark's own reader takes a CSV file with quoted newlines as one task;
+``read_posts_ranges`` reads it in byte ranges. A job converts it to Parquet once
+(``csv_to_parquet``) and reads Parquet after."""
 
 from __future__ import annotations
 
@@ -29,10 +30,16 @@ def csv_by_name(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    """Raw posts CSV, columns by header name."""
+    """Raw posts CSV, columns by header name, one task per file (see ``read_posts_ranges``)."""
     return csv_by_name(spark, path, schemas.POSTS.names)
 
 
+def read_posts_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Raw posts CSV, columns by header name, one task per byte range of a file."""
+    from .ranges import read_csv_ranges
+    return read_csv_ranges(spark, path, schemas.POSTS.names)
+
+
 def csv_to_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
@@ -67,6 +74,13 @@ def read_map_csv(spark: SparkSession, path: str, dim: int = 2) -> DataFrame:
     return df.withColumn("vec", V.parse_vector("vec")).filter(F.size("vec") == dim)
 
 
+def read_predictions(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
+    """The tables of ``writers.write_predictions``; a split filter is a partition filter."""
+    df = (spark.read.schema("premise string, hypothesis string, pred double, label int, split string")
+          .options(header=True, multiLine=True, quote='"', escape='"', lineSep="\n").csv(path))
+    return df.filter(F.col("split").isin(splits)) if splits else df
+
+
 def list_images(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """The image files under ``root`` as ``path`` (no bytes are read)."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True)

@@ -3,7 +3,7 @@ so a lost executor only re-runs its tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
@@ -16,7 +16,7 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Clean table, no index column."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        w.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         w.parquet(path)
 
@@ -47,7 +47,7 @@ def write_map(df: DataFrame, path: str, fmt: str = "parquet", vec_col: str = "ve
     """The 2-D map with its text columns; the CSV form prints the vector."""
     if fmt == "csv":
         (df.withColumn(vec_col, V.format_vector(F.col(vec_col))).write.mode(mode)
-         .option("header", True).option("escape", '"').csv(path))
+         .options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
     else:
         df.write.mode(mode).parquet(path)
 
@@ -64,14 +64,46 @@ def write_report(report: DataFrame, path: str, sep: str = REPORT_LINE, mode: str
     report.select(body.alias("value")).write.mode(mode).text(path)
 
 
-def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_splits(df: DataFrame, path: str, fmt: str, note: str, by: str = "split", **options) -> list[str]:
+    """Write the splits that ``df`` holds below ``path`` and leave all others as they are.
+
+    A split's files are replaced as a whole (dynamic partition overwrite: the new ones are moved in when the job
+    commits). The folder ``path`` + ``-manifest`` beside it gets one row per split and write: ``split, rows, note, written``; the last
+    one counts (``written_splits``). A frame without rows writes nothing. Returns the splits written.
+    """
+    from ..session import checkpoint
+    df = checkpoint(df)  # the rows counted are the rows written
+    counts = df.groupBy(F.col(by).cast("string").alias("split")).agg(F.count(F.lit(1)).alias("rows"))
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by)
+    for k, v in options.items():
+        w = w.option(k, v)
+    w.format(fmt).save(path)
+    entries = checkpoint(counts.select("split", "rows", F.lit(note).alias("note"), F.current_timestamp().alias("written")))
+    entries.write.mode("append").json(manifest_path(path))
+    return sorted(r["split"] for r in entries.select("split").collect())
+
+
+def manifest_path(path: str) -> str:
+    return f"{path.rstrip('/')}-manifest"
+
+
+def written_splits(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest's last row of each split: ``split, rows, note, written``."""
+    m = spark.read.schema("split string, rows long, note string, written timestamp").json(manifest_path(path))
+    return (m.groupBy("split").agg(F.max(F.struct("written", "rows", "note")).alias("m"))
+            .select("split", "m.rows", "m.note", "m.written"))
+
+
+def write_predictions(df: DataFrame, path: str) -> list[str]:
     """Per split, ``premise, hypothesis, pred, label`` in that order, sorted by
-    pred (ties by ``pair_id`` where there is one)."""
+    pred (ties by ``pair_id`` where there is one). Splits that ``df`` does not hold stay."""
     ties = ["pair_id"] if "pair_id" in df.columns else []
-    (df.orderBy("split", F.desc("pred"), *ties)  # range-partitioned: a large split spans many tasks
-     .select("split", "premise", "hypothesis", "pred", "label").write.mode(mode).partitionBy("split").option("header", True).option("escape", '"').csv(path))
+    table = (df.orderBy("split", F.desc("pred"), *ties)  # range-partitioned: a large split spans many tasks
+             .select("split", "premise", "hypothesis", "pred", "label"))
+    return write_splits(table, path, "csv", "predictions", header=True, escape='"',
+                        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Metrics per split as JSON."""
-    df.write.mode(mode).partitionBy("split").json(path)
+def write_metrics(df: DataFrame, path: str) -> list[str]:
+    """Metrics per split as JSON. Splits that ``df`` does not hold stay."""
+    return write_splits(df, path, "json", "metrics")

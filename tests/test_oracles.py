@@ -16,6 +16,8 @@ from conftest import SF_SMALL
 def norm(v):
     if isinstance(v, float) and math.isnan(v):
         return "NaN"
+    if isinstance(v, float) and v == 0:
+        return repr(v)  # 0.0 and -0.0 are told apart
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if hasattr(v, "asDict"):

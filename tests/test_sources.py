@@ -121,8 +121,9 @@ def test_write_predictions_and_metrics(spark):
                                 ("test_expert", "r", "h", 0.5, 1)],
                                "split string, premise string, hypothesis string, pred double, label int")
     writers.write_predictions(df, d + "/pred")
-    back = spark.read.option("header", True).csv(d + "/pred")
+    back = readers.read_predictions(spark, d + "/pred")
     assert back.columns[:4] == ["premise", "hypothesis", "pred", "label"] and back.count() == 3
+    assert readers.read_predictions(spark, d + "/pred", ["test_expert"]).count() == 1
     m = spark.createDataFrame([("m1", "test_lay", 0.5)], "model string, split string, f1 double")
     writers.write_metrics(m, d + "/metrics")
     assert spark.read.json(d + "/metrics").count() == 1
@@ -142,3 +143,19 @@ def test_vectors_sets_report_round_trip(spark):
     writers.write_report(rep, d + "/rep")
     lines = [r.value for r in spark.read.text(d + "/rep").collect()]
     assert lines[0] == "indexes 7" and lines[1:3] == ["x", "y"]
+
+
+def test_splits_are_written_one_by_one(spark):
+    d = tmpdir() + "/tables"
+    schema = "split string, premise string, hypothesis string, pred double, label int, pair_id long"
+    lay = spark.createDataFrame([("test_lay", " p ", "h\nh", 0.9, 2, 1), ("test_lay", "q", None, 0.9, 0, 2)], schema)
+    expert = spark.createDataFrame([("test_expert", "r", "h", 0.5, 1, 3)], schema)
+    assert writers.write_predictions(lay, d) == ["test_lay"]
+    assert writers.write_predictions(expert, d) == ["test_expert"]
+    rows = sorted((r.split, r.premise, r.hypothesis, r.label) for r in readers.read_predictions(spark, d).collect())
+    assert rows == [("test_expert", "r", "h", 1), ("test_lay", " p ", "h\nh", 2), ("test_lay", "q", None, 0)]
+    writers.write_predictions(lay.filter("label = 2"), d)
+    assert writers.write_predictions(lay.limit(0), d) == []
+    assert sorted((r.split, r.premise) for r in readers.read_predictions(spark, d).collect()) == [("test_expert", "r"), ("test_lay", " p ")]
+    assert {r.split: r.rows for r in writers.written_splits(spark, d).collect()} == {"test_lay": 1, "test_expert": 1}
+    assert spark.read.json(writers.manifest_path(d)).count() == 3
