@@ -397,8 +397,11 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, share:
     named = (best.select("gram", "a", "b", F.posexplode("gram").alias("p", "code")).join(lexicon, "code")
              .groupBy("gram", "a", "b").agg(F.min("lang").alias("lang"), F.array_join(F.transform(
                  F.array_sort(F.collect_list(F.struct("p", "word"))), lambda x: x["word"]), " ").alias("phrase")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = (named.select("lang", "phrase", "a", "b.l", "b.r", "b.score")
-              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top))
+    # a language's phrases are first cut in parts, so that no task sorts them all
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.desc("score"), F.desc("a"), "phrase"
+    ranked = named.select("lang", "phrase", "a", "b.l", "b.r", "b.score")
+    for by in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= top)
     totals = words.groupBy("lang").agg(F.sum("c").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
