@@ -320,8 +320,12 @@ def cosine_matrix(df: DataFrame, threshold: float | None = None, id_col: str = "
                        F.explode(F.sequence(F.col("_b"), F.lit(b - 1))).alias("bj"))
     right = base.select(F.col("k").alias("rid"), F.col("v").alias("rv"), F.col("_b").alias("bj"),
                         F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("bi"))
-    thr = threshold
+    return block_cosines(left, right, threshold, id_type)
 
+
+def block_cosines(left: DataFrame, right: DataFrame, thr: float | None, id_type: str) -> DataFrame:
+    """``i, j, sim`` of ``left`` (``lid, lv, bi, bj``) and ``right`` (``rid, rv, bi, bj``) rows that meet in a block pair;
+    rows of one block (``bi`` = ``bj``) meet once."""
     def block_cos(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({"i": [], "j": [], "sim": []})

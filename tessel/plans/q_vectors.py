@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import cells
 from ..operators import sampling as R
 from ..operators import vectors as ops
-from ..session import checkpoint, load
+from ..session import checkpoint, load, shared_path
 from . import fixtures as fx
-from .registry import register, with_ctes
+from .registry import register, sql_of, with_ctes
 
 SEED = 123
 _KEY = f"md5('{SEED}:' || cast(uid as varchar))"
@@ -98,6 +99,30 @@ def knn_graph_k5(spark, sf_dir):
     return ops.graph_for_k(ops.knn_graph(fx.vectors(spark, sf_dir), ks=(5, 10, 15, 20)), 5).select("q_uid", "rank", "uid")
 
 
+@register("knn_graph_pruned", sql_of("knn_graph"))
+def knn_graph_pruned(spark, sf_dir):
+    """V9 with pivot cells: the same graph, points meet only the cells that may hold a neighbour."""
+    g = cells.neighbour_graph(fx.vectors(spark, sf_dir), ks=(5, 10, 15, 20), cell_rows=64)
+    return g.select("q_uid", "rank", "uid", F.round("dist", 6).alias("dist"))
+
+
+@register("knn_indexed", sql_of("knn_self"))
+def knn_indexed(spark, sf_dir):
+    """V7 on a stored index: two thirds of the points built in, the rest appended."""
+    vecs = fx.vectors(spark, sf_dir)
+    path = shared_path(spark, "index")
+    cells.build_index(vecs.filter("uid % 3 <> 0"), path, cell_rows=64)
+    cells.append_index(vecs.filter("uid % 3 = 0"), path)
+    nn = cells.search_index(R.sample_seeded(vecs, 10, SEED), path, 4, include_self=True)
+    return nn.select("q_uid", "rank", "uid", F.round("dist", 6).alias("dist"))
+
+
+@register("cosine_pairs", sql_of("cosine_matrix"))
+def cosine_pairs(spark, sf_dir):
+    """V3 with bounds: cells whose best possible cosine is under the threshold never meet."""
+    return cells.cosine_pairs(fx.vectors(spark, sf_dir), 0.5, cell_rows=64).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
 @register("neighbour_report", _KNN_SELF + """, t as (select q_uid, rank, coalesce(text, '') as text from nn left join documents on documents.doc_id = nn.uid where rank < 4)
 select q_uid, string_agg(text, chr(10) order by rank) as report from t group by q_uid""")
 def neighbour_report(spark, sf_dir):

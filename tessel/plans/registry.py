@@ -26,6 +26,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def sql_of(name: str) -> str:
+    """The oracle of a query registered before, for another way to the same rows."""
+    return _ORACLES[name]
+
+
 def queries() -> dict[str, QueryFn]:
     _load_all()
     return dict(_QUERIES)
