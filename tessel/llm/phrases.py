@@ -36,9 +36,9 @@ TOP = 2000
 SHARE = 80               # a candidate goes if a longer one has at least this many hundredths of its count
 DICTIONARY = 1 << 20     # words with a short code; all others travel as their hash
 HOT = 1 << 20            # occurrences of a word from which its windows are split further
-BUCKET_WINDOWS = 1 << 20  # windows of a bucket, about
-FLUSH_WINDOWS = 1 << 20  # windows that a task counts before it sends them
-FLUSH_WORDS = 1 << 21    # words that a task counts before it sends them
+BUCKET_WINDOWS = 1 << 19  # windows of a bucket, about
+FLUSH_WINDOWS = 1 << 19  # windows that a task counts before it sends them
+FLUSH_WORDS = 1 << 20    # words that a task counts before it sends them
 UNKNOWN = "und"
 _TOP_BIT = np.uint64(1 << 63)
 
