@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import cells
+from ..operators import cells, spectral
 from ..operators import sampling as R
 from ..operators import vectors as ops
 from ..session import checkpoint, load, shared_path
@@ -123,6 +123,14 @@ def cosine_pairs(spark, sf_dir):
     return cells.cosine_pairs(fx.vectors(spark, sf_dir), 0.5, cell_rows=64).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
+@register("spectral_map")
+def spectral_map(spark, sf_dir):
+    """V6 by neighbour count: the map of the 5- and of the 20-neighbour graph."""
+    graph = checkpoint(ops.knn_graph(fx.vectors(spark, sf_dir), ks=(5, 20)))
+    maps = [spectral.spectral_map(graph, k).select(F.lit(k).alias("k"), "*") for k in (5, 20)]
+    return maps[0].unionByName(maps[1])
+
+
 @register("neighbour_report", _KNN_SELF + """, t as (select q_uid, rank, coalesce(text, '') as text from nn left join documents on documents.doc_id = nn.uid where rank < 4)
 select q_uid, string_agg(text, chr(10) order by rank) as report from t group by q_uid""")
 def neighbour_report(spark, sf_dir):
