@@ -130,13 +130,74 @@ def odd_one_out(points: DataFrame, n: int = 30, seed: int = 123, id_col: str = "
         (F.col("pos") == 3).cast("int").alias("label"))
 
 
-def cap_rows(df: DataFrame, n: int | None, order_by: list[str]) -> DataFrame:
+CAP_TOP_N = 100_000   # caps up to here are one bounded top-n
+CAP_CUT_ROWS = 100_000  # rows at the cut that one task may sort
+CAP_BOUNDS = 32       # bounds counted in one pass
+CAP_SAMPLE = 1024     # keys that bounds are taken from
+
+
+def cap_rows(df: DataFrame, n: int | None, order_by: list[str], top_n: int = CAP_TOP_N) -> DataFrame:
     """At most ``n`` rows, the first ones in ``order_by`` order (the
-    ``max_*_samples`` options); ``None`` keeps every row. A bounded top-n."""
+    ``max_*_samples`` options); ``None`` keeps every row. Rows equal in ``order_by`` go by a hash of the whole row.
+
+    A small cap is a bounded top-n. For a large one the cut is found by histograms: bounds from a bounded sample of keys, one counting pass,
+    then the same between the two bounds around the n-th row, until few rows or a single key are left there. Rows
+    below the cut pass a filter, without a shuffle or a merge; rows that are equal in every column are cut by
+    counts per partition. Only bounds and counts reach the driver. Nulls come first.
+    """
     if n is None:
         return df
-    return df.orderBy(*order_by).limit(n)
+    if n <= top_n:
+        return df.orderBy(*order_by, F.xxhash64(*df.columns)).limit(n)
+    key = F.struct(*[F.col(c) for c in order_by], F.xxhash64(*df.columns).alias("_h"))
+    rows = checkpoint(df)  # counted more than once, and the same rows each time
+    total = rows.count()
+    if total <= n:
+        return rows
+    keyed = rows.withColumn("_key", key)
+    kind = keyed.schema["_key"].dataType
+
+    def bound(row) -> F.Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields)])
 
+    below, inside, count, seed = 0, keyed, total, 0  # rows under the interval; the interval and its size
+    low = high = None  # its bounds: low <= key < high
+    while True:
+        span = inside.agg(F.min("_key").alias("a"), F.max("_key").alias("b")).first()
+        if count <= CAP_CUT_ROWS or tuple(span["a"]) == tuple(span["b"]):
+            break
+        share = max(1, count // CAP_SAMPLE)
+        sample = [span["b"]] + [r[0] for r in inside.filter(F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(share)) == 0)
+                                .select("_key").distinct().limit(CAP_SAMPLE).collect()]
+        # sorted by Spark, whose order of keys decides
+        order = [r[0] for r in rows.sparkSession.createDataFrame([(k,) for k in sample], keyed.select("_key").schema).distinct().orderBy("_key").collect()]
+        step = max(1, len(order) // CAP_BOUNDS)
+        bounds = order[::step] + ([order[-1]] if (len(order) - 1) % step else [])
+        got = inside.agg(*[F.count(F.when(F.col("_key") < bound(b), 1)).alias(f"c{i}") for i, b in enumerate(bounds)]).first()
+        at = max((i for i in range(len(bounds)) if below + got[i] <= n), default=None)
+        new_low, base = (bounds[at], got[at]) if at is not None else (low, 0)
+        new_high, top = (bounds[at + 1 if at is not None else 0], got[at + 1 if at is not None else 0]) if (at is None or at + 1 < len(bounds)) else (high, count)
+        below, count, low, high, seed = below + base, top - base, new_low, new_high, seed + 1
+        inside = keyed
+        if low is not None:
+            inside = inside.filter(F.col("_key") >= bound(low))
+        if high is not None:
+            inside = inside.filter(F.col("_key") < bound(high))
+    left = n - below
+    first = keyed.filter(F.col("_key") < bound(low)) if low is not None else keyed.limit(0)
+    if count <= CAP_CUT_ROWS:
+        last = inside.orderBy("_key").limit(left)
+    else:  # equal in every column: any ``left`` of them, taken partition by partition
+        last = checkpoint(inside.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+        sizes = sorted(map(tuple, last.groupBy("_pid").count().collect()))
+        take, quota = left, []
+        for pid, size in sizes:
+            quota.append((pid, min(size, take)))
+            take -= min(size, take)
+        limits = rows.sparkSession.createDataFrame(quota, "_pid int, _q long")
+        local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+        last = last.join(F.broadcast(limits), "_pid").filter(local < F.col("_q"))  # a row per partition
+    return first.select(*df.columns).unionByName(last.select(*df.columns))
 
 def random_outsiders(points: DataFrame, groups: DataFrame, excluded: DataFrame, seed: int = 123,
                      id_col: str = "uid", group_col: str = "g") -> DataFrame:

@@ -218,3 +218,26 @@ def cap_rows(spark, sf_dir):
     from ..operators.sampling import cap_rows as cap
     train = fx.pairs(spark, sf_dir).filter(F.col("split") == "train").select("split", "pair_id", "label")
     return cap(train, 100, ["pair_id"])
+
+
+@register("cap_rows_large", "select user_id, event_id, value from events order by value, user_id, event_id limit cast((select count(*) from events) * 0.6 as bigint)")
+def cap_rows_large(spark, sf_dir):
+    """A cap at 60 % of the rows, the cut found by histograms."""
+    from ..operators.sampling import cap_rows as cap
+    events = load(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return cap(events, round(events.count() * 0.6), ["value", "user_id", "event_id"], top_n=0)
+
+
+@register("pair_training")
+def pair_training(spark, sf_dir):
+    """M12 with a log: mini-batches of a 20th of the training pairs, validation loss every 4 steps; each held-out pair with its
+    distribution, beside the log's best and last step."""
+    from pyspark.ml.functions import vector_to_array
+    from ..operators import fitting
+    from ..session import checkpoint
+    feats = checkpoint(_pair_features(spark, sf_dir).withColumn("features", vector_to_array("features")))
+    train = feats.filter(F.col("split") == "train")
+    fitted = fitting.fit_with_log(train, feats.filter(F.col("split") == "validation"), batch_size=max(64, train.count() // 20), epochs=3, eval_steps=4)
+    held = ev.with_pred(fitted.predict(feats.filter(F.col("split").isin("test_lay", "test_expert"))))
+    return held.select("split", "pair_id", "label", "pred", "probs", F.lit(fitted.best_step).alias("best_step"),
+                       F.lit(fitted.stop_step).alias("stop_step"), F.lit(fitted.stopped).alias("stopped"))

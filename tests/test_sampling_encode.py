@@ -188,3 +188,34 @@ def test_candidates_once_per_task(spark):
         assert src.mapInPandas(R._smallest_keys(src, block, "g"), "g long, _u long, _k long").count() == 30 * 4 * 2
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def cap_case(spark, rows, n, order, monkeypatch, cut=20):
+    from tessel.operators import sampling
+    monkeypatch.setattr(sampling, "CAP_CUT_ROWS", cut)
+    monkeypatch.setattr(sampling, "CAP_BOUNDS", 4)
+    monkeypatch.setattr(sampling, "CAP_SAMPLE", 16)
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(6)
+    out = sampling.cap_rows(df, n, order, top_n=0)
+    return sorted(map(tuple, out.collect()), key=repr), out
+
+
+def test_large_cap_equals_a_sort(spark, monkeypatch):
+    import random
+    rnd = random.Random(1)
+    rows = [(rnd.choice([None, 1, 2, 3, rnd.randrange(500)]), f"s{rnd.randrange(300)}", rnd.random()) for _ in range(900)]
+    for n in (1, 17, 450, 899, 900, 5000):
+        got, out = cap_case(spark, rows, n, ["a", "b", "c"], monkeypatch)
+        assert got == sorted(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))[:n], key=repr)
+    got, out = cap_case(spark, rows, 540, ["a", "b", "c"], monkeypatch)
+    assert "SinglePartition" not in out.filter("a is not null")._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+
+
+def test_large_cap_through_ties_and_equal_rows(spark, monkeypatch):
+    rows = [(5, "x", 1.0)] * 300 + [(1, f"y{i}", 1.0) for i in range(100)] + [(9, "z", 2.0)] * 50
+    got, _ = cap_case(spark, rows, 250, ["a"], monkeypatch)
+    assert got == sorted([r for r in rows if r[0] == 1] + [(5, "x", 1.0)] * 150, key=repr)
+    ties = [(1, f"t{i}", float(i)) for i in range(400)]
+    got, _ = cap_case(spark, ties, 123, ["a"], monkeypatch)
+    assert len(got) == 123 and len(set(got)) == 123
+    assert cap_case(spark, ties, 123, ["a"], monkeypatch)[0] == got
