@@ -154,3 +154,58 @@ def pooled_vectors(spark, sf_dir):
     hidden = F.array(F.col("vec"), F.reverse("vec"))  # a two-token [seq, dim] state per row
     return v.select("uid", V.pool_first(hidden).alias("first_vec"),
                     V.round_vec(V.pool_mean(hidden), 6).alias("mean_vec"))
+
+
+# Weights by a rule that SQL can say, too: row b, column j of a table.
+_RULE = "(({b} * 31 + {j} * 17) % 101) / 101.0"
+WIDTH = 8
+
+
+def _weights(spark, kind: str, rows: int) -> str:
+    """A weights file as a user would have one; written where the driver runs, shipped to the executors by Spark."""
+    import os
+    import tempfile
+    import uuid
+
+    import numpy as np
+    b, j = np.arange(rows)[:, None], np.arange(WIDTH)[None, :]
+    path = os.path.join(tempfile.mkdtemp(prefix="tessel-weights-"), f"{kind}-{uuid.uuid4().hex}.npz")
+    np.savez(path, kind=kind, table=((b * 31 + j * 17) % 101) / 101.0)
+    return path
+
+
+_WORD_VEC = f"""tok as (select {{key}}, unnest(regexp_extract_all(lower({{text}}), '([\\p{{{{L}}}}\\p{{{{N}}}}]+)', 1)) as t from {{src}}),
+tv as (select {{key}}, j, avg({_RULE.format(b="(cast('0x' || substr(md5(t), 1, 8) as bigint) % 512)", j='j')}) as x from tok, range({WIDTH}) r(j) group by {{key}}, j)"""
+
+
+@register("embed_pairs", with_ctes(
+    "caps as (select vec_id as uid, cast(vec_id * vec_id % 9973 as varchar) || ' image ' || cast(vec_id as varchar) as content, 'caption of ' || cast(label as varchar) || ' and ' || cast(vec_id % 50 as varchar) as caption from embeddings)",
+    _WORD_VEC.format(key="uid", text="caption", src="caps"),
+    "bytes as (select uid, length(content) as n, unnest(string_split(content, '')) as c from caps)",
+    f"iv as (select uid, j, sum({_RULE.format(b='ascii(c)', j='j')}) / max(n) as x from bytes, range({WIDTH}) r(j) group by uid, j)") + f"""
+select c.uid, list_concat((select list(round(x, 6) order by j) from iv where iv.uid = c.uid), (select list(round(x, 6) order by j) from tv where tv.uid = c.uid)) as joint
+from caps c""")
+def embed_pairs(spark, sf_dir):
+    """Image and caption vectors by two weights files; the image bytes are ASCII here, so that SQL can count them."""
+    from ..operators import encoders
+    e = load(spark, sf_dir, "embeddings")
+    k = F.col("vec_id")
+    content = F.concat((k * k % 9973).cast("string"), F.lit(" image "), k.cast("string"))
+    caps = e.select(k.alias("uid"), F.encode(content, "UTF-8").alias("content"),
+                    F.concat(F.lit("caption of "), F.col("label").cast("string"), F.lit(" and "), (k % 50).cast("string")).alias("caption"))
+    out = encoders.embed_pairs_from_files(caps, _weights(spark, "byte_histogram", 256), _weights(spark, "hashed_words", 512))
+    return out.select("uid", V.round_vec("joint", 6).alias("joint"))
+
+
+@register("embed_cached", with_ctes(fx.POSTS_CTE, "docs as (select doc_id as uid, case when doc_id % 5 = 0 then 'the same text' else text end as text from documents)",
+                                    _WORD_VEC.format(key="uid", text="text", src="docs")) + f"""
+select d.uid, case when count(tv.x) = 0 then list_transform(range({WIDTH}), lambda i: 0.0) else list(round(tv.x, 6) order by j) end as vec
+from docs d left join tv on tv.uid = d.uid group by d.uid""")
+def embed_cached(spark, sf_dir):
+    """Vectors of half the rows are stored first; the whole table then encodes only what is new."""
+    from ..operators import encoders
+    from ..session import shared_path
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.when(F.col("doc_id") % 5 == 0, F.lit("the same text")).otherwise(F.col("text")).alias("text"))
+    path, encoder = shared_path(spark, "vector-store"), encoders.encoder_from_file(spark, _weights(spark, "hashed_words", 512))
+    encoders.embed_cached(docs.filter("uid % 2 = 0"), path, "rule", encoder)
+    return encoders.embed_cached(docs, path, "rule", encoder).select("uid", V.round_vec("vec", 6).alias("vec"))
