@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import URL_PATTERN
 from ..session import checkpoint
-from .encode import distinct_tokens
+
 
 # Cells (grams x languages) of the profile that may be broadcast: 8 bytes each,
 # so the bound keeps the broadcast under ~80 MB.
@@ -103,24 +103,30 @@ def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str
 def _detect_in_row(df: DataFrame, profile: LanguageProfile, text_col: str, out_col: str) -> DataFrame:
     """Score inside the row with the broadcast profile."""
     langs = profile.langs.orderBy("lang").toPandas()  # size checked: V x languages <= BROADCAST_PROFILE_CELLS
-    pairs = profile.grams.toPandas()
     names = langs["lang"].to_numpy(object)
-    grams, row = np.unique(pairs["gram"].to_numpy(str), return_inverse=True)
+    # the driver holds 64-bit hashes of grams and numbers of languages, no strings of the profile
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang"))
+    pairs = profile.grams.select(F.xxhash64("gram").alias("h"), place.cast("int").alias("l"), "w").toPandas()
+    grams, row = np.unique(pairs["h"].to_numpy(np.int64), return_inverse=True)
+    if len(grams) != profile.rows:  # two grams share a hash: the long profile tells them apart
+        return _detect_by_join(df, profile, text_col, out_col)
     weight = np.zeros((len(grams) + 1, len(names)))  # the last row: grams outside the vocabulary
-    weight[row, np.searchsorted(names.astype(str), pairs["lang"].to_numpy(str))] = pairs["w"]
+    weight[row, pairs["l"].to_numpy() - 1] = pairs["w"]
     shipped = df.sparkSession.sparkContext.broadcast((grams, weight, langs["lden"].to_numpy(), names))
 
     @F.arrow_udf("string")
     def detected(column: pa.Array) -> pa.Array:
         grams, weight, lden, names = shipped.value
-        code, seen, size = distinct_tokens(column)
         out = np.full(len(column), None, object)
-        if not size.sum():
+        size = np.diff(column.offsets.to_numpy())
+        seen = column.flatten().to_numpy(zero_copy_only=False)
+        if column.null_count:
+            size = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, size)
+        if not len(seen):
             return pa.array(out, pa.string())
-        seen = np.array(seen, str)
         at = np.searchsorted(grams, seen)
         at[at == len(grams)] = 0
-        known = np.where(grams[at] == seen, at, len(grams))[code]
+        known = np.where(grams[at] == seen, at, len(grams))
         has = np.flatnonzero(size)
         start = np.concatenate([[0], np.cumsum(size[has])[:-1]])
         step = max(1, (4 << 20) // max(1, len(names)))  # occurrences whose weight rows are held at once
@@ -137,7 +143,7 @@ def _detect_in_row(df: DataFrame, profile: LanguageProfile, text_col: str, out_c
         out[has[ok]] = names[best[ok]]
         return pa.array(out, pa.string())
 
-    return df.withColumn(out_col, detected(gram_array(F.col(text_col))))
+    return df.withColumn(out_col, detected(F.transform(gram_array(F.col(text_col)), lambda g: F.xxhash64(g))))
 
 
 def _detect_by_join(df: DataFrame, profile: LanguageProfile, text_col: str, out_col: str) -> DataFrame:

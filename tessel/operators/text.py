@@ -103,9 +103,14 @@ def corpus(clean: DataFrame) -> DataFrame:
     return clean.select(F.col("text").alias("value"))
 
 
-def drop_incomplete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def drop_incomplete(df: DataFrame, cols: list[str] | None = None, computed: bool = False) -> DataFrame:
     """Drop rows with a missing value in any (or the given) column; NaN and
-    empty strings count as missing, as they would after a CSV round trip."""
+    empty strings count as missing, as they would after a CSV round trip.
+
+    ``computed``: the columns are costly expressions. They are then put behind a generator, so that each is
+    evaluated once and not again in the filter; without it the filter reaches a scan."""
+    if computed:
+        df = df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     cond = F.lit(True)
     for c in cols or df.columns:
@@ -126,7 +131,7 @@ def dedup_text(df: DataFrame, text_col: str = "text", order_col: str = "doc_id")
     together, and the smallest order value), so it is a hash aggregate that collapses a
     text copied into a third of all rows before the shuffle; the rows are then
     picked by a semi join on it."""
-    hashes = {"_h0": F.xxhash64(text_col), "_h1": F.xxhash64(F.lit(1), F.reverse(text_col)),
+    hashes = {"_h0": F.xxhash64(text_col), "_h1": F.xxhash64(F.lit(1), F.col(text_col)),
               "_h2": F.coalesce(F.crc32(F.encode(F.col(text_col), "utf-8")), F.lit(-1))}
     keyed = df.withColumns(hashes)
     first = keyed.groupBy(*hashes).agg(F.min(order_col).alias(order_col))

@@ -67,7 +67,7 @@ select * from ({S.clean_select()}) c
 where uid is not null and uid <> '' and text is not null and text <> '' and img_dir is not null
   and img_dir <> '' and img_fname is not null and img_fname <> ''""")
 def drop_incomplete(spark, sf_dir):
-    return ops.drop_incomplete(ops.clean_posts(fx.posts(spark, sf_dir)))
+    return ops.drop_incomplete(ops.clean_posts(fx.posts(spark, sf_dir)), computed=True)
 
 
 @register("dedup_text", """

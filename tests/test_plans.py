@@ -96,3 +96,11 @@ def test_every_query_reads_the_given_tables(spark, name, monkeypatch):
         monkeypatch.setattr(m, "load", lambda spark, sf_dir, table: opened.append(sf_dir) or real(spark, sf_dir, table))
     registry.queries()[name](spark, SF_SMALL)
     assert opened and set(opened) == {SF_SMALL}, name
+
+
+def test_incomplete_rows_are_dropped_without_cleaning_twice(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    once = E.queries()["clean_posts"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+    plan = E.queries()["drop_incomplete"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == once
