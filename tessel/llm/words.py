@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20  # text handled at once inside a task (a longer document is handled alone)
+HASH_BYTES = 256 << 10  # text whose words are hashed at once
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -134,7 +135,15 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return ranged(_BYTE[self.data], self.start, self.end)
+        """A hash per word, taken over runs of at most ``HASH_BYTES`` (or one longer word), so that the powers and sums stay small."""
+        out = np.empty(len(self.start), np.uint64)
+        a = 0
+        while a < len(out):
+            low = int(self.start[a])
+            b = max(a + 1, int(np.searchsorted(self.end, low + HASH_BYTES, "right")))
+            out[a:b] = ranged(_BYTE[self.data[low:int(self.end[b - 1])]], self.start[a:b] - low, self.end[a:b] - low)
+            a = b
+        return out
 
     def strip_signs(self) -> None:
         """Take the ASCII signs around each word away; a word of signs alone is dropped."""
