@@ -19,6 +19,7 @@ import pyarrow as pa
 
 from .words import Words, buffers, gathered, worker_state
 
+FRONT = 1 << 18          # slots of the table that is asked first, by the low bits of the word's hash
 CACHE_WORDS = 1_000_000  # distinct words remembered per Python worker; beyond that the cache starts anew
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,!?;:"]] = True
@@ -50,7 +51,7 @@ class _WordCache:
     """Sorted word hashes with the ids of each word. Words are told apart by a 64-bit hash."""
 
     def __init__(self, tok, ends: np.ndarray):
-        self.tok, self.ends = tok, ends  # ends[i]: token i closes a word
+        self.tok, self.ends, self.age = tok, ends, 0  # ends[i]: token i closes a word
         self.clear()
 
     def clear(self) -> None:
@@ -59,6 +60,10 @@ class _WordCache:
         self.count = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 20, self.kind())
         self.used = 0
+        self.age += 1
+        self.front_key = np.zeros(FRONT, np.uint64)
+        self.front_lo = np.zeros(FRONT, np.int64)
+        self.front_count = np.full(FRONT, -1, np.int32)  # an empty slot
 
     def kind(self):
         return np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
@@ -98,6 +103,27 @@ class _WordCache:
             flat = np.concatenate([flat, *(np.array(r, np.int64) for r in own)])
         return flat, lo, count
 
+    def of(self, h: np.ndarray, word: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pool position and length of the ids of every word ``k`` with hash ``h[k]`` and bytes ``word(k)``. Most words
+        stand in their slot; the others are looked up, or encoded, and take the slot over."""
+        slot = (h & np.uint64(FRONT - 1)).astype(np.int64)
+        hit = (self.front_key[slot] == h) & (self.front_count[slot] >= 0)
+        rest = np.flatnonzero(~hit)
+        found = None
+        if len(rest):
+            keys, one, back = np.unique(h[rest], return_index=True, return_inverse=True)
+            age = self.age
+            lo, count = self.lookup(keys, lambda k: word(rest[one[k]]))
+            if self.age != age and hit.any():
+                return self.of(h, word)  # the cache started anew: what the slots held before is gone
+            found = lo[back], count[back]
+        lo, count = self.front_lo[slot], self.front_count[slot].astype(np.int64)
+        if found is not None:
+            lo[rest], count[rest] = found
+            at = slot[rest[one]]
+            self.front_key[at], self.front_lo[at], self.front_count[at] = keys, lo[rest[one]], count[rest[one]]
+        return lo, count
+
     def lookup(self, keys: np.ndarray, word: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Pool position and length of the ids of each distinct key; ``word(k)`` gives the bytes of key ``k``."""
         if len(self.keys) + len(keys) > CACHE_WORDS:
@@ -179,11 +205,8 @@ def encoder(path: str) -> Encode:
         s[pos[cut] + 1], e[pos[cut] + 1] = last[cut], end[cut]
         first = np.searchsorted(s, w.off)
         w.start, w.end = s, e
-        h = w.hashes()
-        keys, one, back = np.unique(h, return_index=True, return_inverse=True)
         buf = data.tobytes()
-        lo, count = cache.lookup(keys, lambda k: buf[s[one[k]]:e[one[k]]])
-        lo, count = lo[back], count[back].astype(np.int64)
+        lo, count = cache.of(w.hashes(), lambda k: buf[s[k]:e[k]])
         ids = gathered(cache.pool, lo, count)
         total_to = np.zeros(total + 1, np.int64)
         np.cumsum(count, out=total_to[1:])
