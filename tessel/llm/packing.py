@@ -24,12 +24,33 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .store import bounded_batches, stored
-from .words import buffers, gathered, slices
+from .words import buffers, slices
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20  # tokens indexed at once inside a task
 ROUTE_TERMS = 4         # strongest terms of a document, in order, that place it
 K1, B = 1.2, 0.75       # BM25 constants
+COMMON = 16             # a term that a 16th of a shard's documents have is a row of a matrix
+FEW = 24                # neighbours sorted at once
+
+
+def by_term(ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of every distinct term of a document, by term and then by document (ids of 16 bits are
+    sorted digit by digit)."""
+    order = np.argsort(ids, kind="stable")
+    doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))[order]
+    term = ids[order]
+    head = np.ones(len(term), bool)
+    if len(term):
+        head[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(head)
+    return doc[at], term[at].astype(np.int32), np.diff(np.append(at, len(term)))
+
+
+def by_document(ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same by document and then by term."""
+    both, n = np.unique(np.repeat(np.arange(len(off) - 1, dtype=np.int64), np.diff(off)) << 32 | ids, return_counts=True)
+    return both >> 32, both & 0xFFFFFFFF, n
 
 
 class Bm25Index:
@@ -38,36 +59,57 @@ class Bm25Index:
     def __init__(self, ids: np.ndarray, off: np.ndarray):
         n = len(off) - 1
         size = np.diff(off)
-        order = np.argsort(ids, kind="stable")  # by term; within a term by document
-        doc = np.repeat(np.arange(n, dtype=np.int32), size)[order]
-        term = ids[order]
-        head = np.ones(len(term), bool)
-        if len(term):
-            head[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(head)
-        tf = np.diff(np.append(at, len(term))).astype(np.float32)
-        self.doc, self.term = doc[at], term[at].astype(np.int32)
-        terms = int(self.term[-1]) + 1 if len(at) else 0
-        self.to = np.searchsorted(self.term, np.arange(terms + 1))
+        doc, term, tf = by_term(ids, off)
+        tf = tf.astype(np.float32)
+        terms = int(term[-1]) + 1 if len(term) else 0
+        self.to = np.searchsorted(term, np.arange(terms + 1))
         df = np.diff(self.to)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
         norm = (K1 * (1 - B + B * size / max(1.0, size.mean() if n else 1.0))).astype(np.float32)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        self.doc, self.weight = doc, weight.astype(np.float64)  # as bincount takes them
+        # terms of many documents also stand as rows of a matrix
+        common = np.flatnonzero(df * COMMON > n) if n else np.zeros(0, np.int64)
+        self.row = np.full(terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n), np.float32)
+        wide = self.row[term]
+        self.matrix[wide[wide >= 0], doc[wide >= 0]] = weight[wide >= 0]
         # the terms each document shares with others
-        shared = np.flatnonzero(df[self.term] > 1)
-        shared = shared[np.argsort(self.doc[shared], kind="stable")]
-        self.query_to = np.searchsorted(self.doc[shared], np.arange(n + 1))
-        self.query_term = self.term[shared]
+        shared = np.flatnonzero(df[term] > 1)
+        shared = shared[np.argsort(doc[shared], kind="stable")]
+        self.query_to = np.searchsorted(doc[shared], np.arange(n + 1))
+        self.query_term = term[shared]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score for all terms the seed shares (ties: earlier first)."""
+    def scores(self, seed: int, n: int) -> np.ndarray:
+        """Score of every document for all terms the seed shares."""
         q = self.query_term[self.query_to[seed]:self.query_to[seed + 1]]
         if not len(q):
-            return q
-        lo, count = self.to[q], self.to[q + 1] - self.to[q]
-        score = np.bincount(gathered(self.doc, lo, count), gathered(self.weight, lo, count), len(unused))
+            return np.zeros(n)
+        row = self.row[q]
+        asked = np.zeros(len(self.matrix), np.float32)
+        asked[row[row >= 0]] = 1
+        score = (asked @ self.matrix).astype(np.float64) if len(asked) else np.zeros(n)
+        q = q[row < 0]
+        runs = list(zip(self.to[q].tolist(), self.to[q + 1].tolist()))
+        if runs:
+            score += np.bincount(np.concatenate([self.doc[a:b] for a, b in runs]),
+                                 np.concatenate([self.weight[a:b] for a, b in runs]), n)
+        return score
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents by falling score for all terms the seed shares (ties: earlier first). The best few are
+        sorted out first and the others only when they are asked for."""
+        score = self.scores(seed, len(unused))
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        score = score[found]
+        if len(found) > 4 * FEW:
+            cut = np.partition(score, len(score) - FEW)[len(score) - FEW]
+            first = score >= cut
+            near = found[first]
+            yield from near[np.argsort(-score[first], kind="stable")].tolist()
+            found, score = found[~first], score[~first]
+        yield from found[np.argsort(-score, kind="stable")].tolist()
 
 
 class Packer:
@@ -103,7 +145,7 @@ class Packer:
             if opened:  # the rest of this document leads the next window
                 seed = d
             if seed == d:
-                queue = iter(index.neighbours(d, unused).tolist())
+                queue = index.neighbours(d, unused)
 
 
 def power_cuts(pieces: list, first: int, window: int) -> list:
@@ -124,18 +166,22 @@ def power_cuts(pieces: list, first: int, window: int) -> list:
 
 def _strongest(ids: np.ndarray, off: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
     """The ``ROUTE_TERMS`` terms of greatest BM25 weight of every document, a row each (-1: none)."""
-    n, m = len(off) - 1, np.int64(len(idf))
-    both, tf = np.unique(np.repeat(np.arange(n), np.diff(off)) * m + ids, return_counts=True)
-    doc, term = both // m, both % m
+    n = len(off) - 1
+    doc, term, tf = by_document(ids, off)
     weight = idf[term] * tf / (tf + K1 * (1 - B + B * np.diff(off)[doc] / mean))
-    keep = weight > 0
-    doc, term, weight = doc[keep], term[keep], weight[keep]
-    order = np.lexsort((term, -weight, doc))
-    doc, term = doc[order], term[order]
-    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    top = rank < ROUTE_TERMS
     out = np.full((n, ROUTE_TERMS), -1, np.int64)
-    out[doc[top], rank[top]] = term[top]
+    if not len(doc):
+        return out
+    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))  # of each document that has a term
+    size = np.diff(np.append(head, len(doc)))
+    for k in range(ROUTE_TERMS):  # the heaviest term that is left; among equal ones the smallest
+        top = np.maximum.reduceat(weight, head)
+        at = np.flatnonzero((weight == np.repeat(top, size)) & (weight > 0))
+        if not len(at):
+            break
+        at = at[np.append(True, doc[at[1:]] != doc[at[:-1]])]
+        out[doc[at], k] = term[at]
+        weight[at] = 0
     return out
 
 
@@ -157,8 +203,7 @@ def routed(docs: DataFrame) -> DataFrame:
         total, rows, size = np.zeros(0, np.int64), 0, 0
         for b in slices(batches, "ids"):
             ids, off = _arrays(b)
-            both = np.unique(np.repeat(np.arange(b.num_rows), np.diff(off)) << 32 | ids)
-            own = np.bincount(both & 0xFFFFFFFF, minlength=len(total))
+            own = np.bincount(by_document(ids, off)[1], minlength=len(total))
             own[:len(total)] += total
             total, rows, size = own, rows + b.num_rows, size + len(ids)
         t = np.flatnonzero(total)
