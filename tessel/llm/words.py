@@ -135,13 +135,14 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A hash per word, taken over runs of at most ``HASH_BYTES`` (or one longer word), so that the powers and sums stay small."""
+        """A hash per word, taken over runs of about ``HASH_BYTES`` (or one longer word), so that the powers and sums stay small.
+        Words may overlap; they are in order of their starts."""
         out = np.empty(len(self.start), np.uint64)
         a = 0
         while a < len(out):
             low = int(self.start[a])
-            b = max(a + 1, int(np.searchsorted(self.end, low + HASH_BYTES, "right")))
-            out[a:b] = ranged(_BYTE[self.data[low:int(self.end[b - 1])]], self.start[a:b] - low, self.end[a:b] - low)
+            b = max(a + 1, int(np.searchsorted(self.start, low + HASH_BYTES)))
+            out[a:b] = ranged(_BYTE[self.data[low:int(self.end[a:b].max())]], self.start[a:b] - low, self.end[a:b] - low)
             a = b
         return out
 
