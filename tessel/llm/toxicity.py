@@ -11,6 +11,7 @@ only together are learnt as a pair. A pairwise sum costs one pass: half of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,10 @@ STEMS = (4, 6)        # leading bytes of a word that are terms of their own: inf
 BITS = 18             # parameter table of 2**18 slots; every term has one
 SCALE = 8.0           # value of a text's terms together (as a length); at most 1 for each
 BLOCKS = 16           # pieces of the table in which Spark adds the shards' states
-RATE, SPARSE = 0.5, 0.05  # step size; L1 penalty that sets parameters of uninformative terms to zero
+RATE, SPARSE = 0.5, 0.02  # step size of weights; their L1 penalty, which sets those of uninformative terms to zero
+RATE_V, DECAY = 0.05, 0.001  # step size and L2 penalty of vectors: an L1 penalty would end every pair before it has begun
+START = 0.1           # vectors start within this distance of zero, by a hash of the slot
+RARITY = 4.0          # a toxic text weighs as many times as they are rarer than others, up to this
 EPOCHS = 8
 THRESHOLD = 0.5
 
@@ -82,8 +86,8 @@ def _shrunk(x: np.ndarray, gradient, rate: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.maximum(0.0, np.abs(x) - rate * SPARSE)
 
 
-def _train(state: training.State, rows: pd.DataFrame) -> training.State:
-    """One pass of per-coordinate adaptive gradient steps on the logistic loss."""
+def _train(state: training.State, rows: pd.DataFrame, weight: float = 1.0) -> training.State:
+    """One pass of per-coordinate adaptive gradient steps on the logistic loss; ``weight`` counts a toxic text."""
     w0, w, v, g0, gw, gv = (state[k] for k in ("w0", "w", "v", "g0", "gw", "gv"))
     for idx, y in zip(rows["idx"], rows["y"]):
         i = np.asarray(idx, np.int64)
@@ -91,15 +95,15 @@ def _train(state: training.State, rows: pd.DataFrame) -> training.State:
         vi = v[i]
         s = vi.sum(axis=0)
         raw = w0[0] + x * w[i].sum() + 0.5 * x * x * float((s * s).sum() - (vi * vi).sum())
-        e = float(training.sigmoid(np.array([raw]))[0]) - y
+        e = (float(training.sigmoid(np.array([raw]))[0]) - y) * (weight if y else 1.0)
         g0[0] += e * e
         w0[0] -= RATE * e / np.sqrt(g0[0])
         dw = e * x
         gw[i] += dw * dw
         w[i] = _shrunk(w[i], dw, RATE / np.sqrt(gw[i]))
-        dv = dw * x * (s - vi)
+        dv = dw * x * (s - vi) + DECAY * vi
         gv[i] += dv * dv
-        v[i] = _shrunk(vi, dv, RATE / np.sqrt(gv[i]))
+        v[i] = vi - RATE_V / np.sqrt(gv[i]) * dv
     return {"w0": w0, "w": w, "v": v, "g0": g0, "gw": gw, "gv": gv}
 
 
@@ -119,9 +123,11 @@ def fit(sample: DataFrame, factors: int = FACTORS, epochs: int = EPOCHS, bits: i
     # small deterministic vectors: the same start in every shard
     noise = (mix(np.arange(1, m * factors + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53) - 0.5
     kind = np.float32  # what shards and driver exchange stays small
-    start = {"w0": np.zeros(1, kind), "w": np.zeros(m, kind), "v": (noise.reshape(m, factors) * 0.02).astype(kind),
+    start = {"w0": np.zeros(1, kind), "w": np.zeros(m, kind), "v": (noise.reshape(m, factors) * 2 * START).astype(kind),
              "g0": np.ones(1, kind), "gw": np.ones(m, kind), "gv": np.ones((m, factors), kind)}
-    state = training.mix_epochs(table, start, _train, epochs, blocks=BLOCKS)
+    count = table.agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
+    weight = min(RARITY, max(1.0, (count["n"] - count["toxic"]) / count["toxic"])) if count["toxic"] else 1.0
+    state = training.mix_epochs(table, start, partial(_train, weight=weight), epochs, blocks=BLOCKS)
     state["v"][state["gw"] == 1] = 0  # slots no document of the sample has add nothing
     return {k: state[k] for k in ("w0", "w", "v")}
 

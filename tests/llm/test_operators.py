@@ -234,17 +234,34 @@ def test_pairwise_machine_equals_the_double_sum():
     assert np.isclose(toxicity.machine(0.5, w, v, np.zeros(3, int), np.array(terms), 1)[0], want)
 
 
-def test_machine_learns_a_pair_that_weights_alone_miss(monkeypatch):
-    monkeypatch.setattr(toxicity, "SPARSE", 0.01)  # few rows: a weaker penalty
-    # harmful only together: exclusive-or is not additive
-    rows = [([0, 1], 1), ([0], 0), ([1], 0), ([2], 0)] * 60
+def test_one_step_equals_the_gradient_written_out():
     import pandas as pd
-    state = {"w0": np.zeros(1), "w": np.zeros(3), "v": np.full((3, 4), 0.1), "g0": np.ones(1), "gw": np.ones(3), "gv": np.ones((3, 4))}
-    for _ in range(20):
-        state = toxicity._train(state, pd.DataFrame({"idx": [r[0] for r in rows], "y": [r[1] for r in rows]}))
-    score = toxicity.machine(state["w0"][0], state["w"], state["v"], np.array([0, 0, 1, 2]), np.array([0, 1, 0, 1]), 3)
-    assert score[0] > 0 > max(score[1], score[2])
-    assert state["v"][0] @ state["v"][1] > 1
+    rng = np.random.default_rng(1)
+    w, v = rng.normal(size=5), rng.normal(size=(5, 2))
+    state = {"w0": np.zeros(1), "w": w.copy(), "v": v.copy(), "g0": np.ones(1), "gw": np.ones(5), "gv": np.ones((5, 2))}
+    got = toxicity._train(state, pd.DataFrame({"idx": [[0, 2, 3]], "y": [1]}), weight=3.0)
+    x = min(1.0, toxicity.SCALE / 3 ** 0.5)
+    raw = x * w[[0, 2, 3]].sum() + x * x * sum(v[a] @ v[b] for a, b in ((0, 2), (0, 3), (2, 3)))
+    e = 3.0 * (1 / (1 + np.exp(-raw)) - 1)
+    for a, others in ((0, (2, 3)), (2, (0, 3)), (3, (0, 2))):
+        dw = e * x
+        step = w[a] - toxicity.RATE / np.sqrt(1 + dw * dw) * dw
+        assert np.isclose(got["w"][a], np.sign(step) * max(0.0, abs(step) - toxicity.RATE / np.sqrt(1 + dw * dw) * toxicity.SPARSE))
+        dv = e * x * x * sum(v[b] for b in others) + toxicity.DECAY * v[a]
+        assert np.allclose(got["v"][a], v[a] - toxicity.RATE_V / np.sqrt(1 + dv * dv) * dv)
+    assert (got["w"][[1, 4]] == w[[1, 4]]).all() and np.isclose(got["w0"][0], -toxicity.RATE * e / np.sqrt(1 + e * e))
+
+
+def test_machine_learns_pairs_that_no_weights_can_tell(spark):
+    # with the constants of production: two pairs of words are harmful, the crossed pairs of the same words are clean
+    pairs = [("abba dodo", 1), ("kiki zuzu", 1), ("abba zuzu", 0), ("kiki dodo", 0)]
+    rows = [(i, pairs[i % 4][0], pairs[i % 4][1]) for i in range(4800)]
+    model = toxicity.fit(spark.createDataFrame(rows, "id long, text string, y int"))
+    asked = docs_of(spark, [(k, t) for k, (t, _) in enumerate(pairs)])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(asked, model).collect()}
+    assert min(got[0], got[1]) > 0.5 > max(got[2], got[3])
+    flat = {r["doc_id"]: r["score"] for r in toxicity.score(asked, model | {"v": model["v"] * 0}).collect()}
+    assert not min(flat[0], flat[1]) > max(flat[2], flat[3])  # weights alone cannot
 
 
 # ----------------------------------------------------------------------- 4
