@@ -30,7 +30,7 @@ SHORT_MASKS = ("1111", "11101", "10111", "11011")  # for shorter ones; unused wh
 LONG_WORDS = 8
 OVERLAP = 15
 SIMILARITY = 0.8
-MIN_WORDS = 5            # items of fewer words name nothing in particular and take no part
+MIN_WORDS = 5            # shorter items allow no substitution: they are found by the hash of all their words
 
 
 def seed_hashes(h: np.ndarray, first: np.ndarray, masks: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -67,7 +67,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Null texts hold no word. Rows that share an id are searched each and
     reported together, as are items that share an id. Items of fewer than
-    ``MIN_WORDS`` words take no part. Null ids are reported as null. An empty
+    ``MIN_WORDS`` words are found where all their words stand, the first such place; items without a word are not. Null ids are reported as null. An empty
     table on either side gives no row.
     """
     spark = bounded_batches(docs).sparkSession
@@ -83,9 +83,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                 names=["item", "item_id", "item_words"])
             key += b.num_rows
 
-    items = stored(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+    every = stored(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
                    .mapInArrow(item_rows, "item long, item_id long, item_words array<long>")
-                   .filter(F.size("item_words") >= MIN_WORDS), "benchmark")
+                   .filter(F.size("item_words") > 0), "benchmark")
+    items = every.filter(F.size("item_words") >= MIN_WORDS)
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,6 +170,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     cols = ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"]
     found = pairs.mapInPandas(verified, "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_equal long")
+    few = every.filter(F.size("item_words") < MIN_WORDS)
+    sizes = [r[0] for r in few.select(F.size("item_words")).distinct().collect()]
+    if sizes:
+        found = found.unionByName(_found_whole(docs, few, sorted(sizes), id_col, text_col))
     best = F.min(F.struct((-F.col("n_equal")).alias("o"), "doc_word", "item_word", "n_words", "n_equal"))
     return (found.groupBy("doc_id", "item_id").agg(best.alias("b"))
             .select("doc_id", "item_id", "b.doc_word", "b.item_word", "b.n_words", "b.n_equal"))
+
+
+def _found_whole(docs: DataFrame, few: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
+    """The first place of each text at which all words of an item of few words stand: texts and items meet by
+    the hash of those words, one row for a text and hash however often it occurs, and the words decide."""
+    def item_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.asarray(w, np.int64).view(np.uint64) for w in b.column("item_words").to_pylist()]
+            h = [int(seed_hashes(w, np.array([0, len(w)]), ("1" * len(w),))[0][1][0].astype(np.int64)) for w in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column("item_id"), b.column("item_words")], names=["h", "item_id", "item_words"])
+
+    seeds = stored(few.select("item_id", "item_words").mapInArrow(item_hashes, "h long, item_id long, item_words array<long>"), "short-seeds")
+    members = docs.sparkSession.sparkContext.broadcast(bitmap.bitmap(seeds))
+
+    def doc_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            h, first = _words(b.column("text"))
+            for n, (at, value) in zip(sizes, seed_hashes(h, first, tuple("1" * n for n in sizes))):
+                on = bitmap.contained(members.value, value)
+                at, value = at[on], value[on]
+                doc = np.searchsorted(first, at, "right") - 1
+                order = np.lexsort((at, value, doc))  # the first place of each hash in each text
+                at, value, doc = at[order], value[order], doc[order]
+                keep = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))[:len(at)]
+                at, value, doc = at[keep], value[keep], doc[keep]
+                words = h[at[:, None] + np.arange(n)].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value.view(np.int64)), b.column("id").take(pa.array(doc)), pa.array(at - first[doc]),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * n, pa.int32()), pa.array(words.ravel()))],
+                    names=["h", "doc_id", "doc_word", "words"])
+
+    hits = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+            .mapInArrow(doc_hits, "h long, doc_id long, doc_word long, words array<long>"))
+    n = F.size("item_words").cast("long")
+    return (hits.join(seeds, "h").filter(F.col("words") == F.col("item_words"))
+            .select("doc_id", "item_id", "doc_word", F.lit(0).cast("long").alias("item_word"), n.alias("n_words"), n.alias("n_equal")))

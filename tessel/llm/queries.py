@@ -114,7 +114,7 @@ ORACLES["op4_spaced_seed_decontamination"] = f"""
 with d as (select doc_id, {_PLAIN} as ws from documents),
 i as (select item_id, {_PLAIN} as ws from benchmark),
 dw as (select doc_id, len(ws) as n, unnest(range(len(ws))) as p, unnest(ws) as w from d),
-iw as (select item_id, len(ws) as l, unnest(range(len(ws))) as q, unnest(ws) as w from i where len(ws) >= 5),
+iw as (select item_id, len(ws) as l, unnest(range(len(ws))) as q, unnest(ws) as w from i),
 hit as (
   select doc_id, item_id, p - q as diagonal, q, least(l, 15) as need, l, n
   from dw join iw using (w)),

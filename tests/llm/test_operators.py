@@ -266,6 +266,27 @@ def test_machine_learns_pairs_that_no_weights_can_tell(spark):
 
 # ----------------------------------------------------------------------- 4
 
+def test_items_of_any_number_of_words_equal_the_sql(spark):
+    import duckdb
+    import pandas as pd
+    from tessel.llm import queries
+    words = "red green blue one two three four five six seven eight nine ten".split()
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(120)] + [(500, "The word."), (501, None), (502, "")]
+    items = [(k, " ".join(rng.choice(words, n))) for k, n in enumerate([1, 2, 2, 3, 3, 4, 4, 4, 5, 6, 9])] + [(50, "... !"), (51, ""), (52, None), (53, "word"), (53, "The")]
+    docs.append((600, f"x {items[3][1]} y {items[7][1]}"))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+                                spark.createDataFrame(items, "item_id long, text string").repartition(2))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    # items that share an id: the best of them
+    want = con.sql(f"select * from ({queries.ORACLES['op4_spaced_seed_decontamination']}) where item_id <> 53").fetchall()
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(r for r in rows if r[1] != 53) == sorted(want) and {r[4] for r in rows} >= {1, 2, 3, 4}
+    assert [r for r in rows if r[1] == 53] == [(500, 53, 0, 0, 1, 1)]
+
+
 def test_masks_hit_every_stretch_with_allowed_substitutions():
     from itertools import combinations
     for n in range(5, decontam.OVERLAP + 1):
