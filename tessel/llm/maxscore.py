@@ -1,15 +1,13 @@
 """Exact top-k search by inner product with MaxScore.
 
 A vector's components are its terms: each shard of vectors holds, for every
-dimension, the postings (the component of every vector of the shard) and their
-largest and smallest value. For a query a term's bound is the largest product
-any vector of the shard can have with it. Terms are taken by falling bound: those whose
-bounds alone could still lift a vector over the query's threshold are
-essential, and their postings are traversed for all vectors; the others are
-probed, term by term, only for vectors that are still competitive. The threshold
-is the k-th best score found so far and starts from a small sample of all
-vectors, so every shard can prune from its first term. The shards' lists are
-merged.
+dimension, the postings (the component of every vector of the shard) in blocks of vectors by falling length, with the
+largest and smallest value of each block. For a query a term's bound is the largest product
+any vector of the block can have with it. The last terms whose bounds alone stay under the query's threshold are
+non-essential: the essential ones are traversed for the whole block, the others are
+probed, a few terms at a time, only for vectors that are still competitive. The threshold
+is the k-th best score found so far; it starts from a small sample of all
+vectors and rises with every block. The shards' lists are merged.
 
 Components are whole numbers, so scores are exact. All numbers stay below 2**53
 in float64 arithmetic, which is checked; beyond that, Python integers are used.
@@ -31,7 +29,8 @@ SCALE = 64.0
 SHARD_ROWS = 32_768   # vectors of a shard
 QUERY_ROWS = 8_192    # queries of a block
 SEED_ROWS = 1_024     # sampled vectors that give every query its first threshold
-STEP = 8              # terms traversed between two looks at the bounds
+STEP = 4              # non-essential terms probed between two looks at the bounds
+BLOCK = 8_192         # vectors of a block, after which the threshold rises
 SAFE = float(1 << 53)
 
 
@@ -56,50 +55,56 @@ def _matrix(col: pd.Series, width: int) -> np.ndarray:
 
 
 class Shard:
-    """Postings of a set of vectors by dimension, with their bounds."""
+    """Postings of a set of vectors by dimension, in blocks by falling length, with each block's bounds."""
 
     def __init__(self, ids: np.ndarray, vecs: np.ndarray):
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((ids, -(vecs * vecs).sum(axis=1)))  # long vectors first: they raise the threshold
         self.ids, self.rows = ids[order], vecs[order]
         self.postings = np.ascontiguousarray(self.rows.T)
-        self.high = self.postings.max(axis=1) if len(ids) else np.zeros(vecs.shape[1])
-        self.low = self.postings.min(axis=1) if len(ids) else np.zeros(vecs.shape[1])
+        self.products = 0  # multiplications done so far
+        self.blocks = []
+        for a in range(0, len(ids), BLOCK):
+            part = self.postings[:, a:a + BLOCK]
+            self.blocks.append((a, min(a + BLOCK, len(ids)), part.max(axis=1), part.min(axis=1)))
 
     def search(self, own: int, q: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best with score at or above ``threshold``, without id ``own``; ties to smaller ids."""
-        n = len(self.ids)
-        bound = np.maximum(q * self.high, q * self.low)  # of each term, over the shard
-        spread = bound - np.minimum(q * self.high, q * self.low)
-        terms = np.argsort(-spread, kind="stable")
-        rest = np.append(np.cumsum(bound[terms][::-1])[::-1], 0.0)  # what terms i.. can add at most
-        score = np.zeros(n)
-        alive = None  # all vectors, until some fall out
-        i, d = 0, len(terms)
-        while i < d:
-            step = terms[i:i + STEP]
-            if alive is None:
-                score += q[step] @ self.postings[step]
-            else:
-                score += self.rows[np.ix_(alive, step)] @ q[step]
-            i += len(step)
-            if i < d:
-                # a vector stays while its score and the bounds of the remaining terms reach the threshold
+        """Ids and scores of the ``k`` best with score at or above ``threshold``, without id ``own``; ties to smaller ids.
+
+        Terms are taken by falling range of what they can add. The non-essential ones are the last terms whose bounds together stay under the
+        threshold: the essential ones are traversed for a whole block, the others probed only for vectors
+        that can still reach it. After a block the threshold is the k-th best score so far.
+        """
+        ids, best, d = self.ids[:0], np.zeros(0), len(q)
+        for start, end, high, low in self.blocks:
+            a, z = q * high, q * low
+            bound = np.maximum(a, z)  # of each term, over the block
+            terms = np.argsort(-np.abs(a - z), kind="stable")
+            rest = np.append(np.cumsum(bound[terms][::-1])[::-1], 0.0)  # what terms i.. can add at most
+            if rest[0] < threshold:
+                continue
+            under = np.flatnonzero(rest < threshold)
+            split = int(under[0]) if len(under) else d  # the first non-essential term
+            essential = terms[:split]
+            score = q[essential] @ self.postings[essential, start:end]
+            self.products += split * (end - start)
+            alive = np.flatnonzero(score + rest[split] >= threshold)
+            score, alive, i = score[alive], alive + start, split
+            while i < d and len(alive):
+                step = terms[i:i + STEP]
+                score = score + self.rows[alive[:, None], step] @ q[step]
+                self.products += len(alive) * len(step)
+                i += len(step)
                 keep = score + rest[i] >= threshold
-                live = int(keep.sum())
-                if live * 2 < len(score):
-                    alive = np.flatnonzero(keep) if alive is None else alive[keep]
-                    score = score[keep]
-                    if not live:
-                        break
-        ids = self.ids if alive is None else self.ids[alive]
-        ok = (score >= threshold) & (ids != own)
-        ids, score = ids[ok], score[ok]
-        if len(ids) > k:
-            kth = np.partition(score, len(score) - k)[len(score) - k]
-            near = score >= kth
-            ids, score = ids[near], score[near]
-        best = np.lexsort((ids, -score))[:k]
-        return ids[best], score[best]
+                score, alive = score[keep], alive[keep]
+            keep = self.ids[alive] != own
+            ids, best = np.append(ids, self.ids[alive[keep]]), np.append(best, score[keep])
+            if len(ids) > k:
+                kth = np.partition(best, len(best) - k)[len(best) - k]
+                ids, best = ids[best >= kth], best[best >= kth]  # ties stay until the end
+            if len(ids) >= k:
+                threshold = max(threshold, float(best.min()))
+        order = np.lexsort((ids, -best))[:k]
+        return ids[order], best[order]
 
 
 def _exact(q: np.ndarray, vecs: np.ndarray) -> list[int]:
