@@ -68,7 +68,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     Null texts hold no word. Rows that share an id are searched each and
     reported together, as are items that share an id. Items of fewer than
     ``MIN_WORDS`` words are found where all their words stand, the first such place; items without a word are not. Null ids are reported as null. An empty
-    table on either side gives no row.
+    table on either side gives no row. A very long text is searched whole, alone in its batch.
     """
     spark = bounded_batches(docs).sparkSession
 

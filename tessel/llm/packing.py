@@ -236,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
 
     Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``. Rows that share an id are packed as documents of
-    their own; an empty table gives no piece. The token ids are stored once and shuffled
+    their own; an empty table gives no piece; a very long text is encoded alone and cut into as many windows as it fills. The token ids are stored once and shuffled
     once, by content; a sequence id holds the partition number in its
     upper bits, so ids are unique without a second pass.
     """

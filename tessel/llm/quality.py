@@ -151,7 +151,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = traini
 
     Learns from labelled ids whose remainder (crc32 of the id as text, modulo 4)
     is not 2. A null id is scored and counts as not held out; repeated rows get
-    equal scores; without labelled rows every score is 0.5.
+    equal scores; without labelled rows every score is 0.5; an empty table gives no row. A very long text is
+    scored whole, alone in its batch.
     """
     held = training.id_remainder(id_col, 4) == 2
     model = fit(training.labelled_sample(docs, labels, "quality", ~held, sample_rows, id_col, text_col))

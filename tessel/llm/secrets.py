@@ -147,7 +147,10 @@ def _listed(spans: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, allowed: Sequence[str] = ALLOWED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row (see ``scan``)."""
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row (see ``scan``).
+
+    A null text is empty and has no span; repeated rows and null ids have a row each; an empty table gives none; a very
+    long text is scanned whole, in its row."""
     rows = scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), allowed)
 
     def number(kind: int) -> Column:

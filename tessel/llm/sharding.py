@@ -40,7 +40,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEA
     Size is the text's UTF-8 bytes plus ``overhead``; a null text counts as the
     empty one and shares its group. ``law`` is ``bytes``; ``slot`` numbers a
     shard's rows from 0 without gaps; ``grown_shard`` is null (only a key law fixes
-    where rows go when a shard is added). Rows that share an id are rows of their
+    where rows go when a shard is added). A very long text is a group whose size alone travels. Rows that share an id are rows of their
     own; an empty table gives no row.
     """
     spark = docs.sparkSession

@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     without words has fingerprint zero. Equal fingerprints (exact copies, empty
     texts) form one class before anything is compared. Rows that share an id keep
     a row each; null ids never name a component (null if it has no other). An
-    empty table gives no row.
+    empty table gives no row. A very long text is hashed whole, alone in its batch.
     """
     rows, roots = _classes(docs, shingle, distance, id_col, text_col)
     of_class = roots.join(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")

@@ -159,7 +159,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = train
 
     Learns from labelled ids whose remainder (crc32 of the id as text, modulo 5)
     is not 0. A null id is scored and counts as held out; repeated rows get equal
-    scores; without labelled rows every score is 0.5.
+    scores; without labelled rows every score is 0.5; an empty table gives no row. A very long text is
+    scored whole, alone in its batch.
     """
     held = training.id_remainder(id_col, 5) == 0
     model = fit(training.labelled_sample(docs, labels, "toxic", ~held, sample_rows, id_col, text_col))
