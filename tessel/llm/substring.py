@@ -40,6 +40,7 @@ from .words import Words, ranged, slices
 WINDOW = 50
 GRAM = 8
 SHARD_WORDS = 60_000      # reference windows of an automaton, about
+HOT_WINDOWS, HOT_KEYS = 20_000, 10_000  # occurrences of a window in one part, at least; windows that may be split
 STREAM_WINDOWS = 400_000  # windows streamed through one copy of it, about
 
 
@@ -188,8 +189,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                                              names=["w", "doc_id", "k", "at"])
 
     windows = candidates.select("doc_id", "k", "text", "pos").mapInArrow(cut_windows, "w long, doc_id long, k long, at int")
-    firsts = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("hi")).filter("first < hi").drop("hi")
-    placed = windows.join(firsts, "w").select("doc_id", "k", "at", "first", (F.col("doc_id") == F.col("first")).alias("ref"))
+    firsts = stored(windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+                    .filter("first < hi").drop("hi"), "firsts")
+    # the occurrences of a window that stands in very many places are dealt over parts, each with the window's row
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    share = max(HOT_WINDOWS, -(-total // HOT_KEYS))  # so at most HOT_KEYS windows are split, and their keys are broadcast
+    parts = F.ceil(F.col("n") / share).cast("int")
+    hot = F.broadcast(firsts.filter(F.col("n") > share).select("w", parts.alias("parts")))
+    dealt_windows = (windows.join(hot, "w", "left")
+                     .withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "at"), F.col("parts").cast("long")).cast("int"))))
+    spread = firsts.select("w", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    placed = dealt_windows.join(spread, ["w", "part"]).select("doc_id", "k", "at", "first", (F.col("doc_id") == F.col("first")).alias("ref"))
     places = stored(placed.groupBy("doc_id", "k", "first", "ref").agg(F.collect_list("at").alias("at")), "places")
 
     total = places.filter("ref").agg(F.sum(F.size("at"))).first()[0] or 0

@@ -583,6 +583,13 @@ def test_substring_dedup_over_many_shards_and_copies(spark, monkeypatch):
     assert Counter(map(tuple, substring.dedup(docs_of(spark, rows)).collect())) == brute_dedup(rows)
 
 
+def test_substring_dedup_of_a_window_in_very_many_places(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_WINDOWS", 7)
+    line = " ".join(f"h{j}" for j in range(55))
+    rows = [(i, f"a{i} {line} b{i % 3}") for i in range(40)] + [(100, f"{line} " * 3), (101, None), (None, line)]
+    assert Counter(map(tuple, substring.dedup(docs_of(spark, rows)).collect())) == brute_dedup(rows)
+
+
 def test_automaton_matching_statistics():
     rng = np.random.default_rng(11)
     for _ in range(60):
