@@ -127,7 +127,7 @@ def cosine_pairs(spark, sf_dir):
 def spectral_map(spark, sf_dir):
     """V6 by neighbour count: the map of the 5- and of the 20-neighbour graph."""
     graph = checkpoint(ops.knn_graph(fx.vectors(spark, sf_dir), ks=(5, 20)))
-    maps = [spectral.spectral_map(graph, k).select(F.lit(k).alias("k"), "*") for k in (5, 20)]
+    maps = [spectral.spectral_map(graph, k, tolerance=1e-3).select(F.lit(k).alias("k"), "*") for k in (5, 20)]
     return maps[0].unionByName(maps[1])
 
 
