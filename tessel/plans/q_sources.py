@@ -24,8 +24,8 @@ def read_posts_ranges(spark, sf_dir):
     path = shared_path(spark, "posts-csv")
     posts = fx.posts(spark, sf_dir).select(*schemas.POSTS.names)
     posts.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    size = size_estimate(spark.read.text(path)) or 0
-    with ranges.split_bytes(spark, max(1 << 14, min(128 << 20, size // RANGES))):
+    size = size_estimate(spark.read.text(path))
+    with ranges.split_bytes(spark, 128 << 20 if size is None else max(1 << 14, min(128 << 20, size // RANGES))):
         return checkpoint(readers.read_posts_ranges(spark, path))
 
 

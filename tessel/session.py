@@ -94,7 +94,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 def size_estimate(df: DataFrame) -> int | None:
     """Bytes of the rows by the optimizer's estimate, if there is one."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # py4j gives an int or a BigInt object
     except Exception:  # noqa: BLE001 - no estimate (Spark Connect)
         return None
 

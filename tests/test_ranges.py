@@ -100,3 +100,16 @@ def test_states_compose_like_the_whole_text():
     states = ranges.States(found)
     assert [states.at("f", k) for k in range(0, 400, 10)] == [truth[k] for k in range(0, 400, 10)]
     assert states.at("g", 5) == (False, 0)
+
+
+def test_size_is_known_so_ranges_are_few(spark, tmp_path):
+    """The size of written posts places the ranges: without it, every file was cut at 16 KB."""
+    from tessel.plans import q_sources
+    from tessel.session import size_estimate
+    (tmp_path / "t").write_bytes(b"x" * 5000)
+    assert size_estimate(spark.read.text(str(tmp_path / "t"))) == 5000
+    texts = [(i, "word " * 4000, "en", "web") for i in range(400)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = q_sources.read_posts_ranges(spark, str(tmp_path))
+    assert got.count() == 400
+    assert got.rdd.getNumPartitions() <= 4 * q_sources.RANGES
