@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .vectors import MAX_QUERY_CELLS, _blocks_for, _final_topk, _matrix, _sq_dists, _TopK, block_rows_for, knn, knn_blocks
+from .vectors import MAX_QUERY_CELLS, _blocks_for, _final_topk, _graph_blocks, _matrix, _sq_dists, _TopK, block_rows_for, knn, knn_blocks
 
 MAX_PIVOTS = 2048
 SAMPLE_CELLS = 4_000_000   # numbers (rows x dims) of the sample that pivots come from, 32 MB
@@ -246,7 +246,7 @@ def neighbour_graph(points: DataFrame, ks=(5, 10, 15, 20), id_col: str = "uid",
         return placed.graph(k)
     routes = placed.routes(k)
     copies = routes.agg(F.sum(F.size("reach"))).first()[0] or 0
-    plain = 2 * placed.n * _blocks_for(placed.n, block_rows_for(placed.dim))
+    plain = 2 * placed.n * _graph_blocks(placed.n, placed.dim)
     if copies > max(plain, COPIES * placed.n):
         return knn_blocks(points, points, k, False, id_col, vec_col)
     return placed.graph(k, routes=routes)

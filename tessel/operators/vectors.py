@@ -135,6 +135,9 @@ BLOCK_BYTES = 64 << 20
 DIFF_CELLS = 4_000_000
 # Cells (queries x points) of one distance matrix inside a task.
 DIST_CELLS = 4_000_000
+# Blocks of a side that all-pairs work is spread over, where they get at least so many rows.
+SPREAD_BLOCKS = 16
+SPREAD_ROWS = 4096
 # Pairs one cosine-matrix task may return (its output is one pandas frame).
 MAX_TASK_PAIRS = 10_000_000
 
@@ -150,6 +153,14 @@ def _blocks_for(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / max(1, block_rows)))
 
 
+def _graph_blocks(n: int, dim: int, block_rows: int | None = None) -> int:
+    """Blocks of one side of all-pairs work: as many as memory asks for, and so many
+    more that a table of a few blocks' size still has its pairs spread over up to ``SPREAD_BLOCKS``^2 tasks."""
+    if block_rows:
+        return _blocks_for(n, block_rows)
+    return max(_blocks_for(n, block_rows_for(dim)), min(SPREAD_BLOCKS, _blocks_for(n, SPREAD_ROWS)))
+
+
 def _with_block(df: DataFrame, id_col: str, b: int) -> DataFrame:
     return df.withColumn("_b", F.pmod(F.xxhash64(F.col(id_col)), F.lit(b)).cast("int"))
 
@@ -179,6 +190,8 @@ def _id_key(ids: np.ndarray) -> np.ndarray:
 class _TopK:
     """Running k smallest (distance, id) per query over chunks of points.
 
+    A matrix product gives every distance up to a bound on its rounding error; only points that may
+    be among the k nearest by it get their exact distance, so the answer is that of ``_sq_dists`` on all pairs.
     Memory stays O(query chunk x (k + point chunk)) whatever the block size;
     ties are broken by id, so the answer is the same for any chunking."""
 
@@ -186,34 +199,77 @@ class _TopK:
         self.qids = np.asarray(qids)
         self.k = k
         self.include_self = include_self
-        self.bd = np.empty((len(self.qids), 0))
+        self.bd = np.full((len(self.qids), k), np.nan)  # sorted by distance and id, NaN: no such neighbour
         self.bi = None
 
     def add(self, qm: np.ndarray, pids, pm: np.ndarray) -> None:
         pids = np.asarray(pids)
-        if len(pids) == 0:
+        if len(pids) == 0 or len(self.qids) == 0:
             return
         if self.bi is None:
-            self.bi = np.empty((len(self.qids), 0), dtype=pids.dtype)
+            self.bi = np.full((len(self.qids), self.k), pids[0], dtype=pids.dtype)
+        elif self.bi.dtype != pids.dtype:
+            self.bi = self.bi.astype(np.promote_types(self.bi.dtype, pids.dtype))
         nq = len(self.qids)
-        qc = max(1, min(nq, 1024))
-        pc = max(1, DIST_CELLS // qc)
-        new_d, new_i = [], []
+        qc = max(1, min(nq, 512, DIST_CELLS))
+        pc = max(1, min(4096, DIST_CELLS // qc))
+        # near the data's middle products lose the fewest digits
+        with np.errstate(invalid="ignore", over="ignore"):
+            middle = pm.mean(axis=0)
+            middle = np.where(np.isfinite(middle), middle, 0.0)
+            qs, ps = qm - middle, pm - middle
+            q2, p2 = np.einsum("ij,ij->i", qs, qs), np.einsum("ij,ij->i", ps, ps)
         for a in range(0, nq, qc):
-            qi, bd, bi = self.qids[a:a + qc], self.bd[a:a + qc], self.bi[a:a + qc]
             for b in range(0, len(pids), pc):
-                pi = pids[b:b + pc]
-                d = _sq_dists(qm[a:a + qc], pm[b:b + pc])
-                d[~np.isfinite(d)] = np.inf  # a point with a non-finite component comes last, but is there
-                if not self.include_self:
-                    d[qi[:, None] == pi[None, :]] = np.nan  # never a neighbour; NaN sorts behind infinity
-                cd = np.concatenate([bd, d], axis=1)
-                ci = np.concatenate([bi, np.broadcast_to(pi, d.shape)], axis=1)
-                order = np.lexsort((_id_key(ci), cd), axis=1)[:, :self.k]
-                bd, bi = np.take_along_axis(cd, order, axis=1), np.take_along_axis(ci, order, axis=1)
-            new_d.append(bd)
-            new_i.append(bi)
-        self.bd, self.bi = np.concatenate(new_d), np.concatenate(new_i)
+                self._chunk(slice(a, min(nq, a + qc)), qm, qs, q2, pids[b:b + pc], pm[b:b + pc], ps[b:b + pc], p2[b:b + pc])
+
+    def _chunk(self, rows: slice, qm, qs, q2, pi, pm, ps, p2) -> None:
+        """Merge one chunk of points into the neighbours of one chunk of queries."""
+        qi, k = self.qids[rows], self.k
+        with np.errstate(invalid="ignore", over="ignore"):
+            near = qs[rows] @ ps.T
+            near *= -2.0
+            near += q2[rows, None]
+            near += p2[None, :]
+            # rounding of the product form and of the exact one, with the shift to the middle
+            slack = (16 + 4 * qm.shape[1]) * np.finfo(np.float64).eps * (q2[rows, None] + p2.max(initial=0.0))
+            shift = np.abs(qm[rows]).max(axis=1, initial=0.0) + (np.abs(pm).max(initial=0.0))
+            slack = slack + 16 * qm.shape[1] * (np.finfo(np.float64).eps * shift[:, None]) ** 2 + 8 * np.finfo(np.float64).eps * (shift * np.sqrt(qm.shape[1]))[:, None] * (np.sqrt(q2[rows, None]) + np.sqrt(p2.max(initial=0.0)))
+        unsure = not (np.isfinite(slack).all() and np.isfinite(near).all())
+        if unsure:  # components that are not finite, or squares beyond double: compared exactly
+            near[:] = 0.0
+            slack = np.full((len(qi), 1), np.inf)
+        if not self.include_self:
+            near[qi[:, None] == pi[None, :]] = np.nan  # never a neighbour
+        kth = self.bd[rows, k - 1]
+        limit = np.where(np.isnan(kth), np.inf, kth)[:, None] + slack
+        if not unsure and near.shape[1] > k:
+            # k points of this chunk lie within this distance (NaN is sorted behind all)
+            own = np.partition(near, k - 1, axis=1)[:, k - 1, None] if np.isinf(limit).any() else np.inf
+            limit = np.fmin(limit, own + 2 * slack)
+        r, c = np.nonzero(near <= limit)
+        if not len(r):
+            return
+        start = rows.start
+        step = max(1, DIFF_CELLS // max(1, qm.shape[1]))
+        d = np.empty(len(r))
+        for i in range(0, len(r), step):
+            with np.errstate(invalid="ignore", over="ignore"):
+                x = qm[start + r[i:i + step]] - pm[c[i:i + step]]
+                d[i:i + step] = np.einsum("ij,ij->i", x, x)
+        d[~np.isfinite(d)] = np.inf  # a point with a non-finite component comes last, but is there
+        some = np.unique(r)
+        old_r, old_c = np.nonzero(~np.isnan(self.bd[start + some]))
+        all_r = np.concatenate([some[old_r], r])
+        all_d = np.concatenate([self.bd[start + some[old_r], old_c], d])
+        all_i = np.concatenate([self.bi[start + some[old_r], old_c], pi[c]])
+        order = np.lexsort((_id_key(all_i), all_d, all_r))
+        all_r, all_d, all_i = all_r[order], all_d[order], all_i[order]
+        first = np.flatnonzero(np.append(True, all_r[1:] != all_r[:-1]))
+        place = np.arange(len(all_r)) - np.repeat(first, np.diff(np.append(first, len(all_r))))
+        keep = place < k
+        self.bd[start + all_r[keep], place[keep]] = all_d[keep]
+        self.bi[start + all_r[keep], place[keep]] = all_i[keep]
 
     def frame(self) -> pd.DataFrame:
         if self.bi is None:
@@ -270,8 +326,7 @@ def knn_blocks(queries: DataFrame, points: DataFrame, k: int, include_self: bool
     cogroups; each task keeps its local top-k, a windowed top-k merges them."""
     sq = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     sp = points.agg(F.count(F.lit(1)).alias("n")).first()
-    rows = block_rows_for(sq["d"] or 1, block_rows)
-    bq, bp = _blocks_for(sq["n"], rows), _blocks_for(sp["n"], rows)
+    bq, bp = _graph_blocks(sq["n"], sq["d"] or 1, block_rows), _graph_blocks(sp["n"], sq["d"] or 1, block_rows)
     id_type = points.schema[id_col].dataType.simpleString()
     qs = _with_block(queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv")), "qid", bq)
     ps = _with_block(points.select(F.col(id_col).alias("pid"), F.col(vec_col).alias("pv")), "pid", bp)
@@ -286,6 +341,9 @@ def knn_blocks(queries: DataFrame, points: DataFrame, k: int, include_self: bool
         top.add(_matrix(left["qv"]), right["pid"].to_numpy(), _matrix(right["pv"]))
         return top.frame()
 
+    # a partition per block pair, about: by bytes few would hold all, and a pair's work is the product of its blocks
+    tasks = max(1, min(bq * bp, 4096))
+    qs, ps = qs.repartition(tasks, "bq", "bp"), ps.repartition(tasks, "bq", "bp")
     schema = f"q_uid {id_type}, uid {id_type}, dist double"
     cands = (qs.groupBy("bq", "bp").cogroup(ps.groupBy("bq", "bp")).applyInPandas(pair_topk, schema))
     return _final_topk(cands, k).select("q_uid", "rank", "uid", "dist")

@@ -209,3 +209,30 @@ def test_rows_without_a_vector_stay_or_raise(spark):
     assert ops.attach_vectors(rows, vecs, missing="drop").count() == 1
     with pytest.raises(ValueError):
         ops.attach_vectors(rows, vecs, missing="error")
+
+
+def test_topk_exact_by_products_and_differences():
+    """The k nearest of the product form are those of the difference form: far from the origin, repeated, with text ids, not finite."""
+    rng = np.random.default_rng(11)
+    for shift, scale, ids in ((0, 1.0, np.arange(300)), (1e9, 1e-3, np.arange(300)), (0, 1e200, np.arange(300)),
+                              (5, 0.1, np.array([f"id{i * i}" for i in range(300)], dtype=object))):
+        p = rng.normal(size=(300, 8)).round(1) * scale + shift
+        p[7] = np.nan
+        top = ops._TopK(ids[:40], 6, False)
+        for part in np.array_split(np.arange(300), 4):
+            top.add(p[:40], ids[part], p[part])
+        with np.errstate(invalid="ignore", over="ignore"):
+            d = ops._sq_dists(p[:40], p)
+        d[~np.isfinite(d)] = np.inf
+        for i in range(40):
+            want = sorted((d[i, j], ids[j]) for j in range(300) if j != i)[:6]
+            got = top.frame()
+            got = got[got["q_uid"] == ids[i]]
+            assert list(zip(got["dist"], got["uid"])) == want
+
+
+def test_graph_pairs_are_spread_over_tasks():
+    """A table that fits a few blocks by its bytes is not compared by a few tasks."""
+    assert ops._graph_blocks(100_000, 64) == ops.SPREAD_BLOCKS
+    assert ops._graph_blocks(500, 64) == 1
+    assert ops._graph_blocks(10, 2, 3) == 4
