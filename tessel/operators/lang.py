@@ -25,10 +25,12 @@ gram that occurs in a third of all documents is spread over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ from ..session import checkpoint
 # Cells (grams x languages) of the profile that may be broadcast: 8 bytes each,
 # so the bound keeps the broadcast under ~80 MB.
 BROADCAST_PROFILE_CELLS = 10_000_000
+BATCH_BYTES = 4 << 20   # bytes of texts in an Arrow batch
+SLICE_BYTES = 1 << 20   # bytes of texts whose grams are held at once
 ROWS_PER_SALT = 1_000_000  # grams of one kind that one task of the salted join meets, about
 
 GRAM_PATTERN = r"(?=(.\p{L}.))"
@@ -100,39 +104,58 @@ def fit_language_profile(train: DataFrame, text_col: str = "text", lang_col: str
     return LanguageProfile(grams, langs, n_vocab, langs.count())
 
 
+def _slices(column: pa.Array) -> Iterator[pa.Array]:
+    """Runs of rows of about ``SLICE_BYTES``; a longer text is alone or ends its run."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(size, dtype=np.int64) - size) // SLICE_BYTES
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(column)]])
+    for a, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield column[a:e]
+
+
+def gram_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of ``gram_text`` rows as numbers (21 bits a character: no two share one), and the row of each."""
+    texts = ["" if t is None else t for t in column.to_pylist()]
+    char = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    at = np.flatnonzero(char != 32)  # letters; each text begins and ends with a space, so no window leaves its text
+    key = (char[at - 1].astype(np.int64) << 42) | (char[at].astype(np.int64) << 21) | char[at + 1]
+    end = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    return key, np.searchsorted(end, at, "right")
+
+
+def _gram_key(gram) -> F.Column:
+    """The number ``gram_keys`` gives a gram."""
+    a, b, c = (F.ascii(F.substring(gram, i, 1)).cast("long") for i in (1, 2, 3))  # code points
+    return F.shiftleft(a, 42).bitwiseOR(F.shiftleft(b, 21)).bitwiseOR(c)
+
+
 def _detect_in_row(df: DataFrame, profile: LanguageProfile, text_col: str, out_col: str) -> DataFrame:
-    """Score inside the row with the broadcast profile."""
+    """Score inside the row with the broadcast profile. Texts travel in batches bounded by bytes, and a slice of one at a time is
+    taken apart, so a worker's memory does not follow the number or the length of a batch's texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     langs = profile.langs.orderBy("lang").toPandas()  # size checked: V x languages <= BROADCAST_PROFILE_CELLS
     names = langs["lang"].to_numpy(object)
-    # the driver holds 64-bit hashes of grams and numbers of languages, no strings of the profile
+    # the driver holds numbers of grams and of languages, no strings of the profile
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang"))
-    pairs = profile.grams.select(F.xxhash64("gram").alias("h"), place.cast("int").alias("l"), "w").toPandas()
+    pairs = profile.grams.select(_gram_key("gram").alias("h"), place.cast("int").alias("l"), "w").toPandas()
     grams, row = np.unique(pairs["h"].to_numpy(np.int64), return_inverse=True)
-    if len(grams) != profile.rows:  # two grams share a hash: the long profile tells them apart
-        return _detect_by_join(df, profile, text_col, out_col)
     weight = np.zeros((len(grams) + 1, len(names)))  # the last row: grams outside the vocabulary
     weight[row, pairs["l"].to_numpy() - 1] = pairs["w"]
     shipped = df.sparkSession.sparkContext.broadcast((grams, weight, langs["lden"].to_numpy(), names))
 
-    @F.arrow_udf("string")
-    def detected(column: pa.Array) -> pa.Array:
+    def best_of(column: pa.Array) -> np.ndarray:
         grams, weight, lden, names = shipped.value
         out = np.full(len(column), None, object)
-        size = np.diff(column.offsets.to_numpy())
-        seen = column.flatten().to_numpy(zero_copy_only=False)
-        if column.null_count:
-            size = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, size)
+        seen, doc = gram_keys(column)
         if not len(seen):
-            return pa.array(out, pa.string())
-        at = np.searchsorted(grams, seen)
-        at[at == len(grams)] = 0
-        known = np.where(grams[at] == seen, at, len(grams))
-        has = np.flatnonzero(size)
-        start = np.concatenate([[0], np.cumsum(size[has])[:-1]])
-        step = max(1, (4 << 20) // max(1, len(names)))  # occurrences whose weight rows are held at once
+            return out
+        known = np.searchsorted(grams, seen)
+        known[known == len(grams)] = 0
+        known = np.where(grams[known] == seen, known, len(grams))
+        has, doc = np.unique(doc, return_inverse=True)
+        step = max(1, (1 << 20) // max(1, len(names)))  # occurrences whose weight rows are held at once
         score = np.zeros((len(has), len(names)))
-        m = np.add.reduceat((known < len(grams)).astype(np.int64), start)
-        doc = np.repeat(np.arange(len(has)), size[has])
+        m = np.bincount(doc, known < len(grams), len(has)).astype(np.int64)
         for a in range(0, len(known), step):
             d = doc[a:a + step]
             first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
@@ -141,9 +164,14 @@ def _detect_in_row(df: DataFrame, profile: LanguageProfile, text_col: str, out_c
         best = key.argmax(axis=1)  # names are sorted: the smaller code wins ties
         ok = m > 0
         out[has[ok]] = names[best[ok]]
-        return pa.array(out, pa.string())
+        return out
+
+    @F.arrow_udf("string")
+    def detected(column: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.empty(0, object), *map(best_of, _slices(column))]), pa.string())
 
-    return df.withColumn(out_col, detected(F.transform(gram_array(F.col(text_col)), lambda g: F.xxhash64(g))))
+    # a filter on the language must not score the texts once more below itself
+    return df.withColumn(out_col, detected.asNondeterministic()(gram_text(F.col(text_col))))
 
 
 def _detect_by_join(df: DataFrame, profile: LanguageProfile, text_col: str, out_col: str) -> DataFrame:

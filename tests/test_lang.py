@@ -82,3 +82,26 @@ def test_profile_needs_labels(spark):
     empty = spark.createDataFrame([("some text here", None)], "text string, lang string")
     with pytest.raises(ValueError):
         L.fit_language_profile(empty)
+
+
+def test_gram_keys_are_the_grams_of_the_pattern(spark):
+    """Windows cut from the text in Python are the grams that Spark's pattern finds; a batch is taken apart by bytes."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    texts = ["Guten Tag, \u00c4rger!", None, "", "a", "x1y https://ex.org/abc \u4e2d\u6587 \u00e9t\u00e9", "12 34"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", L.gram_text(F.col("t")).alias("t"), F.transform(L.gram_array(F.col("t")), L._gram_key).alias("k")).orderBy("i").collect()
+    key, doc = L.gram_keys(pa.array([r.t for r in rows], pa.string()))
+    for r in rows:
+        assert key[doc == r.i].tolist() == (r.k or [])
+    sizes = [len(s) for s in L._slices(pa.array(["x" * (L.SLICE_BYTES // 4)] * 10 + [None, ""]))]
+    assert sum(sizes) == 12 and max(sizes) <= 6 and len(sizes) > 1
+
+
+def test_filter_on_language_scores_texts_once(spark, tmp_path):
+    from tessel.plans import q_lang
+    docs = [(i, "der die das und " * 9 if i % 2 else "the and of to in " * 9, "de" if i % 2 else "en", "web") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (q_lang.language_counts_detected, q_lang.reject_counts_detected):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
