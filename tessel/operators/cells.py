@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .vectors import MAX_QUERY_CELLS, _blocks_for, _final_topk, _graph_blocks, _matrix, _sq_dists, _TopK, block_rows_for, knn, knn_blocks
+from .vectors import MAX_QUERY_CELLS, _blocks_for, _final_topk, _graph_blocks, _matrix, _sq_dists, _TopK, block_cosines, block_rows_for, cosine_block_rows, cosine_matrix, knn, knn_blocks
 
 MAX_PIVOTS = 2048
 SAMPLE_CELLS = 4_000_000   # numbers (rows x dims) of the sample that pivots come from, 32 MB
 CELL_ROWS = 512            # points wanted in a cell while there are pivots left
 BLOCK_ROWS = 4096          # points of a cell that a task compares at once
 QUERY_ROWS = 16_384        # queries sent to one block at once
+FILE_ROWS = 65_536         # points of a cell in one file of a stored index
 LLOYD_STEPS = 4
 COPIES = 64                # copies of a point up to which cells are taken in any case
 SLACK = 1e-9
@@ -45,6 +46,13 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(_sq_dists(a, b))
 
 
+def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row's nearest pivot (the first of equally near ones) and the distance to it."""
+    top = _TopK(np.arange(len(x)), 1, True)
+    top.add(x, np.arange(len(pivots), dtype=np.int32), pivots)
+    return top.bi[:, 0], np.sqrt(top.bd[:, 0])
+
+
 def choose_pivots(points: DataFrame, n: int, dim: int, id_col: str, vec_col: str, cell_rows: int = CELL_ROWS,
                   max_pivots: int = MAX_PIVOTS) -> np.ndarray:
     """Centres of a bounded hash-ordered sample after a few Lloyd steps; at most ``max_pivots``."""
@@ -55,7 +63,7 @@ def choose_pivots(points: DataFrame, n: int, dim: int, id_col: str, vec_col: str
     x = _matrix(r[0] for r in got)
     c = np.unique(x[:m], axis=0)
     for _ in range(LLOYD_STEPS):
-        near = distances(x, c).argmin(axis=1)
+        near = nearest(x, c)[0]
         size = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -103,9 +111,8 @@ def assign(points: DataFrame, pivots: np.ndarray, id_col: str = "uid", vec_col:
         for pdf in batches:
             for k in range(0, len(pdf), BLOCK_ROWS):
                 part = pdf.iloc[k:k + BLOCK_ROWS]
-                to = distances(_matrix(part[vec_col]), shared.value)
-                cell = to.argmin(axis=1)
-                yield part.assign(cell=cell.astype(np.int32), away=to[np.arange(len(part)), cell])
+                cell, away = nearest(_matrix(part[vec_col]), shared.value)
+                yield part.assign(cell=cell, away=away)
 
     rows = points.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col), *keep)
     return rows.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cell int, away double")
@@ -302,9 +309,15 @@ def append_index(points: DataFrame, path: str, id_col: str = "uid", vec_col: str
     Statistics are written first: a cell may then seem larger than it is, never smaller."""
     spark = points.sparkSession
     placed = checkpoint(assign(points.filter(is_finite(F.col(vec_col))), read_pivots(spark, path), id_col, vec_col))
-    (placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.min("away").alias("inner"))
-     .coalesce(1).write.mode("append").parquet(f"{path}/cells"))
-    deal = F.pmod(F.xxhash64(id_col), F.lit(64))
+    stats = checkpoint(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.min("away").alias("inner")))
+    stats.coalesce(1).write.mode("append").parquet(f"{path}/cells")
+    # a cell's folder gets a file per FILE_ROWS points: dealt by more than its size asks, a table becomes files of single points
+    files = stats.select("cell", F.ceil(F.col("n") / FILE_ROWS).cast("long").alias("_f")).filter("_f > 1")
+    many = dict(map(tuple, files.collect()))  # one row per large cell
+    deal = F.lit(0).cast("long")
+    if many:
+        count = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+        deal = F.pmod(F.xxhash64(id_col), F.coalesce(F.try_element_at(count, F.col("cell")), F.lit(1).cast("long")))
     (placed.select(F.col(id_col).alias("uid"), F.col(vec_col).alias("vec"), "cell").repartition("cell", deal)
      .write.mode("append").partitionBy("cell").parquet(f"{path}/points"))
 
@@ -362,13 +375,13 @@ def search_index(queries: DataFrame, path: str, k: int, include_self: bool = Tru
 def cosine_pairs(df: DataFrame, threshold: float, id_col: str = "uid", vec_col: str = "vec", cell_rows: int = CELL_ROWS,
                  max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """V3 with a positive threshold: the rows of ``vectors.cosine_matrix(df, threshold)``. Unit vectors go to cells; each cell has a mean
-    direction and an angular radius, and cells whose best possible cosine is under the threshold never meet."""
+    direction and an angular radius, and cells whose best possible cosine is under the threshold never meet.
+    If that makes more copies of rows than the block plan of ``vectors.cosine_matrix``, the block plan is taken."""
     return _cosine(df, threshold, id_col, vec_col, cell_rows, max_pivots)[0]
 
 
 def _cosine(df, threshold, id_col="uid", vec_col="vec", cell_rows=CELL_ROWS, max_pivots=MAX_PIVOTS) -> tuple[DataFrame, int, int]:
     """The pairs, the number of block pairs that meet, and of all block pairs."""
-    from .vectors import block_cosines
     if not threshold > 0:
         raise ValueError("cosine_pairs needs a threshold above 0; vectors.cosine_matrix takes any")
     rows = df.select(F.col(id_col).alias("k"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -397,6 +410,11 @@ def _cosine(df, threshold, id_col="uid", vec_col="vec", cell_rows=CELL_ROWS, max
     rows_each = min(block_rows_for(st["d"]), BLOCK_ROWS)
     blocks = np.maximum(1, -(-cells.count // rows_each))
     base = np.append(0, np.cumsum(blocks))
+    total, copies = int(blocks.sum()), int((cells.count * ((meet * blocks).sum(axis=1) + (meet * blocks[:, None]).sum(axis=0))).sum())
+    plain = cells.count.sum() * (_blocks_for(st["n"], cosine_block_rows(st["d"])) + 1)
+    if copies > max(plain, COPIES * int(cells.count.sum())):
+        # bounds rule out too little: the block plan moves fewer copies and compares all
+        return cosine_matrix(placed.select("k", "v"), threshold, "k", "v"), total * (total + 1) // 2, total * (total + 1) // 2
     partners = [[int(b) for c in np.flatnonzero(meet[a]) for b in range(base[c], base[c + 1])] for a in range(len(pivots))]
     back = [[int(b) for c in np.flatnonzero(meet[:, a]) for b in range(base[c], base[c + 1])] for a in range(len(pivots))]
     shared = df.sparkSession.sparkContext.broadcast((partners, back))
@@ -417,5 +435,4 @@ def _cosine(df, threshold, id_col="uid", vec_col="vec", cell_rows=CELL_ROWS, max
     right = placed.select(F.col("k").alias("rid"), F.col("v").alias("rv"), F.col("_b").alias("bj"), F.explode(left_of("cell", "_b")).alias("bi"))
     met = sum(int(meet[a, c]) * (int(blocks[a]) * int(blocks[c]) if a != c else int(blocks[a]) * (int(blocks[a]) + 1) // 2)
               for a in range(len(pivots)) for c in range(a, len(pivots)))
-    total = int(blocks.sum())
     return block_cosines(left, right, threshold, kind), met, total * (total + 1) // 2

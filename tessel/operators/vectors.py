@@ -360,6 +360,11 @@ def graph_for_k(graph: DataFrame, k: int) -> DataFrame:
     return graph.filter(F.col("rank") < k)
 
 
+def cosine_block_rows(dim: int) -> int:
+    """Rows per block of ``cosine_matrix``."""
+    return min(block_rows_for(dim), int(math.isqrt(MAX_TASK_PAIRS)))
+
+
 def cosine_matrix(df: DataFrame, threshold: float | None = None, id_col: str = "uid",
                   vec_col: str = "vec", block_rows: int | None = None) -> DataFrame:
     """V3: pairwise cosine similarity ``i <= j`` (diagonal included), unrounded;
@@ -369,8 +374,7 @@ def cosine_matrix(df: DataFrame, threshold: float | None = None, id_col: str = "
     st = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     # a task returns its pairs as one frame: blocks also small enough that even
     # a full block pair (no threshold) stays within MAX_TASK_PAIRS
-    rows = block_rows or min(block_rows_for(st["d"] or 1), int(math.isqrt(MAX_TASK_PAIRS)))
-    b = _blocks_for(st["n"], rows)
+    b = _blocks_for(st["n"], block_rows or cosine_block_rows(st["d"] or 1))
     id_type = df.schema[id_col].dataType.simpleString()
     base = _with_block(df.select(F.col(id_col).alias("k"), F.col(vec_col).alias("v")), "k", b)
     # block pair (bi, bj) with bi <= bj: left rows of bi, right rows of bj

@@ -138,3 +138,35 @@ def test_bounds_hold_for_every_point():
     for k in (1, 7, 200):
         assert (np.sort(d, axis=1)[:, k - 1] <= c.upper(tq, k)).all()
     assert np.isinf(c.upper(tq, 201)).all()
+
+
+def test_cosine_pairs_take_the_block_plan_where_bounds_rule_out_little(spark, monkeypatch):
+    """Directions without clusters: every cell may meet every other, and rows are not copied once per cell."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(120)] + [(120, [0.0] * 8)], "uid long, vec array<double>")
+    want = {(r.i, r.j): round(r.sim, 9) for r in vectors.cosine_matrix(df, 0.5).collect()}
+    taken = []
+    monkeypatch.setattr(cells, "COPIES", 1)
+    monkeypatch.setattr(cells, "cosine_matrix", lambda *a: taken.append(1) or vectors.cosine_matrix(*a))
+    got = cells.cosine_pairs(df, 0.5, cell_rows=4, max_pivots=40)
+    assert {(r.i, r.j): round(r.sim, 9) for r in got.collect()} == want and taken
+
+
+def test_index_writes_a_file_per_cell_not_per_point(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(400)], "uid long, vec array<double>")
+    path = str(tmp_path / "index")
+    cells.build_index(df, path, cell_rows=100)
+    files = list((tmp_path / "index" / "points").glob("cell=*/*.parquet"))
+    assert len(files) == len(list((tmp_path / "index" / "points").glob("cell=*"))) <= 4
+
+
+def test_index_deals_a_large_cell_over_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "FILE_ROWS", 50)
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "uid long, vec array<double>")
+    path = str(tmp_path / "index")
+    cells.build_index(df, path)
+    assert spark.read.parquet(f"{path}/points").count() == 300
+    assert len(list((tmp_path / "index" / "points").glob("cell=0/*.parquet"))) <= 6
+    got = cells.search_index(df.filter("uid = 7"), path, 3).orderBy("rank").collect()
+    assert [(r.uid, r.dist) for r in got] == [(0, 0.0), (1, 0.0), (2, 0.0)]
