@@ -2,92 +2,148 @@
 
 Edges are made symmetric, ``N = D^-1/2 W D^-1/2``, and the map is the second and third eigenvector of ``N``
 (the first is ``D^1/2 1``, known beforehand and projected out; each component of a graph in several pieces counts
-with an eigenvector of its own). The edges are shuffled once, by the node they leave, and kept in that
-partitioning; a step joins the nodes' vectors to them and adds up by the node they enter. Every node carries a block
-of ``BLOCK`` numbers. Between two orthogonalisations the block is multiplied by a Chebyshev polynomial of
+with an eigenvector of its own). Nodes are dealt by hash into blocks of about ``BLOCK_ROWS``, a block's numbers lie in one
+matrix of ``BLOCK`` columns, and its edges are packed once. A step is one shuffle of a row per pair of blocks: a block adds up
+what its edges carry to each other block, the other adds up what arrives and goes on to the next step in the same task.
+Between two orthogonalisations the block is multiplied by a Chebyshev polynomial of
 ``N`` that is small on the part of the spectrum below the block's smallest Ritz value, which takes a fraction of
-the steps that powers of ``N`` would. Only ``BLOCK`` x ``BLOCK`` sums reach the driver.
+the steps that powers of ``N`` would. Only ``BLOCK`` x ``BLOCK`` sums reach the driver, all of a round in one job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-BLOCK = 16      # vectors iterated for the two that are wanted
-DEGREE = 10     # steps between two orthogonalisations
-ROUNDS = 30     # orthogonalisations at most
+BLOCK = 16        # vectors iterated for the two that are wanted
+BLOCK_ROWS = 4096  # nodes of a block, about
+DEGREE = 10       # steps between two orthogonalisations
+ROUNDS = 30       # orthogonalisations at most
 TOLERANCE = 1e-4
 
+_EDGES = ("to_block", "to_at", "begin", "at")  # of the edges of a block: where they end, which of them end there, where they leave
+_OWN = ("root", *_EDGES, "x", "before")
+_SENT = "block int, sender int, ends binary, v binary, " + ", ".join(f"{c} binary" for c in _OWN)
+_STATE = "block int, root binary, x binary, v binary"
+
 
 def adjacency(graph: DataFrame, k: int) -> DataFrame:
-    """``src, dst, w``: an edge wherever one node is among the ``k`` nearest of the other, weight
-    ``1 / sqrt(deg(src) deg(dst))``. An edge found from both sides counts once. A loop without weight stands for each node."""
+    """``src, dst``: an edge wherever one node is among the ``k`` nearest of the other, in both directions.
+    An edge found from both sides counts once."""
     e = graph.filter(F.col("rank") < k).select(F.col("q_uid").alias("src"), F.col("uid").alias("dst")).filter("src <> dst")
-    both = checkpoint(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    degree = checkpoint(both.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("deg")))
-    to = degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg_to"))
-    weighted = (both.join(degree, "src").join(to, "dst")
-                .select("src", "dst", (1 / F.sqrt(F.col("deg") * F.col("deg_to"))).alias("w"), "deg"))
-    loops = degree.select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("w"), "deg")
-    return checkpoint(weighted.unionByName(loops).repartition("src"))
-
-
-def _step(edges: DataFrame, state: DataFrame) -> DataFrame:
-    """``uid, root, x, before, v`` with ``v`` = N times ``x``. The state is read once (its own values come along
-    on the loop of each node), so a chain of steps stays a chain of plans."""
-    sent = edges.join(state.withColumnRenamed("uid", "src"), "src")
-    own = F.expr("first(case when w is null then struct(root, x, before) end, true)").alias("own")
-    sums = [F.expr(f"sum(w * x[{i}])").alias(f"s{i}") for i in range(BLOCK)]
-    return (sent.groupBy(F.col("dst").alias("uid")).agg(own, *sums)
-            .selectExpr("uid", "own.root", "own.x", "own.before", f"array({', '.join(f's{i}' for i in range(BLOCK))}) as v"))
-
-
-def _gram(state: DataFrame, left: str, right: str, extra: str | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """``left' right`` over all nodes, and ``extra' right`` for a scalar column."""
+    return checkpoint(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+
+
+def _numbered(degree: DataFrame, blocks: int) -> DataFrame:
+    """``uid, deg, block, at``: the hash of the id deals nodes, so that nodes with very many edges lie apart."""
+    of = degree.withColumn("block", F.pmod(F.xxhash64(F.col("uid").cast("string")), F.lit(blocks)).cast("int"))
+    return checkpoint(of.withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("uid")) - 1))
+
+
+def _packed_edges(rows: pd.DataFrame) -> pd.DataFrame:
+    """The edges that leave a block, in order of their ends."""
+    rows = rows.sort_values(["to_block", "to_at", "at"])
+    to_block, to_at = (rows[c].to_numpy(np.int32) for c in ("to_block", "to_at"))
+    new = np.flatnonzero((np.diff(to_block, prepend=-1) != 0) | (np.diff(to_at, prepend=-1) != 0))
+    return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "to_block": [to_block[new].tobytes()], "to_at": [to_at[new].tobytes()],
+                         "begin": [np.append(new, len(rows)).tobytes()], "at": [rows["at"].to_numpy(np.int32).tobytes()]})
+
+
+def _packed_nodes(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("at")
+    return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "root": [np.sqrt(rows["deg"].to_numpy(float)).tobytes()],
+                         "x": [np.array([np.asarray(v) for v in rows["x"]]).tobytes()], "v": [b""]})
+
+
+def _matrix(data: bytes) -> np.ndarray:
+    return np.frombuffer(data).reshape(-1, BLOCK)
+
+
+def _send(own: dict, x: np.ndarray, before: np.ndarray) -> pd.DataFrame:
+    """The block itself, and a row for each block its edges lead to: the ends, and the sums carried there."""
+    to_block, to_at, at = (np.frombuffer(own[c], np.int32) for c in ("to_block", "to_at", "at"))
+    begin, y = np.frombuffer(own["begin"], np.int64), x / np.frombuffer(own["root"])[:, None]
+    rows = [(own["block"], -1, None, None, *(own[c] for c in ("root", *_EDGES)), x.tobytes(), before.tobytes())]
+    cut = np.append(np.flatnonzero(np.diff(to_block, prepend=-1)), len(to_block))
+    for a, b in zip(cut[:-1], cut[1:]):
+        sums = np.add.reduceat(y[at[begin[a]:begin[b]]], begin[a:b] - begin[a], axis=0)
+        rows.append((int(to_block[a]), own["block"], to_at[a:b].tobytes(), sums.tobytes(), *[None] * len(_OWN)))
+    return pd.DataFrame(rows, columns=["block", "sender", "ends", "v", *_OWN])
+
+
+def _received(rows: pd.DataFrame) -> tuple[dict, np.ndarray, np.ndarray]:
+    """A block's own row, its ``x``, and ``N`` times ``x``; sums are added in order of the blocks they come from."""
+    rows = rows.sort_values("sender")
+    own = rows.iloc[0].to_dict()
+    x = _matrix(own["x"])
+    v = np.zeros(x.shape)
+    for ends, sums in zip(rows["ends"].iloc[1:], rows["v"].iloc[1:]):
+        v[np.frombuffer(ends, np.int32)] += _matrix(sums)
+    return own, x, v / np.frombuffer(own["root"])[:, None]
+
+
+def _first(along: np.ndarray, turn: np.ndarray, mid: float, half: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The kept block without ``root``, times ``turn``, and one step of the polynomial: its product with ``N`` is known."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows.iloc[0].to_dict()
+        less = np.outer(np.frombuffer(own["root"]), along)
+        x, v = ((_matrix(own[c]) - less) @ turn for c in ("x", "v"))
+        return _send(own, (v - mid * x) / half, x)
+    return run
+
+
+def _next(mid: float, half: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A later step: Chebyshev recurrence."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own, x, v = _received(rows)
+        return _send(own, 2 * ((v - mid * x) / half) - _matrix(own["before"]), x)
+    return run
+
+
+def _start(rows: pd.DataFrame) -> pd.DataFrame:
+    own = rows.iloc[0].to_dict()
+    x = _matrix(own["x"])
+    return _send(own, x, x)
+
+
+def _last(rows: pd.DataFrame) -> pd.DataFrame:
+    own, x, v = _received(rows)
+    return pd.DataFrame({"block": [own["block"]], "root": [own["root"]], "x": [own["x"]], "v": [v.tobytes()]})
+
+
+def _sums(state: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``x'x``, ``x'v``, ``v'v`` and ``root'x`` over all nodes."""
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, e = np.zeros((BLOCK, BLOCK)), np.zeros(BLOCK)
+        total = np.zeros(3 * BLOCK * BLOCK + BLOCK)
         for pdf in batches:
-            if len(pdf):
-                a, b = (np.array([np.asarray(v) for v in pdf[c]]) for c in ("l", "r"))
-                g += a.T @ b
-                e += pdf["e"].to_numpy() @ b
-        i, j = np.indices(g.shape)
-        yield pd.DataFrame({"i": np.append(i.ravel(), np.full(BLOCK, -1)), "j": np.append(j.ravel(), np.arange(BLOCK)), "s": np.append(g.ravel(), e)})
-
-    cols = [F.col(left).alias("l"), F.col(right).alias("r"), (F.col(extra) if extra else F.lit(0.0)).alias("e")]
-    got = state.select(*cols).mapInPandas(part, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
-    out = np.zeros((BLOCK, BLOCK))
-    inner = got[got["i"] >= 0]
-    out[inner["i"], inner["j"]] = inner["s"]
-    outer = got[got["i"] < 0].sort_values("j")["s"].to_numpy()
-    return out, outer if extra else None
-
-
-def _times(state: DataFrame, col: str, m: np.ndarray) -> DataFrame:
-    """``uid, root, x``: the rows' arrays times a small matrix."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(x=list(np.array([np.asarray(v) for v in pdf["x"]]) @ m))
+            for root, x, v in zip(pdf["root"], pdf["x"], pdf["v"]):
+                x, v = _matrix(x), _matrix(v)
+                total += np.concatenate([(x.T @ x).ravel(), (x.T @ v).ravel(), (v.T @ v).ravel(), np.frombuffer(root) @ x])
+        yield pd.DataFrame({"i": np.arange(len(total)), "s": total})
 
-    kind = state.schema["uid"].dataType.simpleString()
-    return state.select("uid", "root", F.col(col).alias("x")).mapInPandas(run, f"uid {kind}, root double, x array<double>")
+    got = state.select("root", "x", "v").mapInPandas(part, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
+    flat = got.sort_values("i")["s"].to_numpy()
+    return *flat[:-BLOCK].reshape(3, BLOCK, BLOCK), flat[-BLOCK:]
 
 
-def _centred(state: DataFrame, col: str, total: float) -> DataFrame:
-    """Without the known eigenvector ``root`` (square root of the degree, squared norm ``total``)."""
-    _, along = _gram(state, col, col, "root")
-    return state.withColumn(col, F.expr(f"array({', '.join(f'{col}[{i}] - root * {float(along[i] / total)!r}D' for i in range(BLOCK))})"))
+def _rows(state: DataFrame, along: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """``block, at, x, y``: the first two vectors of the block without ``root``, times ``turn``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, root, x in zip(pdf["block"], pdf["root"], pdf["x"]):
+                two = ((_matrix(x) - np.outer(np.frombuffer(root), along)) @ turn)[:, :2]
+                yield pd.DataFrame({"block": block, "at": np.arange(len(two)), "x": two[:, 0], "y": two[:, 1]})
 
+    return state.select("block", "root", "x").mapInPandas(run, "block int, at int, x double, y double")
 
-def spectral_map(graph: DataFrame, k: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+
+def spectral_map(graph: DataFrame, k: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``uid, x, y, value_x, value_y, residual`` for the nodes of a neighbour graph (``q_uid, rank, uid``) cut at ``k``.
 
     ``x`` and ``y`` have unit length over all nodes; of each, the entry of largest size (the smallest id among equals) is
@@ -95,35 +151,39 @@ def spectral_map(graph: DataFrame, k: int, rounds: int = ROUNDS, tolerance: floa
     the convergence figure: at most ``tolerance`` unless ``rounds`` ended first. Equal eigenvalues have any orthogonal vectors of their space.
     A graph of fewer than three nodes has no map (no rows). Any id type; graphs without an edge give no rows.
     """
-    edges = adjacency(graph, k)
-    nodes = edges.filter("w is null").select(F.col("src").alias("uid"), F.sqrt("deg").alias("root"))
-    start = F.array(*[F.pmod(F.xxhash64(F.lit(i), F.col("uid").cast("string")), F.lit(1 << 20)) / float(1 << 19) - 1.0 for i in range(BLOCK)])
-    state = checkpoint(nodes.withColumn("x", start))
-    st = state.agg(F.count(F.lit(1)), F.sum(F.col("root") * F.col("root"))).first()
-    kind = state.schema["uid"].dataType.simpleString()
-    if st[0] < 3:
+    both = adjacency(graph, k)
+    degree = both.groupBy(F.col("src").alias("uid")).agg(F.count(F.lit(1)).alias("deg"))
+    n, total = degree.agg(F.count(F.lit(1)), F.sum("deg").cast("double")).first()  # the squared norm of ``root``
+    kind = both.schema["src"].dataType.simpleString()
+    if n < 3:
         return graph.sparkSession.createDataFrame([], f"uid {kind}, x double, y double, value_x double, value_y double, residual double")
-    total, low = float(st[1]), 0.0
+    blocks = -(-n // block_rows)
+    nodes = _numbered(degree, blocks)
+    leave = nodes.select(F.col("uid").alias("src"), "block", "at")
+    enter = nodes.select(F.col("uid").alias("dst"), F.col("block").alias("to_block"), F.col("at").alias("to_at"))
+    edges = checkpoint(both.join(leave, "src").join(enter, "dst").select("block", "at", "to_block", "to_at").groupBy("block")
+                       .applyInPandas(_packed_edges, "block int, " + ", ".join(f"{c} binary" for c in _EDGES)))
+    start = F.array(*[F.pmod(F.xxhash64(F.lit(i), F.col("uid").cast("string")), F.lit(1 << 20)) / float(1 << 19) - 1.0 for i in range(BLOCK)])
+    state = nodes.withColumn("x", start).select("block", "at", "deg", "x").groupBy("block").applyInPandas(_packed_nodes, _STATE)
+    along, turn, low = np.zeros(BLOCK), np.eye(BLOCK), 0.0
     for step in range(rounds):
         # Chebyshev recurrence on [-1, low], which it damps
-        mid, half = (low - 1) / 2, (low + 1) / 2  # plain floats
-        state = state.select("uid", "root", "x", F.col("x").alias("before"))
-        for d in range(DEGREE if step else 0):
-            at = [f"(v[{i}] - {mid!r}D * x[{i}]) / {half!r}D" for i in range(BLOCK)]
-            now = at if d == 0 else [f"2D * {c} - before[{i}]" for i, c in enumerate(at)]
-            state = _step(edges, state).selectExpr("uid", "root", f"array({', '.join(now)}) as x", "x as before")
+        mid, half = (low - 1) / 2, (low + 1) / 2
+        sent = state.join(edges, "block").groupBy("block").applyInPandas(_first(along, turn, mid, half) if step else _start, _SENT)
+        for _ in range(DEGREE - 1 if step else 0):
+            sent = sent.repartition(blocks, "block").groupBy("block").applyInPandas(_next(mid, half), _SENT)
+        state = checkpoint(sent.repartition(blocks, "block").groupBy("block").applyInPandas(_last, _STATE))
+        gram, ritz, square, at_root = _sums(state)
+        # without the known eigenvector: N times it is itself, so one correction serves all three
+        along = at_root / total
+        gram, ritz, square = (m - total * np.outer(along, along) for m in (gram, ritz, square))
         # orthonormal block, Ritz values and vectors
-        state = checkpoint(_centred(checkpoint(state.select("uid", "root", "x")), "x", total))
-        gram, _ = _gram(state, "x", "x")
         size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
         e, u = np.linalg.eigh(gram / np.outer(size, size))
         keep = e > e.max() * 1e-12
         basis = np.zeros((BLOCK, BLOCK))
         basis[:, :keep.sum()] = (u[:, keep] / np.sqrt(e[keep])) / size[:, None]
-        state = checkpoint(_times(state, "x", basis))
-        both = checkpoint(_step(edges, state.withColumn("before", F.col("x"))))
-        ritz, _ = _gram(both, "x", "v")
-        square, _ = _gram(both, "v", "v")
+        ritz, square = basis.T @ ritz @ basis, basis.T @ square @ basis
         r = int(keep.sum())
         values, turn = np.linalg.eigh((ritz[:r, :r] + ritz[:r, :r].T) / 2)
         order = np.argsort(-values)
@@ -133,12 +193,13 @@ def spectral_map(graph: DataFrame, k: int, rounds: int = ROUNDS, tolerance: floa
         residual = float(np.sqrt(max(0.0, spread[:2].max()))) if r >= 2 else float("inf")
         low = min(float(values[-1]), float(values[min(2, r - 1)]) - 1e-9)
         low = max(low, -0.9)
-        state = checkpoint(_times(both, "x", turn))
+        turn = basis @ turn
         if residual <= tolerance or r < 2:
             break
+    found = checkpoint(_rows(state, along, turn).join(nodes, ["block", "at"]).select("uid", "x", "y"))
     # among equal sizes the smallest id decides
-    big = state.agg(*[F.max(F.round(F.abs(F.col("x")[i]), 9)).alias(f"m{i}") for i in (0, 1)]).first()
-    sign = [state.filter(F.round(F.abs(F.col("x")[i]), 9) == F.lit(big[i])).orderBy("uid").select(F.signum(F.col("x")[i])).first()[0] for i in (0, 1)]
+    big = found.agg(*[F.max(F.round(F.abs(c), 9)).alias(c) for c in ("x", "y")]).first()
+    sign = [found.filter(F.round(F.abs(c), 9) == F.lit(big[c])).orderBy("uid").select(F.signum(c)).first()[0] for c in ("x", "y")]
     second = float(values[1]) if r > 1 else float("nan")
-    return state.select("uid", (F.col("x")[0] * sign[0]).alias("x"), (F.col("x")[1] * sign[1]).alias("y"),
+    return found.select("uid", (F.col("x") * sign[0]).alias("x"), (F.col("y") * sign[1]).alias("y"),
                         F.lit(float(values[0])).alias("value_x"), F.lit(second).alias("value_y"), F.lit(residual).alias("residual"))

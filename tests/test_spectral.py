@@ -42,3 +42,25 @@ def test_map_of_a_graph_in_pieces_and_of_next_to_nothing(spark):
     assert abs((got["x"] * got["y"]).sum()) < 1e-8
     assert spectral.spectral_map(graph.limit(0), 3).count() == 0
     assert spectral.spectral_map(spark.createDataFrame([(1, 0, 2), (2, 0, 1)], "q_uid long, rank int, uid long"), 3).count() == 0
+
+
+def test_map_over_several_blocks_and_one_checkpoint_a_round(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(30, 3)) + c for c in ([0, 0, 0], [4, 0, 0], [0, 3, 0])])
+    df = spark.createDataFrame([(f"p{i:02d}", v.tolist()) for i, v in enumerate(x)], "uid string, vec array<double>")
+    graph = vectors.knn_graph(df, ks=(8,)).cache()
+    written, keep = [], spectral.checkpoint
+    monkeypatch.setattr(spectral, "checkpoint", lambda df: (written.append(df.columns), keep(df))[1])
+    cost = []
+    for rounds in (1, 3):
+        written.clear()
+        assert spectral.spectral_map(graph, 8, rounds=rounds, tolerance=0.0).count() == 90
+        cost.append(len(written))
+    assert cost[1] - cost[0] == 2  # each round writes its vectors once
+    ids, values, u = dense(graph, 8)
+    for rows in (7, 4096):
+        got = spectral.spectral_map(graph, 8, tolerance=1e-7, block_rows=rows).toPandas().sort_values("uid")
+        assert got["uid"].tolist() == ids
+        for col, value, j in (("x", "value_x", 1), ("y", "value_y", 2)):
+            v = u[:, j] * np.sign(u[np.argmax(np.round(abs(u[:, j]), 9)), j])
+            assert abs(got[col].to_numpy() - v).max() < 1e-5 and abs(got[value].iloc[0] - values[j]) < 1e-9
