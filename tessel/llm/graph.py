@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .store import stored
 
+FEW, FILE_ROWS = 16, 1 << 20  # a round is written in so few files, or in files of so many edges
+
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a``, ``b`` long): ``root`` is the
@@ -17,7 +19,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     cur = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                  .filter("u is not null and v is not null and u <> v").distinct(), name)
-    state = None
+    rows, state = cur.count(), None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -28,10 +30,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        cur = stored(small, name)
+        cur = stored(small.coalesce(max(FEW, rows // FILE_ROWS + 1)), name)  # a round never has more edges than the one before
         now = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             # a star forest: each node hangs on its root
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
+        rows, state = now[0], now

@@ -98,6 +98,11 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
     return r
 
 
+def signed_rank(fp: np.ndarray) -> np.ndarray:
+    """Gray ranks of fingerprints as signed longs in unsigned order."""
+    return (gray_rank(fp.view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 class GrayTree:
     """Hierarchy over groups in Gray order, given the AND and OR of each group's codes.
 
@@ -176,10 +181,9 @@ def links(codes: DataFrame, distance: int = DISTANCE, range_size: int = RANGE_SI
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column("fp").to_numpy()
-            # ranks as signed longs in unsigned order
-            rank = (gray_rank(fp.view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"fp": fp, "rank": rank})
+            yield pa.RecordBatch.from_pydict({"fp": fp, "rank": signed_rank(fp)})
 
+    # every step reads the codes themselves and ranks them anew: one Python step a task, not one worker for each of a chain
     ordered = codes.mapInArrow(ranked, "fp long, rank long")
     # counts of equal leading bits of the rank: cut points stand where the counts fill a range
     step = 64 - HISTOGRAM_BITS
@@ -190,14 +194,16 @@ def links(codes: DataFrame, distance: int = DISTANCE, range_size: int = RANGE_SI
     cut = np.flatnonzero(np.diff(total // size)) if len(total) else np.zeros(0, np.int64)
     edges = (filled["b"].to_numpy(np.int64)[cut] + 1) << step
 
+    def part_of(fp: np.ndarray) -> np.ndarray:
+        return np.searchsorted(edges, signed_rank(fp), "right").astype(np.int32)
+
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank = b.column("rank").to_numpy()
-            part = np.searchsorted(edges, rank, "right").astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"fp": b.column("fp"), "part": pa.array(part)})
+            fp = b.column("fp").to_numpy()
+            yield pa.RecordBatch.from_pydict({"fp": b.column("fp"), "part": pa.array(part_of(fp))})
 
-    parts = ordered.mapInArrow(numbered, "fp long, part int")
-    top = (parts.groupBy("part").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o"))
+    top = (codes.mapInArrow(numbered, "fp long, part int")
+           .groupBy("part").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o"))
            .orderBy("part").collect())  # one row per range
     if not top:
         return spark.createDataFrame([], "a long, b long")
@@ -209,7 +215,8 @@ def links(codes: DataFrame, distance: int = DISTANCE, range_size: int = RANGE_SI
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, tree = shipped.value
         for b in batches:
-            fp, own = b.column("fp").to_numpy(), b.column("part").to_numpy()
+            fp = b.column("fp").to_numpy()
+            own = part_of(fp)
             for i in range(0, len(fp), QUERY_BLOCK):
                 f, o = fp[i:i + QUERY_BLOCK], own[i:i + QUERY_BLOCK]
                 q, leaf, _ = tree.search(f.view(np.uint64), distance)
@@ -234,7 +241,7 @@ def links(codes: DataFrame, distance: int = DISTANCE, range_size: int = RANGE_SI
         linked = label != np.arange(len(codes))
         return pd.DataFrame({"a": codes[linked].view(np.int64), "b": codes[label[linked]].view(np.int64)})
 
-    return parts.mapInArrow(routed, "part int, fp long, member boolean").groupBy("part").applyInPandas(inside, "a long, b long")
+    return codes.mapInArrow(routed, "part int, fp long, member boolean").groupBy("part").applyInPandas(inside, "a long, b long")
 
 
 def _classes(docs: DataFrame, shingle: int, distance: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

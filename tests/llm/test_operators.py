@@ -607,3 +607,23 @@ def test_automaton_matching_statistics():
             for a, b in machine.covered(text, doc, 4):
                 got[a:b] = [True] * (b - a)
             assert got == keep
+
+
+def test_links_read_the_codes_with_one_python_step_a_task(spark):
+    codes = spark.createDataFrame([(i * 7919,) for i in range(200)], "fp long")
+    assert simhash.links(codes)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_rounds_of_components_are_written_in_few_files(spark, monkeypatch):
+    parts, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: (parts.append(df.rdd.getNumPartitions()), keep(df, name))[1])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = graph.components(spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a long, b long")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r["node"]: r["root"] for r in got} == {i: i // 20 * 20 for i in range(61) if i < 60}
+    assert len(parts) > 2 and max(parts[1:]) <= graph.FEW < parts[0]
