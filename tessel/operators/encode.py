@@ -134,10 +134,10 @@ def encode_pairs(df: DataFrame, vocab: DataFrame, key: list[str], a_col: str = "
                        _pad(F.array_repeat(F.lit(1), n), max_len).alias("mask"))
 
 
-def assign_batches(df: DataFrame, size: int, order_by: list[str], drop_last: bool = False) -> DataFrame:
+def assign_batches(df: DataFrame, size: int, order_by: list[str], drop_last: bool = False, partitions: int | None = None) -> DataFrame:
     """0-based ``batch`` = position // size in ``order_by`` order; the last
-    batch may be short, or is dropped with ``drop_last``."""
-    numbered = sampling.number_rows(df, order_by)
+    batch may be short, or is dropped with ``drop_last``. ``partitions``: of the numbering, where the optimizer can't tell the size."""
+    numbered = sampling.number_rows(df, order_by, partitions)
     out = numbered.withColumn("batch", F.floor(F.col("idx") / size).cast("long"))
     if drop_last:
         total = numbered.count()

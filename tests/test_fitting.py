@@ -71,3 +71,20 @@ def test_fit_without_rows_or_with_too_many_batches(spark, monkeypatch):
     monkeypatch.setattr(fitting, "MAX_BATCHES", 2)
     with pytest.raises(ValueError):
         fitting.fit_with_log(one, one, batch_size=3)
+
+
+def test_rows_are_dealt_by_their_number_and_batches_are_packed(spark, monkeypatch):
+    """Joined rows: the optimizer takes them for very many."""
+    from tessel.operators import sampling
+    train, valid = data(300, 1), data(30, 2)
+    ids = spark.createDataFrame([(r[0],) for r in train], "pair_id long")
+    frame = sampling.checkpoint(spark.createDataFrame(train, SCHEMA).join(ids, "pair_id"))
+    laid, keep = [], sampling.checkpoint
+    monkeypatch.setattr(sampling, "checkpoint", lambda df: (laid.append(keep(df)), laid[-1])[1])
+    read, sums = [], fitting._sums
+    monkeypatch.setattr(fitting, "_sums", lambda df, w, g: (read.append(df.count()), sums(df, w, g))[1])
+    got = fitting.fit_with_log(frame, spark.createDataFrame(valid, SCHEMA), batch_size=75, epochs=1, eval_steps=1)
+    assert laid[0].rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(read) == 8 and sum(read) < 300  # matrices, not rows
+    best, log, stopped = loop(train, valid, 75, 1, 1, 3, 1.0, 123)
+    assert np.allclose([x for _, x in got.rows], [x for _, x in log], atol=1e-9) and np.allclose(got.weights, best[1], atol=1e-9)
