@@ -2,12 +2,14 @@
 
 Edges are made symmetric, ``N = D^-1/2 W D^-1/2``, and the map is the second and third eigenvector of ``N``
 (the first is ``D^1/2 1``, known beforehand and projected out; each component of a graph in several pieces counts
-with an eigenvector of its own). Nodes are dealt by hash into blocks of about ``BLOCK_ROWS``, a block's numbers lie in one
-matrix of ``BLOCK`` columns, and its edges are packed once. A step is one shuffle of a row per pair of blocks: a block adds up
-what its edges carry to each other block, the other adds up what arrives and goes on to the next step in the same task.
+with an eigenvector of its own). Nodes are dealt by hash into blocks of at most about ``BLOCK_ROWS``, a block's numbers lie in one
+matrix of ``BLOCK`` columns, and the edges that end in a block are packed once. A step is one job of a task a block, without a
+shuffle: the task reads the matrices of all blocks one after the other, adds up what the edges bring from each and writes its own for the next
+step. The matrices are files in the shared folder, and those of earlier steps are deleted: what a map has on disk is its edges and a few vectors,
+however many steps it takes.
 Between two orthogonalisations the block is multiplied by a Chebyshev polynomial of
 ``N`` that is small on the part of the spectrum below the block's smallest Ritz value, which takes a fraction of
-the steps that powers of ``N`` would. Only ``BLOCK`` x ``BLOCK`` sums reach the driver, all of a round in one job.
+the steps that powers of ``N`` would. Only ``BLOCK`` x ``BLOCK`` sums of each block reach the driver.
 """
 
 from __future__ import annotations
@@ -19,18 +21,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, shared_path
+from .blockfiles import Folder
 
 BLOCK = 16        # vectors iterated for the two that are wanted
-BLOCK_ROWS = 4096  # nodes of a block, about
+BLOCK_ROWS = 1 << 16  # nodes of a block, about
+SPREAD_BLOCKS = 16    # blocks a graph is spread over, where they get at least so many nodes
+SPREAD_ROWS = 4096
 DEGREE = 10       # steps between two orthogonalisations
 ROUNDS = 30       # orthogonalisations at most
 TOLERANCE = 1e-4
-
-_EDGES = ("to_block", "to_at", "begin", "at")  # of the edges of a block: where they end, which of them end there, where they leave
-_OWN = ("root", *_EDGES, "x", "before")
-_SENT = "block int, sender int, ends binary, v binary, " + ", ".join(f"{c} binary" for c in _OWN)
-_STATE = "block int, root binary, x binary, v binary"
+EDGES_AT_ONCE = 1 << 17  # edges whose rows are gathered at a time, about
 
 
 def adjacency(graph: DataFrame, k: int) -> DataFrame:
@@ -46,101 +47,110 @@ def _numbered(degree: DataFrame, blocks: int) -> DataFrame:
     return checkpoint(of.withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("uid")) - 1))
 
 
-def _packed_edges(rows: pd.DataFrame) -> pd.DataFrame:
-    """The edges that leave a block, in order of their ends."""
-    rows = rows.sort_values(["to_block", "to_at", "at"])
-    to_block, to_at = (rows[c].to_numpy(np.int32) for c in ("to_block", "to_at"))
-    new = np.flatnonzero((np.diff(to_block, prepend=-1) != 0) | (np.diff(to_at, prepend=-1) != 0))
-    return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "to_block": [to_block[new].tobytes()], "to_at": [to_at[new].tobytes()],
-                         "begin": [np.append(new, len(rows)).tobytes()], "at": [rows["at"].to_numpy(np.int32).tobytes()]})
+def _pack_edges(at: Folder) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The edges that end in a block, in order of the blocks they leave and of their ends: for each such block its number, how many
+    nodes they end in and how many they are; then these nodes, the edges of each, and where they leave."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        block = int(rows["to_block"].iloc[0])
+        source, to_at, leave = (rows[c].to_numpy(np.int32) for c in ("block", "to_at", "at"))
+        order = np.lexsort((leave, to_at, source))
+        source, to_at, leave = source[order], to_at[order], leave[order]
+        cut = np.append(np.flatnonzero(np.diff(source, prepend=-1)), len(source))
+        head, parts = [], []
+        for a, b in zip(cut[:-1], cut[1:]):
+            new = np.flatnonzero(np.diff(to_at[a:b], prepend=-1))
+            head += [source[a], len(new), b - a]
+            parts += [to_at[a:b][new], np.diff(np.append(new, b - a)).astype(np.int32), leave[a:b]]
+        at.write(f"edges-{block}", np.array([len(cut) - 1, *head], np.int64), *parts)
+        return pd.DataFrame({"block": [block]})
+    return run
 
 
-def _packed_nodes(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("at")
-    return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "root": [np.sqrt(rows["deg"].to_numpy(float)).tobytes()],
-                         "x": [np.array([np.asarray(v) for v in rows["x"]]).tobytes()], "v": [b""]})
+def _pack_nodes(at: Folder) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, block = rows.sort_values("at"), int(rows["block"].iloc[0])
+        at.write(f"root-{block}", np.sqrt(rows["deg"].to_numpy(float)))
+        at.write(f"x0-{block}", np.array([np.asarray(v) for v in rows["x"]]))
+        return pd.DataFrame({"block": [block]})
+    return run
 
 
-def _matrix(data: bytes) -> np.ndarray:
-    return np.frombuffer(data).reshape(-1, BLOCK)
+def _root(at: Folder, block: int) -> np.ndarray:
+    return np.frombuffer(at.read(f"root-{block}"))
 
 
-def _send(own: dict, x: np.ndarray, before: np.ndarray) -> pd.DataFrame:
-    """The block itself, and a row for each block its edges lead to: the ends, and the sums carried there."""
-    to_block, to_at, at = (np.frombuffer(own[c], np.int32) for c in ("to_block", "to_at", "at"))
-    begin, y = np.frombuffer(own["begin"], np.int64), x / np.frombuffer(own["root"])[:, None]
-    rows = [(own["block"], -1, None, None, *(own[c] for c in ("root", *_EDGES)), x.tobytes(), before.tobytes())]
-    cut = np.append(np.flatnonzero(np.diff(to_block, prepend=-1)), len(to_block))
-    for a, b in zip(cut[:-1], cut[1:]):
-        sums = np.add.reduceat(y[at[begin[a]:begin[b]]], begin[a:b] - begin[a], axis=0)
-        rows.append((int(to_block[a]), own["block"], to_at[a:b].tobytes(), sums.tobytes(), *[None] * len(_OWN)))
-    return pd.DataFrame(rows, columns=["block", "sender", "ends", "v", *_OWN])
+def _matrix(at: Folder, name: str, block: int) -> np.ndarray:
+    return np.frombuffer(at.read(f"{name}-{block}")).reshape(-1, BLOCK)
 
 
-def _received(rows: pd.DataFrame) -> tuple[dict, np.ndarray, np.ndarray]:
-    """A block's own row, its ``x``, and ``N`` times ``x``; sums are added in order of the blocks they come from."""
-    rows = rows.sort_values("sender")
-    own = rows.iloc[0].to_dict()
-    x = _matrix(own["x"])
-    v = np.zeros(x.shape)
-    for ends, sums in zip(rows["ends"].iloc[1:], rows["v"].iloc[1:]):
-        v[np.frombuffer(ends, np.int32)] += _matrix(sums)
-    return own, x, v / np.frombuffer(own["root"])[:, None]
+def _product(at: Folder, name: str, block: int) -> np.ndarray:
+    """``N`` times the matrix ``name``, the rows of a block; sums are added in order of the blocks they come from."""
+    packed, root = at.read(f"edges-{block}"), _root(at, block)
+    v = np.zeros((len(root), BLOCK))
+    n = int(np.frombuffer(packed, np.int64, 1)[0])
+    head = np.frombuffer(packed, np.int64, 3 * n, 8).reshape(n, 3)
+    here = 8 + 24 * n
+    for source, n_ends, n_edges in head.tolist():
+        ends, size, leave = (np.frombuffer(packed, np.int32, many, here + 4 * before) for many, before in ((n_ends, 0), (n_ends, n_ends), (n_edges, 2 * n_ends)))
+        here += 4 * (2 * n_ends + n_edges)
+        y = _matrix(at, name, source) / _root(at, source)[:, None]
+        begin = np.append(0, np.cumsum(size, dtype=np.int64))
+        i = 0
+        while i < n_ends:  # whole ends, so that a node's sum from a block is one sum
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + EDGES_AT_ONCE, "right")) - 1)
+            v[ends[i:j]] += np.add.reduceat(y[leave[begin[i]:begin[j]]], begin[i:j] - begin[i], axis=0)
+            i = j
+    return v / root[:, None]
 
 
-def _first(along: np.ndarray, turn: np.ndarray, mid: float, half: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _turned(at: Folder, step: int, along: np.ndarray, turn: np.ndarray, mid: float, half: float) -> Callable[[int], bytes]:
     """The kept block without ``root``, times ``turn``, and one step of the polynomial: its product with ``N`` is known."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.iloc[0].to_dict()
-        less = np.outer(np.frombuffer(own["root"]), along)
-        x, v = ((_matrix(own[c]) - less) @ turn for c in ("x", "v"))
-        return _send(own, (v - mid * x) / half, x)
+    def run(block: int) -> bytes:
+        less = np.outer(_root(at, block), along)
+        x, v = ((_matrix(at, name, block) - less) @ turn for name in (f"x{step}", f"v{step}"))
+        at.write(f"x{step + 1}-{block}", x)
+        at.write(f"x{step + 2}-{block}", (v - mid * x) / half)
+        return b""
     return run
 
 
-def _next(mid: float, half: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _next(at: Folder, step: int, mid: float, half: float) -> Callable[[int], bytes]:
     """A later step: Chebyshev recurrence."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own, x, v = _received(rows)
-        return _send(own, 2 * ((v - mid * x) / half) - _matrix(own["before"]), x)
+    def run(block: int) -> bytes:
+        v = _product(at, f"x{step}", block)
+        at.write(f"x{step + 1}-{block}", 2 * ((v - mid * _matrix(at, f"x{step}", block)) / half) - _matrix(at, f"x{step - 1}", block))
+        return b""
     return run
 
 
-def _start(rows: pd.DataFrame) -> pd.DataFrame:
-    own = rows.iloc[0].to_dict()
-    x = _matrix(own["x"])
-    return _send(own, x, x)
-
-
-def _last(rows: pd.DataFrame) -> pd.DataFrame:
-    own, x, v = _received(rows)
-    return pd.DataFrame({"block": [own["block"]], "root": [own["root"]], "x": [own["x"]], "v": [v.tobytes()]})
+def _last(at: Folder, step: int) -> Callable[[int], bytes]:
+    """``N`` times the block is kept beside it; ``x'x``, ``x'v``, ``v'v`` and ``root'x`` of its nodes."""
+    def run(block: int) -> bytes:
+        x, v = _matrix(at, f"x{step}", block), _product(at, f"x{step}", block)
+        at.write(f"v{step}-{block}", v)
+        return np.concatenate([(x.T @ x).ravel(), (x.T @ v).ravel(), (v.T @ v).ravel(), _root(at, block) @ x]).tobytes()
+    return run
 
 
-def _sums(state: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``x'x``, ``x'v``, ``v'v`` and ``root'x`` over all nodes."""
+def _each(blocks: DataFrame, run: Callable[[int], bytes]) -> DataFrame:
+    """``block, sums``: what ``run`` gives for each block."""
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(3 * BLOCK * BLOCK + BLOCK)
         for pdf in batches:
-            for root, x, v in zip(pdf["root"], pdf["x"], pdf["v"]):
-                x, v = _matrix(x), _matrix(v)
-                total += np.concatenate([(x.T @ x).ravel(), (x.T @ v).ravel(), (v.T @ v).ravel(), np.frombuffer(root) @ x])
-        yield pd.DataFrame({"i": np.arange(len(total)), "s": total})
+            for block in pdf["block"].tolist():
+                yield pd.DataFrame({"block": [block], "sums": [run(block)]})
 
-    got = state.select("root", "x", "v").mapInPandas(part, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
-    flat = got.sort_values("i")["s"].to_numpy()
-    return *flat[:-BLOCK].reshape(3, BLOCK, BLOCK), flat[-BLOCK:]
+    return blocks.mapInPandas(part, "block int, sums binary")
 
 
-def _rows(state: DataFrame, along: np.ndarray, turn: np.ndarray) -> DataFrame:
+def _rows(blocks: DataFrame, at: Folder, step: int, along: np.ndarray, turn: np.ndarray) -> DataFrame:
     """``block, at, x, y``: the first two vectors of the block without ``root``, times ``turn``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for block, root, x in zip(pdf["block"], pdf["root"], pdf["x"]):
-                two = ((_matrix(x) - np.outer(np.frombuffer(root), along)) @ turn)[:, :2]
+            for block in pdf["block"].tolist():
+                two = ((_matrix(at, f"x{step}", block) - np.outer(_root(at, block), along)) @ turn)[:, :2]
                 yield pd.DataFrame({"block": block, "at": np.arange(len(two)), "x": two[:, 0], "y": two[:, 1]})
 
-    return state.select("block", "root", "x").mapInPandas(run, "block int, at int, x double, y double")
+    return blocks.mapInPandas(run, "block int, at int, x double, y double")
 
 
 def spectral_map(graph: DataFrame, k: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -157,23 +167,44 @@ def spectral_map(graph: DataFrame, k: int, rounds: int = ROUNDS, tolerance: floa
     kind = both.schema["src"].dataType.simpleString()
     if n < 3:
         return graph.sparkSession.createDataFrame([], f"uid {kind}, x double, y double, value_x double, value_y double, residual double")
-    blocks = -(-n // block_rows)
-    nodes = _numbered(degree, blocks)
+    blocks = max(-(-n // block_rows), min(SPREAD_BLOCKS, -(-n // SPREAD_ROWS)))
+    at = Folder(shared_path(graph.sparkSession, "map")).create()
+    try:
+        return _iterated(at, both, _numbered(degree, blocks), blocks, total, rounds, tolerance)
+    finally:
+        at.delete()
+
+
+def _iterated(at: Folder, both: DataFrame, nodes: DataFrame, blocks: int, total: float, rounds: int, tolerance: float) -> DataFrame:
     leave = nodes.select(F.col("uid").alias("src"), "block", "at")
     enter = nodes.select(F.col("uid").alias("dst"), F.col("block").alias("to_block"), F.col("at").alias("to_at"))
-    edges = checkpoint(both.join(leave, "src").join(enter, "dst").select("block", "at", "to_block", "to_at").groupBy("block")
-                       .applyInPandas(_packed_edges, "block int, " + ", ".join(f"{c} binary" for c in _EDGES)))
+    both.join(leave, "src").join(enter, "dst").select("block", "at", "to_block", "to_at").groupBy("to_block") \
+        .applyInPandas(_pack_edges(at), "block int").collect()
     start = F.array(*[F.pmod(F.xxhash64(F.lit(i), F.col("uid").cast("string")), F.lit(1 << 20)) / float(1 << 19) - 1.0 for i in range(BLOCK)])
-    state = nodes.withColumn("x", start).select("block", "at", "deg", "x").groupBy("block").applyInPandas(_packed_nodes, _STATE)
-    along, turn, low = np.zeros(BLOCK), np.eye(BLOCK), 0.0
+    nodes.withColumn("x", start).select("block", "at", "deg", "x").groupBy("block").applyInPandas(_pack_nodes(at), "block int").collect()
+    every = nodes.sparkSession.range(0, blocks, 1, blocks).select(F.col("id").cast("int").alias("block"))
+    full = [r["block"] for r in nodes.select("block").distinct().collect()]  # a block may have got no node
+    every = every.filter(F.col("block").isin(full)) if len(full) < blocks else every
+
+    def over(step: int, *kinds: str) -> None:
+        at.delete([f"{kind}{step}-{b}" for kind in kinds for b in full])
+
+    along, turn, low, now = np.zeros(BLOCK), np.eye(BLOCK), 0.0, 0
     for step in range(rounds):
         # Chebyshev recurrence on [-1, low], which it damps
         mid, half = (low - 1) / 2, (low + 1) / 2
-        sent = state.join(edges, "block").groupBy("block").applyInPandas(_first(along, turn, mid, half) if step else _start, _SENT)
+        if step:
+            _each(every, _turned(at, now, along, turn, mid, half)).collect()
+            over(now, "x", "v")
+            now += 2
         for _ in range(DEGREE - 1 if step else 0):
-            sent = sent.repartition(blocks, "block").groupBy("block").applyInPandas(_next(mid, half), _SENT)
-        state = checkpoint(sent.repartition(blocks, "block").groupBy("block").applyInPandas(_last, _STATE))
-        gram, ritz, square, at_root = _sums(state)
+            _each(every, _next(at, now, mid, half)).collect()
+            over(now - 1, "x")
+            now += 1
+        sums = checkpoint(_each(every, _last(at, now))).collect()
+        over(now - 1, "x")
+        flat = np.sum([np.frombuffer(r["sums"]) for r in sorted(sums, key=lambda r: r["block"])], axis=0)
+        (gram, ritz, square), at_root = flat[:-BLOCK].reshape(3, BLOCK, BLOCK), flat[-BLOCK:]
         # without the known eigenvector: N times it is itself, so one correction serves all three
         along = at_root / total
         gram, ritz, square = (m - total * np.outer(along, along) for m in (gram, ritz, square))
@@ -196,7 +227,7 @@ def spectral_map(graph: DataFrame, k: int, rounds: int = ROUNDS, tolerance: floa
         turn = basis @ turn
         if residual <= tolerance or r < 2:
             break
-    found = checkpoint(_rows(state, along, turn).join(nodes, ["block", "at"]).select("uid", "x", "y"))
+    found = checkpoint(_rows(every, at, now, along, turn).join(nodes, ["block", "at"]).select("uid", "x", "y"))
     # among equal sizes the smallest id decides
     big = found.agg(*[F.max(F.round(F.abs(c), 9)).alias(c) for c in ("x", "y")]).first()
     sign = [found.filter(F.round(F.abs(c), 9) == F.lit(big[c])).orderBy("uid").select(F.signum(c)).first()[0] for c in ("x", "y")]

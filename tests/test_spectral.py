@@ -64,3 +64,22 @@ def test_map_over_several_blocks_and_one_checkpoint_a_round(spark, monkeypatch):
         for col, value, j in (("x", "value_x", 1), ("y", "value_y", 2)):
             v = u[:, j] * np.sign(u[np.argmax(np.round(abs(u[:, j]), 9)), j])
             assert abs(got[col].to_numpy() - v).max() < 1e-5 and abs(got[value].iloc[0] - values[j]) < 1e-9
+
+
+def test_steps_leave_nothing_and_shuffle_nothing(spark, tmp_path, monkeypatch):
+    """A step writes its vectors only; earlier steps' files go, and at the end the folder."""
+    import os
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 3)))], "uid long, vec array<double>")
+    graph = vectors.knn_graph(df, ks=(8,)).cache()
+    want = spectral.spectral_map(graph, 8, tolerance=1e-7).toPandas().sort_values("uid")
+    folder = tmp_path / "map"
+    monkeypatch.setattr(spectral, "shared_path", lambda spark, name: str(folder))
+    monkeypatch.setattr(spectral, "EDGES_AT_ONCE", 5)
+    most, plans, each = [], [], spectral._each
+    monkeypatch.setattr(spectral, "_each", lambda *a: (most.append(sum(f.stat().st_size for f in folder.iterdir() if f.name[0] in "xv")), plans.append(each(*a)), plans[-1])[2])
+    got = spectral.spectral_map(graph, 8, tolerance=1e-7, block_rows=20).toPandas().sort_values("uid")
+    assert len(most) > 20 and max(most) <= 2 * 90 * spectral.BLOCK * 8
+    assert not any("Exchange" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert not os.path.exists(folder)
+    assert got["uid"].tolist() == want["uid"].tolist() and abs(got[["x", "y"]].to_numpy() - want[["x", "y"]].to_numpy()).max() < 1e-5
