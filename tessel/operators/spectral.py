@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, shared_path
+from ..session import checkpoint, free_shuffles, shared_path
 from .blockfiles import Folder
 
 BLOCK = 16        # vectors iterated for the two that are wanted
@@ -32,6 +32,7 @@ DEGREE = 10       # steps between two orthogonalisations
 ROUNDS = 30       # orthogonalisations at most
 TOLERANCE = 1e-4
 EDGES_AT_ONCE = 1 << 17  # edges whose rows are gathered at a time, about
+LAYERS = 16       # edges of a node that are added one at a time, for all nodes at once
 
 
 def adjacency(graph: DataFrame, k: int) -> DataFrame:
@@ -83,6 +84,21 @@ def _matrix(at: Folder, name: str, block: int) -> np.ndarray:
     return np.frombuffer(at.read(f"{name}-{block}")).reshape(-1, BLOCK)
 
 
+def _carried(y: np.ndarray, leave: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each end the sum of its rows of ``y``: ``size`` numbers of ``leave`` from ``begin``. Most have few."""
+    sums = y.take(leave[begin], 0)
+    more, n = np.flatnonzero(size > 1), 1
+    while len(more) and n < LAYERS:
+        sums[more] += y.take(leave[begin[more] + n], 0)
+        n += 1
+        more = more[size[more] > n]
+    if len(more):
+        left = size[more].astype(np.int64) - n
+        first = np.cumsum(left) - left
+        sums[more] += np.add.reduceat(y.take(leave[np.arange(left.sum()) + np.repeat(begin[more] + n - first, left)], 0), first, axis=0)
+    return sums
+
+
 def _product(at: Folder, name: str, block: int) -> np.ndarray:
     """``N`` times the matrix ``name``, the rows of a block; sums are added in order of the blocks they come from."""
     packed, root = at.read(f"edges-{block}"), _root(at, block)
@@ -94,11 +110,11 @@ def _product(at: Folder, name: str, block: int) -> np.ndarray:
         ends, size, leave = (np.frombuffer(packed, np.int32, many, here + 4 * before) for many, before in ((n_ends, 0), (n_ends, n_ends), (n_edges, 2 * n_ends)))
         here += 4 * (2 * n_ends + n_edges)
         y = _matrix(at, name, source) / _root(at, source)[:, None]
-        begin = np.append(0, np.cumsum(size, dtype=np.int64))
+        begin = np.append(0, np.cumsum(size, dtype=np.int64))  # one more than ends
         i = 0
         while i < n_ends:  # whole ends, so that a node's sum from a block is one sum
             j = max(i + 1, int(np.searchsorted(begin, begin[i] + EDGES_AT_ONCE, "right")) - 1)
-            v[ends[i:j]] += np.add.reduceat(y[leave[begin[i]:begin[j]]], begin[i:j] - begin[i], axis=0)
+            v[ends[i:j]] += _carried(y, leave, begin[i:j], size[i:j])
             i = j
     return v / root[:, None]
 
@@ -162,6 +178,7 @@ def spectral_map(graph: DataFrame, k: int, rounds: int = ROUNDS, tolerance: floa
     A graph of fewer than three nodes has no map (no rows). Any id type; graphs without an edge give no rows.
     """
     both = adjacency(graph, k)
+    free_shuffles(graph.sparkSession)
     degree = both.groupBy(F.col("src").alias("uid")).agg(F.count(F.lit(1)).alias("deg"))
     n, total = degree.agg(F.count(F.lit(1)), F.sum("deg").cast("double")).first()  # the squared norm of ``root``
     kind = both.schema["src"].dataType.simpleString()
@@ -182,6 +199,7 @@ def _iterated(at: Folder, both: DataFrame, nodes: DataFrame, blocks: int, total:
         .applyInPandas(_pack_edges(at), "block int").collect()
     start = F.array(*[F.pmod(F.xxhash64(F.lit(i), F.col("uid").cast("string")), F.lit(1 << 20)) / float(1 << 19) - 1.0 for i in range(BLOCK)])
     nodes.withColumn("x", start).select("block", "at", "deg", "x").groupBy("block").applyInPandas(_pack_nodes(at), "block int").collect()
+    free_shuffles(nodes.sparkSession)  # of the edges; the steps make none
     every = nodes.sparkSession.range(0, blocks, 1, blocks).select(F.col("id").cast("int").alias("block"))
     full = [r["block"] for r in nodes.select("block").distinct().collect()]  # a block may have got no node
     every = every.filter(F.col("block").isin(full)) if len(full) < blocks else every

@@ -115,3 +115,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (cuts lineage, survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles deleted that no frame can read any more: Spark does so when the driver's JVM has collected
+    its garbage, which may not come up for as long as a job runs. Not more than a hint."""
+    try:
+        spark.sparkContext._jvm.System.gc()
+    except Exception:  # noqa: BLE001 - Spark Connect: the server sees to it
+        pass

@@ -83,3 +83,12 @@ def test_steps_leave_nothing_and_shuffle_nothing(spark, tmp_path, monkeypatch):
     assert not any("Exchange" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
     assert not os.path.exists(folder)
     assert got["uid"].tolist() == want["uid"].tolist() and abs(got[["x", "y"]].to_numpy() - want[["x", "y"]].to_numpy()).max() < 1e-5
+
+
+def test_rows_carried_by_few_and_by_many_edges():
+    rng = np.random.default_rng(7)
+    size = np.array([1, 40, 2, 16, 17, 1, 100], np.int32)
+    begin = np.cumsum(size) - size
+    leave, y = rng.integers(0, 30, size.sum()).astype(np.int32), rng.normal(size=(30, spectral.BLOCK))
+    want = np.array([y[leave[b:b + n]].sum(axis=0) for b, n in zip(begin, size)])
+    assert abs(spectral._carried(y, leave, begin, size) - want).max() < 1e-12
